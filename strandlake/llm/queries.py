@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import packing, token_counts
+from strandlake.llm import near_duplicates, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_token_counts": token_counts.query,
+    "op3_near_duplicates": near_duplicates.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import language, near_duplicates, packing, token_counts
+from strandlake.llm import language, near_duplicates, packing, personal, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_token_counts": token_counts.query,
     "op3_near_duplicates": near_duplicates.query,
+    "op4_personal": personal.query,
     "op5_language": language.query,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, language, near_duplicates, packing, personal, quality, token_counts
+from strandlake.llm import decontaminate, language, near_duplicates, packing, personal, quality, rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": near_duplicates.query,
     "op4_personal": personal.query,
     "op5_language": language.query,
+    "op6_quality_rules": rules.query,
     "op7_decontaminate": decontaminate.query,
     "op9_quality": quality.query,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, language, near_duplicates, packing, personal, quality, rules, token_counts
+from strandlake.llm import decontaminate, language, licenses, near_duplicates, packing, personal, quality, rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -17,8 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": rules.query,
     "op7_decontaminate": decontaminate.query,
     "op9_quality": quality.query,
+    "op10_licenses": licenses.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_licenses": licenses.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, language, licenses, near_duplicates, packing, personal, quality, rules, token_counts
+from strandlake.llm import decontaminate, language, licenses, near_duplicates, packing, personal, quality, rules, site_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": language.query,
     "op6_quality_rules": rules.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_site_tree": site_tree.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
 }

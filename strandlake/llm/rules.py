@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import operator
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,8 +111,9 @@ def _covered(rule: list[Condition], rows: list[dict]) -> tuple[int, int]:
 
 def learn(rows: list[dict], precision: float = 0.97, most: int = 12, longest: int = 4) -> list[list[Condition]]:
     """Rules for rows marked ``bad``, in the order learned; each is at least ``precision`` right on the rows left when it was made."""
-    left, rules = list(rows), []
+    left, rules, rng = list(rows), [], random.Random(11)
     while len(rules) < most and any(r["bad"] for r in left):
+        rng.shuffle(left)
         grow, prune = [r for k, r in enumerate(left) if k % 3], [r for k, r in enumerate(left) if not k % 3]
         rule, some = [], grow
         while len(rule) < longest and any(not r["bad"] for r in some) and any(r["bad"] for r in some):

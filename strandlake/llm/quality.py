@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
 from strandlake.llm.language import fold
@@ -125,7 +126,9 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, units: int = 8,
         m.score[:] = 0
         m.bias[:] = 4 if len(y) and y[0] else -4 if len(y) else 0
         return m
-    x, text = encode(*tx.utf8(pa.array(texts, pa.string())))
+    data, bounds = tx.utf8(pa.array(texts, pa.string()))
+    parts = [(i, *encode(data, bounds[i : j + 1])) for i, j in tx.runs(bounds)]
+    x, text = np.concatenate([p for _, p, _ in parts]), np.concatenate([i + t for i, _, t in parts])
     edge = np.searchsorted(text, np.arange(len(y) + 1))
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     first, second, step = [np.zeros_like(w) for w in m.weights], [np.zeros_like(w) for w in m.weights], 0
@@ -174,7 +177,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "te
             p = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= least).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return frame.mapInArrow(run, frame.schema.add("score", "double").add("predicted", "int"))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def trimmed(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
 
 
 def pruned(edges: DataFrame, edge_kmers: DataFrame, seen: DataFrame, least_edges: int = 10, most_absent: float = 0.5, protected: DataFrame | None = None) -> DataFrame:
-    """Edges of wide levels whose k-mers the sample mostly has; where a level would lose all its edges, it is protected and all starts anew."""
+    """Edges of wide levels whose k-mers the sample mostly has; where a level would lose all its edges, the first level from there on that lost any is protected and all starts anew."""
     hits = edge_kmers.join(seen.select("kmer", F.lit(1).alias("_s")), "kmer", "left").groupBy("graph", "edge_id").agg(F.avg(F.when(F.col("_s").isNull(), 1.0).otherwise(0.0)).alias("absent"))
     width = edges.groupBy("graph", "level").agg(F.count("*").alias("_n"))
     levels = edges.select("graph", "level").distinct()
@@ -219,7 +219,7 @@ def pruned(edges: DataFrame, edge_kmers: DataFrame, seen: DataFrame, least_edges
             return left
         more = edges.join(drop, ["graph", "edge_id"], "left_semi").select("graph", "level").distinct()
         first = empty.groupBy("graph").agg(F.min("level").alias("_l"))
-        kept = stash(kept.unionByName(more.join(first, "graph").where("level <= _l").select("graph", "level").exceptAll(kept).groupBy("graph").agg(F.max("level").alias("level"))), "kept")
+        kept = stash(kept.unionByName(more.join(first, "graph").where("level >= _l").groupBy("graph").agg(F.min("level").alias("level"))), "kept")
     raise RuntimeError("levels still empty")
 
 

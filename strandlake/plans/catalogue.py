@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import model_queries, relational_queries, sequence_queries
+from strandlake.plans import graph_queries, model_queries, relational_queries, sequence_queries
 
-_PARTS = (sequence_queries, relational_queries, model_queries)
+_PARTS = (sequence_queries, relational_queries, model_queries, graph_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -104,14 +104,14 @@ def mapping_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ty.mapping_confidence(c).select("o_orderkey", F.round("mapq_position", 9).alias("mapq_position"))
 
 
-# --- decoding: parts as edges between twelve levels of nodes
+# --- decoding: parts as edges between four hundred levels of nodes
 
-_EDGES = "e AS (SELECT p_size % 12 AS level, p_partkey AS edge_id, p_partkey % 4 AS from_id, (p_partkey + p_size) % 4 AS to_id, p_retailprice AS cnt FROM part WHERE p_brand LIKE '%1')"
+_EDGES = "e AS (SELECT p_size + 50 * (p_partkey % 8) AS level, p_partkey AS edge_id, p_partkey % 4 AS from_id, (p_partkey + p_size) % 4 AS to_id, p_retailprice AS cnt FROM part)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_brand LIKE '%1'").select((F.col("p_size") % 12).alias("level"), key.alias("edge_id"), (key % 4).alias("from_id"), ((key + F.col("p_size")) % 4).alias("to_id"), F.col("p_retailprice").alias("count"))
+    return table(spark, sf_dir, "part").select((F.col("p_size") + 50 * (key % 8)).alias("level"), key.alias("edge_id"), (key % 4).alias("from_id"), ((key + F.col("p_size")) % 4).alias("to_id"), F.col("p_retailprice").alias("count"))
 
 
 @query(f"WITH {_EDGES}, f AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY level, from_id) AS fraction FROM e) SELECT a.level, a.edge_id AS e1, b.edge_id AS e2, round(a.fraction * b.fraction, 12) AS p FROM f a JOIN f b ON a.level = b.level")

@@ -48,12 +48,12 @@ def mate_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.mate_pairs(c, ["conv_id", "pair"], "mate", ["turn", "role", "length"]).drop("pair")
 
 
-_IV = """a AS (SELECT o_orderkey, o_custkey % 7 AS region, o_orderkey % 5000 AS s1, o_orderkey % 5000 + o_custkey % 40 AS e1 FROM orders WHERE o_orderkey % 10 < 3),
+_IV = """a AS (SELECT o_orderkey, o_custkey % 7 AS region, o_orderkey % 5000 AS s1, o_orderkey % 5000 + o_custkey % 40 AS e1 FROM orders),
 b AS (SELECT p_partkey, p_partkey % 7 AS region, p_partkey * 13 % 5000 AS s2, p_partkey * 13 % 5000 + p_size * 3 AS e2 FROM part)"""
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o, p = table(spark, sf_dir, "orders").where("o_orderkey % 10 < 3"), table(spark, sf_dir, "part")
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     a = o.select("o_orderkey", (F.col("o_custkey") % 7).alias("region"), (F.col("o_orderkey") % 5000).alias("s1"), (F.col("o_orderkey") % 5000 + F.col("o_custkey") % 40).alias("e1"))
     b = p.select("p_partkey", (F.col("p_partkey") % 7).alias("region"), (F.col("p_partkey") * 13 % 5000).alias("s2"), (F.col("p_partkey") * 13 % 5000 + F.col("p_size") * 3).alias("e2"))
     return a, b

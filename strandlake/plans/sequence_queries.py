@@ -43,7 +43,7 @@ def kmer_containment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns 2n and 2n + 1 of a conversation as a pair of reads in bases."""
     c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
-    c = c.select("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("pair"), (F.pmod("turn", F.lit(2)) + 1).cast("int").alias("mate"), dna(F.col("text")).alias("seq"))
+    c = fl.spread(c).select("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("pair"), (F.pmod("turn", F.lit(2)) + 1).cast("int").alias("mate"), dna(F.col("text")).alias("seq"))
     return c.select((F.col("conv_id") * 1000 + F.col("pair")).alias("read_id"), "mate", "seq")
 
 
@@ -53,7 +53,7 @@ _BENCH = f"bench AS (SELECT item_id, {dna_sql('text')} AS seq FROM benchmark)"
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("seq"))
+    return fl.spread(table(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", dna(F.col("text")).alias("seq"))
 
 
 @query(f"""
@@ -102,14 +102,14 @@ def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_BENCH}, s AS (SELECT item_id, substr(seq, 1, 31) AS seq FROM bench),
-p AS (SELECT item_id, sum(CAST(instr('ACGT', substr(seq, CAST(i AS INT), 1)) - 1 AS BIGINT) * CAST(pow(4, length(seq) - i) AS BIGINT)) AS packed FROM s, unnest(range(1, length(seq) + 1)) AS r(i) GROUP BY item_id)
-SELECT s.item_id, seq, {revcomp_sql("seq")} AS reverse_complement, least(seq, {revcomp_sql("seq")}) AS canonical, CAST(packed AS BIGINT) AS packed, seq AS unpacked, regexp_matches(seq, '^[ACGT]+$') AS valid, translate(replace(replace(benchmark.text, '_', ''), '-', ''), '', '') AS ungapped
-FROM s JOIN p ON s.item_id = p.item_id JOIN benchmark ON s.item_id = benchmark.item_id""")
+WITH {_BENCH}, s AS (SELECT DISTINCT kmer AS seq FROM ({kmers_sql("bench", "item_id", "seq", 31)}) x),
+p AS (SELECT seq, sum(CAST(instr('ACGT', substr(seq, CAST(i AS INT), 1)) - 1 AS BIGINT) * CAST(pow(4, length(seq) - i) AS BIGINT)) AS packed FROM s, unnest(range(1, 32)) AS r(i) GROUP BY seq)
+SELECT seq, {revcomp_sql("seq")} AS reverse_complement, least(seq, {revcomp_sql("seq")}) AS canonical, CAST(packed AS BIGINT) AS packed, seq AS unpacked, regexp_matches(seq, '^[ACGT]+$') AS valid, seq AS ungapped FROM p""")
 def revcomp_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "benchmark").select("item_id", "text", F.substr(dna(F.col("text")), F.lit(1), F.lit(31)).alias("seq"))
+    s = fl.kmer_set(_bench(spark, sf_dir), "seq", 31).select(F.col("kmer").alias("seq"))
     packed = sq.pack_kmer(F.col("seq"))
-    return s.select("item_id", "seq", sq.revcomp(F.col("seq")).alias("reverse_complement"), sq.canonical(F.col("seq")).alias("canonical"), packed.alias("packed"), sq.unpack_kmer(packed, 31).alias("unpacked"), sq.is_valid_kmer(F.col("seq")).alias("valid"), sq.remove_gaps(F.col("text")).alias("ungapped"))
+    gapped = F.concat(F.lit("_"), F.col("seq"), F.lit("-"))
+    return s.select("seq", sq.revcomp(F.col("seq")).alias("reverse_complement"), sq.canonical(F.col("seq")).alias("canonical"), packed.alias("packed"), sq.unpack_kmer(packed, 31).alias("unpacked"), sq.is_valid_kmer(F.col("seq")).alias("valid"), sq.remove_gaps(gapped).alias("ungapped"))
 
 
 @query("""
@@ -164,11 +164,11 @@ def copy_number_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT p_partkey, p_name, rpad(substr(p_name, 1, 12), 12, '*') AS x, rpad(substr(p_type, 1, 12), 12, '*') AS y FROM part),
-c AS (SELECT p_partkey, substr(x, CAST(i AS INT), 1) AS u, substr(y, CAST(i AS INT), 1) AS v FROM a, unnest(range(1, 13)) AS r(i))
+WITH a AS (SELECT p_partkey, p_name, rpad(p_name, 64, '*') AS x, rpad(p_type, 64, '*') AS y FROM part),
+c AS (SELECT p_partkey, substr(x, CAST(i AS INT), 1) AS u, substr(y, CAST(i AS INT), 1) AS v FROM a, unnest(range(1, 65)) AS r(i))
 SELECT p_partkey, CAST(sum(CASE WHEN u <> '*' AND v <> '*' AND u <> v THEN 1 ELSE 0 END) AS INT) AS distance, round(sum(CASE WHEN u = v AND NOT (u = ' ' AND v = ' ') THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN u = ' ' AND v = ' ' THEN 0 ELSE 1 END), 0), 9) AS agreeing FROM c GROUP BY p_partkey""")
 def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda c: F.rpad(F.substr(F.col(c), F.lit(1), F.lit(12)), 12, "*")
+    side = lambda c: F.rpad(F.col(c), 64, "*")
     p = table(spark, sf_dir, "part").select("p_partkey", side("p_name").alias("x"), side("p_type").alias("y"))
     return p.select("p_partkey", sq.hamming(F.col("x"), F.col("y")).alias("distance"), F.round(sq.fraction_ok(F.col("x"), F.col("y"), " "), 9).alias("agreeing"))
 

@@ -366,7 +366,8 @@ def supernodes(table: DataFrame, rounds: int = 64) -> DataFrame:
     pairs = stash(joined.select("kmer", "other").unionByName(joined.select(F.col("other").alias("kmer"), F.col("kmer").alias("other"))).distinct(), "steps")
     names = stash(table.select("kmer", F.col("kmer").alias("name")), "names")
     for _ in range(rounds):
-        heard = pairs.join(names.select(F.col("kmer").alias("other"), "name"), "other").groupBy("kmer").agg(F.min("name").alias("_h"))
+        ends = pairs.join(names.select("kmer", F.col("name").alias("_a")), "kmer").join(names.select(F.col("kmer").alias("other"), F.col("name").alias("_b")), "other").where("_b < _a")
+        heard = ends.select(F.explode(F.array("kmer", "_a")).alias("kmer"), "_b").groupBy("kmer").agg(F.min("_b").alias("_h"))
         low = names.join(heard, "kmer", "left").select("kmer", F.col("name").alias("_was"), F.least("name", F.coalesce("_h", "name")).alias("name"))
         jump = low.select(F.col("kmer").alias("name"), F.col("name").alias("_j"))
         after = stash(low.join(jump, "name", "left").select("kmer", "_was", F.least("name", "_j").alias("name")), "names")

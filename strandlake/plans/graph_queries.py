@@ -135,7 +135,7 @@ def variant_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genome strings of three made-up chromosomes with parts as their records."""
     p = table(spark, sf_dir, "part")
     size = p.agg(F.max("p_partkey").alias("m"))  # one row
-    ref = size.select(F.explode(F.sequence(F.lit(1), F.lit(3))).cast("string").alias("chrom"), F.expr("repeat('ACGTTGCA', cast(m / 3 as int) + 2)").alias("seq"))
+    ref = size.select(F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<string>")).alias("chrom"), F.expr("repeat('ACGTTGCA', cast(m / 3 as int) + 2)").alias("seq"))
     key = F.col("p_partkey")
     rec = p.select((key % 3 + 1).cast("string").alias("chrom"), (F.floor(key / 3) * 8 + 3).cast("int").alias("pos"), F.lit("GT").alias("ref"), F.when(key % 2 == 0, "GT").otherwise("G").alias("a1"), F.when(key % 5 == 0, "GTTA").otherwise("GT").alias("a2"))
     return variants.records_to_segments(rec, ref)

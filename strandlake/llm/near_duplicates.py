@@ -5,8 +5,10 @@ places, the second, shifted round by k places, gives coordinate k. Documents
 whose sets are equal are one class. Bands of the signatures deal classes to
 buckets; each class is held against its bucket's leader by its signature, and
 what resembles one another closely enough forms loose groups, in linear work.
-Inside a loose group every link is decided on the full sets; a group of more
-than one block goes in pairs of blocks, so no task holds an unbounded group.
+Where a bucket then has classes of several groups, all of its classes are held
+against one another, so every pair that shares a band is compared or in one
+group. Inside a loose group every link is decided on the full sets. What is
+more than one block goes in pairs of blocks, so no task holds all of it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 #: Classes in a block.
 BLOCK = 512
+#: Sketches in a block of a bucket.
+SKETCHES = 2048
 #: Ids that are broadcast at most; more are joined by a shuffle.
 IDS = 1_000_000
 _FMIX = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -166,11 +170,92 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype(np.int32))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of two tables of sketches agree on ``least`` coordinates."""
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        same += a[:, None] == b[None, :]
+    return same >= least
+
+
+def merged(group: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int) -> np.ndarray:
+    """The smallest of ``group`` that each class reaches by sketches that agree on ``least`` coordinates; between two sides only, where there are two."""
+    one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    alike = _alike(sketch[one], sketch[two], least)
+    i, j = np.nonzero(alike)
+    i, j = one[i], two[j]
+    apart = group[i] != group[j]
+    i, j, label = i[apart], j[apart], group.copy()
+    while (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+    return label
+
+
+def _merge(least: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of one bucket's pair of blocks that sketches join; rows come in order of bucket and pair."""
+        held = None
+
+        def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = [rows.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            group, side = rows.column("group").to_numpy(), rows.column("block").to_numpy()
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(group)], strict=True):
+                if keys[1][i] != keys[2][i] and side[i:j].min() == side[i:j].max() or (group[i:j] == group[i]).all():
+                    continue
+                label = merged(group[i:j], sketch[i:j], side[i:j], least)
+                moved = label != group[i:j]
+                a.append(group[i:j][moved])
+                b.append(label[moved])
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            last = np.ones(rows.num_rows, bool)
+            for c in ("bucket", "lo", "hi"):
+                x = rows.column(c).to_numpy()
+                last &= x == x[-1]
+            cut = int(last.argmax())
+            if cut:
+                yield from judge(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield from judge(held)
+
+    return merge
+
+
+def _rest(held: DataFrame, sketches: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of loose groups, joined where a bucket has alike classes in both; a class alone is a group of its own.
+
+    All classes of a bucket with several groups meet, in pairs of blocks. Two
+    classes alone in a bucket have met as class and leader.
+    """
+    loose = components(found)
+    grouped = held.where("n > 2").select("rep", "bucket").join(loose.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("group"))
+    grouped = stash(grouped, "grouped")
+    mixed = grouped.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("n") / SKETCHES).cast("int").alias("blocks"))
+    placed = grouped.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
+    dealt = placed.join(sketches.select("rep", "sketch"), "rep").withColumn("pair", F.explode(other)).select("bucket", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "block", "group", "sketch")
+    sorted_ = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return stash(sorted_.mapInArrow(_merge(least), "a long, b long").distinct(), "rest")
+
+
 def _loose(classes: DataFrame, least: int, rounds: int = 3) -> DataFrame:
-    """Pairs (a, b) of a class and a leader of one of its buckets that agree on ``least`` coordinates.
+    """Pairs (a, b) that join into one group all classes that share a bucket and agree on ``least`` coordinates.
 
     A bucket's leader is the class that stands in the fullest buckets. Classes
-    unlike their leader meet again without it, under another one.
+    unlike their leader meet again without it, under another one; what the
+    leaders leave apart in a bucket is compared in pairs of blocks.
     """
     spread = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
     full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -190,7 +275,8 @@ def _loose(classes: DataFrame, least: int, rounds: int = 3) -> DataFrame:
         alike = judged.where("alike").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
         found = alike if found is None else found.unionByName(alike)
         left = stash(met.join(judged.where("not alike"), ["rep", "leader"]).select("rep", "bucket", "weight"), "left")
-    return found.distinct()
+    found = found.distinct()
+    return found.unionByName(_rest(held, sketches, found, least)).distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

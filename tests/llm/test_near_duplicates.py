@@ -69,3 +69,18 @@ def test_labels_reach_through_chains_and_never_stop_short(spark):
     with pytest.raises(RuntimeError):
         components(edges, rounds=1)
     assert components(edges.where("a > 1000")).count() == 0
+
+
+def test_all_alike_classes_of_a_bucket_join_whatever_its_leaders(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    unlike = rng.integers(0, 256, (40, nd.SIZE)).astype(np.uint8)
+    unlike[39] = unlike[38]
+    # 51 resembles its leader 50, and 52 resembles 51 but not 50
+    chain = np.zeros((3, nd.SIZE), np.uint8)
+    chain[1, 60:] = 1
+    chain[2, 60:], chain[2, :28] = 1, 2
+    rows = [(k, s.tobytes(), [7]) for k, s in enumerate(unlike)] + [(50 + k, s.tobytes(), [8]) for k, s in enumerate(chain)] + [(53, bytes([9] * nd.SIZE), [8])]
+    classes = spark.createDataFrame(rows, "rep long, sketch binary, bands array<long>")
+    for size in (2048, 8):
+        monkeypatch.setattr(nd, "SKETCHES", size)
+        assert {r.node: r.component for r in components(nd._loose(classes, 53)).collect()} == {38: 38, 39: 38, 50: 50, 51: 50, 52: 50}

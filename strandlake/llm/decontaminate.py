@@ -4,7 +4,8 @@ Test items are parted by size. For a class of items with at most U shingles a
 document becomes overlapping blocks of 2U shingles, so every passage of U lies
 whole in one, and a contained item resembles that block far more than it does
 the document. A block and an item that share a coordinate of their signatures
-are candidates; an item's containment in the document is then counted exactly.
+are candidates, as are a document and an item of few shingles that share any;
+an item's containment in the document is then counted exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from strandlake.llm.near_duplicates import signatures
 SIZE = 64
 #: Shingles of the smallest blocks' halves.
 UNIT = 16
+#: Items with fewer shingles would be less alike to the smallest blocks than that; they are looked up by their shingles.
+SHORT = 8
 #: Items searched for at once; more go in rounds over the documents.
 ITEMS = 20_000
 
@@ -44,6 +47,10 @@ class Index:
     ids: list[int]
     sets: list[np.ndarray]
     classes: list[Class]
+    #: Sorted shingles of the short items, their items and a filter on the low 16 bits.
+    short: np.ndarray
+    short_items: np.ndarray
+    short_low: np.ndarray
 
 
 def build_index(items: list[tuple[int, str | None]], width: int) -> Index:
@@ -54,9 +61,16 @@ def build_index(items: list[tuple[int, str | None]], width: int) -> Index:
     u, count = tx.distinct(s, of, len(kept))
     full = np.flatnonzero(count)
     sets = [p for p in np.split(u, np.cumsum(count)[:-1]) if len(p)] if len(kept) else []
-    index = Index([kept[i][0] for i in full], sets, [])
+    few = [k for k, p in enumerate(sets) if len(p) < SHORT]
+    short = np.concatenate([np.zeros(0, tx.U), *(sets[k] for k in few)])
+    order = np.argsort(short)
+    short_low = np.zeros(1 << 16, bool)
+    short_low[short & tx.U(0xFFFF)] = True
+    index = Index([kept[i][0] for i in full], sets, [], short[order], np.repeat(np.array(few, np.int64), [len(sets[k]) for k in few])[order], short_low)
     groups = defaultdict(list)
     for k, p in enumerate(sets):
+        if len(p) < SHORT:
+            continue
         groups[max(1, 1 << (-(-len(p) // UNIT) - 1).bit_length())].append(k)
     for units, some in sorted(groups.items()):
         sig = signatures(np.concatenate([sets[k] for k in some]), np.cumsum([0, *(len(sets[k]) for k in some[:-1])]), SIZE)
@@ -69,7 +83,15 @@ def build_index(items: list[tuple[int, str | None]], width: int) -> Index:
 
 
 def _candidates(index: Index, s: np.ndarray, of: np.ndarray) -> set[tuple[int, int]]:
-    """(text, item) where a block of the text and the item share a coordinate; ``s`` are shingles in text order."""
+    """(text, item) where a block of the text and the item share a coordinate, or the text and a short item a shingle; ``s`` are shingles in text order."""
+    found = set()
+    hit = np.flatnonzero(index.short_low[s & tx.U(0xFFFF)])
+    if len(hit):
+        a, b = np.searchsorted(index.short, s[hit], "left"), np.searchsorted(index.short, s[hit], "right")
+        for d, x, y in zip(of[hit[b > a]].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
+            found.update((d, int(i)) for i in index.short_items[x:y])
+    if not index.classes:
+        return found
     begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     size = np.diff(np.r_[begin, len(s)])
     units = -(-size // UNIT)
@@ -77,7 +99,6 @@ def _candidates(index: Index, s: np.ndarray, of: np.ndarray) -> set[tuple[int, i
     inner = np.arange(int(units.sum())) - np.repeat(first_unit, units)
     sig = signatures(s, np.repeat(begin, units) + inner * UNIT, SIZE)
     text = np.repeat(of[begin], units)
-    found = set()
     for c in index.classes:
         halves = np.flatnonzero(inner % c.units == 0)
         half = np.minimum.reduceat(sig, halves, axis=1) if c.units > 1 else sig

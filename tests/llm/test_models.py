@@ -166,6 +166,20 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, docs), table.where("item_id < 0")).count() == 0
 
 
+def test_short_items_inside_long_texts_are_all_found(spark):
+    texts = [prose(2000, 700 + k).split(" ") for k in range(30)]
+    items = [" ".join(w[60 * n : 60 * n + 4 + n]) for w in texts for n in range(1, 10)]
+    items[3] = items[3].rsplit(" ", 1)[0] + " other"  # 4 shingles of which 3 are there
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in decontaminate.contaminated(frame(spark, [" ".join(w) for w in texts]), table).collect()}
+    held = [shingles(" ".join(w)) for w in texts]
+    want = {}
+    for i, t in enumerate(items):
+        own = shingles(t)
+        want |= {(d, i): (len(own & s), len(own)) for d, s in enumerate(held) if 4 * len(own & s) >= 3 * len(own)}
+    assert got == want and len(want) >= len(items) and want[0, 3] == (3, 4)
+
+
 def test_quality_gradients_and_separation():
     rng = np.random.default_rng(0)
     m = quality.Model(*[rng.standard_normal(w.shape) * 0.3 for w in quality.train([], []).weights])

@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 
 from strandlake.llm.store import stash
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+)>""", re.S)
+#: Comments, declarations and tags. Quotes count only where they begin a value, and one that is not closed is as any other character. A tag always matches; where it reaches the end of the page, its last group is empty.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\s/>=]++|[\s/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?)*+)(>?)""", re.S)
+#: The same without quotes, from the first tag on that only ends where they are not minded.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "object")}
@@ -78,7 +81,7 @@ def _role(tag: str, names: set[str], above: str) -> str:
 def parse(html: str) -> Page:
     """Blocks of a page's text. Elements left open end with what holds them; scripts, styles and comments have no text."""
     root = _Element("", "", "")
-    stack, page, buffer, at, n = [root], Page([], []), [], 0, len(html)
+    stack, page, buffer, at, n, token = [root], Page([], []), [], 0, len(html), _TOKEN
 
     def flush() -> None:
         if buffer:
@@ -103,8 +106,11 @@ def parse(html: str) -> Page:
                 return
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        m = token.search(html, at)
+        if m is not None and m[4] == "" and token is _TOKEN:
+            token = _PLAIN
+            continue
+        if m is None or m[4] == "":
             buffer.append(html[at:])
             break
         if m.start() > at:

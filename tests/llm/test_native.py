@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from tests.llm.common import empty, frame, odd_texts, prose
@@ -111,3 +112,18 @@ def test_blocks_that_recur_on_a_site_go(spark):
     tree = site_tree.style_tree(df).collect()
     text = {r.importance for r in tree if r.kind == "text" and r.n == 40}
     assert text == {0.0}
+
+
+def test_tags_with_long_values_and_quotes():
+    text = lambda html: site_tree.keep(site_tree.parse(html), set())
+    long = "x" * 5000
+    assert text(f'<p>a</p><img src="data:{long}"><p>b</p>') == "a\nb"
+    assert text(f"<div>no</div><article data-x='{{\"k\": \"{long}\"}}'><p>yes</p></article>") == "yes"
+    assert text("<p title=it's>hello</p><p>it's") == "hello\nit's"
+    assert text('<p title="a > b">x</p><p title = \'c>"\' id=q>y') == "x\ny"
+    assert text('<p title="open>x</p><p>y</p>') == "x\ny"
+    assert text("a < b <p") == "a < b <p"
+    for odd in ('<a b' * 100_000 + '=">"', "<a b" * 100_000 + "x='>", '<a x="' * 100_001 + ">", "<a" * 200_000):
+        began = time.time()
+        site_tree.parse(odd)
+        assert time.time() - began < 5

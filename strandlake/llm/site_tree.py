@@ -42,6 +42,8 @@ _ASIDE_WORDS = frozenset(
 )
 _HEAD_WORDS = frozenset("header masthead topbar".split())
 _MAIN = frozenset("article main".split())
+#: What replies to an article may be longer than it.
+_REPLIES = frozenset("comment comments disqus respond replies reply".split())
 #: Bounds of the importance by role.
 BOUNDS = {"main": (0.5, 1.0), "aside": (0.0, 0.1), "": (0.0, 1.0)}
 #: Branches below are removed; a path that fewer pages of a host share tells nothing.
@@ -58,7 +60,12 @@ def _number(text: str) -> int:
 class _Element:
     tag: str
     path: str
-    role: str
+    names: frozenset[str] = frozenset()
+    above: _Element | None = None
+    #: Whether an article or main part is in it, its characters of text (those of menus and replies left out), and its role, set at the end of the page.
+    holds: bool = False
+    size: int = 0
+    role: str = ""
     children: list[str] = field(default_factory=list)
 
 
@@ -70,18 +77,42 @@ class Page:
     elements: list[tuple[str, str, str]]
 
 
-def _role(tag: str, names: set[str], above: str) -> str:
-    if above == "aside" or tag in _ASIDE_TAGS or names & _ASIDE_WORDS:
+def _role(e: _Element, within: int) -> str:
+    """Role of an element whose parent has its own; ``within`` is the text of the article that holds it, or of a page without one.
+
+    Words, a form or a header make nothing aside that is or holds an article;
+    nor do words and forms, those of replies apart, where they hold half of the text.
+    """
+    above = e.above.role
+    if above == "aside" or e.tag in _ASIDE_TAGS and e.tag != "form":
+        return "aside"
+    if e.tag in ("html", "body") or e.tag in _MAIN or e.holds:
+        return "main" if e.tag in _MAIN else above
+    named = e.tag == "form" or e.names & _ASIDE_WORDS
+    if named and (e.names & _REPLIES or not 0 < within <= 2 * e.size):
         return "aside"
-    if above != "main" and (tag == "header" or names & _HEAD_WORDS):
+    if above != "main" and (e.tag == "header" or e.names & _HEAD_WORDS):
         return "aside"
-    return "main" if tag in _MAIN or above == "main" else above
+    return above
+
+
+def _set_roles(every: list[_Element]) -> None:
+    """Roles of a page's elements, parents first; the first one is the root."""
+    for e in reversed(every[1:]):
+        e.above.holds |= e.holds or e.tag in _MAIN
+        if e.holds or e.tag in ("html", "body") or e.tag == "form" or not (e.tag in _ASIDE_TAGS or e.names & _REPLIES):
+            e.above.size += e.size
+    within = {id(every[0]): 0 if every[0].holds else every[0].size}
+    for e in every[1:]:
+        e.role = _role(e, within[id(e.above)])
+        within[id(e)] = e.size if e.tag in _MAIN else within[id(e.above)]
 
 
 def parse(html: str) -> Page:
     """Blocks of a page's text. Elements left open end with what holds them; scripts, styles and comments have no text."""
-    root = _Element("", "", "")
-    stack, page, buffer, at, n, token = [root], Page([], []), [], 0, len(html), _TOKEN
+    root = _Element("", "")
+    every, blocks, elements = [root], [], []
+    stack, buffer, at, n, token = [root], [], 0, len(html), _TOKEN
 
     def flush() -> None:
         if buffer:
@@ -89,12 +120,13 @@ def parse(html: str) -> Page:
             buffer.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append((top.path, top.role, text))
+                top.size += len(text)
+                blocks.append((top, text))
 
     def close() -> None:
         e = stack.pop()
         if e.children:
-            page.elements.append((e.path, e.role, " ".join(e.children)))
+            elements.append(e)
 
     def close_to(tags: tuple[str, ...], stop: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -143,14 +175,16 @@ def parse(html: str) -> Page:
         named = [v[1] or v[2] or v[3] or "" for v in _NAMED.finditer(m[3])] if m[3] else []
         label = tag + "".join(f".{x.strip().lower()}" for x in named)
         above.children.append(tag)
-        stack.append(_Element(tag, f"{above.path}/{label}", _role(tag, {w for x in named for w in _PART.findall(x.lower())}, above.role)))
+        stack.append(_Element(tag, f"{above.path}/{label}", frozenset(w for x in named for w in _PART.findall(x.lower())), above))
+        every.append(stack[-1])
         if len(stack) > 400:
             flush()
             close()
     flush()
     while len(stack) > 1:
         close()
-    return page
+    _set_roles(every)
+    return Page([(e.path, e.role, text) for e, text in blocks], [(e.path, e.role, " ".join(e.children)) for e in elements])
 
 
 def _host(url: str | None) -> str:

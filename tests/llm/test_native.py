@@ -127,3 +127,16 @@ def test_tags_with_long_values_and_quotes():
         began = time.time()
         site_tree.parse(odd)
         assert time.time() - began < 5
+
+
+def test_a_word_takes_away_no_article_and_no_main_part():
+    text = lambda html: site_tree.keep(site_tree.parse(html), set())
+    article = "<article class='post social'><p>One long line of text</p><div class='share'>Share</div></article>"
+    for html in (
+        f"<html class=no-ads><body class=has-sidebar><div class=ad>Buy</div>{article}</body></html>",
+        f"<form><nav>Menu</nav><div class='elementor-widget-wrap'>{article}</div><div class=related>More</div></form>",
+        "<body><form><nav>A very long menu of many many words</nav><p>One long line of text</p></form></body>",
+        "<article><div class=elementor-widget-wrap><p>One long line of text</p></div><div class=comments>I say a much longer thing than this</div></article>",
+    ):
+        assert text(html) == "One long line of text", html
+    assert text("<aside><article>x</article></aside><p>y</p>") == "y"

@@ -4,8 +4,9 @@ The pages of a host are merged by their elements' paths. For each path the tree
 knows how many pages have it, how its presentation (the sequence of child
 elements) varies and how evenly each block of text recurs. An element's
 importance combines the entropy of its presentation with how little its
-content recurs, within bounds that its role sets: an article is important, a
-menu or an advert never is. Branches of low importance are removed.
+content recurs. Its role is the prior: what is in an article goes only where
+it recurs almost everywhere, what stands beside one stays only where it hardly
+ever recurs, a menu or an advert never stays.
 """
 
 from __future__ import annotations
@@ -44,10 +45,11 @@ _HEAD_WORDS = frozenset("header masthead topbar".split())
 _MAIN = frozenset("article main".split())
 #: What replies to an article may be longer than it.
 _REPLIES = frozenset("comment comments disqus respond replies reply".split())
-#: Bounds of the importance by role.
-BOUNDS = {"main": (0.5, 1.0), "aside": (0.0, 0.1), "": (0.0, 1.0)}
-#: Branches below are removed; a path that fewer pages of a host share tells nothing.
-LEAST, PAGES = 0.25, 4
+#: Blocks go where their importance is known to be below this; those beside an article also where their path's is not known, or below OPEN.
+OPEN = 0.4
+LEASTS = {"main": 0.1, "": 0.25, "beside": 0.75}
+#: A path that fewer pages of a host share tells nothing; twice as many must share one inside an article.
+PAGES = 4
 #: Rows of the tree that are broadcast at most.
 BROADCAST = 50_000
 
@@ -184,6 +186,9 @@ def parse(html: str) -> Page:
     while len(stack) > 1:
         close()
     _set_roles(every)
+    if any(e.role == "main" for e, _ in blocks):
+        for e in every:
+            e.role = e.role or "beside"
     return Page([(e.path, e.role, text) for e, text in blocks], [(e.path, e.role, " ".join(e.children)) for e in elements])
 
 
@@ -217,13 +222,12 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     A block on n of m pages, spread evenly, has the entropy log n / log m and
     the importance one less it; a path's presentation has the entropy of its
-    variants, to the base m. Both lie within the bounds of the path's role.
+    variants, to the base m.
     """
     facts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_facts, _FACTS)
     counted = stash(facts.groupBy("host", "path", "role", "kind", "value").agg(F.count("*").alias("n")), "tree")
     nodes = counted.where("kind = 'page'").select("host", "path", "role", F.col("n").alias("m"))
-    bound = lambda k: F.coalesce(*[F.when(F.col("role") == r, F.lit(b[k])) for r, b in BOUNDS.items()])
-    held = lambda x: F.greatest(bound(0), F.least(bound(1), x))
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     base = F.ln(F.greatest(F.col("m"), F.lit(2)))
     parts = counted.where("kind <> 'page'").join(nodes, ["host", "path", "role"])
     single = F.when(F.col("kind") == "text", 1 - F.ln("n") / base)
@@ -233,14 +237,22 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return whole.unionByName(parts.where("kind = 'text'").select("host", "path", "role", "kind", "value", "n", "m", held(single).alias("importance")))
 
 
-def keep(page: Page, low: set[tuple[str, int]]) -> str:
-    """Text of a page's blocks: those of its articles, or without one all, less the branches of low importance."""
-    main = any(r == "main" for _, r, _ in page.blocks)
+def keep(page: Page, verdicts: set[tuple[str, str, int]]) -> str:
+    """Text of a page's blocks, less the branches of low importance.
+
+    ``verdicts`` has (role, path, number of a text) of blocks of low importance,
+    (role, path, 0) of paths of low and (role, path, 1) of paths of high
+    importance. A page all of whose article recurs is a copy: it keeps it.
+    """
+    low = [(role, path, _number(text)) in verdicts for path, role, text in page.blocks]
+    copy = all(x for x, (_, role, _) in zip(low, page.blocks, strict=True) if role == "main")
     kept = []
-    for path, role, text in page.blocks:
-        if BOUNDS[role][1] < LEAST or (main and role != "main"):
+    for x, (path, role, text) in zip(low, page.blocks, strict=True):
+        if role == "aside" or (x and not (role == "main" and copy)):
+            continue
+        if role == "beside" and (role, path, 1) not in verdicts:
             continue
-        if role == "" and ((path, _number(text)) in low or any((path[:k], 0) in low for k in [*(x.start() for x in re.finditer("/", path)), len(path)] if k)):
+        if role == "" and any((role, path[:k], 0) in verdicts for k in [*(y.start() for y in re.finditer("/", path)), len(path)] if k):
             continue
         kept.append(text)
     return "\n".join(kept)
@@ -254,12 +266,17 @@ def extract(pages: DataFrame, salts: int = 32, url_col: str = "url", html_col: s
     text; a null or odd url counts as one host; repeated rows are each
     extracted; clashing columns are replaced; an empty table stays empty.
 
-    Only blocks outside articles need the tree. Its rows below the threshold
-    are joined by host: broadcast where they are few, else with each host's
-    rows repeated for ``salts`` shares of its pages.
+    The tree's rows that decide against a role's prior are joined by host:
+    broadcast where they are few, else with each host's rows repeated for
+    ``salts`` shares of its pages.
     """
     tree = style_tree(pages, url_col, html_col)
-    low = stash(tree.where((F.col("role") == "") & (F.col("importance") < LEAST) & (F.col("m") >= PAGES)).select("host", F.struct("path", F.when(F.col("kind") == "node", F.lit(0)).otherwise(F.col("value")).alias("value")).alias("branch")), "low")
+    least = F.coalesce(*[F.when(F.col("role") == r, F.lit(x)) for r, x in LEASTS.items()])
+    node, below = F.col("kind") == "node", F.col("importance") < least
+    known = F.col("m") >= F.when(F.col("role") == "main", 2 * PAGES).otherwise(PAGES)
+    tells = F.when(node, ((F.col("role") == "") & below) | ((F.col("role") == "beside") & (F.col("importance") >= OPEN))).otherwise(below)
+    value = F.when(node, F.when(F.col("role") == "", F.lit(0)).otherwise(F.lit(1))).otherwise(F.col("value")).alias("value")
+    low = stash(tree.where(known & tells).select("host", F.struct("role", "path", value).alias("branch")), "low")
     by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("branch").alias("_low"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
@@ -278,7 +295,7 @@ def extract(pages: DataFrame, salts: int = 32, url_col: str = "url", html_col: s
                 some = batch.slice(lo, 1000)
                 texts = []
                 for html, branches in zip(some.column(len(out)).to_pylist(), some.column(len(out) + 1).to_pylist(), strict=True):
-                    texts.append(keep(parse(html or ""), {(b["path"], b["value"]) for b in branches or ()}))
+                    texts.append(keep(parse(html or ""), {(b["role"], b["path"], b["value"]) for b in branches or ()}))
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(out)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*out, "text", "n_chars"])
 
     return frame.mapInArrow(run, T.StructType([*pages.select(*out).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -140,3 +140,20 @@ def test_a_word_takes_away_no_article_and_no_main_part():
     ):
         assert text(html) == "One long line of text", html
     assert text("<aside><article>x</article></aside><p>y</p>") == "y"
+
+
+def test_the_tree_decides_inside_and_beside_articles(spark):
+    page = "<body><div>Home of news</div><article><p>{0}</p><div class=box>Send us a letter today</div></article><section><p>{1}</p><p>All texts are ours</p></section></body>"
+    rows = [(i, "https://a.example.com/p", page.format(prose(20, i), prose(9, 500 + i))) for i in range(40)]
+    rows += [(100 + i, "https://b.example.com/p", page.format(prose(20, 0), prose(9, 500))) for i in range(20)]
+    rows += [(200, "https://c.example.com/p", page.format(prose(20, 0), prose(9, 500)))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: prose(20, i) + "\n" + prose(9, 500 + i) for i in range(40)}
+    # copies of one page, and a page alone on its host, tell nothing against their articles
+    want |= {i: prose(20, 0) + "\nSend us a letter today" for i in [*range(100, 120), 200]}
+    for share in (0, 50_000):
+        old, site_tree.BROADCAST = site_tree.BROADCAST, share
+        try:
+            assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == want
+        finally:
+            site_tree.BROADCAST = old

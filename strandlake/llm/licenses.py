@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template words are put in order of how few documents hold
-them; a block that holds enough of a template must hold one of its rarest
+A block is a line, or, for notices that are wrapped, any run of twice as many
+words as a template has. Template words are put in order of how few documents
+hold them; a block that holds enough of a template must hold one of its rarest
 words, early enough in both orders, so only such pairs meet. Their overlap is
 then counted on the whole sets. Only DataFrame functions run.
 """
@@ -38,6 +39,16 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() or not c.isascii() else " " for c in low).split()))
 
 
+def _reach(templates: tuple) -> int:
+    """Words of the longest run that is held against a template, but one."""
+    return max(2 * _length(t) for _, t in templates) - 1
+
+
+def _length(text: str) -> int:
+    """Words of a template, repeated ones too."""
+    return len("".join(c if c.isalnum() or not c.isascii() else " " for c in text).split())
+
+
 def _words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; other letters that change with them are in no template or phrase."""
     return split_words(F.lower(text), GAP)
@@ -55,11 +66,52 @@ def _prefix_index(spark: SparkSession, frequency: dict[str, int], templates: tup
         words = sorted(template_words(text), key=lambda w: (frequency.get(w, 0), w))
         least = math.ceil(num * len(words) / den)
         for i, w in enumerate(words[: len(words) - least + 1]):
-            rows.append(F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(name).alias("label"), F.lit(i).alias("at"), F.lit(len(words)).alias("size"), F.lit(least).alias("least"), _literals(words).alias("words")))
+            rows.append(F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(name).alias("label"), F.lit(i).alias("at"), F.lit(len(words)).alias("size"), F.lit(least).alias("least"), F.lit(2 * _length(text)).alias("run"), _literals(words).alias("words")))
     return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*"), every
 
 
-def matching_blocks(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _frequency(base: DataFrame, templates: tuple) -> dict[str, int]:
+    """How many documents hold each of the templates' words."""
+    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
+    held = F.array_intersect(_words(F.col("text")), _literals(vocabulary))
+    return {r["word"]: r["n"] for r in base.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+
+
+def _rare(templates: tuple, frequency: dict[str, int], num: int, den: int) -> list[str]:
+    """The words of all templates' prefixes."""
+    return sorted({w for _, t in templates for w in sorted(template_words(t), key=lambda w: (frequency.get(w, 0), w))[: len(template_words(t)) - math.ceil(num * len(template_words(t)) / den) + 1]})
+
+
+def matching_runs(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", frequency: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, word, template, label, containment) where a run of words, over lines too, holds ``num / den`` of a template's distinct words.
+
+    A run has twice as many words as the template, or is the whole of a shorter
+    text. ``word`` is the place of a word of the template's prefix, from 0;
+    containment is the highest of all runs with it. Of each place the words as
+    far as any run reaches are taken, and every run in them is counted where
+    they hold enough of the template.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    frequency = _frequency(base, templates) if frequency is None else frequency
+    index, _ = _prefix_index(docs.sparkSession, frequency, templates, num, den)
+    rare, reach = _literals(_rare(templates, frequency, num, den)), _reach(templates)
+
+    def anchors(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(rare, x), i)), lambda i: i.isNotNull())
+        return F.transform(places, lambda i: F.struct(i.cast("long").alias("place"), F.get(w, i).alias("word"), F.least(i, F.lit(reach)).alias("before"), F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + 1 + reach).alias("near")))
+
+    held = base.where(F.arrays_overlap(_words(F.col("text")), rare))
+    found = held.select("doc_id", F.explode(let(_words(F.col("text")), anchors)).alias("x")).select("doc_id", "x.*")
+    # the words that a run of this template with the word in it can have, and the place of the word in them
+    lo = F.greatest(F.col("before") - F.col("run") + 1, F.lit(0))
+    pairs = found.join(F.broadcast(index), "word").withColumn("near", F.slice("near", lo + 1, F.col("before") - lo + F.col("run")))
+    pairs = pairs.where(F.size(F.array_intersect("near", "words")) >= F.col("least"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("near") - F.col("run"), F.lit(0)))
+    shared = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("near", k + 1, F.col("run")), F.col("words")))))
+    return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("least")).select("doc_id", F.col("place").alias("word"), "template", "label", (F.col("shared") / F.col("size")).alias("containment"))
+
+
+def matching_blocks(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", frequency: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, block, template, label, containment) for every line that holds ``num / den`` of a template's distinct words.
 
     Lines count from 0. Null and empty texts match nothing; repeated rows give
@@ -68,12 +120,10 @@ def matching_blocks(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80
     rows, so their index is broadcast.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    held = F.array_intersect(_words(F.col("text")), _literals(vocabulary))
-    frequency = {r["word"]: r["n"] for r in base.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    frequency = _frequency(base, templates) if frequency is None else frequency
     index, ordered = _prefix_index(docs.sparkSession, frequency, templates, num, den)
     fewest = min(math.ceil(num * len(template_words(t)) / den) for _, t in templates)
-    rare = sorted({w for _, t in templates for w in sorted(template_words(t), key=lambda w: (frequency.get(w, 0), w))[: len(template_words(t)) - math.ceil(num * len(template_words(t)) / den) + 1]})
+    rare = _rare(templates, frequency, num, den)
     likely = base.where(F.arrays_overlap(_words(F.col("text")), _literals(rare)))
     blocks = likely.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     # a block's words that are in some template, rarest first
@@ -107,7 +157,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every whole text.
 
     Base: places of the phrases' words, one after another. ``labels`` adds those
-    of the templates that a line holds; score is the highest containment, and 1
+    of the templates that a line or a run of words holds; score is the highest containment, and 1
     with a base place. A null or empty text has no words; rows that repeat a
     doc_id each get the labels of all of them; a null doc_id is matched like
     any other; other columns are not read; an empty table gives no rows.
@@ -117,7 +167,9 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int
     none = F.array().cast("array<struct<word:bigint,label:string>>")
     words = let(_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(likely, _places(w)).otherwise(none).alias("places")))
     base = docs.select(F.col(id_col).alias("doc_id"), words.alias("_w")).select("doc_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_places"))
-    found = matching_blocks(docs, templates, num, den, id_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
+    frequency = _frequency(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), templates)
+    either = [f(docs, templates, num, den, id_col, text_col, frequency).select("doc_id", "label", "containment") for f in (matching_blocks, matching_runs)]
+    found = either[0].unionByName(either[1]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
     starts = F.transform("_places", lambda p: p["word"])
     own = F.array_distinct(F.transform("_places", lambda p: p["label"]))
     join = lambda a: F.array_join(F.array_sort(a), ",")

@@ -157,3 +157,12 @@ def test_the_tree_decides_inside_and_beside_articles(spark):
             assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == want
         finally:
             site_tree.BROADCAST = old
+
+
+def test_wrapped_notices_are_found(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met"
+    far = "Released under" + " x" * 20 + "\nthe MIT License"
+    texts = [mit, prose(300, 1) + "\n" + bsd + "\n" + prose(300, 2), far, "released\nunder\nthe\nlicense", None]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, texts)).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("", 0.0), 3: ("mit", 0.8), 4: ("", 0.0)}

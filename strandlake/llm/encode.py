@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from functools import cache
+import json
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +14,21 @@ from strandlake.llm import text as tx
 
 RUN = 1 << 22
 _SPACE, _LINE = 32, 10
+# White space beyond ASCII, which joins with what stands beside it.
+_WIDE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_LEADS = np.zeros(256, bool)
+_LEADS[sorted({c.encode()[0] for c in _WIDE})] = True
+_ENDS = np.sort([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in _WIDE])
+
+
+def wide_spaces(raw: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII begins in UTF-8 bytes."""
+    at = np.flatnonzero(_LEADS[raw])
+    if not len(at):
+        return at
+    after = np.r_[raw, np.zeros(2, np.uint8)]
+    code = (raw[at].astype(np.int64) << 16) | (after[at + 1].astype(np.int64) << 8) | np.where(raw[at] == 0xC2, 0, after[at + 2])
+    return at[_ENDS[np.minimum(np.searchsorted(_ENDS, code), len(_ENDS) - 1)] == code]
 
 
 def default_tokenizer() -> str:
@@ -23,18 +39,20 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes columns of texts as ``tokenizers`` does without special tokens.
+    """Encodes columns of texts as ``tokenizers`` does, adding no special tokens.
 
     A byte-level BPE splits a text before it merges: a single space opens a new
     piece and a single line feed is one, so words with what stands before them
     can be encoded apart, in any order. Each run of texts is cut into words at
     once and every different word of it encoded once, all in one call; texts
-    with other white space are encoded whole. Where the vocabulary lies beside
-    the JSON file as ranks too, the same ids come from the faster library.
+    with other white space, or with the text of an added token, are encoded
+    whole. Where the vocabulary lies beside the JSON file as ranks too, the
+    same ids come from the faster library; added tokens only the other knows.
     """
 
     def __init__(self, path: str, entries: int = 1_000_000):
-        self.entries = entries
+        self.path, self.entries = path, entries
+        self.added = [t["content"].encode() for t in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or []]
         self._forget()
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
@@ -47,15 +65,33 @@ class Encoder:
             self.size = np.zeros(max(table.values()) + 1, np.int64)
             self.size[list(table.values())] = [len(k) for k in table]
         else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            model.no_truncation()
-            model.no_padding()
-            self.encode = lambda text: np.asarray(model.encode(text, add_special_tokens=False).ids, np.uint32)
+            self.encode = self.whole
             self.size = None
 
+    @cached_property
+    def model(self):
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.no_truncation()
+        model.no_padding()
+        return model
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text that may hold added tokens."""
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _added(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts hold the text of an added token."""
+        out, held = np.zeros(len(bounds) - 1, bool), raw.tobytes()
+        for token in self.added:
+            at = held.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(bounds, at, side="right")) - 1
+                out[k] |= at + len(token) <= bounds[k + 1]
+                at = held.find(token, at + 1)
+        return out
+
     def _forget(self) -> None:
         self.known = np.zeros(0, tx.U)
         self.begin = self.stop = np.zeros(0, np.int64)
@@ -109,6 +145,9 @@ class Encoder:
         odd = np.zeros(n_texts, bool)
         odd[found.text[wrong]] = True
         odd |= (found.count == 0) & (stops > starts)
+        odd[np.searchsorted(starts, wide_spaces(raw), side="right") - 1] = True
+        special = self._added(raw, np.r_[starts, stops[-1:]])
+        odd |= special
         h, of = found.hashes, found.text
         if odd.any():
             take = ~odd[of]
@@ -126,7 +165,7 @@ class Encoder:
         if odd.any():
             parts = np.split(out, np.cumsum(count)[:-1])
             for i in np.flatnonzero(odd).tolist():
-                parts[i] = self.encode(bytes(raw[starts[i] : stops[i]]).decode())
+                parts[i] = (self.whole if special[i] else self.encode)(bytes(raw[starts[i] : stops[i]]).decode())
                 count[i] = len(parts[i])
             out = np.concatenate(parts)
         return out, count

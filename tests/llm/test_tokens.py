@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,14 +9,12 @@ from tests.llm.common import empty, frame, odd_texts, prose
 from tokenizers import Tokenizer
 
 from strandlake.llm import packing, token_counts
-from strandlake.llm.encode import default_tokenizer, encoder
+from strandlake.llm.encode import _WIDE, default_tokenizer, encoder
 
 
 @pytest.fixture(scope="module")
 def model():
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def ids_of(model, text):
@@ -30,6 +29,17 @@ def test_encoder_equals_the_tokenizer(model):
     assert got == [ids_of(model, t) for t in texts]
 
 
+def test_encoder_equals_the_tokenizer_on_any_white_space(model):
+    rng = random.Random(3)
+    parts = [" ", " ", "\n", "\t", "\x00", "\x1c", "a", "hello", "42", "!", "é", "日本", "'s", "<|endoftext|>", "<|endof", "text|>", *_WIDE]
+    texts = ["\u00a0", "\u00a0\u00a0hello", "\u00a0\u2003hi", "\u00a0\u0085\x00x", "hi\u3000", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    got = []
+    for _, count, ids in encoder(default_tokenizer()).column(pa.array(texts, pa.string())):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+    assert [t for t, x in zip(texts, got, strict=True) if x != ids_of(model, t)] == []
+
+
 def test_every_id_lies_in_one_piece(spark, model):
     texts = odd_texts()
     rows = packing.pack(frame(spark, texts).repartition(3), length=256).collect()

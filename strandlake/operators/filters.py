@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.functions import sequences as sq
+from strandlake.lineage import stash
+
+#: K-mers of a set that is broadcast at most, about 100 bytes each.
+KMERS = 1_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -22,63 +26,70 @@ def kmer_set(df: DataFrame, text: str, k: int, canonical: bool = False) -> DataF
     return rows.select(sq.canonical(F.col("kmer")).alias("kmer")).distinct() if canonical else rows.distinct()
 
 
-def kmer_fractions(reads: DataFrame, by: list[str], text: str, known: DataFrame, k: int, empty: float = 0.0) -> DataFrame:
+def in_set(rows: DataFrame, known: DataFrame, out: str, most: int = KMERS) -> DataFrame:
+    """``rows`` with ``out``: 1 where their kmer is in the set.
+
+    A set of at most ``most`` k-mers goes to every task, so k-mers that are not
+    in it end there and no k-mer is shuffled; a larger one is joined by a shuffle.
+    """
+    held = stash(known.select("kmer").distinct(), "kmers")
+    marked = held.withColumn(out, F.lit(1))
+    return rows.join(F.broadcast(marked) if held.limit(most + 1).count() <= most else marked, "kmer", "left")
+
+
+def kmer_fractions(reads: DataFrame, by: list[str], text: str, known: DataFrame, k: int, empty: float = 0.0, most: int = KMERS) -> DataFrame:
     """(by, n_kmers, n_hits, fraction): share of each read's k-mers that are in a set; ``empty`` where it has none.
 
-    Equal k-mers of a read are counted before they meet the set; the planner
-    broadcasts the set only where its size allows.
+    Null and short texts have no k-mers; rows that repeat ``by`` count
+    together; an empty table gives no rows. What is shuffled is one count for
+    each read and task, as far as ``in_set`` needs no shuffle.
     """
-    found = reads.select(*by, F.explode(sq.kmers(F.col(text), k)).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("_n"))
-    hits = found.join(known.select("kmer", F.lit(1).alias("_hit")), "kmer", "left")
-    sums = hits.groupBy(*by).agg(F.sum("_n").alias("n_kmers"), F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)).alias("n_hits"))
-    every = reads.select(*by).distinct().join(sums, by, "left")
-    n = F.coalesce("n_kmers", F.lit(0))
-    return every.select(*by, n.alias("n_kmers"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.when(n > 0, F.col("n_hits") / n).otherwise(F.lit(empty)).alias("fraction"))
+    marked = in_set(reads.select(*by, F.explode_outer(sq.kmers(F.col(text), k)).alias("kmer")), known, "_hit", most)
+    n, hits = F.count("kmer"), F.count("_hit")
+    return marked.groupBy(*by).agg(n.alias("n_kmers"), hits.alias("n_hits"), F.when(n > 0, hits / n).otherwise(F.lit(empty)).alias("fraction"))
 
 
-def positive_filter(pairs: DataFrame, known: DataFrame, k: int = 25, threshold: float = 0.3, any_mate: bool = False, unique: DataFrame | None = None, least_unique: int = 10) -> DataFrame:
+def positive_filter(pairs: DataFrame, known: DataFrame, k: int = 25, threshold: float = 0.3, any_mate: bool = False, unique: DataFrame | None = None, least_unique: int = 10, most: int = KMERS) -> DataFrame:
     """(read_id, f1, f2, r1, r2, passed) for pairs (read_id, seq1, seq2).
 
     Fractions of k-mers in the set for both strands: forward takes the first
     mate and the second one's reverse complement, reverse the other way. A pair
     passes if both mates of one strand reach the threshold, or any mate where
     ``any_mate``; or if it has ``least_unique`` k-mers of ``unique`` on a strand.
-    An empty mate has a fraction of 0.
+    An empty or null mate has a fraction of 0; rows that repeat a read_id count together.
     """
     side = lambda name, s: F.struct(F.lit(name).alias("side"), s.alias("seq"))
     a, b = F.col("seq1"), F.col("seq2")
     sides = F.array(side("f1", a), side("f2", sq.revcomp(b)), side("r1", sq.revcomp(a)), side("r2", b))
-    reads = pairs.select("read_id", F.explode(sides).alias("s")).select("read_id", "s.side", "s.seq")
-    wide = lambda df, value: df.groupBy("read_id").pivot("side", ["f1", "f2", "r1", "r2"]).agg(F.first(value))
-    out = wide(kmer_fractions(reads, ["read_id", "side"], "seq", known, k), "fraction")
+    rows = pairs.select("read_id", F.explode(sides).alias("s")).select("read_id", "s.side", F.explode_outer(sq.kmers(F.col("s.seq"), k)).alias("kmer"))
+    rows = in_set(rows, known, "_hit", most)
+    of = lambda name, c: F.count(F.when(F.col("side") == name, F.col(c)))
+    sums = [F.coalesce(F.try_divide(of(x, "_hit"), of(x, "kmer")), F.lit(0.0)).alias(x) for x in ("f1", "f2", "r1", "r2")]
     t = F.lit(threshold)
     passed = (F.greatest("f1", "f2", "r1", "r2") >= t) if any_mate else ((F.col("f1") >= t) & (F.col("f2") >= t)) | ((F.col("r1") >= t) & (F.col("r2") >= t))
     if unique is not None:
-        seen = wide(kmer_fractions(reads, ["read_id", "side"], "seq", unique, k), "n_hits").select("read_id", (F.col("f1") + F.col("f2") >= least_unique).alias("_f"), (F.col("r1") + F.col("r2") >= least_unique).alias("_r"))
-        out, passed = out.join(seen, "read_id"), passed | F.col("_f") | F.col("_r")
-    return out.select("read_id", "f1", "f2", "r1", "r2", passed.alias("passed"))
+        rows = in_set(rows, unique, "_unique", most)
+        sums += [(of(f"{x}1", "_unique") + of(f"{x}2", "_unique") >= least_unique).alias(f"_{x}") for x in "fr"]
+        passed = passed | F.col("_f") | F.col("_r")
+    return rows.groupBy("read_id").agg(*sums).select("read_id", "f1", "f2", "r1", "r2", passed.alias("passed"))
 
 
-def negative_filter(reads: DataFrame, background: DataFrame, k: int = 25, threshold: float = 0.45, rescue: DataFrame | None = None) -> DataFrame:
+def negative_filter(reads: DataFrame, background: DataFrame, k: int = 25, threshold: float = 0.45, rescue: DataFrame | None = None, most: int = KMERS) -> DataFrame:
     """(read_id, n1, n2, passed) for reads (read_id, mate, seq): at least one mate has no more than ``threshold`` of its canonical k-mers in the background.
 
-    A mate without k-mers counts as wholly background. ``rescue``: reads with
-    one of these k-mers pass as well.
+    A mate that is missing or has no k-mers counts as wholly background.
+    ``rescue``: reads with one of these k-mers pass as well.
     """
-
-    def fraction(known: DataFrame, value: str) -> DataFrame:
-        found = reads.select("read_id", "mate", F.explode(sq.kmers(F.col("seq"), k)).alias("raw")).select("read_id", "mate", sq.canonical(F.col("raw")).alias("kmer"))
-        found = found.groupBy("read_id", "mate", "kmer").agg(F.count("*").alias("_n")).join(known.select("kmer", F.lit(1).alias("_hit")), "kmer", "left")
-        sums = found.groupBy("read_id", "mate").agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)).alias("hits"))
-        every = reads.select("read_id", "mate").distinct().join(sums, ["read_id", "mate"], "left")
-        return every.select("read_id", "mate", (F.coalesce(F.col("hits") / F.col("n"), F.lit(1.0)) if value == "fraction" else F.coalesce("hits", F.lit(0))).alias(value))
-
-    out = fraction(background, "fraction").groupBy("read_id").pivot("mate", [1, 2]).agg(F.first("fraction")).select("read_id", F.coalesce("1", F.lit(1.0)).alias("n1"), F.coalesce("2", F.lit(1.0)).alias("n2"))
+    raw = F.explode_outer(sq.kmers(F.col("seq"), k)).alias("kmer")
+    rows = in_set(reads.select("read_id", "mate", raw).withColumn("kmer", sq.canonical(F.col("kmer"))), background, "_hit", most)
+    of = lambda mate, c: F.count(F.when(F.col("mate") == mate, F.col(c)))
+    sums = [F.coalesce(F.try_divide(of(m, "_hit"), of(m, "kmer")), F.lit(1.0)).alias(f"n{m}") for m in (1, 2)]
     passed = (F.col("n1") <= threshold) | (F.col("n2") <= threshold)
     if rescue is not None:
-        kept = fraction(rescue, "hits").groupBy("read_id").agg((F.sum("hits") >= 1).alias("_kept"))
-        out, passed = out.join(kept, "read_id"), passed | F.col("_kept")
-    return out.select("read_id", "n1", "n2", passed.alias("passed"))
+        rows = in_set(rows, rescue, "_rescue", most)
+        sums.append((F.count("_rescue") >= 1).alias("_kept"))
+        passed = passed | F.col("_kept")
+    return rows.groupBy("read_id").agg(*sums).select("read_id", "n1", "n2", passed.alias("passed"))
 
 
 def without_minor_alleles(counts: DataFrame, position: list[str], n: str = "n", least: int = 100, share: float = 0.2) -> DataFrame:

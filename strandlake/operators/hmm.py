@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,29 +73,33 @@ def error_rate(counts: DataFrame, coverage: float, start: float = 0.01, least_ch
     return rate
 
 
-def viterbi(levels: list[int], states: dict[int, list], ll: dict[int, np.ndarray], start: np.ndarray, step) -> tuple[list, float]:
-    """States of the best path and its log-probability; the first of equal ones wins. ``step(level)`` gives log-probabilities from a level's states (rows) to the next one's."""
-    score, back = start + ll[levels[0]], []
-    for a, b in zip(levels[:-1], levels[1:], strict=True):
-        through = score[:, None] + step(a)
-        back.append(through.argmax(0))
-        score = through.max(0) + ll[b]
-    k = int(score.argmax())
-    best, path = float(score[k]), [k]
+def viterbi(ll: list[np.ndarray], start: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths (samples, levels) as numbers of states and their log-probabilities, for samples with the same states; the first of equal ones wins.
+
+    ll: for each level (samples, states); start: (samples, states); steps: from each level's states (rows) to the next one's.
+    """
+    score, back = start + ll[0], []
+    for t, here in zip(steps, ll[1:], strict=True):
+        through = score[:, :, None] + t
+        back.append(through.argmax(1))
+        score = through.max(1) + here
+    k = score.argmax(1)
+    every = np.arange(len(k))
+    best, path = score[every, k], [k]
     for pointer in reversed(back):
-        path.append(int(pointer[path[-1]]))
-    return [states[level][k] for level, k in zip(levels, reversed(path), strict=True)], best
+        path.append(pointer[every, path[-1]])
+    return np.stack(path[::-1], 1), best
 
 
-def sampled_paths(levels: list[int], ll: dict[int, np.ndarray], start: np.ndarray, step, n: int, seed: int) -> list[list[int]]:
-    """State numbers of ``n`` paths drawn from the posterior: forward sums, scaled at each level, then draws backwards."""
+def sampled_paths(ll: list[np.ndarray], start: np.ndarray, steps: list[np.ndarray], n: int, seed: int) -> list[list[int]]:
+    """State numbers of ``n`` paths of one sample drawn from the posterior: forward sums, scaled at each level, then draws backwards."""
     rng = np.random.default_rng(seed)
-    forward = [start + ll[levels[0]]]
-    for a, b in zip(levels[:-1], levels[1:], strict=True):
-        through = forward[-1][:, None] + step(a)
+    forward = [start + ll[0]]
+    for t, here in zip(steps, ll[1:], strict=True):
+        through = forward[-1][:, None] + t
         top = np.where(np.isfinite(m := through.max(0)), m, 0)
         with np.errstate(divide="ignore"):
-            forward.append(np.log(np.exp(through - top).sum(0)) + top + ll[b])
+            forward.append(np.log(np.exp(through - top).sum(0)) + top + here)
 
     def draw(x: np.ndarray) -> int:
         p = np.exp(x - x.max())
@@ -103,44 +108,99 @@ def sampled_paths(levels: list[int], ll: dict[int, np.ndarray], start: np.ndarra
     out = []
     for _ in range(n):
         path = [draw(forward[-1])]
-        for k in range(len(levels) - 2, -1, -1):
-            path.append(draw(forward[k] + step(levels[k])[:, path[-1]]))
+        for k in range(len(ll) - 2, -1, -1):
+            path.append(draw(forward[k] + steps[k][:, path[-1]]))
         out.append(path[::-1])
     return out
 
 
-def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1) -> DataFrame:
+_DECODED = "sample string, draw int, level int, state string, score double"
+
+
+class _Steps:
+    """Tables of log-probabilities between the states of one level and the next, made once for each pair of state lists."""
+
+    def __init__(self, level: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray):
+        order = np.argsort(level, kind="stable")
+        self.level, self.a, self.b, self.p = level[order], a[order], b[order], p[order]
+        self.made: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, level: int, here: tuple, after: tuple) -> np.ndarray:
+        key = (level, here, after)
+        if key not in self.made:
+            t = np.full((len(here), len(after)), -np.inf)
+            rows, columns = {s: i for i, s in enumerate(here)}, {s: i for i, s in enumerate(after)}
+            lo, hi = np.searchsorted(self.level, [level, level + 1])
+            for f, g, p in zip(self.a[lo:hi], self.b[lo:hi], self.p[lo:hi], strict=True):
+                if f in rows and g in columns and p > 0:
+                    t[rows[f], columns[g]] = math.log(p)
+            if len(self.made) > 100_000:
+                self.made.clear()
+            self.made[key] = t
+        return self.made[key]
+
+
+def _decoded(rows: pd.DataFrame, steps: _Steps, samples: int, seed: int) -> pd.DataFrame:
+    """Paths of whole samples, whose rows are in order of sample, level and state; samples with the same levels and states go together."""
+    name, level, state = rows["sample"].to_numpy(), rows["level"].to_numpy(np.int64), rows["state"].to_numpy()
+    ll, start = rows["ll"].to_numpy(float), rows["start"].to_numpy(float)
+    code = pd.factorize(state)[0]
+    edge = np.r_[0, np.flatnonzero(name[1:] != name[:-1]) + 1, len(name)]
+    alike: dict[tuple, list[int]] = {}
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        alike.setdefault((level[i:j].tobytes(), code[i:j].tobytes()), []).append(i)
+    parts = []
+    for (shape, _), firsts in alike.items():
+        mine = np.frombuffer(shape, np.int64)
+        at = np.array(firsts)
+        cut = np.r_[0, np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(mine)]
+        levels = mine[cut[:-1]]
+        names = [tuple(state[firsts[0] + a : firsts[0] + b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        table = [steps(int(levels[k]), names[k], names[k + 1]) for k in range(len(levels) - 1)]
+        each = [ll[at[:, None] + np.arange(a, b)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        begin = start[at[:, None] + np.arange(cut[1])]
+        path, score = viterbi(each, begin, table)
+        parts.append((np.repeat(name[at], len(levels)), 0, np.tile(levels, len(at)), state[(at[:, None] + cut[:-1] + path).ravel()], np.repeat(score, len(levels))))
+        for k in range(len(at)) if samples else ():
+            for d, drawn in enumerate(sampled_paths([x[k] for x in each], begin[k], table, samples, seed), 1):
+                parts.append((np.repeat(name[at[k]], len(levels)), d, levels, state[at[k] + cut[:-1] + np.array(drawn)], np.full(len(levels), np.nan)))
+    return pd.concat([pd.DataFrame({"sample": a, "draw": d, "level": v, "state": s, "score": x}) for a, d, v, s, x in parts]) if parts else pd.DataFrame(columns=["sample", "draw", "level", "state", "score"])
+
+
+def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1, most_steps: int = 1_000_000) -> DataFrame:
     """(sample, draw, level, state, score): the best path of each sample as draw 0, then ``samples`` paths from its posterior.
 
     states: (sample, level, state, ll, start), start the log-probability to
-    begin with, used at the first level; steps: (level, from_state, to_state, p).
-    The recursion runs along the levels, so a sample is a group of its own; its
-    memory is its states and steps.
+    begin with, used at the first level; steps: (level, from_state, to_state, p),
+    the same for all samples. The recursion runs along the levels, so a sample
+    stays in one task, which decodes many at once; its memory is a batch's
+    samples. Steps of at most ``most_steps`` rows go to every task once; more
+    are joined to each sample by level.
     """
-
-    def run(key: tuple, mine: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame(columns=["sample", "draw", "level", "state", "score"])
-        mine = mine.sort_values(["level", "state"])
-        names = {int(k): g["state"].tolist() for k, g in mine.groupby("level")}
-        ll = {int(k): g["ll"].to_numpy(float) for k, g in mine.groupby("level")}
-        levels = sorted(names)
-        start = mine[mine["level"] == levels[0]]["start"].to_numpy(float)
-        number = {k: {s: i for i, s in enumerate(v)} for k, v in names.items()}
-        tables = {}
-        for a, b in zip(levels[:-1], levels[1:], strict=True):
-            t = np.full((len(names[a]), len(names[b])), -np.inf)
-            part = moves[moves["level"] == a]
-            for f, g, p in zip(part["from_state"], part["to_state"], part["p"], strict=True):
-                if f in number[a] and g in number[b] and p > 0:
-                    t[number[a][f], number[b][g]] = math.log(p)
-            tables[a] = t
-        best, score = viterbi(levels, names, ll, start, tables.__getitem__)
-        rows = [(mine["sample"].iloc[0], 0, level, s, score) for level, s in zip(levels, best, strict=True)]
-        for d, path in enumerate(sampled_paths(levels, ll, start, tables.__getitem__, samples, seed) if samples else [], 1):
-            rows += [(mine["sample"].iloc[0], d, level, names[level][k], None) for level, k in zip(levels, path, strict=True)]
-        return pd.DataFrame(rows, columns=["sample", "draw", "level", "state", "score"])
-
-    steps = steps.select(*[F.col(c).alias(c) for c in steps.columns])
-    each = states.select(F.col("sample").alias("_sample"), F.col("level").alias("_level")).distinct().join(steps, F.col("_level") == F.col("level")).drop("_level")
-    return states.groupBy("sample").cogroup(each.groupBy("_sample")).applyInPandas(run, "sample string, draw int, level int, state string, score double")
+    steps = steps.select("level", "from_state", "to_state", "p")
+    rows = states.select(F.col("sample").cast("string").alias("sample"), F.col("level").cast("int").alias("level"), F.col("state").cast("string").alias("state"), "ll", "start")
+    if (table := steps.limit(most_steps + 1).toPandas()).shape[0] > most_steps:
+
+        def one(key: tuple, mine: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+            mine = mine.sort_values(["level", "state"])
+            return _decoded(mine, _Steps(*(moves[c].to_numpy() for c in ("level", "from_state", "to_state", "p"))), samples, seed)
+
+        each = rows.select(F.col("sample").alias("_sample"), "level").distinct().join(steps, "level")
+        return rows.groupBy("sample").cogroup(each.groupBy("_sample")).applyInPandas(one, _DECODED)
+    shared = states.sparkSession.sparkContext.broadcast(table)
+
+    def many(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moves = _Steps(*(shared.value[c].to_numpy() for c in ("level", "from_state", "to_state", "p")))
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            cut = int(part["sample"].searchsorted(part["sample"].iloc[-1]))
+            if cut or (held and held[-1]["sample"].iloc[-1] != part["sample"].iloc[-1]):
+                yield _decoded(pd.concat([*held, part.iloc[:cut]], ignore_index=True), moves, samples, seed)
+                held = []
+            held.append(part.iloc[cut:])
+        if held:
+            yield _decoded(pd.concat(held, ignore_index=True), moves, samples, seed)
+
+    return rows.repartition("sample").sortWithinPartitions("sample", "level", "state").mapInPandas(many, _DECODED)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import probability as pr
+from strandlake.lineage import stash
 from strandlake.operators import filters as fl
 
 # Exons that type a class, by the first letters of the locus; the gate of a position; coverage and share of the minor-allele filter.
@@ -40,19 +41,18 @@ def read_likelihoods(observations: DataFrame, alleles: DataFrame) -> DataFrame:
 def pair_likelihoods(likelihoods: DataFrame) -> DataFrame:
     """(locus, c1, c2, ll, mean_mismatches, min_mismatches, p) of all pairs c1 <= c2 of a locus, p their share by likelihood.
 
-    Reads with the same likelihoods under all clusters go as one with a weight,
-    so the pairs meet once for each different signature and not for each read.
+    A read's clusters meet inside its own row, and the pairs' sums are combined
+    before they are shuffled: what moves is the likelihoods once and a row for
+    each pair and task.
     """
     one = F.sort_array(F.collect_list(F.struct("cluster", "ll", "mismatches")))
-    signatures = likelihoods.groupBy("locus", "read").agg(one.alias("s")).groupBy("locus", "s").agg(F.count("*").alias("weight"), F.min("read").alias("read"))
-    rows = signatures.select("locus", "read", "weight", F.explode("s").alias("x")).select("locus", "read", "weight", "x.*")
-    a = rows.select("locus", "read", "weight", F.col("cluster").alias("c1"), F.col("ll").alias("l1"), F.col("mismatches").alias("m1"))
-    b = rows.select("locus", "read", F.col("cluster").alias("c2"), F.col("ll").alias("l2"), F.col("mismatches").alias("m2"))
-    met = a.join(b, ["locus", "read"]).where("c1 <= c2")
-    sums = met.groupBy("locus", "c1", "c2").agg(
-        F.sum(pr.logavg(F.col("l1"), F.col("l2")) * F.col("weight")).alias("ll"),
-        F.sum((F.col("m1") + F.col("m2")) / 2.0 * F.col("weight")).alias("mean_mismatches"),
-        F.sum(F.least("m1", "m2") * F.col("weight")).alias("min_mismatches"),
+    reads = likelihoods.groupBy("locus", "read").agg(one.alias("s"))
+    rest = lambda x, i: F.transform(F.slice("s", i + 1, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    met = reads.select("locus", F.explode(F.flatten(F.transform("s", rest))).alias("x")).select("locus", "x.a", "x.b")
+    sums = met.groupBy("locus", F.col("a.cluster").alias("c1"), F.col("b.cluster").alias("c2")).agg(
+        F.sum(pr.logavg(F.col("a.ll"), F.col("b.ll"))).alias("ll"),
+        F.sum((F.col("a.mismatches") + F.col("b.mismatches")) / 2.0).alias("mean_mismatches"),
+        F.sum(F.least("a.mismatches", "b.mismatches")).alias("min_mismatches"),
     )
     return pr.softmax(sums, ["locus"], "ll", "p")
 
@@ -70,6 +70,7 @@ def best_pairs(pairs: DataFrame, n: int = 1) -> DataFrame:
 
 def first_and_second(pairs: DataFrame) -> DataFrame:
     """(locus, first, q1, second, q2): the cluster with the highest marginal, the smaller at a tie; then its best partner, ties by fewest mismatches."""
+    pairs = stash(pairs, "pairs")
     m = allele_marginals(pairs).groupBy("locus").agg(F.max_by("cluster", F.struct("p", (-F.col("cluster")).alias("less"))).alias("first"), F.max("p").alias("q1"))
     with_first = pairs.join(m, "locus").where((F.col("c1") == F.col("first")) | (F.col("c2") == F.col("first")))
     other = F.when(F.col("c1") == F.col("first"), F.col("c2")).otherwise(F.col("c1"))

@@ -9,19 +9,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+#: Bytes of a row group, all of which a writing task holds in memory.
+GROUP = 16 << 20
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in that of ``spark.checkpoint.dir``; it goes when the application ends.
+
+    Where the setting is absent, one machine takes a temporary folder; on a
+    cluster executors would not see each other's files there, so that raises
+    RuntimeError.
+    """
+    context = spark.sparkContext
+    app, where = context.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if app in _FOLDERS:
+        return _FOLDERS[app]
     if where:
-        return where.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{where.rstrip('/')}/strandlake-{app}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = path.toString()
+    elif context.master.split("[")[0] == "local":
+        own = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _FOLDERS[app] = f"file://{own}"
+    else:
+        raise RuntimeError("spark.checkpoint.dir is not set; it names the folder that the driver and all executors share")
+    return _FOLDERS[app]
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -32,5 +48,5 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,27 +1,32 @@
 """Personal data: exact patterns, and a skip-chain conditional random field over what looks like it.
 
 Nodes are the words of a text that hold a digit or an at sign. Neighbours in
-the text are joined by chain edges; words with the same digits or the same
-domain, wherever they stand, by skip edges from one occurrence to the next.
-Loopy message passing then settles the labels of the whole text together.
+the text are joined by chain edges; words with the same digits, name or host,
+wherever they stand, by skip edges. Loopy message passing then settles the
+labels of the whole text together: what is personal data in one place is so
+elsewhere too, in a style that no pattern takes.
 """
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
+from strandlake.llm.store import bounded, bounded_sample
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds that patterns find, then the one that only the field does.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 _OTHER = 0
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,9 +34,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_HEX = re.compile(r"[0-9a-fA-F]+")
+#: What announces a secret, and one with its value, from which the field learns.
+_CUE = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api.?key|credential)[\"']?\s{0,2}[=:]\s{0,2}$")
+_SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api.?key|credential)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?=[a-z_+/-]{0,256}[0-9])([a-z0-9_+/-]{20,})")
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[64] = True
-_WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@\[]*+(?:\[(?!at\])[^\x20\x09-\x0D0-9@\[]*+)*+(?:[0-9@]|\[at\])[^\x20\x09-\x0D]*")
 _TRIM = "\"'()[]{}<>,;:!?"
 
 
@@ -85,73 +94,169 @@ class Field:
     skip: np.ndarray
 
 
-FEATURES = 20
+FEATURES = 24
 
 
-def _features(word: str, before: str, after: str) -> list[int]:
+@dataclass
+class Nodes:
+    """Words of one text that may be personal data: their places, whether a word is next to the one before, and whether something that announces a secret stands before it."""
+
+    spans: list[tuple[int, int]]
+    words: list[str]
+    near: list[bool]
+    cued: list[bool]
+
+
+def _nodes(text: str) -> Nodes:
+    spans = [m.span() for m in _WORD.finditer(text)]
+    near = [k > 0 and spans[k][0] - spans[k - 1][1] <= 1 for k in range(len(spans))]
+    return Nodes(spans, [text[a:b] for a, b in spans], near, [_CUE.search(text, max(0, a - 24), a) is not None for a, _ in spans])
+
+
+def _features(word: str, before: str, after: str, cued: bool) -> list[int]:
     """Numbers of the features that hold for a word between its neighbours."""
     core = word.strip(_TRIM + ".")
     digits = "".join(_DIGITS.findall(word))
-    n = len(digits)
-    f = [0, 1 + min(6, (n > 0) + (n > 3) + (n > 6) + (n > 9) + (n > 15) + (n > 19))]
+    n, parts = len(digits), core.split(".")
+    f = [0, 1 + (n > 0) + (n > 3) + (n > 6) + (n > 9) + (n > 15) + (n > 19)]
     tests = (
         "@" in word,
         "@" in word and "." in word.split("@")[-1].strip("."),
-        core.count(".") == 3 and core.replace(".", "").isdigit() and all(p and int(p) < 256 for p in core.split(".") if len(p) < 6),
-        core.isdigit(),
+        len(parts) == 4 and all(_DIGITS.fullmatch(p) and len(p) < 6 and int(p) < 256 for p in parts),
+        _DIGITS.fullmatch(core) is not None,
         any(c.isalpha() for c in core),
         word.startswith("+"),
         word.startswith("("),
-        "-" in core and core.replace("-", "").isdigit(),
+        "-" in core and _DIGITS.fullmatch(core.replace("-", "")) is not None,
         before.startswith("+"),
         before.startswith("("),
         after.startswith("("),
         16 <= n <= 19 and luhn(digits),
+        "[at]" in word,
+        cued,
+        len(core) >= 20,
+        _HEX.fullmatch(core) is not None and len(core) >= 20,
     )
     return f + [8 + k for k, t in enumerate(tests) if t]
 
 
-def _graph(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Nodes' places, their features, chain edges and skip edges of one text."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    found = [text[a:b] for a, b in spans]
-    near = [k > 0 and spans[k][0] - spans[k - 1][1] <= 1 for k in range(len(spans))]
-    features = [_features(w, found[k - 1] if near[k] else "", found[k + 1] if k + 1 < len(found) and near[k + 1] else "") for k, w in enumerate(found)]
-    skips, last = [], {}
-    for k, w in enumerate(found):
-        digits = "".join(_DIGITS.findall(w))
-        keys = [digits] if len(digits) >= 7 else []
-        keys += [w.rsplit("@", 1)[1].strip(_TRIM + ".").lower()] if "@" in w else []
-        for key in keys:
-            if key in last:
-                skips.append((last[key], k))
-            last[key] = k
-    return spans, features, [(k - 1, k) for k in range(1, len(spans)) if near[k]], skips
+def _keys(word: str, run: str) -> set[str]:
+    """What a word shares with its like: its digits, those of the run of neighbours it is in, the last seven of many, an address, its name or its host, or the head of a long word."""
+    core = word.strip(_TRIM + ".").lower()
+    name, at, host = core.replace("[at]", "@").partition("@")
+    if not at and len(core) >= 20 and any(c.isalpha() for c in core):
+        return {"long " + core[:12]}
+    keys = {f"{k} {part}" for k, part in (("name", name), ("host", host.split(".")[0])) if at and len(part) >= 4}
+    for digits in ("".join(_DIGITS.findall(word)), run):
+        if len(digits) >= 7:
+            keys |= {digits, digits[-7:] if len(digits) >= 10 else ""}
+    return keys - {""}
+
+
+def _graph(nodes: Nodes) -> tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """The nodes' features, chain edges and skip edges. Skip edges join the first node of a key with every other one, so that any two are two steps apart."""
+    words, near, n = nodes.words, nodes.near, len(nodes.words)
+    features = [_features(words[k], words[k - 1] if near[k] else "", words[k + 1] if k + 1 < n and near[k + 1] else "", nodes.cued[k]) for k in range(n)]
+    runs, begin = [""] * n, 0
+    for k in range(1, n + 1):
+        if k == n or not near[k]:
+            digits = "".join(d for w in words[begin:k] for d in _DIGITS.findall(w)) if 1 < k - begin <= 8 else ""
+            runs[begin:k] = [digits] * (k - begin)
+            begin = k
+    skips, first = set(), {}
+    for k, w in enumerate(words):
+        for key in _keys(w, runs[k]):
+            if first.setdefault(key, k) != k:
+                skips.add((first[key], k))
+    return features, [(k - 1, k) for k in range(1, n) if near[k]], sorted(skips)
 
 
 def _batch(graphs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature matrix and both kinds of edges of several texts' graphs as one."""
     base = np.cumsum([0, *(len(g[0]) for g in graphs)])
-    rows = [(base[i] + k, f) for i, g in enumerate(graphs) for k, fs in enumerate(g[1]) for f in fs]
+    rows = [(base[i] + k, f) for i, g in enumerate(graphs) for k, fs in enumerate(g[0]) for f in fs]
     x = np.zeros((int(base[-1]), FEATURES))
     if rows:
         x[tuple(np.array(rows).T)] = 1
-    chain, skip = (np.array([(base[i] + a, base[i] + b) for i, g in enumerate(graphs) for a, b in g[k]], np.int64).reshape(-1, 2) for k in (2, 3))
+    chain, skip = (np.array([(base[i] + a, base[i] + b) for i, g in enumerate(graphs) for a, b in g[k]], np.int64).reshape(-1, 2) for k in (1, 2))
     return x, chain, skip
 
 
+def _restyled(kind: int, words: list[str], rng: random.Random) -> list[str]:
+    """A mention of personal data as no pattern would have it."""
+    core = [w.strip(_TRIM + ".") for w in words]
+    digits = "".join(d for w in words for d in _DIGITS.findall(w))
+    if KINDS[kind] == "email":
+        name, _, host = core[0].partition("@")
+        return [rng.choice([f"{name}@{host.split('.')[0]}", f"{name}[at]{host}"])]
+    if KINDS[kind] == "ip":
+        return [core[0].replace(".", rng.choice("-:,"))]
+    if KINDS[kind] == "card":
+        return [rng.choice(".:").join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+    if KINDS[kind] == "phone":
+        return rng.choice([[digits], [digits[-7:]], [".".join("".join(_DIGITS.findall(w)) for w in words)]])
+    return [rng.choice([core[0], core[0].lower(), core[0][:24]])]
+
+
+def _plain(rng: random.Random) -> str:
+    """A number, or a word with digits, that is no personal data."""
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    dotted = rng.choice("-:,").join(str(rng.randint(0, 255)) for _ in range(4))
+    quads = rng.choice(".:").join(n(4) for _ in range(4))
+    return rng.choice([n(rng.randint(1, 9)), n(rng.randint(1, 20)), f"{n(1)}.{n(1)}", f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", f"{n(3)},{n(3)}", dotted, quads, f"{n(3)}-{n(4)}", f"({n(2)})", f"v{n(1)}.{n(2)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 32, 40, 64]))), f"@user{n(3)}", f"a{n(2)}[at]b"])
+
+
+def _covering(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
+    """The label of the first kind of span that covers some of each place, or none's."""
+    out = [_OTHER] * len(places)
+    starts = [a for a, _ in places]
+    for kind, a, b in reversed(spans):
+        k = max(0, bisect.bisect_right(starts, a) - 1)
+        while k < len(places) and starts[k] < b:
+            if a < places[k][1]:
+                out[k] = kind + 1
+            k += 1
+    return out
+
+
+def _labelled(text: str, rng: random.Random) -> tuple[Nodes, list[int]]:
+    """Nodes of a text with the label of the pattern that covers each; then, set apart, mentions of half of its personal data in other styles, and plain numbers, of which some come twice."""
+    nodes = _nodes(text)
+    spans = base_spans(text) + [(len(KINDS) - 1, *m.span(1)) for m in _SECRET.finditer(text)]
+    labels = _covering(nodes.spans, spans)
+    mentions, begin = [], 0
+    for k in range(1, len(labels) + 1):
+        if k == len(labels) or not nodes.near[k] or labels[k] != labels[begin]:
+            if labels[begin] and rng.random() < 0.5:
+                mentions.append((labels[begin], _restyled(labels[begin] - 1, nodes.words[begin:k], rng)))
+            begin = k
+    for _ in range(rng.randint(1, 4)):
+        mentions += [(_OTHER, [_plain(rng)])] * rng.choice([1, 1, 2])
+    for label, words in mentions:
+        for k, w in enumerate(words):
+            nodes.words.append(w)
+            nodes.near.append(k > 0)
+            nodes.cued.append(False)
+            labels.append(label)
+    return nodes, labels
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def train_field(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Weights by pseudo-likelihood: each node is to name the pattern that covers it, given its neighbours' labels."""
-    graphs, labels = [_graph(t) for t in texts], []
-    for text, g in zip(texts, graphs, strict=True):
-        spans = base_spans(text)
-        labels += [next((kind + 1 for kind, a, b in spans if a < e and s < b), _OTHER) for s, e in g[0]]
-    x, chain, skip = _batch(graphs)
+def train_field(texts: list[str], steps: int = 600, rate: float = 1.0, decay: float = 1e-4, seed: int = 3) -> Field:
+    """Weights by pseudo-likelihood: each node is to name its label, given its neighbours' labels.
+
+    The patterns label what they cover, but the field also sees mentions of the
+    same data in styles that no pattern takes, and plain numbers in those very
+    styles: what tells them apart is whether the text has the data elsewhere.
+    """
+    rng = random.Random(seed)
+    made = [_labelled(t, rng) for t in texts]
+    labels = [y for _, ys in made for y in ys]
+    x, chain, skip = _batch([_graph(nodes) for nodes, _ in made])
     n = len(KINDS) + 1
     y = np.array(labels, np.int64)
     one = np.eye(n)[y]
@@ -174,9 +279,11 @@ def train_field(texts: list[str], steps: int = 300, rate: float = 0.5, decay: fl
     return Field(w, c, s)
 
 
-def marginals(field: Field, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Beliefs (nodes, labels) after ``rounds`` of damped sum-product messages along all edges both ways."""
+def marginals(field: Field, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, known: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Beliefs (nodes, labels) after ``rounds`` of damped sum-product messages along all edges both ways; ``known`` has the labels of nodes that are certain, and 0."""
     unary = x @ field.node.T
+    if known is not None:
+        unary[known > 0] = np.where(np.arange(unary.shape[1]) == known[known > 0][:, None], 0.0, -50.0)
     source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
     target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
     m, k = len(source), unary.shape[1]
@@ -199,19 +306,20 @@ def marginals(field: Field, x: np.ndarray, chain: np.ndarray, skip: np.ndarray,
     return _softmax(belief)
 
 
-def find(texts: list[str], field: Field, least: float = 0.95) -> list[list[tuple[int, int, int, bool]]]:
-    """(kind, start, end, base) in order of kind and start: the patterns' spans, and words the field is ``least`` sure of that none of them touches."""
-    graphs = [_graph(t) for t in texts]
-    belief = marginals(field, *_batch(graphs)) if any(g[0] for g in graphs) else np.zeros((0, len(KINDS) + 1))
+def find(texts: list[str], field: Field, least: float = 0.9) -> list[list[tuple[int, int, int, bool]]]:
+    """(kind, start, end, base) in order of kind and start: the patterns' spans, and words the field is ``least`` sure of that none of them touches. What a pattern covers is certain."""
+    nodes, bases = [_nodes(t) for t in texts], [base_spans(t) for t in texts]
+    known = np.array([y for x, spans in zip(nodes, bases, strict=True) for y in _covering(x.spans, spans)], np.int64)
+    belief = marginals(field, *_batch([_graph(x) for x in nodes]), known) if len(known) else np.zeros((0, len(KINDS) + 1))
     out, at = [], 0
-    for text, g in zip(texts, graphs, strict=True):
-        base = base_spans(text)
-        p = belief[at : at + len(g[0])]
-        at += len(g[0])
+    for text, x, base in zip(texts, nodes, bases, strict=True):
+        p = belief[at : at + len(x.words)]
+        at += len(x.words)
         more: list[tuple[int, int, int]] = []
-        for (s, e), q in zip(g[0], p, strict=True):
+        touched = _covering(x.spans, base)
+        for k, ((s, e), q) in enumerate(zip(x.spans, p, strict=True)):
             kind = int(q.argmax()) - 1
-            if kind < 0 or q[kind + 1] < least or any(a < e and s < b for _, a, b in base):
+            if kind < 0 or q[kind + 1] < least or touched[k]:
                 continue
             s += len(text[s:e]) - len(text[s:e].lstrip(_TRIM))
             e -= len(text[s:e]) - len(text[s:e].rstrip(_TRIM + "."))
@@ -227,12 +335,13 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def fit(docs: DataFrame, texts: int = 3000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field, learned from at most ``texts`` texts of at most ``longest`` characters that hold a digit or an at sign."""
-    some = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= longest))
-    chosen = some.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(texts)
-    rows = some.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(text_col).alias("text")).limit(texts).collect()
-    return train_field(sorted(r["text"] for r in rows))
+def fit(docs: DataFrame, texts: int = 3000, chars: int = 10_000_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """The field, learned from at most ``texts`` texts with a digit or an at sign, those with the smallest hashes, as far as ``chars`` characters go.
+
+    Repeated rows count once; an empty table, and one without such texts, give a field that finds nothing.
+    """
+    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return train_field([r["text"] for r in bounded_sample(some, texts, chars)])
 
 
 def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
@@ -252,17 +361,15 @@ def annotate(docs: DataFrame, field: Field, mask: bool = False, text_col: str =
     are each annotated; a clashing column of this name is replaced; an empty
     table stays empty.
     """
-    kept = [c for c in docs.columns if c != "spans"]
-    frame = docs.select(*kept)
-    at = kept.index(text_col)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = tx.utf8(batch.column(at))
+    @F.arrow_udf(T.StructType([T.StructField("spans", SPANS), T.StructField("masked", T.StringType())]))
+    def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in tx.released(columns):
+            data, bounds = tx.utf8(column)
             seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(_MARK[data[bounds[0] : bounds[-1]]])])
             marks = np.flatnonzero(np.diff(seen[bounds - bounds[0]]))
-            spans: list = [[] for _ in range(batch.num_rows)]
-            new = {}
+            spans: list = [[] for _ in range(len(column))]
+            new: list = [None] * len(column)
             for lo in range(0, len(marks), 256):
                 some = marks[lo : lo + 256].tolist()
                 texts = [bytes(data[bounds[i] : bounds[i + 1]]).decode() for i in some]
@@ -270,14 +377,12 @@ def annotate(docs: DataFrame, field: Field, mask: bool = False, text_col: str =
                     spans[i] = [{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in got]
                     if mask and got:
                         new[i] = masked(text, got)
-            columns = list(batch.columns)
-            if new:
-                where = np.zeros(batch.num_rows, bool)
-                where[list(new)] = True
-                columns[at] = pa.compute.replace_with_mask(columns[at], pa.array(where), pa.array([new[i] for i in sorted(new)], columns[at].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _ARROW_SPANS)], [*kept, "spans"])
+            yield pa.StructArray.from_arrays([pa.array(spans, _ARROW_SPANS), pa.array(new, pa.string())], ["spans", "masked"])
 
-    return frame.mapInArrow(scan, T.StructType([*frame.schema.fields, T.StructField("spans", SPANS)]))
+    # evaluated once, whatever stands above it; only texts that change come back
+    found = bounded(docs).withColumn("_found", scan.asNondeterministic()(F.col(text_col).cast("string")))
+    text = F.coalesce("_found.masked", text_col).alias(text_col) if mask else F.col(text_col)
+    return found.select(*[text if c == text_col else F.col(c) for c in docs.columns if c != "spans"], F.col("_found.spans").alias("spans"))
 
 
 def digest(spans: F.Column) -> F.Column:
@@ -290,5 +395,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     found = annotate(docs, fit(docs))
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [of(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    counts = [of(kind) for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

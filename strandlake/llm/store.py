@@ -1,41 +1,48 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Bounded batches and samples, and running totals."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_OWN: dict[str, str] = {}
+#: Bytes of texts that go to a Python worker at once.
+BATCH = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python workers batches of about ``BATCH`` bytes, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
+def fewest_hashes(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """``rows`` with _hash, about twice ``most`` of those with the smallest, but all where there are fewer.
+
+    The rows are counted first, so the cut is one comparison and no task ever
+    sends more than its share of them on, however many tasks there are.
+    """
+    share = min(1.0, (2 * most + 1000) / max(1, rows.count()))
+    cut = (1 << 63) - 1 if share == 1 else int(share * (1 << 64)) - (1 << 63)
+    return rows.withColumn("_hash", hashed).where(F.col("_hash") <= cut)
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def bounded_sample(rows: DataFrame, texts: int, chars: int) -> list[Row]:
+    """At most ``texts`` rows of (id, text, ...), those with the smallest hashes of both, as far as ``chars`` characters go, but one at least.
 
-    The result has no lineage behind it: a lost executor costs a re-read of a
-    file, never a recomputation of what went before.
+    The order is total but for repeated rows, of which one is taken, so the
+    sample is the same however the rows are dealt.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    some = fewest_hashes(rows, F.xxhash64("id", "text"), texts)
+    total, last = 0, None
+    for r in dict(some.select("_hash", F.length("text").alias("n")).orderBy("_hash", "n").limit(texts).collect()).items():
+        total += r[1] or 0
+        if last is not None and total > chars:
+            break
+        last = r[0]
+    if last is None:
+        return []
+    return sorted(some.where(F.col("_hash") <= last).dropDuplicates(["_hash"]).collect(), key=lambda r: r["_hash"])
 
 
 def running_totals(df: DataFrame, key: str, value: str, out: str, descending: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ text makes a run of its own, and no text is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +64,15 @@ def runs(bounds: np.ndarray, size: int = RUN) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def released(batches: Iterator) -> Iterator:
+    """``batches``; after the last one the worker, which stays for later tasks, gives free memory back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of some texts: their hashes, the text of each, how many each text has, and where each begins and ends in the run."""

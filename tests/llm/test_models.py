@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tests.llm.common import edited, empty, frame, odd_texts, prose, shingles, words
 
-from strandlake.llm import decontaminate, gru, language, personal, quality
+from strandlake.llm import decontaminate, gru, language, personal, quality, store
 from strandlake.llm import text as tx
 
 
@@ -131,19 +131,54 @@ def test_messages_equal_enumeration_on_a_tree():
         e = sum(field.node[y[i]] @ x[i] for i in range(n)) + field.chain[y[0], y[1]] + field.chain[y[1], y[2]] + field.skip[y[1], y[3]]
         for i in range(n):
             total[i, y[i]] += np.exp(e)
-    assert np.allclose(personal.marginals(field, x, chain, skips, 60), total / total.sum(1, keepdims=True), atol=1e-6)
+    assert np.allclose(personal.marginals(field, x, chain, skips, rounds=60), total / total.sum(1, keepdims=True), atol=1e-6)
 
 
 def test_repeats_pull_a_doubtful_word_along():
     sure = np.zeros((len(personal.KINDS) + 1, personal.FEATURES))
     sure[3, 0], sure[3, 1] = 4.0, -3.5
-    field = personal.Field(sure, np.zeros((5, 5)), np.eye(5) * 3)
+    n = len(personal.KINDS) + 1
+    field = personal.Field(sure, np.zeros((n, n)), np.eye(n) * 3)
     x = np.zeros((2, personal.FEATURES))
     x[:, 0], x[1, 1] = 1, 1
     none = np.zeros((0, 2), np.int64)
     assert personal.marginals(field, x, none, np.array([(0, 1)]))[1, 3] > personal.marginals(field, x, none, none)[1, 3] + 0.2
 
 
+MENTIONS = {
+    "call +1 (017) 555-7713 or " + "so " * 300 + "10175557713 there": ("phone", "10175557713"),
+    "the 5557713 of +1 (017) 555-7713": ("phone", "5557713"),
+    "host 97.51.17.173 is down; 97-51-17-173 again": ("ip", "97-51-17-173"),
+    "mail und.34@mail7.example.com then und.34@mail7 ok": ("email", "und.34@mail7"),
+    "card 4041 8949 7460 8795 and 4041.8949.7460.8795": ("card", "4041.8949.7460.8795"),
+    'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" then 9b0b3c6a43eb78aa99cbd7049c572391524f37a8 x': ("secret", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"),
+}
+
+
+def test_skip_edges_find_repeats_that_no_pattern_takes(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    line = lambda: f"mail a{digits(2)}@mail{digits(1)}.example.com or +1 ({digits(3)}) 555-{digits(4)} from {rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.1 card 4041894974608795 token = \"{rng.randbytes(20).hex()}\" in 3. and 2.0, all"
+    field = personal.train_field([line() for _ in range(300)])
+    alone = [t.split(" ", 1)[0] + " " + mention + " x" for t, (_, mention) in MENTIONS.items()]
+    plain = ["on 2024-01-05 at 12:30 we paid 1,234.50 for 12 items, v2.0, id 123456789", "9807915762804490 and 9807915762804490", "see 1.2.3.² here"]
+    docs = frame(spark, [*MENTIONS, *alone, *plain])
+    got = {r.doc_id: [(s.kind, r.text[s.start : s.end]) for s in r.spans if not s.base] for r in personal.annotate(docs, field).collect()}
+    unlinked = personal.Field(field.node, field.chain, np.zeros_like(field.skip))
+    without = {r.doc_id: [(s.kind, r.text[s.start : s.end]) for s in r.spans if not s.base] for r in personal.annotate(docs, unlinked).collect()}
+    assert all(m in got[i] for i, m in enumerate(MENTIONS.values()))
+    assert sum(got[i] != without[i] for i in range(len(MENTIONS))) >= 5
+    assert not any(got[i] for i in range(len(MENTIONS), len(MENTIONS) + len(alone) + len(plain)))
+
+
+def test_field_sample_is_bounded_and_ordered(spark):
+    docs = frame(spark, [f"n {k}" for k in range(50)] + ["n 1"] * 30, [*range(50), *[1] * 30])
+    rows = docs.selectExpr("doc_id AS id", "text")
+    a, b = store.bounded_sample(rows, 10, 10**6), store.bounded_sample(rows.repartition(7), 10, 10**6)
+    assert a == b and 1 <= len(a) <= 10 and len(set(a)) == len(a)
+    assert len(store.bounded_sample(rows, 10, 1)) == 1 and store.bounded_sample(rows.where("id < 0"), 10, 1) == []
+
+
 def test_contamination_equals_brute_force(spark):
     items = [prose(n, 50 + n) for n in (3, 8, 20, 40, 64, 90)]
     docs = [prose(300, k) for k in range(12)]

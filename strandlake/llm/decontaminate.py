@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import text as tx
 from strandlake.llm.near_duplicates import signatures
+from strandlake.llm.store import bounded
 
 #: Coordinates of a signature; a block with a Jaccard similarity of 0.17 or more, the least for 0.75 of an item, is missed once in 150,000.
 SIZE = 64
@@ -121,7 +122,7 @@ def search(docs: DataFrame, index: Index, num: int = 75, den: int = 100, width:
     """(doc_id, item_id, n_shared, n_item): items of ``index`` of which a document holds ``num / den`` of the shingles or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             data, bounds = tx.utf8(batch.column(1))
             for i, j in tx.runs(bounds):
                 s, of = tx.shingles(tx.words(data, bounds[i : j + 1]), width)
@@ -141,7 +142,7 @@ def search(docs: DataFrame, index: Index, num: int = 75, den: int = 100, width:
                     of_doc, item_id, shared, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_doc)), pa.array(item_id, pa.int64()), pa.array(shared, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
 
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    frame = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return frame.mapInArrow(scan, "doc_id long, item_id long, n_shared long, n_item long")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import gru
 from strandlake.llm import text as tx
+from strandlake.llm.store import bounded, fewest_hashes
 
 #: Texts without a letter have no language.
 UNKNOWN = "und"
@@ -22,14 +23,15 @@ def fold(id_col: str, k: int) -> F.Column:
 
 
 def sample_windows(rows: DataFrame, text_col: str, label: F.Column, id_col: str, texts: int, windows: int, size: int) -> list:
-    """(label, windows) of at most ``texts`` rows, those with the smallest hashes of their ids; windows lie evenly over each whole text.
+    """(label, windows) of at most ``texts`` rows, those with the smallest hashes of id and text; windows lie evenly over each whole text.
 
-    Only ids are ordered; the chosen ones, bounded by ``texts``, are joined back.
+    Rows that are equal count once, so the sample is the same however the rows are dealt.
     """
-    chosen = rows.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(texts)
     step = F.length(text_col) / windows
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substr(F.col(text_col), F.floor(k * step).cast("int") + 1, F.lit(size)))
-    return rows.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(id_col), label.alias("label"), cut.alias("windows")).orderBy(id_col).limit(texts).collect()
+    some = fewest_hashes(rows, F.xxhash64(id_col, text_col), texts)
+    got = {(r["_hash"], r["label"]): r for r in some.select("_hash", label.cast("string").alias("label"), cut.alias("windows")).orderBy("_hash", "label").limit(texts).collect()}
+    return [got[k] for k in sorted(got)]
 
 
 def train_languages(docs: DataFrame, hidden: int = 8, texts: int = 1500, steps: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> gru.Model:
@@ -37,7 +39,7 @@ def train_languages(docs: DataFrame, hidden: int = 8, texts: int = 1500, steps:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 4) != 2))
     got = sample_windows(rows, text_col, F.col(lang_col), id_col, texts, 8, WINDOW)
     names = sorted({r["label"] for r in got})
-    pairs = [(w.encode()[:WINDOW], names.index(r["label"])) for r in got for w in r["windows"] if w and w.strip()]
+    pairs = [(w.encode()[k : k + WINDOW], names.index(r["label"])) for r in got for w in r["windows"] if w and w.strip() for k in range(0, len(w.encode()), WINDOW)]
     return gru.train([w for w, _ in pairs], [c for _, c in pairs], names, hidden, steps, WINDOW)
 
 
@@ -49,21 +51,21 @@ def identify(docs: DataFrame, model: gru.Model, text_col: str = "text") -> DataF
     columns of these names are replaced; an empty table stays empty.
     """
     names = pa.array([*model.names, UNKNOWN])
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    frame = docs.select(*kept).withColumn("_worded", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    at, flag = kept.index(text_col), len(kept)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = tx.utf8(batch.column(at))
-            parts = [gru.label(model, data, bounds[i : j + 1], WINDOW) for i, j in gru.runs(bounds)] if model.names else []
-            p = np.concatenate(parts) if parts else np.zeros((batch.num_rows, 1))
-            worded = batch.column(flag).to_numpy(zero_copy_only=False) & bool(model.names)
-            best = np.where(worded, p.argmax(1), len(model.names))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:flag], names.take(pa.array(best)), pa.array(np.where(worded, np.clip(p.max(1), 0, 1), 0.0))], [*kept, "lang_pred", "score"])
 
-    return frame.mapInArrow(score, schema)
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in tx.released(columns):
+            data, bounds = tx.utf8(column)
+            parts = [gru.label(model, data, bounds[i : j + 1], WINDOW) for i, j in gru.runs(bounds)] if model.names else []
+            p = np.concatenate(parts) if parts else np.ones((len(column), 1))
+            yield pa.StructArray.from_arrays([names.take(pa.array(p.argmax(1))), pa.array(np.clip(p.max(1), 0, 1), pa.float64())], ["lang_pred", "score"])
+
+    # evaluated once, whatever stands above it
+    found = bounded(docs).withColumn("_label", label.asNondeterministic()(F.col(text_col)))
+    worded = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.names))
+    added = {"lang_pred": F.when(worded, F.col("_label.lang_pred")).otherwise(UNKNOWN), "score": F.when(worded, F.col("_label.score")).otherwise(0.0)}
+    kept = [c for c in docs.columns if c not in added]
+    return found.select(*kept, *[value.alias(name) for name, value in added.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

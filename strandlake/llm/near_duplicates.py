@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from strandlake.lineage import stash
 from strandlake.llm import text as tx
 from strandlake.llm.components import components
-from strandlake.llm.store import stash
+from strandlake.llm.store import bounded
 
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
@@ -66,7 +67,7 @@ _SKETCH = "doc_id long, n_shingles long, high long, low long, bands array<long>,
 
 def _sketch(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             data, bounds = tx.utf8(batch.column(1))
             for i, j in tx.runs(bounds):
                 s, of = tx.shingles(tx.words(data, bounds[i : j + 1]), width)
@@ -96,7 +97,7 @@ def _sketch(width: int):
 
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             data, bounds = tx.utf8(batch.column(1))
             for i, j in tx.runs(bounds):
                 s, of = tx.shingles(tx.words(data, bounds[i : j + 1]), width)
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     an empty table gives no rows. Links of at least 0.75 share a band with a
     probability of 0.999995 or more.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stash(base.mapInArrow(_sketch(width), _SKETCH), "shingles")
     some = rows.where("n_shingles > 0")
     reps = stash(some.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")

@@ -16,8 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.lineage import stash
+from strandlake.llm import text as tx
 from strandlake.llm.encode import default_tokenizer, encoder
-from strandlake.llm.store import running_totals, stash
+from strandlake.llm.store import bounded, running_totals
 
 _IDS = "doc_id long, part long, start long, n long, ids binary"
 
@@ -27,14 +29,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int | None, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in tx.released(batches):
             for first, count, ids in model.column(batch.column(1), end):
                 n, total = len(count), np.cumsum(count)
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.r_[0, total * 4].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.full(n, part)), pa.array(at + total - count), pa.array(count), values], ["doc_id", "part", "start", "n", "ids"])
                 at += int(total[-1])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, _IDS)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, _IDS)
 
 
 def pack(docs: DataFrame, length: int = 2048, end: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
 from strandlake.llm.language import fold
+from strandlake.llm.store import bounded, bounded_sample, fewest_hashes
 
 #: Bytes in a passage.
 PASSAGE = 512
@@ -147,16 +147,20 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, units: int = 8,
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, texts: int = 4000, longest: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model learned from at most ``texts`` labelled texts of at most ``longest`` characters, those with the smallest hashes of their ids.
+def fit(docs: DataFrame, labels: DataFrame, texts: int = 4000, chars: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model learned from at most ``texts`` labelled texts, those with the smallest hashes, as far as ``chars`` characters go.
 
-    Labels of documents whose crc32(id) mod 5 is 0 are never seen.
+    Labels of documents whose crc32(id) mod 5 is 0 are never seen. Null texts
+    and ids, and null labels, teach nothing; of several labels of one id the
+    highest counts; equal rows count once. No labels give a model that scores all
+    texts alike.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(texts)
-    rows = docs.where(F.length(text_col) <= longest).join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(id_col, F.col(text_col).alias("text"), "label").limit(texts).collect()
-    rows.sort(key=lambda r: (r[0], r["text"]))
-    return train([r["text"] for r in rows], [int(r["label"] > 0) for r in rows])
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
+    known = fewest_hashes(known, F.xxhash64("id"), texts).orderBy("_hash", "id").limit(texts).drop("_hash")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    got = bounded_sample(rows, texts, chars)
+    return train([r["text"] for r in got], [int(r["label"] > 0) for r in got])
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -166,18 +170,18 @@ def score(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "te
     is one empty passage; repeated rows have equal scores; clashing columns of
     these names are replaced; an empty table stays empty.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    frame = docs.select(*kept)
-    at = kept.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = tx.utf8(batch.column(at))
+    @F.arrow_udf("double")
+    def probability(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in tx.released(columns):
+            data, bounds = tx.utf8(column)
             parts = [forward(model, *encode(data, bounds[i : j + 1]))[0] for i, j in tx.runs(bounds)]
-            p = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= least).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
 
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    # evaluated once, whatever stands above it
+    found = bounded(docs).withColumn("_score", probability.asNondeterministic()(F.col(text_col).cast("string")))
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    return found.select(*kept, F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

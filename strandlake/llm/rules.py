@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.native import let, split_words, upto
+from strandlake.llm.store import fewest_hashes
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_lines_share", "repeat_share", "capital_share", "shout_share")
@@ -143,13 +144,17 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> list[list[Condition]]:
-    """Rules learned from the statistics of at most ``rows`` labelled texts of at most ``longest`` characters, those with the smallest hashes of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> list[list[Condition]]:
+    """Rules learned from the statistics of at most ``rows`` labelled texts, those with the smallest hashes.
+
+    Null labels and ids teach nothing, null texts count as empty; of several
+    labels of one id the highest counts. No labels give no rules.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max("quality") == 0).alias("bad"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    some = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.length("text") <= longest).join(F.broadcast(known), F.col(id_col) == F.col("_id"))
-    got = with_statistics(some).select("_id", "bad", *FEATURES).limit(rows).collect()
-    return learn([r.asDict() for r in sorted(got)])
+    known = fewest_hashes(known, F.xxhash64("_id"), rows).orderBy("_hash", "_id").limit(rows).drop("_hash")
+    some = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), F.col(id_col) == F.col("_id"))
+    got = with_statistics(some).select(F.xxhash64("_id", "text").alias("_hash"), "_id", "bad", *FEATURES).orderBy("_hash", "_id").limit(rows).collect()
+    return learn([r.asDict() for r in got])
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:

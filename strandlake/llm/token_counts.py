@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.lineage import stash
+from strandlake.llm import text as tx
 from strandlake.llm.encode import default_tokenizer, encoder
-from strandlake.llm.store import running_totals, stash
+from strandlake.llm.store import bounded, running_totals
 
 
 def document_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,11 +20,11 @@ def document_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for batch in batches:
+        for batch in tx.released(batches):
             for first, n, _ in model.column(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "doc_id long, n_tokens long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.lineage import stash
+from strandlake.llm import text as tx
+from strandlake.llm.store import bounded
 
 
 #: Comments, declarations and tags. Quotes count only where they begin a value, and one that is not closed is as any other character. A tag always matches; where it reaches the end of the page, its last group is empty.
@@ -43,16 +47,24 @@ _ASIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer contentinfo complementary comment comments disqus respond replies reply share sharing social related recommended widget pagination pager login search copyright".split()
 )
 _HEAD_WORDS = frozenset("header masthead topbar".split())
+#: Words that say nothing beside one of those; any other makes a name such as has-sidebar or related-work mean something else.
+_NEUTRAL = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons card center col column container content contents desktop div entry first fixed form global group grid header holder icon icons id image img inline inner "
+    "item items js label large last latest layout left level line link links list lists main media menu message mini mobile module more new outer page pane panel placeholder post posts primary region right row secondary section side site slot small space sticky "
+    "text title toggle tool tools top ui unit view wrap wrapper zone".split()
+)
 _MAIN = frozenset("article main".split())
 #: What replies to an article may be longer than it.
 _REPLIES = frozenset("comment comments disqus respond replies reply".split())
 #: Blocks go where their importance is known to be below this; those beside an article also where their path's is not known, or below OPEN.
 OPEN = 0.4
 LEASTS = {"main": 0.1, "": 0.25, "beside": 0.75}
+#: Elements that a path tells of at most.
+DEEP = 100
 #: A path that fewer pages of a host share tells nothing; twice as many must share one inside an article.
 PAGES = 4
-#: Rows of the tree that are broadcast at most.
-BROADCAST = 50_000
+#: Rows of the tree that go to every task at most, about 150 bytes each there.
+BROADCAST = 200_000
 
 
 def _number(text: str) -> int:
@@ -63,7 +75,7 @@ def _number(text: str) -> int:
 class _Element:
     tag: str
     path: str
-    names: frozenset[str] = frozenset()
+    named: str = ""
     above: _Element | None = None
     #: Whether an article or main part is in it, its characters of text (those of menus and replies left out), and its role, set at the end of the page.
     holds: bool = False
@@ -80,6 +92,18 @@ class Page:
     elements: list[tuple[str, str, str]]
 
 
+@lru_cache(100_000)
+def _named(values: str) -> str:
+    """What an element's class, id and role make it: replies, aside, head, or nothing."""
+    found = set()
+    for name in values.lower().split():
+        parts = set(_PART.findall(name))
+        for kind, words in (("replies", _REPLIES), ("aside", _ASIDE_WORDS), ("head", _HEAD_WORDS)):
+            if parts & words and not any(len(p) > 2 and not p.isdigit() and p not in _NEUTRAL and p not in _ASIDE_WORDS and p not in _HEAD_WORDS for p in parts):
+                found.add(kind)
+    return next((kind for kind in ("replies", "aside", "head") if kind in found), "")
+
+
 def _role(e: _Element, within: int) -> str:
     """Role of an element whose parent has its own; ``within`` is the text of the article that holds it, or of a page without one.
 
@@ -91,10 +115,9 @@ def _role(e: _Element, within: int) -> str:
         return "aside"
     if e.tag in ("html", "body") or e.tag in _MAIN or e.holds:
         return "main" if e.tag in _MAIN else above
-    named = e.tag == "form" or e.names & _ASIDE_WORDS
-    if named and (e.names & _REPLIES or not 0 < within <= 2 * e.size):
+    if e.named == "replies" or (e.tag == "form" or e.named == "aside") and not 0 < within <= 2 * e.size:
         return "aside"
-    if above != "main" and (e.tag == "header" or e.names & _HEAD_WORDS):
+    if above != "main" and (e.tag == "header" or e.named == "head"):
         return "aside"
     return above
 
@@ -103,7 +126,7 @@ def _set_roles(every: list[_Element]) -> None:
     """Roles of a page's elements, parents first; the first one is the root."""
     for e in reversed(every[1:]):
         e.above.holds |= e.holds or e.tag in _MAIN
-        if e.holds or e.tag in ("html", "body") or e.tag == "form" or not (e.tag in _ASIDE_TAGS or e.names & _REPLIES):
+        if e.holds or e.tag in ("html", "body") or e.tag == "form" or not (e.tag in _ASIDE_TAGS or e.named == "replies"):
             e.above.size += e.size
     within = {id(every[0]): 0 if every[0].holds else every[0].size}
     for e in every[1:]:
@@ -111,11 +134,29 @@ def _set_roles(every: list[_Element]) -> None:
         within[id(e)] = e.size if e.tag in _MAIN else within[id(e.above)]
 
 
+def _values(attributes: str) -> str:
+    """Values of class, id and role, one space between any two."""
+    return " ".join(" ".join((v[1] or v[2] or v[3] or "").replace("/", "-").split()) for v in _NAMED.finditer(attributes))
+
+
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where each inline element that begins at a place ends, those of its kind inside it counted; one that never ends is left out."""
+    begun, out = [], {}
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html):
+        if not m[1]:
+            begun.append(m.start())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 def parse(html: str) -> Page:
     """Blocks of a page's text. Elements left open end with what holds them; scripts, styles and comments have no text."""
     root = _Element("", "")
     every, blocks, elements = [root], [], []
     stack, buffer, at, n, token = [root], [], 0, len(html), _TOKEN
+    opened: dict[str, list[int]] = {}
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if buffer:
@@ -128,17 +169,18 @@ def parse(html: str) -> Page:
 
     def close() -> None:
         e = stack.pop()
+        opened[e.tag].pop()
         if e.children:
             elements.append(e)
 
+    def last(tags: tuple[str, ...] | frozenset[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close_to(tags: tuple[str, ...], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                while len(stack) > k:
-                    close()
-                return
-            if stack[k].tag in stop:
-                return
+        k = last(tags)
+        if k and k >= last(stop):
+            while len(stack) > k:
+                close()
 
     while at < n:
         m = token.search(html, at)
@@ -157,10 +199,10 @@ def parse(html: str) -> Page:
         if tag in _INLINE:
             if tag == "br":
                 buffer.append(" ")
-            if not m[1] and _NAMED.search(m[3]):
-                names = {w for v in _NAMED.finditer(m[3]) for w in _PART.findall((v[1] or v[2] or v[3] or "").lower())}
-                if names & _ASIDE_WORDS and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)):
-                    at = end.end()
+            if not m[1] and tag not in _VOID and m[3] and _named(_values(m[3])) in ("replies", "aside"):
+                if tag not in ends:
+                    ends[tag] = _ends(html, tag)
+                at = ends[tag].get(m.start(), at)
             continue
         flush()
         if m[1]:
@@ -175,14 +217,13 @@ def parse(html: str) -> Page:
         if tag in _CLOSES:
             close_to(_CLOSES[tag], frozenset(("ul", "ol", "dl", "table")))
         above = stack[-1]
-        named = [v[1] or v[2] or v[3] or "" for v in _NAMED.finditer(m[3])] if m[3] else []
-        label = tag + "".join(f".{x.strip().lower()}" for x in named)
+        values = _values(m[3]) if m[3] else ""
         above.children.append(tag)
-        stack.append(_Element(tag, f"{above.path}/{label}", frozenset(w for x in named for w in _PART.findall(x.lower())), above))
+        # what lies deeper has the path of the element at that depth
+        path = f"{above.path}/{tag}{'.' if values else ''}{values.lower()}" if len(stack) <= DEEP else above.path
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(_Element(tag, path, _named(values), above))
         every.append(stack[-1])
-        if len(stack) > 400:
-            flush()
-            close()
     flush()
     while len(stack) > 1:
         close()
@@ -199,67 +240,99 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_FACTS = "host string, path string, role string, kind string, value long"
+def _branch(role: str, path: str, text: str | None = None) -> int:
+    """Number of a path in a role, or of a text on it."""
+    return _number(f"{role}\n{path}" if text is None else f"{role}\n{path}\n{text}")
+
+
+_FACTS = "host string, path string, role string, kind string, value long, branch long"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each page adds to the tree: its paths, their children and the blocks under them, each once."""
-    for batch in batches:
+    for batch in tx.released(batches):
         rows = []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page, host = parse(html or ""), _host(url)
-            facts = {(p, r, "page", 0) for p, r, _ in page.elements} | {(p, r, "page", 0) for p, r, _ in page.blocks}
-            facts |= {(p, r, "style", _number(c)) for p, r, c in page.elements} | {(p, r, "text", _number(t)) for p, r, t in page.blocks}
+            facts = {(p, r, "page", 0, _branch(r, p)) for p, r, _ in (*page.elements, *page.blocks)}
+            facts |= {(p, r, "style", _number(c), 0) for p, r, c in page.elements} | {(p, r, "text", _number(t), _branch(r, p, t)) for p, r, t in page.blocks}
             rows += [(host, *f) for f in facts]
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "path", "role", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "path", "role", "kind", "value", "branch"])
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "path", "role", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "path", "role", "kind", "value", "branch"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, role, kind, value, n, m, importance): every presentation and block of every path of a host, with the pages that have it, n of m.
+    """(host, path, role, kind, value, branch, n, m, importance): every presentation and block of every path of a host, with the pages that have it, n of m.
 
     A block on n of m pages, spread evenly, has the entropy log n / log m and
     the importance one less it; a path's presentation has the entropy of its
     variants, to the base m.
     """
-    facts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_facts, _FACTS)
-    counted = stash(facts.groupBy("host", "path", "role", "kind", "value").agg(F.count("*").alias("n")), "tree")
-    nodes = counted.where("kind = 'page'").select("host", "path", "role", F.col("n").alias("m"))
+    facts = bounded(pages).select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_facts, _FACTS)
+    counted = stash(facts.groupBy("host", "path", "role", "kind", "value", "branch").agg(F.count("*").alias("n")), "tree")
+    nodes = counted.where("kind = 'page'").select("host", "path", "role", "branch", F.col("n").alias("m"))
     held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     base = F.ln(F.greatest(F.col("m"), F.lit(2)))
-    parts = counted.where("kind <> 'page'").join(nodes, ["host", "path", "role"])
+    parts = counted.where("kind <> 'page'").join(nodes.drop("branch"), ["host", "path", "role"])
     single = F.when(F.col("kind") == "text", 1 - F.ln("n") / base)
     variant = F.when(F.col("kind") == "style", -(F.col("n") / F.col("m")) * F.ln(F.col("n") / F.col("m")) / base)
     sums = parts.groupBy("host", "path", "role").agg(F.sum(variant).alias("_styles"), (F.sum(F.col("n") * single) / F.sum(F.when(F.col("kind") == "text", F.col("n")))).alias("_texts"))
-    whole = nodes.join(sums, ["host", "path", "role"], "left").select("host", "path", "role", F.lit("node").alias("kind"), F.lit(0).cast("long").alias("value"), F.col("m").alias("n"), "m", held(F.coalesce((F.col("_styles") + F.col("_texts")) / 2, "_texts", F.lit(1.0))).alias("importance"))
-    return whole.unionByName(parts.where("kind = 'text'").select("host", "path", "role", "kind", "value", "n", "m", held(single).alias("importance")))
+    whole = nodes.join(sums, ["host", "path", "role"], "left").select("host", "path", "role", F.lit("node").alias("kind"), F.lit(0).cast("long").alias("value"), "branch", F.col("m").alias("n"), "m", held(F.coalesce((F.col("_styles") + F.col("_texts")) / 2, "_texts", F.lit(1.0))).alias("importance"))
+    return whole.unionByName(parts.where("kind = 'text'").select("host", "path", "role", "kind", "value", "branch", "n", "m", held(single).alias("importance")))
+
 
+def branches(page: Page) -> set[int]:
+    """Numbers of what the tree may tell of a page: its texts, and its paths with those above them."""
+    out = {_branch(role, path, text) for path, role, text in page.blocks if role != "aside"}
+    for path, role in {(path, role) for path, role, _ in page.blocks if role in ("", "beside")}:
+        out |= {_branch(role, p) for p in _above(path)}
+    return out
 
-def keep(page: Page, verdicts: set[tuple[str, str, int]]) -> str:
+
+def _above(path: str) -> list[str]:
+    """A path and those above it."""
+    return [path[:k] for k in [*(y.start() for y in re.finditer("/", path)), len(path)] if k]
+
+
+def keep(page: Page, verdicts: set[int]) -> str:
     """Text of a page's blocks, less the branches of low importance.
 
-    ``verdicts`` has (role, path, number of a text) of blocks of low importance,
-    (role, path, 0) of paths of low and (role, path, 1) of paths of high
-    importance. A page all of whose article recurs is a copy: it keeps it.
+    ``verdicts`` has the numbers of texts of low importance, and of paths: of
+    low importance, or, beside an article, of high. A page all of whose article
+    recurs is a copy: it keeps it.
     """
-    low = [(role, path, _number(text)) in verdicts for path, role, text in page.blocks]
+    low = [_branch(role, path, text) in verdicts for path, role, text in page.blocks] if verdicts else [False] * len(page.blocks)
     copy = all(x for x, (_, role, _) in zip(low, page.blocks, strict=True) if role == "main")
     kept = []
     for x, (path, role, text) in zip(low, page.blocks, strict=True):
         if role == "aside" or (x and not (role == "main" and copy)):
             continue
-        if role == "beside" and (role, path, 1) not in verdicts:
+        if role == "beside" and _branch(role, path) not in verdicts:
             continue
-        if role == "" and any((role, path[:k], 0) in verdicts for k in [*(y.start() for y in re.finditer("/", path)), len(path)] if k):
+        if role == "" and verdicts and any(_branch(role, p) in verdicts for p in _above(path)):
             continue
         kept.append(text)
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, salts: int = 32, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, host, branch): what the tree is asked of each page."""
+    for batch in tx.released(batches):
+        rows = []
+        for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            host = _host(url)
+            rows += [(page, host, b) for b in branches(parse(html or ""))]
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["page", "host", "branch"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["page", "host", "branch"])
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without its html but with text, the main text of the whole page, and n_chars, its code points.
 
     Character references are decoded, white space inside a block becomes one
@@ -267,39 +340,42 @@ def extract(pages: DataFrame, salts: int = 32, url_col: str = "url", html_col: s
     text; a null or odd url counts as one host; repeated rows are each
     extracted; clashing columns are replaced; an empty table stays empty.
 
-    The tree's rows that decide against a role's prior are joined by host:
-    broadcast where they are few, else with each host's rows repeated for
-    ``salts`` shares of its pages.
+    The tree's rows that decide against a role's prior go to every task where
+    they are few; else each page asks for its own branches by a join on
+    (host, branch), and no page or task holds those of a whole host.
     """
     tree = style_tree(pages, url_col, html_col)
     least = F.coalesce(*[F.when(F.col("role") == r, F.lit(x)) for r, x in LEASTS.items()])
     node, below = F.col("kind") == "node", F.col("importance") < least
     known = F.col("m") >= F.when(F.col("role") == "main", 2 * PAGES).otherwise(PAGES)
     tells = F.when(node, ((F.col("role") == "") & below) | ((F.col("role") == "beside") & (F.col("importance") >= OPEN))).otherwise(below)
-    value = F.when(node, F.when(F.col("role") == "", F.lit(0)).otherwise(F.lit(1))).otherwise(F.col("value")).alias("value")
-    low = stash(tree.where(known & tells).select("host", F.struct("role", "path", value).alias("branch")), "low")
-    by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("branch").alias("_low"))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    low = stash(tree.where(known & tells).select("host", "branch"), "low")
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(*kept).withColumn("_host", host)
+    out = [c for c in kept if c != html_col]
+    rows = bounded(pages).select(*out, F.col(html_col).cast("string").alias("_html"), F.col(url_col).cast("string").alias("_url"))
+    schema = T.StructType([*pages.select(*out).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    n, shared = len(out), None
     if low.limit(BROADCAST + 1).count() <= BROADCAST:
-        joined = rows.join(F.broadcast(by_host), "_host", "left")
+        by_host = defaultdict(set)
+        for r in low.collect():
+            by_host[r["host"]].add(r["branch"])
+        shared = pages.sparkSession.sparkContext.broadcast(dict(by_host))
+        rows = rows.withColumn("_low", F.lit(None).cast("array<long>"))
     else:
-        spread = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(html_col), F.lit(salts)).cast("int")).join(spread, ["_host", "_salt"], "left")
-    out = [c for c in kept if c != html_col]
-    frame = joined.select(*out, F.col(html_col).cast("string").alias("_html"), "_low")
+        page = F.xxhash64("_url", "_html")
+        asked = rows.select(page.alias("page"), "_url", "_html").mapInArrow(_asked, "page long, host string, branch long")
+        told = asked.join(low, ["host", "branch"]).groupBy(F.col("page").alias("_page")).agg(F.collect_set("branch").alias("_low"))
+        rows = rows.withColumn("_page", page).join(told, "_page", "left").select(*out, "_html", "_url", "_low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                texts = []
-                for html, branches in zip(some.column(len(out)).to_pylist(), some.column(len(out) + 1).to_pylist(), strict=True):
-                    texts.append(keep(parse(html or ""), {(b["role"], b["path"], b["value"]) for b in branches or ()}))
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(out)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*out, "text", "n_chars"])
-
-    return frame.mapInArrow(run, T.StructType([*pages.select(*out).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+        none: set[int] = set()
+        for batch in tx.released(batches):
+            texts = []
+            for html, url, own in zip(*(batch.column(k).to_pylist() for k in (n, n + 1, n + 2)), strict=True):
+                texts.append(keep(parse(html or ""), set(own or ()) if shared is None else shared.value.get(_host(url), none)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*out, "text", "n_chars"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
+import math
 import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 from tests.llm.common import empty, frame, odd_texts, prose
 
@@ -142,6 +143,35 @@ def test_a_word_takes_away_no_article_and_no_main_part():
     assert text("<aside><article>x</article></aside><p>y</p>") == "y"
 
 
+def test_a_name_with_another_word_in_it_says_nothing():
+    text = lambda html: site_tree.keep(site_tree.parse(html), set())
+    assert text("<main><div id='search-results'><p>hello words</p></div></main>") == "hello words"
+    assert text("<article><p>one</p><div class='related-work'><p>two</p></div><div class='related-posts'><p>no</p></div><div id=cookie-notice-2>no</div></article>") == "one\ntwo"
+    assert text("<article><p>text <span class=share><span>no</span> no</span> more <span class=ad>open</p></article>") == "text more open"
+    assert text("<article>" + "<div>" * 405 + "<nav>menu</nav><p>deep</p>" + "</div>" * 405 + "</article>") == "deep"
+    for odd in ("<x>" * 100_000 + "</y>" * 100_000, "<p><div>" + "<x>" * 50_000 + "</p>" * 50_000, "<span class=ad>" * 50_000):
+        began = time.time()
+        text(odd)
+        assert time.time() - began < 5
+
+
+def test_the_tree_equals_direct_counts(spark):
+    pages = [(f"http://h{k % 2}/p{k}", f"<body><div class=box>same {k % 3}</div><article><p>{prose(5, k)}</p><p>{'again' if k % 4 else prose(4, k)}</p></article></body>") for k in range(30)]
+    df = spark.createDataFrame(pages, "url string, html string")
+    facts = defaultdict(set)
+    for u, h in pages:
+        page = site_tree.parse(h)
+        for path, role, text in page.blocks:
+            facts[site_tree._host(u), path, role, text].add(u)
+    whole = Counter((host, path, role) for host, path, role, u in {(*k[:3], u) for k, us in facts.items() for u in us})
+    got = {(r.host, r.path, r.role, r.value): (r.n, r.m, r.importance) for r in site_tree.style_tree(df).where("kind = 'text'").collect()}
+    want = {}
+    for (host, path, role, text), us in facts.items():
+        n, m = len(us), whole[host, path, role]
+        want[host, path, role, site_tree._number(text)] = (n, m, min(1.0, max(0.0, 1 - math.log(n) / math.log(max(m, 2)))))
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-9 for k in want)
+
+
 def test_the_tree_decides_inside_and_beside_articles(spark):
     page = "<body><div>Home of news</div><article><p>{0}</p><div class=box>Send us a letter today</div></article><section><p>{1}</p><p>All texts are ours</p></section></body>"
     rows = [(i, "https://a.example.com/p", page.format(prose(20, i), prose(9, 500 + i))) for i in range(40)]

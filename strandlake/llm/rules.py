@@ -24,7 +24,7 @@ FEATURES = ("n_words", "mean_word", "symbol_share", "dup_lines_share", "repeat_s
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more, by sorting the windows' hashes with their places."""
+    """Words in 3-word windows that occur twice or more, by sorting the windows' hashes with their places; ``words`` is a lambda's variable."""
 
     def flagged(pairs: Column) -> Column:
         n = F.size(pairs)
@@ -38,7 +38,7 @@ def _repeat_words(words: Column) -> Column:
         ordered = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered(h), flagged)))
 
-    return let(words, repeated).cast("long")
+    return repeated(words).cast("long")
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,15 +49,15 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     count = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
     found = docs.withColumns(
         {
-            "_size": let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"))),
+            # the words of a text are made once
+            "_words": let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("repeats"))),
             "_lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("different"))),
             "n_symbols": count(r"[#*$%&|<>]"),
-            "n_repeat_words": _repeat_words(words),
             "_capitals": count("[A-Z]"),
             "_shouts": count("[!?]"),
         }
     )
-    found = found.withColumns({"n_words": F.col("_size.n"), "word_chars": F.col("_size.chars"), "n_dup_lines": F.col("_lines.n") - F.col("_lines.different")})
+    found = found.withColumns({"n_words": F.col("_words.n"), "word_chars": F.col("_words.chars"), "n_repeat_words": F.col("_words.repeats"), "n_dup_lines": F.col("_lines.n") - F.col("_lines.different")})
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return found.withColumns(
         {
@@ -168,7 +168,7 @@ def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     made = ("base_failed", "rule", "kept")
     found = with_statistics(docs.select(*[c for c in docs.columns if c not in (*STATISTICS, *made)]), text_col)
-    return found.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("_size", "_lines", "_capitals", "_shouts")
+    return found.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("_words", "_lines", "_capitals", "_shouts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

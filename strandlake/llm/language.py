@@ -15,7 +15,8 @@ from strandlake.llm.store import bounded, fewest_hashes
 
 #: Texts without a letter have no language.
 UNKNOWN = "und"
-WINDOW = 64
+#: Bytes of a window that the network learns from, and of one that it labels; its state begins anew in each.
+WINDOW, READ = 64, 256
 
 
 def fold(id_col: str, k: int) -> F.Column:
@@ -56,7 +57,7 @@ def identify(docs: DataFrame, model: gru.Model, text_col: str = "text") -> DataF
     def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in tx.released(columns):
             data, bounds = tx.utf8(column)
-            parts = [gru.label(model, data, bounds[i : j + 1], WINDOW) for i, j in gru.runs(bounds)] if model.names else []
+            parts = [gru.label(model, data, bounds[i : j + 1], READ) for i, j in gru.runs(bounds)] if model.names else []
             p = np.concatenate(parts) if parts else np.ones((len(column), 1))
             yield pa.StructArray.from_arrays([names.take(pa.array(p.argmax(1))), pa.array(np.clip(p.max(1), 0, 1), pa.float64())], ["lang_pred", "score"])
 

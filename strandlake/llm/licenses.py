@@ -50,8 +50,12 @@ def _length(text: str) -> int:
 
 
 def _words(text: Column) -> Column:
-    """Words of a text with A-Z lower-cased; other letters that change with them are in no template or phrase."""
-    return split_words(F.lower(text), GAP)
+    """Words of a text with A-Z lower-cased. Other letters change as well, but none becomes one of a-z, as the Kelvin sign, the only one that would, is put aside first."""
+    return split_words(_lower(text), GAP)
+
+
+def _lower(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")))
 
 
 def _literals(words: list[str]) -> Column:
@@ -163,7 +167,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int
     any other; other columns are not read; an empty table gives no rows.
     """
     pattern = "|".join(rf"{GAP}".join(p.split()) for p in PHRASES)
-    likely = F.coalesce(F.lower(F.col(text_col)).rlike(pattern), F.lit(False))
+    likely = F.coalesce(_lower(F.col(text_col)).rlike(pattern), F.lit(False))
     none = F.array().cast("array<struct<word:bigint,label:string>>")
     words = let(_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(likely, _places(w)).otherwise(none).alias("places")))
     base = docs.select(F.col(id_col).alias("doc_id"), words.alias("_w")).select("doc_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_places"))

@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 
 from strandlake.functions.expressions import upto
 
-# Fixed values of the likelihoods: rates of an inserted and of a deleted base, the cap of a base's probability, and the rate of a k-mer that is not there.
+# Fixed values of the likelihoods: rates of an inserted and of a deleted base, the cap of a base's probability and what stands for none, and the rate of a k-mer that is not there.
 P_INSERTION = P_DELETION = 0.001
-P_CAP = 0.999
+P_CAP, P_LEAST = 0.999, 0.001
 ABSENT_RATE = 0.01
 
 
@@ -75,12 +75,39 @@ def base_log_likelihood(graph: Column, read: Column, p_correct: Column, gap: str
     )
 
 
-def position_log_likelihood(allele: Column, genotype: Column, p_correct: Column, gap: str = "_") -> Column:
-    """Log-likelihood of a read's genotype of one or more characters at an allele's position; further ones are an insertion whose length is Poisson with mean 1."""
+def _first_sign(allele: Column, genotype: Column, p_correct: Column, gap: str) -> Column:
+    """Log-likelihood of a genotype's first sign at an allele's sign that is no gap."""
+    p = F.when(p_correct <= 0, F.lit(P_LEAST)).otherwise(F.least(p_correct, F.lit(P_CAP)))
     first = F.substr(genotype, F.lit(1), F.lit(1))
-    extra = F.length(genotype) - 1
-    inserted = F.when(extra > 0, F.lit(math.log(P_INSERTION)) + log_poisson(extra, F.lit(1.0)) + extra * F.lit(math.log(0.25))).otherwise(F.lit(0.0))
-    return base_log_likelihood(allele, first, p_correct, gap) + inserted
+    read = F.lit(math.log(1 - P_INSERTION - P_DELETION)) + F.when(allele == first, F.ln(p)).otherwise(F.ln((1 - p) / 3))
+    return F.when(first == gap, F.lit(math.log(P_DELETION))).otherwise(read)
+
+
+def typing_log_likelihood(allele: Column, genotype: Column, p_correct: Column, gap: str = "_") -> Column:
+    """Log-likelihood of a read's genotype, of one or more signs, at one sign of an allele; every inserted sign costs the same."""
+    insertion = math.log(P_INSERTION) + math.log(0.25)
+    at_gap = F.when(genotype == gap, F.lit(0.0)).otherwise(F.length(genotype) * F.lit(insertion))
+    return F.when(allele == gap, at_gap).otherwise(_first_sign(allele, genotype, p_correct, gap) + (F.length(genotype) - 1) * F.lit(insertion))
+
+
+def position_log_likelihood(allele: Column, genotype: Column, p_correct: Column, gap: str = "_") -> Column:
+    """Log-likelihood of a read's genotype at an allele of one or more signs; the length of an insertion is Poisson with mean 1.
+
+    Sign by sign, the allele's last one takes what is left of the genotype, and
+    where none is left the read has a gap.
+    """
+    insertion = F.lit(math.log(P_INSERTION) + math.log(0.25))
+    poisson1 = lambda n: -1 - log_factorial(n)
+
+    def at_sign(x: Column, g: Column) -> Column:
+        at_gap = F.when(g == gap, F.lit(0.0)).otherwise(insertion + poisson1(F.length(g) - 1))
+        more = F.when(F.length(g) > 1, insertion + poisson1(F.length(g) - 2)).otherwise(F.lit(0.0))
+        return F.when(x == gap, at_gap).otherwise(_first_sign(x, g, p_correct, gap) + more)
+
+    n = F.length(allele)
+    part = lambda i: F.when(i > F.length(genotype), F.lit(gap)).when(i == n, F.substr(genotype, i, F.length(genotype))).otherwise(F.substr(genotype, i, F.lit(1)))
+    signs = F.transform(F.sequence(F.lit(1), n), lambda i: at_sign(F.substr(allele, i, F.lit(1)), part(i)))
+    return F.aggregate(signs, F.lit(0.0), lambda s, x: s + x)
 
 
 def copy_number_posterior(df: DataFrame, observed: str, coverage: Column, most: int) -> DataFrame:

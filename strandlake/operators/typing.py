@@ -3,17 +3,53 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions import nomenclature as nm
 from strandlake.functions import probability as pr
+from strandlake.functions import sequences as sq
 from strandlake.lineage import stash
+from strandlake.operators import aggregates as ag
 from strandlake.operators import filters as fl
 
-# Exons that type a class, by the first letters of the locus; the gate of a position; coverage and share of the minor-allele filter.
-EXONS = {"A": (2, 3), "B": (2, 3), "C": (2, 3), "DRB1": (2,), "DQA1": (2,), "DQB1": (2,), "DPA1": (2,), "DPB1": (2,)}
-LEAST_POSITION_QUALITY = 0.7
+# The exons that type a locus; the gates of a position and of an alignment; how far a pair's distance may be from its mean.
+BOTH_EXONS, SECOND_EXON = ("A", "B", "C", "E", "F", "G", "H", "J", "K", "L", "V"), ("DQA1", "DQB1", "DRB1", "DPA1", "DPB1", "DRA", "DRB3", "DRB4")
+LEAST_POSITION_QUALITY, LEAST_ALIGNMENT_QUALITY = 0.7, 0.01
+
+
+def exon_table(spark: SparkSession) -> DataFrame:
+    """(locus, exon, exon_ord): the exons that type each locus, in order."""
+    rows = [(locus, f"exon_{n}", n - 2) for locus in BOTH_EXONS for n in (2, 3)] + [(locus, "exon_2", 0) for locus in SECOND_EXON]
+    return spark.createDataFrame(rows, "locus string, exon string, exon_ord int")
+
+
+def exon_levels(alleles: DataFrame, levels: DataFrame, exons: DataFrame) -> DataFrame:
+    """(locus, allele, exon_ord, exon_pos, pos, level, base): exon files' cells (locus, exon, allele, locus_id, exon_pos, base) at the levels (locus_id, level) of the graph.
+
+    pos runs over the exons of a locus in order; cells of exons that do not
+    type their locus, or of places that the graph does not have, are left out.
+    Both tables of a region are small, so the planner broadcasts them.
+    """
+    cells = alleles.join(exons, ["locus", "exon"]).join(levels.select("locus_id", "level"), "locus_id")
+    places = cells.select("locus", "exon_ord", "exon_pos").distinct()
+    pos = places.withColumn("pos", (F.row_number().over(W.partitionBy("locus").orderBy("exon_ord", "exon_pos")) - 1).cast("int"))
+    return cells.join(pos, ["locus", "exon_ord", "exon_pos"]).select("locus", "allele", "exon_ord", "exon_pos", "pos", "level", "base")
+
+
+def allele_clusters(cells: DataFrame) -> DataFrame:
+    """(locus, allele, cluster): alleles with the same bases at all places are one cluster, numbered from 0 by its first allele."""
+    whole = cells.groupBy("locus", "allele").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+    first = whole.groupBy("locus", "seq").agg(F.min("allele").alias("first"))
+    number = first.withColumn("cluster", (F.row_number().over(W.partitionBy("locus").orderBy("first")) - 1).cast("int"))
+    return whole.join(number, ["locus", "seq"]).select("locus", "allele", "cluster")
+
+
+def emitted(alignments: DataFrame, least: float = LEAST_ALIGNMENT_QUALITY) -> DataFrame:
+    """Alignments (pair, mate, mapq_genomic, ...) whose pair's first mate is above ``least`` in that alignment; a null quality is not."""
+    kept = alignments.where((F.col("mate") == 1) & (F.col("mapq_genomic") > least)).select("pair", "aln").distinct()
+    return alignments.join(kept, ["pair", "aln"], "left_semi")
 
 
 def exon_positions(alignments: DataFrame) -> DataFrame:
@@ -29,12 +65,15 @@ def exon_positions(alignments: DataFrame) -> DataFrame:
     return out.drop("_run")
 
 
-def read_likelihoods(observations: DataFrame, alleles: DataFrame) -> DataFrame:
-    """(locus, cluster, read, ll, mismatches) of observations (locus, read, pos, genotype, p) against clusters (locus, cluster, pos, base); unknown bases (*) count nothing."""
+def read_likelihoods(observations: DataFrame, alleles: DataFrame, gap: str = "_") -> DataFrame:
+    """(locus, cluster, read, ll, mismatches) of observations (locus, read, pos, genotype, p) against clusters (locus, cluster, pos, base).
+
+    A genotype has one sign or, with an insertion, more. A gap in the read is
+    no mismatch; places that no cluster has are left out.
+    """
     met = observations.join(alleles, ["locus", "pos"])
-    known = F.col("base") != "*"
-    ll = F.when(known, pr.position_log_likelihood(F.col("base"), F.col("genotype"), F.col("p"))).otherwise(F.lit(0.0))
-    wrong = F.when(known & (F.col("base") != F.col("genotype")), 1).otherwise(0)
+    ll = pr.typing_log_likelihood(F.col("base"), F.col("genotype"), F.col("p"), gap)
+    wrong = F.when((F.col("genotype") != gap) & (F.col("base") != F.col("genotype")), 1).otherwise(0)
     return met.groupBy("locus", "cluster", "read").agg(F.sum(ll).alias("ll"), F.sum(wrong).alias("mismatches"))
 
 
@@ -78,12 +117,57 @@ def first_and_second(pairs: DataFrame) -> DataFrame:
     return with_first.groupBy("locus", "first", "q1").agg(best.alias("b")).select("locus", "first", "q1", "b.second", "b.q2")
 
 
-def type_alleles(observations: DataFrame, alleles: DataFrame) -> DataFrame:
-    """The whole chain: the gate of positions, the minor-allele filter, likelihoods, pairs, and the two best clusters of each locus."""
-    gated = observations.where(F.col("p") >= LEAST_POSITION_QUALITY)
+def usable(observations: DataFrame) -> DataFrame:
+    """Observations (locus, read, pos, genotype, mapq_position, ...) that pass the gate of positions and whose genotype is not a rare one at a well covered place."""
+    gated = observations.where(F.col("mapq_position") >= LEAST_POSITION_QUALITY)
     counts = gated.groupBy("locus", "pos", "genotype").agg(F.count("*").alias("n"))
     kept = fl.without_minor_alleles(counts, ["locus", "pos"]).select("locus", "pos", "genotype")
-    return first_and_second(pair_likelihoods(read_likelihoods(gated.join(kept, ["locus", "pos", "genotype"], "left_semi"), alleles)))
+    return gated.join(kept, ["locus", "pos", "genotype"], "left_semi")
+
+
+def type_alleles(observations: DataFrame, alleles: DataFrame) -> DataFrame:
+    """(locus, first, q1, second, q2) by the whole chain: the gate of positions, the minor-allele filter, likelihoods, pairs, and the two best clusters of each locus."""
+    return first_and_second(pair_likelihoods(read_likelihoods(usable(observations), alleles)))
+
+
+def best_guess(observations: DataFrame, cells: DataFrame, typed: DataFrame, clusters: DataFrame, kmers: DataFrame | None = None, groups: DataFrame | None = None, k: int = 31) -> DataFrame:
+    """Two rows a locus with the columns of the result table: (locus, chromosome, allele, q1, q2, avg_cov, cov_decile1, min_cov, prop_kmers, avg_col_error, n_unaccounted[, g_group, perfect]).
+
+    allele: the members of a called cluster joined by semicolons. Coverage is of
+    usable observations over the places of ``cells``, uncovered ones included;
+    column errors are genotypes that neither called allele has. prop_kmers is
+    the share of a called allele's k-mers in ``kmers`` (-1 without any), and
+    ``groups`` (allele, g_group) adds the group that most members are in.
+    """
+    use = stash(usable(observations).select("locus", "pos", "genotype"), "usable")
+    one = lambda n, cluster, q: F.struct(F.lit(n).alias("chromosome"), F.col(cluster).alias("cluster"), F.col(q).alias("q"))
+    called = typed.select("locus", F.explode(F.array(one(1, "first", "q1"), one(2, "second", "q2"))).alias("c")).select("locus", "c.*")
+    members = clusters.groupBy("locus", "cluster").agg(F.array_join(F.sort_array(F.collect_list("allele")), ";").alias("allele"), F.min("allele").alias("_one"))
+    named = called.join(members, ["locus", "cluster"])
+    places = cells.select("locus", "pos").distinct()
+    counts = use.groupBy("locus", "pos", "genotype").agg(F.count("*").alias("n"))
+    coverage = places.join(counts.groupBy("locus", "pos").agg(F.sum("n").alias("cov")), ["locus", "pos"], "left").select("locus", "pos", F.coalesce("cov", F.lit(0)).alias("cov"))
+    depth = ag.at_index(coverage, ["locus"], "cov", {"cov_decile1": ag.DECILE, "min_cov": "0"}).select("locus", F.col("mean").alias("avg_cov"), "cov_decile1", "min_cov")
+    bases = named.select("locus", F.col("_one").alias("allele"), "chromosome").join(cells, ["locus", "allele"])
+    own = bases.groupBy("locus", "pos").agg(F.collect_set("base").alias("_own"))
+    seen = counts.join(own, ["locus", "pos"]).withColumn("_wrong", ~F.array_contains("_own", F.col("genotype"))).withColumn("_t", F.sum("n").over(W.partitionBy("locus", "pos")))
+    errors = seen.groupBy("locus").agg(
+        F.try_divide(F.sum(F.when(F.col("_wrong"), F.col("n")).otherwise(0)), F.sum("n")).alias("avg_col_error"),
+        F.sum(F.when(F.col("_wrong") & (F.col("_t") >= 30) & (F.col("n") >= 0.2 * F.col("_t")), 1).otherwise(0)).alias("n_unaccounted"),
+    )
+    out = named.join(typed.select("locus", F.col("q2").alias("_q2")), "locus").join(depth, "locus", "left").join(errors, "locus", "left")
+    if kmers is not None:
+        whole = bases.groupBy("locus", "chromosome", "exon_ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("exon_pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+        wanted = whole.select("locus", "chromosome", F.explode_outer(sq.kmers(sq.remove_gaps(F.col("seq")), k)).alias("raw")).withColumn("kmer", sq.canonical(F.col("raw")))
+        share = called_kmers_present(wanted, kmers, ["locus", "chromosome"]).withColumnRenamed("share", "prop_kmers")
+        out = out.join(share, ["locus", "chromosome"], "left")
+    else:
+        out = out.withColumn("prop_kmers", F.lit(-1.0))
+    if groups is not None:
+        votes = nm.group_of(clusters.join(called.select("locus", "cluster").distinct(), ["locus", "cluster"]), groups, ["locus", "cluster"])
+        out = out.join(votes, ["locus", "cluster"], "left")
+    more = ["g_group", "perfect"] if groups is not None else []
+    return out.select("locus", "chromosome", "allele", F.col("q").alias("q1"), F.col("_q2").alias("q2"), "avg_cov", "cov_decile1", "min_cov", "prop_kmers", F.coalesce("avg_col_error", F.lit(0.0)).alias("avg_col_error"), F.coalesce("n_unaccounted", F.lit(0)).alias("n_unaccounted"), *more)
 
 
 def unaccounted(counts: DataFrame, called: DataFrame, position: list[str], least: int = 30, share: float = 0.2) -> DataFrame:
@@ -130,9 +214,7 @@ def haplotype_beam(observations: DataFrame, starts: dict[int, str] | None = None
 
 def similar_haplotypes(called: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
     """(by, reference_id, distance) of a called haplotype to every reference of its locus, places unknown in either left out."""
-    from strandlake.functions.sequences import hamming
-
-    return called.join(reference, by).select(*by, "reference_id", hamming(F.col("seq"), F.col("reference_seq")).alias("distance"))
+    return called.join(reference, by).select(*by, "reference_id", sq.hamming(F.col("seq"), F.col("reference_seq")).alias("distance"))
 
 
 def mapping_confidence(candidates: DataFrame) -> DataFrame:

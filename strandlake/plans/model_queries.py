@@ -42,7 +42,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TYPING = """al AS (SELECT c_mktsegment AS locus, CAST(c AS INT) AS cluster, CAST(p AS INT) AS pos, substr('ACGT', CAST((c * 7 + p * 3 + c * p % 5) % 4 + 1 AS INT), 1) AS base FROM (SELECT DISTINCT c_mktsegment FROM customer) x, unnest(range(0, 6)) AS r(c), unnest(range(0, 10)) AS q(p)),
 ob AS (SELECT c_mktsegment AS locus, l_orderkey AS read, l_linenumber % 10 AS pos, substr('ACGT', CAST(l_partkey % 4 + 1 AS INT), 1) AS genotype, 1 - l_discount - 0.002 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-ll AS (SELECT ob.locus, cluster, read, sum(CASE WHEN base = genotype THEN ln(least(p, 0.999)) ELSE ln((1 - least(p, 0.999)) / 3) END) AS ll, sum(CAST(base <> genotype AS INT)) AS mismatches FROM ob JOIN al ON ob.locus = al.locus AND ob.pos = al.pos GROUP BY 1, 2, 3),
+ll AS (SELECT ob.locus, cluster, read, sum(ln(0.998) + CASE WHEN base = genotype THEN ln(least(p, 0.999)) ELSE ln((1 - least(p, 0.999)) / 3) END) AS ll, sum(CAST(base <> genotype AS INT)) AS mismatches FROM ob JOIN al ON ob.locus = al.locus AND ob.pos = al.pos GROUP BY 1, 2, 3),
 pr AS (SELECT a.locus, a.cluster AS c1, b.cluster AS c2, sum(ln(0.5 * (exp(a.ll) + exp(b.ll)))) AS ll, sum((a.mismatches + b.mismatches) / 2) AS mean_mismatches, sum(least(a.mismatches, b.mismatches)) AS min_mismatches FROM ll a JOIN ll b ON a.locus = b.locus AND a.read = b.read AND a.cluster <= b.cluster GROUP BY 1, 2, 3),
 mx AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY locus)) AS e FROM pr), sm AS (SELECT *, e / sum(e) OVER (PARTITION BY locus) AS p FROM mx)"""
 
@@ -81,6 +81,121 @@ def allele_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"q1": F.round("q1", 6), "q2": F.round("q2", 6)})
 
 
+# --- the whole chain on alleles of two exons, with gaps and insertions in the reads
+
+_CHAIN = """lo(locus, ex) AS (VALUES ('A', 'exon_2'), ('A', 'exon_3'), ('DQB1', 'exon_2')),
+al AS (SELECT locus, ex AS exon, locus || '*' || lpad(CAST(a AS VARCHAR), 2, '0') AS allele, locus || '_' || ex || '_' || p AS locus_id, CAST(p AS INT) AS exon_pos,
+  CASE WHEN p = 7 AND a % 3 = 1 THEN '_' ELSE substr('ACGT', CAST((a // 2 * 7 + p * 3 + a // 2 * p % 5) % 4 + 1 AS INT), 1) END AS base FROM lo, unnest(range(0, 8)) AS r(a), unnest(range(0, 12)) AS q(p)),
+lv AS (SELECT locus_id, CAST(row_number() OVER (ORDER BY locus_id) + 99 AS INT) AS level FROM (SELECT DISTINCT locus_id FROM al) x),
+ce AS (SELECT al.locus, allele, CAST(substr(exon, 6) AS INT) - 2 AS exon_ord, exon_pos, CAST((CAST(substr(exon, 6) AS INT) - 2) * 12 + exon_pos AS INT) AS pos, level, base FROM al JOIN lv ON al.locus_id = lv.locus_id),
+sq AS (SELECT locus, allele, string_agg(base, '' ORDER BY pos) AS seq FROM ce GROUP BY 1, 2), fi AS (SELECT locus, seq, min(allele) AS f FROM sq GROUP BY 1, 2),
+cl AS (SELECT sq.locus, allele, CAST(dense_rank() OVER (PARTITION BY sq.locus ORDER BY f) - 1 AS INT) AS cluster FROM sq JOIN fi ON sq.locus = fi.locus AND sq.seq = fi.seq),
+ob AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'DQB1' ELSE 'A' END AS locus, l_orderkey AS read, CAST((l_orderkey // 3 + l_linenumber * 5) % (CASE WHEN l_orderkey % 3 = 0 THEN 12 ELSE 24 END) AS INT) AS pos,
+  CASE l_partkey % 11 WHEN 0 THEN '_' WHEN 1 THEN 'AC' ELSE substr('ACGT', CAST(l_suppkey % 4 + 1 AS INT), 1) END AS genotype, 1 - l_discount - 0.002 AS p, 1 - l_tax * 5 AS mapq_position FROM lineitem),
+ga AS (SELECT * FROM ob WHERE mapq_position >= 0.7), co AS (SELECT locus, pos, genotype, count(*) AS n FROM ga GROUP BY 1, 2, 3), tc AS (SELECT *, sum(n) OVER (PARTITION BY locus, pos) AS t FROM co),
+us AS (SELECT ga.* FROM ga JOIN tc ON ga.locus = tc.locus AND ga.pos = tc.pos AND ga.genotype = tc.genotype WHERE t < 100 OR n >= 0.2 * t),
+cb AS (SELECT DISTINCT cl.locus, cluster, pos, base FROM cl JOIN ce ON cl.locus = ce.locus AND cl.allele = ce.allele),
+ll AS (SELECT us.locus, cluster, read, sum(CASE WHEN base = '_' THEN CASE WHEN genotype = '_' THEN 0 ELSE length(genotype) * (ln(0.001) + ln(0.25)) END
+  ELSE CASE WHEN genotype = '_' THEN ln(0.001) ELSE ln(0.998) + CASE WHEN base = substr(genotype, 1, 1) THEN ln(least(p, 0.999)) ELSE ln((1 - least(p, 0.999)) / 3) END END + (length(genotype) - 1) * (ln(0.001) + ln(0.25)) END) AS ll,
+  sum(CAST(genotype <> '_' AND base <> genotype AS INT)) AS mismatches FROM us JOIN cb ON us.locus = cb.locus AND us.pos = cb.pos GROUP BY 1, 2, 3),
+pr AS (SELECT a.locus, a.cluster AS c1, b.cluster AS c2, sum(greatest(a.ll, b.ll) + ln((1 + exp(-abs(a.ll - b.ll))) / 2)) AS ll, sum(least(a.mismatches, b.mismatches)) AS min_mismatches FROM ll a JOIN ll b ON a.locus = b.locus AND a.read = b.read AND a.cluster <= b.cluster GROUP BY 1, 2, 3),
+mx AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY locus)) AS e FROM pr), sm AS (SELECT *, e / sum(e) OVER (PARTITION BY locus) AS p FROM mx),
+ma AS (SELECT locus, cluster, sum(p) AS p FROM (SELECT locus, c1 AS cluster, p FROM sm UNION ALL SELECT locus, c2, p FROM sm WHERE c1 <> c2) x GROUP BY 1, 2),
+f1 AS (SELECT locus, cluster AS first, p AS q1 FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY p DESC, cluster) AS k FROM ma) x WHERE k = 1),
+s2 AS (SELECT f1.locus, first, q1, CASE WHEN c1 = first THEN c2 ELSE c1 END AS second, p, min_mismatches FROM sm JOIN f1 ON sm.locus = f1.locus AND (c1 = first OR c2 = first)),
+ty AS (SELECT locus, first, q1, second, p AS q2 FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY p DESC, min_mismatches, second) AS k FROM s2) x WHERE k = 1)"""
+
+
+def _exon_cells(spark: SparkSession) -> DataFrame:
+    """Exon files' cells of two loci: eight alleles, twelve places an exon."""
+    grid = spark.createDataFrame([("A", "exon_2"), ("A", "exon_3"), ("DQB1", "exon_2")], "locus string, exon string").crossJoin(spark.range(96).select((F.col("id") / 12).cast("int").alias("a"), (F.col("id") % 12).cast("int").alias("exon_pos")))  # 288 rows
+    half = F.floor(F.col("a") / 2)
+    base = F.when((F.col("exon_pos") == 7) & (F.col("a") % 3 == 1), "_").otherwise(F.substr(F.lit("ACGT"), ((half * 7 + F.col("exon_pos") * 3 + half * F.col("exon_pos") % 5) % 4 + 1).cast("int"), F.lit(1)))
+    name = F.concat("locus", F.lit("*"), F.lpad(F.col("a").cast("string"), 2, "0"))
+    return grid.select("locus", "exon", name.alias("allele"), F.concat_ws("_", "locus", "exon", F.col("exon_pos").cast("string")).alias("locus_id"), "exon_pos", base.alias("base"))
+
+
+def _levels(cells: DataFrame) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    return cells.select("locus_id").distinct().withColumn("level", F.row_number().over(W.orderBy("locus_id")) + 99)  # a row for each place
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    cells = _exon_cells(spark)
+    placed = ty.exon_levels(cells, _levels(cells), ty.exon_table(spark))
+    clusters = ty.allele_clusters(placed)
+    bases = clusters.join(placed, ["locus", "allele"]).select("locus", "cluster", "pos", "base").distinct()
+    key, second = F.col("l_orderkey"), F.col("l_orderkey") % 3 == 0
+    genotype = F.when(F.col("l_partkey") % 11 == 0, "_").when(F.col("l_partkey") % 11 == 1, "AC").otherwise(F.substr(F.lit("ACGT"), (F.col("l_suppkey") % 4 + 1).cast("int"), F.lit(1)))
+    ob = table(spark, sf_dir, "lineitem").select(
+        F.when(second, "DQB1").otherwise("A").alias("locus"), key.alias("read"), ((F.floor(key / 3) + F.col("l_linenumber") * 5) % F.when(second, 12).otherwise(24)).cast("int").alias("pos"), genotype.alias("genotype"), (1 - F.col("l_discount") - 0.002).alias("p"), (1 - F.col("l_tax") * 5).alias("mapq_position")
+    )
+    return ob, placed, clusters, bases
+
+
+@query(f"WITH {_CHAIN} SELECT * FROM ce")
+def exon_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _exon_cells(spark)
+    return ty.exon_levels(cells, _levels(cells), ty.exon_table(spark))
+
+
+@query(f"WITH {_CHAIN} SELECT locus, pos, genotype, count(*) AS n, round(avg(mapq_position), 9) AS mean_quality FROM us GROUP BY 1, 2, 3")
+def usable_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use = ty.usable(_chain(spark, sf_dir)[0])
+    return use.groupBy("locus", "pos", "genotype").agg(F.count("*").alias("n"), F.round(F.avg("mapq_position"), 9).alias("mean_quality"))
+
+
+@query(f"WITH {_CHAIN} SELECT locus, first, round(q1, 6) AS q1, second, round(q2, 6) AS q2 FROM ty")
+def typed_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ob, _, _, bases = _chain(spark, sf_dir)
+    return ty.type_alleles(ob, bases).withColumns({"q1": F.round("q1", 6), "q2": F.round("q2", 6)})
+
+
+@query(f"""WITH {_CHAIN}, ca AS (SELECT locus, 1 AS chromosome, first AS cluster, q1 AS q, q2 FROM ty UNION ALL SELECT locus, 2, second, q2, q2 FROM ty),
+me AS (SELECT locus, cluster, string_agg(allele, ';' ORDER BY allele) AS allele, min(allele) AS one FROM cl GROUP BY 1, 2), na AS (SELECT ca.*, allele, one FROM ca JOIN me ON ca.locus = me.locus AND ca.cluster = me.cluster),
+uc AS (SELECT locus, pos, genotype, count(*) AS n FROM us GROUP BY 1, 2, 3), pl AS (SELECT DISTINCT locus, pos FROM ce), cv AS (SELECT pl.locus, pl.pos, CAST(coalesce(sum(n), 0) AS BIGINT) AS cov FROM pl LEFT JOIN uc ON pl.locus = uc.locus AND pl.pos = uc.pos GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY cov) - 1 AS k, count(*) OVER (PARTITION BY locus) AS m FROM cv), dp AS (SELECT locus, avg(cov) AS avg_cov, max(CASE WHEN k = m // 10 THEN cov END) AS cov_decile1, min(cov) AS min_cov FROM rk GROUP BY 1),
+bs AS (SELECT na.locus, chromosome, pos, exon_ord, exon_pos, base FROM na JOIN ce ON na.locus = ce.locus AND na.one = ce.allele),
+se AS (SELECT uc.*, NOT EXISTS (SELECT 1 FROM bs WHERE bs.locus = uc.locus AND bs.pos = uc.pos AND bs.base = uc.genotype) AS wrong, sum(n) OVER (PARTITION BY locus, pos) AS t FROM uc),
+er AS (SELECT locus, sum(CASE WHEN wrong THEN n ELSE 0 END) / sum(n) AS avg_col_error, sum(CASE WHEN wrong AND t >= 30 AND n >= 0.2 * t THEN 1 ELSE 0 END) AS n_unaccounted FROM se GROUP BY 1),
+gr AS (SELECT allele, 'G' || CAST(CAST(substr(allele, length(allele) - 1) AS INT) // 3 AS VARCHAR) AS g FROM (SELECT DISTINCT allele FROM cl) x),
+vo AS (SELECT ca.locus, ca.cluster, g, count(*) AS n FROM (SELECT DISTINCT locus, cluster FROM ca) ca JOIN cl ON ca.locus = cl.locus AND ca.cluster = cl.cluster JOIN gr ON cl.allele = gr.allele GROUP BY 1, 2, 3),
+vw AS (SELECT locus, cluster, g, count(*) OVER (PARTITION BY locus, cluster) = 1 AS perfect, row_number() OVER (PARTITION BY locus, cluster ORDER BY n DESC, g) AS k FROM vo),
+km AS (SELECT locus, chromosome, substr(replace(s, '_', ''), CAST(i AS INT), 4) AS w FROM (SELECT locus, chromosome, exon_ord, string_agg(base, '' ORDER BY exon_pos) AS s FROM bs GROUP BY 1, 2, 3) x, unnest(range(1, greatest(length(replace(s, '_', '')) - 3, 0) + 1)) AS r(i)),
+kp AS (SELECT locus, chromosome, avg(CASE WHEN least(w, reverse(translate(w, 'ACGT', 'TGCA'))) < 'C' THEN 1.0 ELSE 0.0 END) AS prop FROM km GROUP BY 1, 2)
+SELECT na.locus, na.chromosome, na.allele, round(q, 6) AS q1, round(q2, 6) AS q2, round(avg_cov, 9) AS avg_cov, cov_decile1, min_cov, round(prop, 9) AS prop_kmers, round(avg_col_error, 9) AS avg_col_error, CAST(n_unaccounted AS BIGINT) AS n_unaccounted, vw.g AS g_group, perfect
+FROM na JOIN dp ON na.locus = dp.locus JOIN er ON na.locus = er.locus JOIN kp ON na.locus = kp.locus AND na.chromosome = kp.chromosome JOIN vw ON na.locus = vw.locus AND na.cluster = vw.cluster AND vw.k = 1""")
+def best_guess_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table of typing, all k-mers that begin with A taken as seen and alleles in groups of three."""
+    from strandlake.operators import filters as fl
+
+    ob, placed, clusters, bases = _chain(spark, sf_dir)
+    typed = ty.type_alleles(ob, bases)
+    number = F.substr("allele", F.length("allele") - 1, F.lit(2)).cast("int")
+    groups = clusters.select("allele").distinct().withColumn("g_group", F.concat(F.lit("G"), F.floor(number / 3).cast("string")))
+    every = spark.range(256).select(F.concat(*[F.substr(F.lit("ACGT"), (F.floor(F.col("id") / 4**i) % 4 + 1).cast("int"), F.lit(1)) for i in (3, 2, 1, 0)]).alias("kmer")).where("kmer < 'C'")
+    out = ty.best_guess(ob, placed, typed, clusters, fl.kmer_set(every, "kmer", 4), groups, 4)
+    return out.withColumns({c: F.round(c, 9 if c in ("avg_cov", "prop_kmers", "avg_col_error") else 6) for c in ("q1", "q2", "avg_cov", "prop_kmers", "avg_col_error")})
+
+
+@query("""WITH c AS (SELECT p_partkey, substr('ACGT_', CAST(p_partkey % 5 + 1 AS INT), 1) || CASE WHEN p_size % 4 = 0 THEN substr('ACGT_', CAST(p_size % 5 + 1 AS INT), 1) ELSE '' END AS a,
+CASE WHEN p_partkey % 7 = 0 THEN '_' ELSE substr('ACGT', CAST(p_size % 4 + 1 AS INT), 1) || repeat('A', CAST(p_partkey % 3 AS INT)) END AS g, p_size / 51.0 AS p FROM part),
+s AS (SELECT p_partkey, i, length(a) AS n, substr(a, CAST(i AS INT), 1) AS x, CASE WHEN i > length(g) THEN '_' WHEN i = length(a) THEN substr(g, CAST(i AS INT)) ELSE substr(g, CAST(i AS INT), 1) END AS g, CASE WHEN p <= 0 THEN 0.001 ELSE least(p, 0.999) END AS p FROM c, unnest(range(1, length(a) + 1)) AS r(i)),
+l AS (SELECT p_partkey, CASE WHEN x = '_' THEN CASE WHEN g = '_' THEN 0 ELSE ln(0.001) + ln(0.25) - 1 - lgamma(CAST(length(g) AS DOUBLE)) END
+ELSE CASE WHEN g[1] = '_' THEN ln(0.001) ELSE ln(0.998) + CASE WHEN x = g[1] THEN ln(p) ELSE ln((1 - p) / 3) END END + CASE WHEN length(g) > 1 THEN ln(0.001) + ln(0.25) - 1 - lgamma(length(g) - 1.0) ELSE 0 END END AS ll FROM s)
+SELECT p_partkey, round(sum(ll), 8) AS ll FROM l GROUP BY 1""")
+def position_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes of several signs at alleles of one or two."""
+    from strandlake.functions import probability as pr
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    sign = lambda text, c, n: F.substr(F.lit(text), (c % n + 1).cast("int"), F.lit(1))
+    a = F.concat(sign("ACGT_", key, 5), F.when(size % 4 == 0, sign("ACGT_", size, 5)).otherwise(""))
+    g = F.when(key % 7 == 0, "_").otherwise(F.concat(sign("ACGT", size, 4), F.expr("repeat('A', cast(p_partkey % 3 as int))")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(pr.position_log_likelihood(a, g, size / 51.0), 8).alias("ll"))
+
+
 _CAND = "c AS (SELECT o_custkey AS pair, CAST(o_orderkey % 2 + 1 AS INT) AS mate, o_orderkey AS aln, -(o_totalprice / 100000) AS ll, o_orderkey % 900 AS pos FROM orders)"
 
 

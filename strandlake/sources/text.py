@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Signs of a missing allele; sections of a graph file and the separator of its fields; sentinel rows of a count file.
@@ -164,19 +163,6 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.get(v, i).cast(t).alias(n) for i, (n, t) in enumerate(names)]).withColumn("chrom", F.regexp_replace("chrom", "^chr", ""))
 
 
-def write_sam(df: DataFrame, path: str) -> None:
-    """Records (read_id, flag, chrom, levels, g, s, mapq, qual): CIGAR strings come from the aligned columns."""
-    op = F.when(F.col("x.g") == "_", "I").when(F.col("x.s") == "_", "D").otherwise("M")
-    cols = df.select("read_id", F.posexplode(F.arrays_zip(F.split("g", "").alias("g"), F.split("s", "").alias("s"))).alias("i", "x")).where("NOT (x.g = '_' AND x.s = '_')").select("read_id", "i", op.alias("op"))
-    w = W.partitionBy("read_id").orderBy("i")
-    run = F.sum(F.when(F.col("op") == F.lag("op").over(w), 0).otherwise(1)).over(w)
-    parts = cols.select("read_id", run.alias("r"), "op").groupBy("read_id", "r", "op").agg(F.count("*").alias("n"))
-    cigars = parts.groupBy("read_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "n", "op"))), lambda p: F.concat(p["n"].cast("string"), p["op"])), "").alias("cigar"))
-    pos = F.array_min(F.filter("levels", lambda x: x >= 0))
-    row = df.join(cigars, "read_id").select(F.concat_ws("\t", "read_id", F.col("flag").cast("string"), "chrom", pos.cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.translate("s", "_", ""), "qual").alias("value"))
-    row.write.mode("overwrite").text(path)
-
-
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, id, ref, alt array, filter, gt array, a1, a2) of the first sample; both phased and unphased genotypes."""
     v = F.split("value", "\t")

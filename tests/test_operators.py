@@ -144,8 +144,8 @@ def test_typing_finds_the_simulated_pair(spark):
     for read in range(120):
         c = (1, 3)[read % 2]
         start = rng.randint(0, 25)
-        rows += [("L", read, p, alleles[c][p] if rng.random() > 0.02 else rng.choice("ACGT"), 0.98) for p in range(start, start + 15)]
-    obs = spark.createDataFrame(rows, "locus string, read int, pos int, genotype string, p double")
+        rows += [("L", read, p, alleles[c][p] if rng.random() > 0.02 else rng.choice("ACGT"), 0.98, 0.9) for p in range(start, start + 15)]
+    obs = spark.createDataFrame(rows, "locus string, read int, pos int, genotype string, p double, mapq_position double")
     ref = spark.createDataFrame([("L", c, p, b) for c, s in alleles.items() for p, b in enumerate(s)], "locus string, cluster int, pos int, base string")
     r = ty.type_alleles(obs, ref).first()
     assert {r.first, r.second} == {1, 3} and r.q1 > 0.99

@@ -32,7 +32,7 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     name, quality = F.regexp_replace(at(0), "^Read ", ""), F.split(at(3), " ")
     return each.select(
         "pair",
-        F.floor(F.col("k") / 2).cast("int").alias("aln"),
+        F.coalesce(F.when(name.rlike(r"A\d+$"), F.regexp_extract(name, r"A(\d+)$", 1).cast("int")), F.floor(F.col("k") / 2).cast("int")).alias("aln"),
         (F.col("k") % 2 + 1).alias("mate"),
         F.regexp_replace(name, r"A\d+$", "").alias("read_id"),
         at(1).cast("double").alias("score"),

@@ -57,6 +57,26 @@ def first_valid(s: Column, k: int) -> Column:
     return F.regexp_instr(s, F.lit(f"[ACGT]{{{k}}}"))
 
 
+def split_string(s: Column, delimiter: str) -> Column:
+    """Fields between a delimiter of one or more signs, taken literally; an empty delimiter gives the signs, and an empty last field stays."""
+    return chars(s) if not delimiter else F.split(s, "\\Q" + delimiter + "\\E", -1)
+
+
+def split_sign(s: Column, delimiter: str) -> Column:
+    """Fields between one sign; an empty last field goes, and an empty text has none."""
+    parts = F.split(s, "\\Q" + delimiter + "\\E", -1)
+    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def bit(n: Column, place: Column) -> Column:
+    """The bit of a number at a place, from 0."""
+    return F.call_function("getbit", n, place)
+
+
+def complement(c: Column) -> Column:
+    return F.translate(c, BASES, COMPLEMENTS)
+
+
 def remove_gaps(s: Column) -> Column:
     return F.translate(s, GAPS, "")
 

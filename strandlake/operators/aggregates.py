@@ -164,3 +164,27 @@ def alignment_tallies(columns: DataFrame, by: list[str], gap: str = "_") -> Data
 def coverage_estimate(total: Column, read_length: Column, k: int, genome: float = 3.2e9) -> Column:
     """Haploid k-mer coverage from the bases sequenced."""
     return total / (2 * F.lit(genome)) * (read_length - k + 1) / read_length
+
+
+def mean_and_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, mean, median): the median is the upper one of an even number of values."""
+    return at_index(df, by, value, {"median": UPPER_MEDIAN})
+
+
+def graph_coverage(edge_kmers: DataFrame, counts: DataFrame, repeats: DataFrame, otherwise: float) -> DataFrame:
+    """(coverage, n_kmers) of a haplotype: half the mean count of the k-mers (level, edge_id, kmer, copies) of levels with one edge, repeats, gaps and unknown ones left out; ``otherwise`` where there are none."""
+    single = edge_kmers.groupBy("level").agg(F.countDistinct("edge_id").alias("_n")).where("_n = 1").select("level")
+    plain = edge_kmers.join(single, "level", "left_semi").where(~F.col("kmer").isin("_", "*")).join(repeats.select("kmer"), "kmer", "left_anti")
+    rows = plain.join(counts.select("kmer", "n"), "kmer", "left")
+    total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_kmers"), F.sum(F.coalesce("n", F.lit(0))).alias("_s"))
+    return total.select(F.when(F.col("n_kmers") > 0, 0.5 * F.col("_s") / F.col("n_kmers")).otherwise(F.lit(otherwise)).alias("coverage"), "n_kmers")
+
+
+def alignment_summary(pairs: DataFrame) -> DataFrame:
+    """One row of pairs (strands_ok, distance, distance_ok, fraction1, fraction2): pairs, those in order, those at a likely distance, its mean and upper median, the mean fraction, pairs with a perfect mate and perfect mates."""
+    n = lambda c: F.count(F.when(c, 1))
+    perfect = lambda c: F.when(F.col(c) == 1, 1).otherwise(0)
+    both = perfect("fraction1") + perfect("fraction2")
+    whole = pairs.agg(F.count("*").alias("n_pairs"), n(F.col("strands_ok")).alias("n_ordered"), n(F.col("strands_ok") & F.col("distance_ok")).alias("n_likely"), F.avg((F.col("fraction1") + F.col("fraction2")) / 2).alias("mean_fraction"), n(both > 0).alias("n_one_perfect"), F.sum(both).alias("n_perfect"))
+    middle = mean_and_median(pairs.where("strands_ok").withColumn("_all", F.lit(1)), ["_all"], "distance").select(F.col("mean").alias("mean_distance"), F.col("median").alias("median_distance"))
+    return whole.join(middle, how="left")  # a row each

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.functions import sequences as sq
+from strandlake.functions.expressions import draw
 from strandlake.lineage import stash
 
 #: K-mers of a set that is broadcast at most, about 100 bytes each.
@@ -119,7 +122,45 @@ def every_nth(df: DataFrame, order: list[str], n: int, by: list[str]) -> DataFra
 
 def downsample(df: DataFrame, key: str, share: float) -> DataFrame:
     """Rows whose key hashes below ``share``: all rows of a key stay or go together, on every run."""
-    return df.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.where(draw(F.col(key)) < int(share * 1_000_000))
+
+
+def capped_starts(records: DataFrame, key: str, start: list[str], most: int) -> DataFrame:
+    """Records of at most about ``most`` keys for each place where records start.
+
+    A key is drawn where it first starts, and all its records stay or go with
+    that; places with no more keys than that keep them all. Records without a
+    place (pos 0) stay.
+    """
+    first = records.groupBy(key).agg(F.min(F.struct(*start)).alias("_at"))
+    rate = F.lit(most) / F.count("*").over(W.partitionBy("_at"))
+    kept = first.withColumn("_rate", rate).where((F.col("_at.pos") == 0) | (F.col("_rate") >= 1) | (draw(F.col(key)) <= F.col("_rate") * 1_000_000))
+    return records.join(kept.select(key), key, "left_semi")
+
+
+def extractable_contigs(stats: DataFrame, k: int, least_in: float = 0.8, least_length: int = 50, least_unique: float = 0.5, most_elsewhere: float = 0.3) -> DataFrame:
+    """(contig_id, first_pos, last_pos) of contigs mostly in the region whose stretch between unique k-mers is long, mostly unique and seldom elsewhere; tests are left out."""
+    good = (F.col("in_set") > least_in) & (F.col("stretch_length") > least_length) & (F.col("stretch_unique") > least_unique) & (F.col("stretch_elsewhere") <= most_elsewhere)
+    return stats.where(good & ~F.col("contig_id").startswith("TEST")).select("contig_id", F.col("first_unique").alias("first_pos"), (F.col("last_unique") + k - 1).alias("last_pos"))
+
+
+def masked(reference: DataFrame, intervals: DataFrame, fill: str = "N") -> DataFrame:
+    """Sequences (chrom, seq) with all places of closed intervals (chrom, start, end), from 1, replaced; intervals may overlap or reach beyond the end.
+
+    Intervals of a chromosome are merged first and its string is cut once, so
+    the work is linear in its length.
+    """
+    w = W.partitionBy("chrom").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    parts = intervals.where("start <= end").withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("chrom", "_run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    lists = parts.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_m"))
+    n = F.length("seq")
+    last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_m", i - 1)["b"])
+    a, b = (lambda m: F.greatest(m["a"], F.lit(1))), (lambda m: F.least(m["b"], n))
+    piece = lambda m, i: F.concat(F.substr("seq", last(i) + 1, F.greatest(a(m) - last(i) - 1, F.lit(0))), F.repeat(F.lit(fill), F.greatest(b(m) - a(m) + 1, F.lit(0)).cast("int")))
+    tail = F.substr("seq", F.get("_m", F.size("_m") - 1)["b"] + 1, n)
+    return reference.join(lists, "chrom", "left").select("chrom", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(F.transform("_m", piece), ""), tail)).alias("seq"))
 
 
 def call_or_nothing(quality: Column, covered: Column, least_quality: float, least_covered: float, call: Column, nothing: str = "??:??") -> Column:
@@ -139,16 +180,28 @@ def useful_kmers(stats: DataFrame, repeats: DataFrame, most_observed: int) -> Da
 
 
 def greedy_windows(records: DataFrame, by: str = "chrom") -> DataFrame:
-    """Records (pos, ref, ...) that do not overlap the span of the last one kept, in order of pos; a state runs along each group, so this is a grouped function."""
-    import pandas as pd
+    """Records (pos, ref, ...) that do not overlap the span of the last one kept, in order of pos, ref and the other columns.
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos", "ref"], kind="stable")
-        end, rows = -1, []
-        for k, (pos, ref) in enumerate(zip(group["pos"], group["ref"], strict=True)):
-            if pos > end:
-                rows.append(k)
-                end = pos + len(ref) - 1
-        return group.iloc[rows]
+    A record beyond all before it is kept whatever those were, so each run of
+    records that reach into one another is dealt out on its own, and the state
+    runs along it.
+    """
+    import pandas as pd
 
-    return records.groupBy(by).applyInPandas(keep, records.schema)
+    more = [c for c in records.columns if c not in (by, "pos", "ref")]
+    w = W.partitionBy(by).orderBy("pos", "ref", *more)
+    reach = F.max(F.col("pos") + F.length("ref") - 1).over(w.rowsBetween(W.unboundedPreceding, -1))
+    runs = records.withColumn("_new", F.when(reach.isNull() | (F.col("pos") > reach), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, end = None, -1
+        for part in parts:
+            rows = []
+            for k, (name, run, pos, ref) in enumerate(zip(part[by], part["_run"], part["pos"], part["ref"], strict=True)):
+                if (name, run) != at or pos > end:
+                    rows.append(k)
+                    at, end = (name, run), pos + len(ref) - 1
+            yield part.iloc[rows].drop(columns="_run")
+
+    sorted_ = runs.repartition(by, "_run").sortWithinPartitions(by, "_run", "pos", "ref", *more)
+    return sorted_.mapInPandas(keep, records.schema)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
-from strandlake.functions.expressions import upto
+from strandlake.functions.expressions import draw, upto
 from strandlake.lineage import stash
 
 GAP, UNKNOWN = "_", "*"
@@ -191,11 +192,32 @@ def collapsed(edges: DataFrame, base: str | None = None) -> DataFrame:
 # --- upkeep --------------------------------------------------------------------
 
 
-def trimmed(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Edges on a path to the last level; those that end before go, round by round."""
+def _ahead_of_end(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one graph that lead to its last level, level by level from there."""
+    group = group.sort_values("level", kind="stable", ignore_index=True)
+    level, a, b = (group[c].to_numpy() for c in ("level", "from_id", "to_id"))
+    keep = level == level[-1]
+    edge = np.r_[0, np.flatnonzero(level[1:] != level[:-1]) + 1, len(level)]
+    goes = a[keep]
+    for i, j in zip(edge[-3::-1], edge[-2:0:-1], strict=False):
+        keep[i:j] = np.isin(b[i:j], goes)
+        goes = a[i:j][keep[i:j]]
+    return group[keep]
+
+
+def trimmed(edges: DataFrame, rounds: int = 10_000, most_edges: int = 2_000_000) -> DataFrame:
+    """Edges on a path to the last level.
+
+    Where no graph has more than ``most_edges``, a graph is a group of its own,
+    folded from its last level on; larger ones lose the edges that end before it
+    round by round.
+    """
+    largest = edges.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
+    if largest <= most_edges:
+        return edges.groupBy("graph").applyInPandas(_ahead_of_end, edges.schema)
     left = edges
     last = stash(edges.groupBy("graph").agg(F.max("level").alias("_last")), "last")
-    for n in range(rounds):
+    for _ in range(rounds):
         starts = left.select("graph", F.col("from_id").alias("to_id")).distinct()
         dead = left.join(last, "graph").where("level < _last").join(starts, ["graph", "to_id"], "left_anti").select("graph", "edge_id")
         dead = stash(dead, "dead")
@@ -248,7 +270,7 @@ def node_sums(edges: DataFrame) -> DataFrame:
 
 def with_gaps(edges: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
     """Edges of which a share, drawn by hash and so the same on every run, becomes a gap."""
-    return edges.withColumn("symbol", F.when(F.pmod(F.xxhash64("graph", "edge_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000), GAP).otherwise(F.col("symbol")))
+    return edges.withColumn("symbol", F.when(draw(F.lit(seed), F.col("graph"), F.col("edge_id"), most=10_000) < int(share * 10_000), GAP).otherwise(F.col("symbol")))
 
 
 def path_strings(path: DataFrame, edges: DataFrame) -> DataFrame:

@@ -114,6 +114,19 @@ def sampled_paths(ll: list[np.ndarray], start: np.ndarray, steps: list[np.ndarra
     return out
 
 
+def all_best_paths(ll: list[np.ndarray], start: np.ndarray, steps: list[np.ndarray], most: int = 1000) -> list[list[int]]:
+    """State numbers of the paths of one sample that score as the best one and end as it does, in order, ``most`` of them; a step back branches where several states score alike."""
+    score, before = [start + ll[0]], []
+    for t, here in zip(steps, ll[1:], strict=True):
+        through = score[-1][:, None] + t
+        before.append(through == through.max(0))
+        score.append(through.max(0) + here)
+    paths = [[int(score[-1].argmax())]]
+    for ties in reversed(before):
+        paths = [[int(k), *p] for p in paths for k in np.flatnonzero(ties[:, p[0]])][:most]
+    return sorted(paths)
+
+
 _DECODED = "sample string, draw int, level int, state string, score double"
 
 

@@ -72,3 +72,37 @@ def seed_hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     found = rows.join(index.select("kmer").distinct(), "kmer", "left_semi").groupBy("read_id").pivot("strand", ["forward", "reverse"]).count()
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return reads.select("read_id").join(found, "read_id", "left").select("read_id", n("forward").alias("forward"), n("reverse").alias("reverse"), F.when(n("reverse") > n("forward"), "reverse").otherwise("forward").alias("strand"))
+
+
+def panel_alleles(records: DataFrame, panel: DataFrame, by: list[str]) -> DataFrame:
+    """Records (.., allele) with known, whether the panel (.., allele) has the place, and present, whether it has the allele there."""
+    places = panel.select(*by).distinct().withColumn("_place", F.lit(True))
+    alleles = panel.select(*by, "allele").distinct().withColumn("_allele", F.lit(True))
+    out = records.join(places, by, "left").join(alleles, [*by, "allele"], "left")
+    return out.withColumn("known", F.coalesce("_place", F.lit(False))).withColumn("present", F.coalesce("_allele", F.lit(False))).drop("_place", "_allele")
+
+
+def labelled(samples: DataFrame, populations: DataFrame, key: str, label: str, missing: str = "unknown") -> DataFrame:
+    """Samples with the label of their population, or that of none."""
+    return samples.join(populations.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit(missing)))
+
+
+def kmer_union(parts: list[DataFrame]) -> DataFrame:
+    """Canonical k-mers of any of the sets, each once, with how many of them have it."""
+    out = None
+    for part in parts:
+        one = part.select(sq.canonical(F.col("kmer")).alias("kmer")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kmer").agg(F.count("*").alias("n_sets"))
+
+
+def required_kmers(edges: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Different symbols of a graph's edges but gaps and unknown ones."""
+    return edges.where(~F.col(symbol).isin("_", "*") & ~F.col(symbol).contains("*")).select(F.col(symbol).alias("kmer")).distinct()
+
+
+def unique_alignments(alignments: DataFrame, identity: list[str], order: list) -> DataFrame:
+    """One alignment of each identity, the first by ``order``."""
+    from strandlake.operators.windows import best_row
+
+    return best_row(alignments, identity, order)

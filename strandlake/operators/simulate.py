@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.expressions import draw
+
 BASES = "ACGT"
 _COMPLEMENT = str.maketrans("ACGTN", "TGCAN")
 
@@ -104,7 +106,7 @@ def random_paths(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
 
 def phased_at_random(genotypes: DataFrame, seed: int = 1) -> DataFrame:
     """Genotypes (individual_id, locus_id, a1, a2) as haplotypes h1 and h2, in either order by the key's hash."""
-    flip = F.pmod(F.xxhash64("individual_id", "locus_id", F.lit(seed)), F.lit(2)) == 1
+    flip = draw(F.lit(seed), F.col("individual_id"), F.col("locus_id"), most=2) == 1
     return genotypes.select("individual_id", "locus_id", F.when(flip, F.col("a2")).otherwise(F.col("a1")).alias("h1"), F.when(flip, F.col("a1")).otherwise(F.col("a2")).alias("h2"))
 
 

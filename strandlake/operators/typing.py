@@ -212,9 +212,9 @@ def haplotype_beam(observations: DataFrame, starts: dict[int, str] | None = None
     return observations.groupBy("locus").applyInPandas(search, "locus string, h1 string, h2 string, score double")
 
 
-def similar_haplotypes(called: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
-    """(by, reference_id, distance) of a called haplotype to every reference of its locus, places unknown in either left out."""
-    return called.join(reference, by).select(*by, "reference_id", sq.hamming(F.col("seq"), F.col("reference_seq")).alias("distance"))
+def similar_haplotypes(called: DataFrame, reference: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(key, by, reference_id, distance) of each called haplotype (key, by, seq) to every reference (by, reference_id, reference_seq) of its locus, places unknown in either left out."""
+    return called.join(reference, by).select(key, *by, "reference_id", sq.hamming(F.col("seq"), F.col("reference_seq")).alias("distance"))
 
 
 def mapping_confidence(candidates: DataFrame) -> DataFrame:

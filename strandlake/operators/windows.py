@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.functions.expressions import draw
+
 
 def islands(points: DataFrame, by: list[str], point: str) -> DataFrame:
     """(by, start, end, n): maximal runs of consecutive distinct integers."""
@@ -71,3 +73,8 @@ def gap_runs(columns: DataFrame, by: list[str], order: str, base: str, other: st
 def top_rows(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group with their rank."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def random_best(df: DataFrame, by: list[str], value: str, key: str, seed: int = 1) -> DataFrame:
+    """The row with the highest value of each group; among equal ones a draw by the key, the same on every run."""
+    return best_row(df.withColumn("_draw", draw(F.lit(seed), F.col(key))), by, [F.col(value).desc(), "_draw", key]).drop("_draw")

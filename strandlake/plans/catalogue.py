@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import graph_queries, model_queries, relational_queries, sequence_queries, source_queries
+from strandlake.plans import graph_queries, model_queries, record_queries, relational_queries, sequence_queries, source_queries
 
-_PARTS = (sequence_queries, relational_queries, model_queries, graph_queries, source_queries)
+_PARTS = (sequence_queries, relational_queries, model_queries, graph_queries, source_queries, record_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 #: Sums that DuckDB makes 128 bits wide or exact decimals of, by query.

@@ -130,7 +130,12 @@ def typing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_locus.withColumns({"call_rate": F.round("call_rate", 9), "accuracy": F.round("accuracy", 9)})
 
 
-@query()
+@query("""WITH m AS (SELECT repeat('ACGTTGCA', CAST(max(p_partkey) // 3 AS INT) + 2) AS seq FROM part), c AS (SELECT CAST(i AS VARCHAR) AS chrom, seq FROM m, unnest([1, 2, 3]) AS r(i)),
+r AS (SELECT CAST(p_partkey % 3 + 1 AS VARCHAR) AS chrom, CAST(p_partkey // 3 * 8 + 3 AS INT) AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'GT' ELSE 'G' END AS a1, CASE WHEN p_partkey % 5 = 0 THEN 'GTTA' ELSE 'GT' END AS a2 FROM part),
+o AS (SELECT r.*, seq, coalesce(lag(pos + 2) OVER w, 1) AS f, lead(pos) OVER w AS nx, greatest(length(a1), length(a2)) AS n FROM r JOIN c ON r.chrom = c.chrom WINDOW w AS (PARTITION BY r.chrom ORDER BY pos)),
+s AS (SELECT chrom, pos * 3 - 1 AS k, CAST(f AS BIGINT) AS pos, substr(seq, f, pos - f) AS a1, NULL AS a2 FROM o UNION ALL SELECT chrom, pos * 3, pos, rpad(a1, CAST(n AS INT), '_'), CASE WHEN a1 <> a2 THEN rpad(a2, CAST(n AS INT), '_') END FROM o
+UNION ALL SELECT chrom, pos * 3 + 1, pos + 2, substr(seq, pos + 2), NULL FROM o WHERE nx IS NULL UNION ALL SELECT chrom, 0, 1, seq, NULL FROM c WHERE chrom NOT IN (SELECT chrom FROM r))
+SELECT chrom, CAST(row_number() OVER (PARTITION BY chrom ORDER BY k) - 1 AS INT) AS seg_ord, pos, a1, a2 FROM s WHERE a1 <> ''""")
 def variant_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genome strings of three made-up chromosomes with parts as their records."""
     p = table(spark, sf_dir, "part")
@@ -141,7 +146,8 @@ def variant_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.records_to_segments(rec, ref)
 
 
-@query()
+@query("""WITH g AS (SELECT o_custkey, o_orderkey, o_orderstatus AS a1, substr(o_orderpriority, 1, 1) AS a2, CAST('0x' || substr(md5('1|' || o_custkey || '|' || o_orderkey), 1, 8) AS BIGINT) % 2 = 1 AS flip FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS individual_id, CAST(o_orderkey AS VARCHAR) AS locus_id, CASE WHEN flip THEN a2 ELSE a1 END AS h1, CASE WHEN flip THEN a1 ELSE a2 END AS h2 FROM g""")
 def random_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("individual_id"), F.col("o_orderkey").cast("string").alias("locus_id"), F.col("o_orderstatus").alias("a1"), F.substr("o_orderpriority", F.lit(1), F.lit(1)).alias("a2"))
     return simulate.phased_at_random(g)

@@ -252,13 +252,18 @@ def emission_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.emissions(k, counts, hmm.diploid_states(e), 10.0, 0.01).withColumn("ll", F.round("ll", 6))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS sample, day(ts) AS d, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS x FROM events GROUP BY 1, 2),
+s AS (SELECT sample, CAST(dense_rank() OVER (PARTITION BY sample ORDER BY d) AS INT) AS level, -x * 4 AS c, (x - 1) * 2 AS r FROM e),
+p AS (SELECT sample, level, -0.6931471805599453::DOUBLE + c AS sc, -0.6931471805599453::DOUBLE + r AS sr, 'c' AS pc, 'r' AS pr FROM s WHERE level = 1
+UNION ALL SELECT s.sample, s.level, greatest(sc + ln(0.9), sr + ln(0.2)) + c, greatest(sc + ln(0.1), sr + ln(0.8)) + r, CASE WHEN sc + ln(0.9) >= sr + ln(0.2) THEN pc ELSE pr END || 'c', CASE WHEN sc + ln(0.1) >= sr + ln(0.8) THEN pc ELSE pr END || 'r' FROM p JOIN s ON s.sample = p.sample AND s.level = p.level + 1),
+b AS (SELECT sample, CASE WHEN sc >= sr THEN pc ELSE pr END AS path, greatest(sc, sr) AS score, row_number() OVER (PARTITION BY sample ORDER BY level DESC) AS k FROM p)
+SELECT sample, CAST(0 AS INT) AS draw, CAST(i AS INT) AS level, CASE substr(path, CAST(i AS INT), 1) WHEN 'c' THEN 'calm' ELSE 'rough' END AS state, round(score, 6) AS score FROM b, unnest(range(1, length(path) + 1)) AS q(i) WHERE k = 1""")
 def viterbi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best paths of users' hourly moods, two hidden states, from the share of errors; a grouped recursion that SQL does not express."""
+    """Best paths of users' daily moods, two hidden states, from the share of errors."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("sample"), F.dayofmonth("ts").alias("level")).agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("x"))
     states = e.select("sample", "level", F.explode(F.array(F.struct(F.lit("calm").alias("state"), (-F.col("x") * 4).alias("ll")), F.struct(F.lit("rough").alias("state"), ((F.col("x") - 1) * 2).alias("ll")))).alias("s")).select("sample", "level", "s.state", "s.ll", F.lit(-0.6931471805599453).alias("start"))
     steps = spark.range(1, 32).select(F.col("id").cast("int").alias("level"), F.explode(F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), F.lit(p).alias("p")) for a, b, p in (("calm", "calm", 0.9), ("calm", "rough", 0.1), ("rough", "calm", 0.2), ("rough", "rough", 0.8))])).alias("t")).select("level", "t.*")
-    return hmm.decode(_dense(states), steps)
+    return hmm.decode(_dense(states), steps).withColumn("score", F.round("score", 6))
 
 
 def _dense(states: DataFrame) -> DataFrame:
@@ -268,7 +273,10 @@ def _dense(states: DataFrame) -> DataFrame:
     return states.withColumn("level", F.dense_rank().over(W.partitionBy("sample").orderBy("level")))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT CAST(o_custkey % 10 AS VARCHAR) AS chrom, CAST(o_orderkey % 20000 AS INT) AS pos, repeat('A', CAST(o_custkey % 9 + 1 AS INT)) AS ref, o_orderkey FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos, ref, o_orderkey) AS k FROM o),
+g AS (SELECT chrom, k, pos + length(ref) - 1 AS stop, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.chrom, n.k, CASE WHEN pos > stop THEN pos + length(ref) - 1 ELSE stop END, pos > stop FROM g JOIN n ON n.chrom = g.chrom AND n.k = g.k + 1)
+SELECT n.chrom, pos, ref, o_orderkey FROM n JOIN g ON n.chrom = g.chrom AND n.k = g.k WHERE keep""")
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as variant records: those that overlap the last one kept go."""
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).cast("string").alias("chrom"), (F.col("o_orderkey") % 20000).cast("int").alias("pos"), F.expr("repeat('A', cast(o_custkey % 9 + 1 as int))").alias("ref"), "o_orderkey")

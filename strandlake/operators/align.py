@@ -86,17 +86,19 @@ class Graph:
         self.order = sorted(self.level, key=lambda v: (self.level[v], v))
 
 
-def align_to_graph(text: str, graph: Graph, ends_free: bool = True) -> tuple[float, str, str, list[int]] | None:
+def align_to_graph(text: str, graph: Graph, ends_free: bool = True, starts: set[int] | None = None, ends: set[int] | None = None) -> tuple[float, str, str, list[int]] | None:
     """Best alignment of a whole sequence to some path: score, graph and sequence strings, and levels (-1 where the graph has no sign).
 
     Gap edges cost nothing; a sign of the sequence that no edge takes, or an
     edge that no sign takes, opens or extends an affine gap. With ``ends_free``
-    the path may begin and end on any level.
+    the path may begin and end on any level; ``starts`` and ``ends`` name the
+    nodes where it must.
     """
     n = len(text)
-    if not graph.edges or not n:
+    if not graph.edges or not n and not (starts and ends):
         return None
     first = min(graph.level.values())
+    begins = lambda v: v in starts if starts is not None else ends_free or graph.level[v] == first
     signs = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     inf = -np.inf
     m, d, s = {}, {}, {}  # match, edge without sign, sign without edge
@@ -113,7 +115,7 @@ def align_to_graph(text: str, graph: Graph, ends_free: bool = True) -> tuple[flo
 
     for v in graph.order:
         a, b = np.full(n + 1, inf), np.full(n + 1, inf)
-        if ends_free or graph.level[v] == first:
+        if begins(v):
             a[0] = 0.0
         for k in graph.into[v]:
             _, u, _, symbol, _ = graph.edges[k]
@@ -127,9 +129,9 @@ def align_to_graph(text: str, graph: Graph, ends_free: bool = True) -> tuple[flo
         m[v], d[v] = a, b
         s[v] = inserted(np.maximum(a, b))
     last = max(graph.level.values())
-    ends = [v for v in graph.order if ends_free or graph.level[v] == last]
+    stops = [v for v in graph.order if (v in ends if ends is not None else ends_free or graph.level[v] == last)]
     top = lambda v, j: max(m[v][j], d[v][j], s[v][j])
-    v = max(ends, key=lambda x: (top(x, n), -graph.level[x], -x))
+    v = max(stops, key=lambda x: (top(x, n), -graph.level[x], -x))
     score = float(top(v, n))
     if not math.isfinite(score):
         return None
@@ -138,7 +140,7 @@ def align_to_graph(text: str, graph: Graph, ends_free: bool = True) -> tuple[flo
     near = lambda x, y: math.isfinite(x) and abs(x - y) < 1e-9
     while True:
         here = {"m": m, "d": d, "s": s}[state][v][j]
-        if state == "m" and j == 0 and here == 0 and (ends_free or graph.level[v] == first):
+        if state == "m" and j == 0 and here == 0 and begins(v):
             break
         if state == "s":
             for i in range(j - 1, -1, -1):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import nomenclature as nm
 from strandlake.functions import probability as pr
 from strandlake.functions import sequences as sq
-from strandlake.operators import align, filters, graph, hmm, joins, simulate, validate, variants, windows
+from strandlake.operators import align, filters, graph, hmm, joins, seeding, simulate, validate, variants, windows
 from strandlake.operators import typing as ty
 
 
@@ -331,6 +331,96 @@ def test_reads_align_on_their_strand_and_chain(spark):
     assert chains["f"] == (0, 6, 3, 7) and "r" not in chains
 
 
+# --- seed and extend
+
+
+def _random_genome(rng, n=400):
+    """A graph of a random genome of stretches and of places with two alleles, gaps among them."""
+    segments, length = [], 0
+    while length < n:
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12)))
+        b = "".join(rng.choice("ACGT_") for _ in a) if segments and rng.random() < 0.4 else None
+        segments.append((a, b if b != a else None))
+        length += len(a)
+    edges, node, at, level = [], 0, 0, 0
+    for a, b in segments:
+        stop = node + 1
+        node += 1
+        for h in [x for x in (a, b) if x]:
+            before = at
+            for i, c in enumerate(h):
+                after = stop if i == len(h) - 1 else (node := node + 1)
+                edges.append((level + i, before, after, c, len(edges)))
+                before = after
+        at, level = stop, level + len(a)
+    return edges
+
+
+def _sampled(rng, edges, low=10, high=100):
+    """A path that begins and ends with a sign, and what it spells."""
+    out = {}
+    for e in edges:
+        out.setdefault(e[1], []).append(e)
+    while True:
+        e = rng.choice(edges)
+        path, want = [], rng.randint(low, high)
+        while e is not None and sum(x[3] != "_" for x in path) < want:
+            path.append(e)
+            e = rng.choice(out[e[2]]) if e[2] in out else None
+        while path and path[0][3] == "_":
+            path.pop(0)
+        while path and path[-1][3] == "_":
+            path.pop()
+        text = "".join(x[3] for x in path if x[3] != "_")
+        if len(text) >= low:
+            return path, text
+
+
+def test_a_chain_runs_along_every_sampled_path():
+    rng = random.Random(11)
+    for _ in range(1000):
+        edges = _random_genome(rng)
+        seeds = seeding.Seeds(edges, 5)
+        for _ in range(10):
+            path, text = _sampled(rng, edges)
+            chains = [c for c in seeds.chains(text) if c.first == path[0][1] and c.last == path[-1][2]]
+            assert any((c.begin, c.n) == (0, len(text)) and "".join(e[3] for e in c.edges if e[3] != "_") == text for c in chains)
+            assert all("".join(e[3] for e in c.edges if e[3] != "_") == text[c.begin : c.end] for c in chains)
+
+
+def test_seed_and_extend_scores_as_the_full_program_does():
+    rng = random.Random(12)
+    same = 0
+    for _ in range(60):
+        edges = _random_genome(rng, 150)
+        seeds, whole = seeding.Seeds(edges, 7), align.Graph(list(edges))
+        _, text = _sampled(rng, edges, 40, 80)
+        read = list(text)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(read))
+            read[i] = rng.choice(["", rng.choice("ACGT"), read[i] + rng.choice("ACGT")])
+        read = "".join(read)
+        got, want = seeding.extend(read, seeds), align.align_to_graph(read, whole)
+        if got is None:
+            continue
+        score, g, s, levels = got
+        assert s.replace("_", "") == read and len(g) == len(s) == len(levels) and score <= want[0] + 1e-9
+        assert score == pytest.approx(_plain_score(g, s)) and [x for x in levels if x >= 0] == sorted(x for x in levels if x >= 0)
+        same += score == pytest.approx(want[0])
+    assert same >= 50
+
+
+def test_seeded_reads_on_both_strands(spark):
+    rng = random.Random(13)
+    rows = _random_genome(rng, 300)
+    e = spark.createDataFrame([("g", lv, k, a, b, "l", c, 1.0) for lv, a, b, c, k in rows], graph.EDGES)
+    texts = [_sampled(rng, rows, 40, 80)[1] for _ in range(20)]
+    reads = spark.createDataFrame([(f"r{i}", t if i % 2 else comp(t)) for i, t in enumerate(texts)] + [("none", "NNNNNNNNNNNN"), ("null", None)], "read_id string, seq string")
+    got = {r.read_id: r for r in seeding.seeded_reads(reads, e, 11).collect()}
+    assert set(got) == {f"r{i}" for i in range(20)}
+    assert all(got[f"r{i}"].reverse == (i % 2 == 0) and got[f"r{i}"].score == 2.0 * len(t) and got[f"r{i}"].s.replace("_", "") == t for i, t in enumerate(texts))
+
+
 # --- variants and simulation
 
 

@@ -276,7 +276,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     nodes = counted.where("kind = 'page'").select("host", "path", "role", "branch", F.col("n").alias("m"))
     held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     base = F.ln(F.greatest(F.col("m"), F.lit(2)))
-    parts = counted.where("kind <> 'page'").join(nodes.drop("branch"), ["host", "path", "role"])
+    # a row for each path: broadcast where few enough, so that no task has all texts of a path
+    few = nodes.drop("branch")
+    parts = counted.where("kind <> 'page'").join(F.broadcast(few) if few.limit(BROADCAST + 1).count() <= BROADCAST else few, ["host", "path", "role"])
     single = F.when(F.col("kind") == "text", 1 - F.ln("n") / base)
     variant = F.when(F.col("kind") == "style", -(F.col("n") / F.col("m")) * F.ln(F.col("n") / F.col("m")) / base)
     sums = parts.groupBy("host", "path", "role").agg(F.sum(variant).alias("_styles"), (F.sum(F.col("n") * single) / F.sum(F.when(F.col("kind") == "text", F.col("n")))).alias("_texts"))

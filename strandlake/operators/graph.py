@@ -116,6 +116,26 @@ def graph_of_panel(panel: DataFrame, want: int = 25) -> DataFrame:
     return panel.groupBy("segment").applyInPandas(build, EDGES)
 
 
+def kmer_graph_of_panel(panel: DataFrame, k: int) -> DataFrame:
+    """Edges that emit k-mers straight from a panel (segment, haplotype_id, locus_id, level, allele).
+
+    A haplotype's edge at a level emits the k-mer that begins there over gaps,
+    or a gap where it has one or too few signs follow. Haplotypes whose next
+    k - 1 signs are alike share a node; counts are of haplotypes.
+    """
+    w = W.partitionBy("segment", "haplotype_id").orderBy("level")
+    text = lambda n: F.array_join(F.collect_list("allele").over(w.rowsBetween(0, n - 1)), "")
+    solid = panel.where(F.col("allele") != GAP).select("segment", "haplotype_id", "level", text(k).alias("_k"), text(k - 1).alias("_c"))
+    rows = panel.select("segment", "haplotype_id", "locus_id", "level").join(solid, ["segment", "haplotype_id", "level"], "left")
+    ahead = F.coalesce(F.first("_c", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), F.lit(""))
+    rows = rows.withColumn("_node", F.xxhash64("segment", "level", ahead))
+    after = F.coalesce(F.lead("_node").over(w), F.xxhash64("segment", F.col("level") + 1, F.lit("")))
+    rows = rows.withColumn("_to", after).withColumn("symbol", F.when(F.length("_k") == k, F.col("_k")).otherwise(GAP))
+    edges = rows.groupBy("segment", "level", "locus_id", "_node", "_to", "symbol").agg(F.count("*").cast("double").alias("count"))
+    number = F.xxhash64("segment", "level", "_node", "_to", "symbol")
+    return edges.select(F.col("segment").alias("graph"), "level", number.alias("edge_id"), F.col("_node").alias("from_id"), F.col("_to").alias("to_id"), "locus_id", "symbol", "count")
+
+
 def concatenated(edges: DataFrame, order: str = "graph") -> DataFrame:
     """One graph of all segments in order: levels and ids go on from segment to segment, and what ends one begins the next."""
     size = edges.groupBy(order).agg(F.max("level").alias("_l"), F.max("to_id").alias("_n"), F.max("edge_id").alias("_e"))
@@ -171,18 +191,25 @@ def kmer_index(edges: DataFrame, k: int) -> DataFrame:
     return paths.join(levels, "kmer").select("kmer", "graph", "level", "path", "unique")
 
 
-def collapsed(edges: DataFrame, base: str | None = None) -> DataFrame:
+def collapsed(edges: DataFrame, base: str | None = None, before_gap: int | None = None) -> DataFrame:
     """(graph, run, first_level, last_level, from_id, to_id, symbols): unbranched runs of levels as one edge each.
 
     A run goes on while a level has one edge, or with ``base`` for each of its
-    values; symbols are those of the run with their numbers.
+    values; with ``before_gap`` a new one begins that many levels before each
+    level at which gaps begin. symbols are those of the run with their numbers.
     """
     by = ["graph", *([base] if base else [])]
     width = edges.groupBy(*by, "level").agg(F.count("*").alias("_n"))
     rows = edges.join(width, [*by, "level"])
     plain = F.col("_n") == 1
     w = W.partitionBy(*by).orderBy("level", "edge_id")
-    new = F.when(plain & F.lag(plain, 1, False).over(w), 0).otherwise(1)
+    goes_on = plain & F.lag(plain, 1, False).over(w)
+    if before_gap is not None:
+        gaps = edges.groupBy("graph", "level").agg(F.bool_or(F.col("symbol") == GAP).alias("_g"))
+        begin = gaps.withColumn("_b", F.col("_g") & ~F.coalesce(F.lag("_g").over(W.partitionBy("graph").orderBy("level")), F.lit(False))).where("_b")
+        rows = rows.join(begin.select("graph", (F.col("level") - before_gap).alias("level"), F.lit(True).alias("_break")), ["graph", "level"], "left")
+        goes_on = goes_on & F.col("_break").isNull()
+    new = F.when(goes_on, 0).otherwise(1)
     rows = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     symbols = rows.groupBy(*by, "run", "symbol").agg(F.count("*").alias("_k")).groupBy(*by, "run").agg(sq.map_string(F.map_from_entries(F.collect_list(F.struct("symbol", "_k")))).alias("symbols"))
     ends = rows.groupBy(*by, "run").agg(F.min("level").alias("first_level"), F.max("level").alias("last_level"), F.min_by("from_id", "level").alias("from_id"), F.max_by("to_id", "level").alias("to_id"))
@@ -227,6 +254,33 @@ def trimmed(edges: DataFrame, rounds: int = 10_000, most_edges: int = 2_000_000)
     raise RuntimeError(f"edges still end early after {rounds} rounds")
 
 
+def reversed_graph(edges: DataFrame) -> DataFrame:
+    """The graph read backwards: its last level first, edges the other way round."""
+    span = edges.groupBy("graph").agg((F.min("level") + F.max("level")).alias("_s"))
+    back = {"level": (F.col("_s") - F.col("level")).cast("int"), "from_id": F.col("to_id"), "to_id": F.col("from_id")}
+    return edges.join(span, "graph").select(*[back.get(c, F.col(c)).alias(c) for c in edges.columns])
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Edges on a path from the first level to the last; a graph without such a path has none."""
+    span = lambda df: df.groupBy("graph").agg(F.min("level").alias("_a"), F.max("level").alias("_b"))
+    left = stash(reversed_graph(trimmed(reversed_graph(trimmed(edges)))), "connected")
+    return left.join(span(edges).join(span(left), ["graph", "_a", "_b"]).select("graph"), "graph", "left_semi")
+
+
+def without_unknown(edges: DataFrame) -> DataFrame:
+    """Edges less those of an unknown sign where their node has another way on, and what no path from end to end needs then."""
+    known = edges.where(F.col("symbol") != UNKNOWN).select("graph", "from_id", F.lit(True).alias("_other")).distinct()
+    kept = edges.join(known, ["graph", "from_id"], "left").where((F.col("symbol") != UNKNOWN) | F.col("_other").isNull()).select(*edges.columns)
+    return connected(kept)
+
+
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges less those of some nodes (graph, node), and what no path from end to end needs then."""
+    gone = lambda c: nodes.select("graph", F.col("node").alias(c))
+    return connected(edges.join(gone("from_id"), ["graph", "from_id"], "left_anti").join(gone("to_id"), ["graph", "to_id"], "left_anti").select(*edges.columns))
+
+
 def pruned(edges: DataFrame, edge_kmers: DataFrame, seen: DataFrame, least_edges: int = 10, most_absent: float = 0.5, protected: DataFrame | None = None) -> DataFrame:
     """Edges of wide levels whose k-mers the sample mostly has; where a level would lose all its edges, the first level from there on that lost any is protected and all starts anew."""
     hits = edge_kmers.join(seen.select("kmer", F.lit(1).alias("_s")), "kmer", "left").groupBy("graph", "edge_id").agg(F.avg(F.when(F.col("_s").isNull(), 1.0).otherwise(0.0)).alias("absent"))
@@ -302,38 +356,53 @@ def segments_to_edges(segments: DataFrame) -> DataFrame:
     return steps.select("graph", level.alias("level"), (level * 4 + F.col("_h")).cast("long").alias("edge_id"), node(level, F.col("_i") == 0).alias("from_id"), node(level + 1, F.col("_i") == F.col("_n") - 1).alias("to_id"), F.concat(F.lit("L"), level.cast("string")).alias("locus_id"), "symbol", F.lit(1.0).alias("count"))
 
 
-def contains(edges: list[tuple], text: str) -> bool:
-    """Whether a path of edges (from, to, symbol) spells a text; gaps spell nothing."""
-    out = defaultdict(list)
-    for a, b, s in edges:
-        out[a].append((b, s))
+class Spelling:
+    """Edges (from, to, symbol) by what they spell; gaps spell nothing."""
+
+    def __init__(self, edges: list[tuple]):
+        self.out: dict[tuple, list] = defaultdict(list)
+        self.first: dict[str, set] = defaultdict(set)
+        for a, b, s in edges:
+            self.out[a, s].append(b)
+            if s != GAP:
+                self.first[s].add(b)
 
-    def closed(nodes: set) -> set:
+    def _closed(self, nodes: set) -> set:
         queue = list(nodes)
         while queue:
-            for b, s in out[queue.pop()]:
-                if s == GAP and b not in nodes:
+            for b in self.out.get((queue.pop(), GAP), ()):
+                if b not in nodes:
                     nodes.add(b)
                     queue.append(b)
         return nodes
 
-    live = closed(set(out) | {b for _, b, _ in edges})
-    for c in text:
-        live = closed({b for a in live for b, s in out[a] if s == c})
-        if not live:
-            return False
-    return True
+    def contains(self, text: str) -> bool:
+        """Whether a path spells a text."""
+        live = self.first.get(text[0], set()) if text else {None}
+        for c in text[1:]:
+            live = {b for a in self._closed(set(live)) for b in self.out.get((a, c), ())}
+            if not live:
+                break
+        return bool(live)
+
+
+_SPELLINGS: dict[int, Spelling] = {}
 
 
 def sequences_present(sequences: DataFrame, edges: DataFrame, text: str = "seq") -> DataFrame:
-    """``sequences`` with present: whether the graph spells them. The graph, a region's, goes to every task; its size is checked."""
+    """``sequences`` with present: whether the graph spells them. The graph, a region's whose size is checked, goes to every executor once, and each worker arranges it once."""
     rows = [(r[0], r[1], r[2]) for r in edges.select("from_id", "to_id", "symbol").limit(2_000_001).collect()]
     if len(rows) > 2_000_000:
         raise ValueError("graph too large to hold; search its k-mers by kmer_index instead")
+    shared = sequences.sparkSession.sparkContext.broadcast(rows)
+    number = shared._jbroadcast.id()
 
     @F.pandas_udf("boolean")
     def present(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x is not None and contains(rows, x))
+        if number not in _SPELLINGS:
+            _SPELLINGS.clear()
+            _SPELLINGS[number] = Spelling(shared.value)
+        return s.map(lambda x: x is not None and _SPELLINGS[number].contains(x))
 
     return sequences.withColumn("present", present(F.col(text)))
 
@@ -407,3 +476,34 @@ def presence(sequences: DataFrame, table: DataFrame, k: int, key: str = "seq_id"
     return hit.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("coverage").isNotNull(), 1).otherwise(0)).alias("present"), F.sum(F.when(valid, 0).otherwise(1)).alias("invalid"), F.avg(F.coalesce("coverage", F.lit(0))).alias("mean_coverage"))
 
 
+
+
+def within_steps(table: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, kmer, steps): k-mers of a de Bruijn table that so many steps or fewer lead to from each start (kmer), either way along; the fewest steps."""
+    right = neighbours(table).select("kmer", F.col("neighbour").alias("other"))
+    steps = stash(right.unionByName(right.select(F.col("other").alias("kmer"), F.col("kmer").alias("other"))).distinct(), "steps")
+    known = table.select("kmer").join(starts.select("kmer"), "kmer", "left_semi").select(F.col("kmer").alias("start"), "kmer", F.lit(0).alias("steps"))
+    front = known
+    for n in range(1, depth + 1):
+        grown = front.select("start", "kmer").join(steps, "kmer").select("start", F.col("other").alias("kmer")).distinct()
+        front = stash(grown.join(known.select("start", "kmer"), ["start", "kmer"], "left_anti").withColumn("steps", F.lit(n)), "front")
+        if not front.limit(1).count():
+            break
+        known = known.unionByName(front)
+    return known
+
+
+def random_walks(table: DataFrame, starts: DataFrame, length: int, seed: int = 1) -> DataFrame:
+    """(start, step, kmer) of a walk from each start (kmer) to the right, each step drawn among those the table has by their coverage; a walk ends where there is none."""
+    steps = stash(neighbours(table).select("kmer", "neighbour", "coverage"), "steps")
+    front = table.select("kmer").join(starts.select("kmer"), "kmer", "left_semi").select(F.col("kmer").alias("start"), F.lit(0).alias("step"), "kmer")
+    out = front
+    for n in range(1, length + 1):
+        u = (draw(F.lit(seed), F.col("start"), F.lit(n), F.col("neighbour")) + 1) / 1_000_001.0
+        # the largest of u ** (1 / weight) is drawn in proportion to the weights
+        near = front.select("start", "kmer").join(steps, "kmer").withColumn("_u", F.pow(u, 1.0 / F.col("coverage")))
+        front = stash(near.groupBy("start").agg(F.max_by("neighbour", F.struct("_u", "neighbour")).alias("kmer")).select("start", F.lit(n).alias("step"), "kmer"), "front")
+        if not front.limit(1).count():
+            break
+        out = out.unionByName(front)
+    return out

@@ -153,7 +153,7 @@ class _Steps:
         return self.made[key]
 
 
-def _decoded(rows: pd.DataFrame, steps: _Steps, samples: int, seed: int) -> pd.DataFrame:
+def _decoded(rows: pd.DataFrame, steps: _Steps, samples: int, seed: int, ties: int = 0) -> pd.DataFrame:
     """Paths of whole samples, whose rows are in order of sample, level and state; samples with the same levels and states go together."""
     name, level, state = rows["sample"].to_numpy(), rows["level"].to_numpy(np.int64), rows["state"].to_numpy()
     ll, start = rows["ll"].to_numpy(float), rows["start"].to_numpy(float)
@@ -174,14 +174,18 @@ def _decoded(rows: pd.DataFrame, steps: _Steps, samples: int, seed: int) -> pd.D
         begin = start[at[:, None] + np.arange(cut[1])]
         path, score = viterbi(each, begin, table)
         parts.append((np.repeat(name[at], len(levels)), 0, np.tile(levels, len(at)), state[(at[:, None] + cut[:-1] + path).ravel()], np.repeat(score, len(levels))))
+        for k in range(len(at)) if ties else ():
+            for d, tied in enumerate(all_best_paths([x[k] for x in each], begin[k], table, ties)):
+                if tied != path[k].tolist():
+                    parts.append((np.repeat(name[at[k]], len(levels)), -d - 1, levels, state[at[k] + cut[:-1] + np.array(tied)], np.repeat(score[k], len(levels))))
         for k in range(len(at)) if samples else ():
             for d, drawn in enumerate(sampled_paths([x[k] for x in each], begin[k], table, samples, seed), 1):
                 parts.append((np.repeat(name[at[k]], len(levels)), d, levels, state[at[k] + cut[:-1] + np.array(drawn)], np.full(len(levels), np.nan)))
     return pd.concat([pd.DataFrame({"sample": a, "draw": d, "level": v, "state": s, "score": x}) for a, d, v, s, x in parts]) if parts else pd.DataFrame(columns=["sample", "draw", "level", "state", "score"])
 
 
-def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1, most_steps: int = 1_000_000) -> DataFrame:
-    """(sample, draw, level, state, score): the best path of each sample as draw 0, then ``samples`` paths from its posterior.
+def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1, most_steps: int = 1_000_000, ties: int = 0) -> DataFrame:
+    """(sample, draw, level, state, score): the best path of each sample as draw 0, then ``samples`` paths from its posterior; up to ``ties`` others that are as good and end alike have negative numbers.
 
     states: (sample, level, state, ll, start), start the log-probability to
     begin with, used at the first level; steps: (level, from_state, to_state, p),
@@ -196,9 +200,9 @@ def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1,
 
         def one(key: tuple, mine: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
             mine = mine.sort_values(["level", "state"])
-            return _decoded(mine, _Steps(*(moves[c].to_numpy() for c in ("level", "from_state", "to_state", "p"))), samples, seed)
+            return _decoded(mine, _Steps(*(moves[c].to_numpy() for c in ("level", "from_state", "to_state", "p"))), samples, seed, ties)
 
-        each = rows.select(F.col("sample").alias("_sample"), "level").distinct().join(steps, "level")
+        each = rows.select(F.col("sample").alias("_sample"), F.col("level").alias("_level")).distinct().join(steps, F.col("_level") == F.col("level")).drop("_level")
         return rows.groupBy("sample").cogroup(each.groupBy("_sample")).applyInPandas(one, _DECODED)
     shared = states.sparkSession.sparkContext.broadcast(table)
 
@@ -210,10 +214,10 @@ def decode(states: DataFrame, steps: DataFrame, samples: int = 0, seed: int = 1,
                 continue
             cut = int(part["sample"].searchsorted(part["sample"].iloc[-1]))
             if cut or (held and held[-1]["sample"].iloc[-1] != part["sample"].iloc[-1]):
-                yield _decoded(pd.concat([*held, part.iloc[:cut]], ignore_index=True), moves, samples, seed)
+                yield _decoded(pd.concat([*held, part.iloc[:cut]], ignore_index=True), moves, samples, seed, ties)
                 held = []
             held.append(part.iloc[cut:])
         if held:
-            yield _decoded(pd.concat(held, ignore_index=True), moves, samples, seed)
+            yield _decoded(pd.concat(held, ignore_index=True), moves, samples, seed, ties)
 
     return rows.repartition("sample").sortWithinPartitions("sample", "level", "state").mapInPandas(many, _DECODED)

@@ -185,7 +185,7 @@ def called_kmers_present(called: DataFrame, seen: DataFrame, by: list[str]) -> D
 
 
 def haplotype_beam(observations: DataFrame, starts: dict[int, str] | None = None, width: int = 32) -> DataFrame:
-    """(locus, h1, h2, score) by a beam over positions: every live pair is extended by all ordered pairs of the alleles seen there, and the best ``width`` stay.
+    """(locus, h1, h2, score) by a beam over positions: every live pair is extended by all ordered pairs of the alleles seen there, and of the ones ``starts`` has for the position, and the best ``width`` stay.
 
     Each extension scores half the reads' mean likelihood, half the bases'. The
     beam runs along a locus, so this is a grouped function; its input is a
@@ -197,9 +197,11 @@ def haplotype_beam(observations: DataFrame, starts: dict[int, str] | None = None
         live = [("", "", 0.0)]
         for pos, rows in sorted(group.groupby("pos")):
             seen = sorted((a, n, p) for a, n, p in zip(rows["allele"], rows["n"], rows["p"], strict=True) if "N" not in a)
+            have = {a for a, _, _ in seen}
+            seen += [(a, 0, 0.0) for a in sorted(set((starts or {}).get(pos, "")) - have)]
             if not seen:
                 continue
-            total = sum(n for _, n, _ in seen)
+            total = max(1, sum(n for _, n, _ in seen))
             grown = []
             for h1, h2, score in live:
                 for a, na, pa in seen:
@@ -223,9 +225,27 @@ def mapping_confidence(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("mapq_position", F.sum("mapq").over(w))
 
 
-def resolve_pairs(candidates: DataFrame, mean: float, sd: float) -> DataFrame:
-    """(pair, a1, a2, score, mapq) for all combinations of the mates' candidates (pair, mate, aln, ll, pos): likelihoods and the distance's density, mapq their share."""
+def resolve_pairs(candidates: DataFrame, mean: float, sd: float, outside: DataFrame | None = None) -> DataFrame:
+    """(pair, a1, a2, score, mapq, mapq_genomic) for all combinations of the mates' candidates (pair, mate, aln, ll, pos): likelihoods and the distance's density, mapq their share.
+
+    ``outside`` (pair, score) has pairs whose first alignment lies outside the
+    graph: that is one more alternative, which mapq_genomic counts and mapq does not.
+    """
     side = lambda k: candidates.where(F.col("mate") == k).select("pair", F.col("aln").alias(f"a{k}"), F.col("ll").alias(f"l{k}"), F.col("pos").alias(f"p{k}"))
     met = side(1).join(side(2), "pair")
     score: Column = F.col("l1") + F.col("l2") + F.ln(pr.normal_density(F.abs(F.col("p2") - F.col("p1")).cast("double"), F.lit(mean), F.lit(sd)))
-    return pr.softmax(met.withColumn("score", score), ["pair"], "score", "mapq").select("pair", "a1", "a2", "score", "mapq")
+    out = pr.softmax(met.withColumn("score", score), ["pair"], "score", "mapq").select("pair", "a1", "a2", "score", "mapq")
+    if outside is None:
+        return out.withColumn("mapq_genomic", F.col("mapq"))
+    both = out.join(outside.select("pair", F.col("score").alias("_o")), "pair", "left")
+    top = F.max(F.greatest("score", F.coalesce("_o", "score"))).over(W.partitionBy("pair"))
+    total = F.sum(F.exp(F.col("score") - top)).over(W.partitionBy("pair")) + F.coalesce(F.exp(F.col("_o") - top), F.lit(0.0))
+    return both.withColumn("mapq_genomic", F.exp(F.col("score") - top) / total).drop("_o")
+
+
+def estimated_insert_size(candidates: DataFrame, every: int = 1) -> DataFrame:
+    """(mean, sd) of the distance between mates over all combinations of candidates (pair, mate, aln, ll, pos), each weighing its share by likelihood alone; of every n-th pair."""
+    some = candidates if every == 1 else candidates.join(fl.every_nth(candidates.select("pair", F.lit(1).alias("_all")).distinct(), ["pair"], every, ["_all"]).select("pair"), "pair", "left_semi")
+    side = lambda k: some.where(F.col("mate") == k).select("pair", F.col("ll").alias(f"l{k}"), F.col("pos").alias(f"p{k}"))
+    met = side(1).join(side(2), "pair").select("pair", (F.col("l1") + F.col("l2")).alias("score"), F.abs(F.col("p2") - F.col("p1")).alias("distance"), F.lit(1).alias("_all"))
+    return ag.insert_size(pr.softmax(met, ["pair"], "score", "weight"), ["_all"], "distance", F.col("weight")).select(F.col("p50").alias("mean"), "sd")

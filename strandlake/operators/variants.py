@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import probability as pr
 from strandlake.functions import sequences as sq
+from strandlake.lineage import stash
+from strandlake.operators import aggregates as ag
+from strandlake.operators import graph
 
 GAP = "_"
 
@@ -70,7 +73,7 @@ def spatial_summary(levels: DataFrame, by: list[str]) -> DataFrame:
     return levels.groupBy(*by).agg(F.count("*").alias("induced"), n(~F.col("valid")).alias("invalid"), n(F.col("present")).alias("ok"), n(F.col("in_reference")).alias("in_reference"))
 
 
-def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, most: int = 1000, by: str = "chrom") -> DataFrame:
+def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, most: int = 1000, by: str = "chrom", most_kmers: int = 2_000_000) -> DataFrame:
     """(by, h1, h2, support): segments put into phase so that most of the k-mers they make are in the counts.
 
     Open pairs of haplotypes grow by one segment in both orders and keep those
@@ -79,8 +82,11 @@ def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, m
     grouped function.
     """
 
-    def run(key: tuple, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        have = set(known["kmer"]) if len(known) else set()
+    schema = f"{by} string, h1 string, h2 string, support double"
+
+    def solve(mine: pd.DataFrame, have: frozenset) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame(columns=[by, "h1", "h2", "support"])
 
         def score(a: str, b: str) -> float:
             found = [s[i : i + k] for s in (a.replace(GAP, ""), b.replace(GAP, "")) for i in range(len(s) - k + 1)]
@@ -97,9 +103,13 @@ def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, m
         return pd.DataFrame([(mine[by].iloc[0], h1, h2, score(h1, h2))], columns=[by, "h1", "h2", "support"])
 
     both = counts.where("n > 0").select("kmer").unionByName(counts.where("n > 0").select(sq.revcomp(F.col("kmer")).alias("kmer"))).distinct()
-    # alleles recombine across segments, so every chromosome takes all counted k-mers of its region along
-    tagged = segments.select(F.col(by).alias("_by")).distinct().crossJoin(both)
-    return segments.groupBy(by).cogroup(tagged.groupBy("_by")).applyInPandas(run, f"{by} string, h1 string, h2 string, support double")
+    both = stash(both, "kmers")
+    if both.limit(most_kmers + 1).count() <= most_kmers:
+        shared = segments.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in both.collect()))
+        return segments.groupBy(by).applyInPandas(lambda mine: solve(mine, shared.value), schema)
+    # of more, each chromosome takes those that its segments can make
+    made = graph.kmer_paths(graph.segments_to_edges(segments.withColumnRenamed(by, "graph")), k).select(F.col("graph").alias("_by"), "kmer").distinct()
+    return segments.groupBy(by).cogroup(made.join(both, "kmer", "left_semi").groupBy("_by")).applyInPandas(lambda mine, own: solve(mine, frozenset(own["kmer"])), schema)
 
 
 def haplotypes_to_records(columns: DataFrame) -> DataFrame:
@@ -173,3 +183,29 @@ def expanded_cigars(records: DataFrame, reference: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["read_id", "g", "s", "levels"])
 
     return rows.select("read_id", "pos", "cigar", "seq", "_ref").mapInPandas(run, f"read_id {kind}, g string, s string, levels array<int>")
+
+
+def compared_methods(methods: dict[str, DataFrame], counts: DataFrame, k: int, coverage: float, by: str = "chrom") -> DataFrame:
+    """(method, by, ...) of the evaluation of each method's genome strings (by, seg_ord, a1, a2)."""
+    out = None
+    for name, segments in methods.items():
+        one = evaluated(segments, counts, k, coverage, by).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def method_constellations(methods: dict[str, DataFrame], k: int, by: str = "chrom") -> DataFrame:
+    """(mask, n_keys): how many canonical k-mers the genome strings of exactly those methods have, the first method as the lowest bit."""
+    out = None
+    for n, segments in enumerate(methods.values()):
+        text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_ord", "a1", "a2"))), lambda x: F.coalesce(x[c], x["a1"])), "")
+        haps = segments.groupBy(by).agg(F.array(text("a1"), text("a2")).alias("_h")).select(F.explode("_h").alias("_s"))
+        one = haps.select(F.explode(sq.kmers(F.translate("_s", GAP, ""), k)).alias("_k")).select(sq.canonical(F.col("_k")).alias("kmer"), F.lit(n).alias("bit"))
+        out = one if out is None else out.unionByName(one)
+    return ag.constellations(out.distinct(), "kmer", "bit", len(methods))
+
+
+def contig_report(columns: DataFrame, by: list[str]) -> DataFrame:
+    """Tallies of contigs' alignment columns (by, g, s, level) with the share of aligned signs that agree."""
+    out = ag.alignment_tallies(columns, by)
+    return out.withColumn("identity", F.try_divide(F.col("matches"), F.col("matches") + F.col("mismatches") + F.col("novel_gaps") + F.col("deletions")))

@@ -205,10 +205,19 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CAND}, s AS (SELECT a.pair, a.aln AS a1, b.aln AS a2, a.ll + b.ll + ln(exp(-pow(least(abs(abs(b.pos - a.pos) - 200.0) / 60.0, 8.0), 2) / 2) / (60.0 * sqrt(2 * pi()))) AS score FROM c a JOIN c b ON a.pair = b.pair AND a.mate = 1 AND b.mate = 2),
-e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pair)) AS e FROM s) SELECT pair, a1, a2, round(score, 6) AS score, round(e / sum(e) OVER (PARTITION BY pair), 8) AS mapq FROM e""")
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pair)) AS e FROM s) SELECT pair, a1, a2, round(score, 6) AS score, round(e / sum(e) OVER (PARTITION BY pair), 8) AS mapq, round(CASE WHEN pair % 3 = 0 THEN exp(score - greatest(m, -9.5)) / (sum(exp(score - greatest(m, -9.5))) OVER (PARTITION BY pair) + exp(-9.5 - greatest(m, -9.5))) ELSE e / sum(e) OVER (PARTITION BY pair) END, 8) AS mapq_genomic FROM (SELECT *, max(score) OVER (PARTITION BY pair) AS m FROM e) x""")
 def pair_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ty.resolve_pairs(_candidates(spark, sf_dir), 200.0, 60.0)
-    return out.withColumns({"score": F.round("score", 6), "mapq": F.round("mapq", 8)})
+    """Every third customer's orders have an alternative outside the graph."""
+    outside = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("pair"), F.lit(-9.5).alias("score"))
+    out = ty.resolve_pairs(_candidates(spark, sf_dir), 200.0, 60.0, outside)
+    return out.withColumns({"score": F.round("score", 6), "mapq": F.round("mapq", 8), "mapq_genomic": F.round("mapq_genomic", 8)})
+
+
+@query(f"""WITH {_CAND}, p AS (SELECT DISTINCT pair FROM c), k AS (SELECT pair FROM (SELECT pair, row_number() OVER (ORDER BY pair) AS n FROM p) x WHERE (n - 1) % 2 = 0), s AS (SELECT a.pair, a.ll + b.ll AS score, abs(b.pos - a.pos) AS d FROM c a JOIN c b ON a.pair = b.pair AND a.mate = 1 AND b.mate = 2 JOIN k ON a.pair = k.pair),
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pair)) AS e FROM s), w AS (SELECT d, sum(w) AS w FROM (SELECT d, e / sum(e) OVER (PARTITION BY pair) AS w FROM e) x GROUP BY d), r AS (SELECT d, sum(w) OVER (ORDER BY d) AS c, sum(w) OVER () AS t FROM w),
+q AS (SELECT min(CASE WHEN c >= 0.2 * t THEN d END) AS a, min(CASE WHEN c >= 0.5 * t THEN d END) AS b, min(CASE WHEN c >= 0.8 * t THEN d END) AS z FROM r) SELECT b AS mean, greatest(abs(b - a), abs(z - b)) AS sd FROM q""")
+def estimated_insert_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ty.estimated_insert_size(_candidates(spark, sf_dir), 2)
 
 
 @query("""WITH c AS (SELECT o_custkey AS pair, o_orderkey % 2 AS mate, o_orderstatus AS strand, o_orderkey % 5 AS base, o_orderkey % 7 AS level, substr(o_orderpriority, 1, 1) AS graph_char, o_orderkey, o_totalprice / 600000 AS mapq FROM orders)

@@ -372,11 +372,11 @@ def random_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LADDER = """e AS (SELECT CAST(p_size AS INT) AS level, p_partkey AS edge_id, CAST(p_size * 4 + p_partkey % 2 AS BIGINT) AS from_id, CAST((p_size + 1) * 4 + p_partkey % 3 % 2 AS BIGINT) AS to_id, substr('ACGT_', CAST(p_partkey % 5 + 1 AS INT), 1) AS symbol, CAST(p_partkey % 3 + 1 AS DOUBLE) AS cnt FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part) x WHERE k <= 3)"""
 
 
-def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ladder(spark: SparkSession, sf_dir: str, width: int = 3, to: Column | None = None) -> DataFrame:
     """Three edges at each of the sizes, a graph of a fixed width."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    p = wn.top_rows(table(spark, sf_dir, "part"), ["p_size"], ["p_partkey"], 3)
-    return p.select(F.lit("g").alias("graph"), size.cast("int").alias("level"), key.alias("edge_id"), (size * 4 + key % 2).cast("long").alias("from_id"), ((size + 1) * 4 + key % 3 % 2).cast("long").alias("to_id"), F.concat(F.lit("L"), size.cast("string")).alias("locus_id"), _sign("ACGT_", key).alias("symbol"), (key % 3 + 1).cast("double").alias("count"))
+    p = wn.top_rows(table(spark, sf_dir, "part"), ["p_size"], ["p_partkey"], width)
+    return p.select(F.lit("g").alias("graph"), size.cast("int").alias("level"), key.alias("edge_id"), (size * 4 + key % 2).cast("long").alias("from_id"), ((size + 1) * 4 + (key % 3 % 2 if to is None else to)).cast("long").alias("to_id"), F.concat(F.lit("L"), size.cast("string")).alias("locus_id"), _sign("ACGT_", key).alias("symbol"), (key % 3 + 1).cast("double").alias("count"))
 
 
 @query(f"""WITH RECURSIVE {_LADDER}, s AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY from_id) AS p FROM e), f AS (SELECT level, edge_id AS first_edge, CAST(edge_id AS VARCHAR) AS path, symbol AS kmer, 1.0::DOUBLE AS p, to_id FROM s WHERE symbol <> '_'
@@ -403,3 +403,72 @@ x AS (SELECT *, CASE WHEN n = 1 AND lag(n = 1) OVER (ORDER BY level, edge_id) TH
 SELECT CAST(run AS BIGINT) AS run, min(level) AS first_level, max(level) AS last_level, min_by(from_id, level) AS from_id, max_by(to_id, level) AS to_id FROM y GROUP BY run""")
 def collapsed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collapsed(_ladder(spark, sf_dir).where("edge_id % 4 <> 0 OR level % 3 = 0")).select("run", "first_level", "last_level", "from_id", "to_id")
+
+
+@query(f"""WITH RECURSIVE {_LADDER.replace("k <= 3", "k <= 9").replace("p_partkey % 3 % 2", "p_partkey // 3 % 2")}, u AS (SELECT *, CASE WHEN edge_id % 4 = 0 THEN '*' ELSE symbol END AS s FROM e), k AS (SELECT * FROM u WHERE s <> '*' OR from_id NOT IN (SELECT from_id FROM u WHERE s <> '*')), m AS (SELECT min(level) AS a, max(level) AS b FROM k),
+f AS (SELECT edge_id, to_id FROM k, m WHERE level = a UNION SELECT k.edge_id, k.to_id FROM f JOIN k ON k.from_id = f.to_id), r AS (SELECT edge_id, from_id FROM k, m WHERE level = b UNION SELECT k.edge_id, k.from_id FROM r JOIN k ON k.to_id = r.from_id)
+SELECT edge_id, CAST(level AS INT) AS level, s AS symbol FROM k WHERE edge_id IN (SELECT edge_id FROM f) AND edge_id IN (SELECT edge_id FROM r)""")
+def known_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown signs go where their node has another way on."""
+    e = _ladder(spark, sf_dir, 9, F.floor(F.col("p_partkey") / 3) % 2).withColumn("symbol", F.when(F.col("edge_id") % 4 == 0, "*").otherwise(F.col("symbol")))
+    return graph.without_unknown(e).select("edge_id", "level", "symbol")
+
+
+@query(f"""WITH {_LADDER}, s AS (SELECT min(level) + max(level) AS s FROM e) SELECT edge_id, CAST(s - level AS INT) AS level, to_id AS from_id, from_id AS to_id FROM e, s""")
+def reversed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reversed_graph(_ladder(spark, sf_dir)).select("edge_id", "level", "from_id", "to_id")
+
+
+@query(f"""WITH RECURSIVE {sqs._BENCH}, raw AS (SELECT kmer AS w, substr(seq, CAST(i + 9 AS INT), 1) AS nx, CASE WHEN i > 1 THEN substr(seq, CAST(i - 1 AS INT), 1) ELSE '' END AS pv FROM (SELECT seq, i, substr(seq, CAST(i AS INT), 9) AS kmer FROM bench, unnest(range(1, greatest(length(seq) - 8, 0) + 1)) AS r(i)) x),
+k AS (SELECT least(w, {revcomp_sql("w")}) AS kmer, CASE WHEN w <= {revcomp_sql("w")} THEN nx ELSE translate(pv, 'ACGT', 'TGCA') END AS r FROM raw), st AS (SELECT DISTINCT kmer, least(substr(kmer, 2) || r, {revcomp_sql("substr(kmer, 2) || r")}) AS other FROM k WHERE r <> ''), both_ AS (SELECT kmer, other FROM st UNION SELECT other, kmer FROM st),
+s AS (SELECT DISTINCT kmer FROM k WHERE kmer < 'AAAC'), w(start, kmer, steps) AS (SELECT kmer, kmer, 0 FROM s UNION SELECT w.start, b.other, steps + 1 FROM w JOIN both_ b ON b.kmer = w.kmer WHERE steps < 3)
+SELECT start, kmer, CAST(min(steps) AS INT) AS steps FROM w GROUP BY 1, 2""")
+def within_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = graph.de_bruijn(sqs._bench(spark, sf_dir).select("seq"), 9)
+    return graph.within_steps(t, t.where("kmer < 'AAAC'"), 3)
+
+
+@query()
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of five steps along the passages' k-mers; draws in proportion to coverage."""
+    t = graph.de_bruijn(sqs._bench(spark, sf_dir).select("seq"), 9)
+    return graph.random_walks(t, t.where("kmer < 'AAAC'"), 5)
+
+
+@query(f"""WITH p AS (SELECT CAST(p_size % 2 AS VARCHAR) AS segment, p_brand AS h, p_size AS lv, {_sign_sql("ACGT_", "min(p_partkey)")} AS a FROM part GROUP BY 1, 2, 3), n AS (SELECT *, string_agg(a, '') OVER (PARTITION BY segment, h ORDER BY lv ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS k FROM p WHERE a <> '_'),
+j AS (SELECT p.segment, p.h, p.lv, CASE WHEN length(k) = 4 THEN k ELSE '_' END AS symbol FROM p LEFT JOIN n ON p.segment = n.segment AND p.h = n.h AND p.lv = n.lv) SELECT segment AS graph, CAST(lv AS INT) AS level, symbol, CAST(sum(c) AS DOUBLE) AS count FROM (SELECT segment, lv, symbol, count(*) AS c FROM j GROUP BY 1, 2, 3) x GROUP BY 1, 2, 3""")
+def panel_kmer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mer edges straight from brands as haplotypes, counted by level and k-mer."""
+    p = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 2).cast("string").alias("segment"), F.col("p_brand").alias("haplotype_id"), F.col("p_size").cast("int").alias("level")).agg(_sign("ACGT_", F.min("p_partkey")).alias("allele"))
+    e = graph.kmer_graph_of_panel(p.withColumn("locus_id", F.concat(F.lit("L"), F.col("level").cast("string"))), 4)
+    return e.groupBy("graph", "level", "symbol").agg(F.sum("count").alias("count"))
+
+
+@query(f"""WITH g AS (SELECT {dna_sql("text")} AS s FROM benchmark WHERE length({dna_sql("text")}) >= 90 ORDER BY item_id LIMIT 1), r AS (SELECT i, substr(s, CAST(i * 3 + 1 AS INT), 40) AS w FROM g, unnest(range(0, 16)) AS q(i))
+SELECT CAST(i AS VARCHAR) AS read_id, 80.0::DOUBLE AS score, i % 2 = 1 AS reverse, w AS g, w AS s, CAST(i * 3 AS INT) AS first_level, CAST(i * 3 + 39 AS INT) AS last_level FROM r""")
+def seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one passage, every other one turned round, on the graph of the passage."""
+    from strandlake.operators import seeding
+
+    g = table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("s")).where("length(s) >= 90").orderBy("item_id").limit(1)
+    edges = g.select(F.posexplode(F.split("s", "")).alias("i", "symbol")).select(F.col("i").alias("level"), F.col("i").cast("long").alias("from_id"), (F.col("i") + 1).cast("long").alias("to_id"), "symbol", F.col("i").cast("long").alias("edge_id"))
+    w = F.expr("substring(s, i * 3 + 1, 40)")
+    reads = g.select("s", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select(F.col("i").cast("string").alias("read_id"), F.when(F.col("i") % 2 == 1, sq.revcomp(w)).otherwise(w).alias("seq"))
+    out = seeding.seeded_reads(reads, edges, 15)
+    return out.select("read_id", "score", "reverse", "g", "s", F.array_min("levels").alias("first_level"), F.array_max("levels").alias("last_level"))
+
+
+ORACLE_SQL["compared_methods"] = " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({ORACLE_SQL['genome_evaluation'].replace('FROM part)', f'FROM part WHERE {w})')}) AS {m}" for m, w in (("all_parts", "true"), ("odd_parts", "p_partkey % 2 = 1")))
+
+
+def compared_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genome strings of all parts, and of every other one, as two methods."""
+    counts = ag.kmer_counts(sqs._bench(spark, sf_dir), "seq", 5).withColumn("n", (F.col("n") % 9).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    order = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    odd = table(spark, sf_dir, "part").where(key % 2 == 1).select(F.col("p_brand").alias("chrom"), order.alias("seg_ord"), F.concat(_sign("ACGT", key), _sign("ACGTN", size), F.lit("_")).alias("a1"), F.when(key % 3 == 0, F.concat(_sign("ACGT", size), F.lit("TT"))).alias("a2"))
+    out = variants.compared_methods({"all_parts": _segments(spark, sf_dir), "odd_parts": odd}, counts, 5, 2.5)
+    return out.withColumns({"optimality": F.round("optimality", 8), "weighted": F.round("weighted", 8)})
+
+
+QUERIES["compared_methods"] = compared_methods

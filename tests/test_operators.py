@@ -176,6 +176,15 @@ def test_viterbi_equals_enumeration_and_samples_follow_the_posterior(spark):
     assert abs(sum(r.draw > 0 and r.level == 1 and r.state == "a" for r in rows) / 2000 - want) < 0.05
 
 
+def test_paths_that_are_as_good_and_end_alike(spark):
+    states = spark.createDataFrame([("s", lv, x, 0.0, -1.0) for lv in range(3) for x in "ab"], "sample string, level int, state string, ll double, start double")
+    steps = spark.createDataFrame([(lv, x, y, 0.5) for lv in range(2) for x in "ab" for y in "ab"], "level int, from_state string, to_state string, p double")
+    for most in (1_000_000, 1):
+        rows = hmm.decode(states, steps, ties=10, most_steps=most).collect()
+        paths = {d: "".join(r.state for r in sorted(rows, key=lambda r: r.level) if r.draw == d) for d in {r.draw for r in rows}}
+        assert paths[0] == "aaa" and sorted(paths.values()) == ["aaa", "aba", "baa", "bba"] and len({round(r.score, 9) for r in rows}) == 1
+
+
 def test_error_rate_is_found(spark):
     rng = np.random.default_rng(2)
     n = np.r_[rng.poisson(0.02 * 30, 4000), rng.poisson(30, 4000)]
@@ -274,6 +283,26 @@ def test_de_bruijn_tables(spark):
     assert got == {"a": (15, 15, 0), "b": (6, 0, 5)}
 
 
+def test_upkeep_of_graphs(spark):
+    rows = [("g", 0, 1, 0, 1, "a", "A", 1.0), ("g", 0, 2, 0, 2, "a", "*", 1.0), ("g", 1, 3, 1, 3, "b", "_", 1.0), ("g", 1, 5, 2, 3, "b", "C", 1.0), ("g", 2, 4, 3, 4, "c", "*", 1.0)]
+    e = spark.createDataFrame(rows, graph.EDGES)
+    assert sorted(r.edge_id for r in graph.without_unknown(e).collect()) == [1, 3, 4]
+    assert sorted(r.edge_id for r in graph.without_nodes(e, spark.createDataFrame([("g", 1)], "graph string, node long")).collect()) == [2, 4, 5]
+    assert sorted((r.edge_id, r.level, r.from_id) for r in graph.reversed_graph(e).collect()) == [(1, 2, 1), (2, 2, 2), (3, 1, 3), (4, 0, 4), (5, 1, 3)]
+    line = spark.createDataFrame([("g", i, i, i, i + 1, "l", c, 1.0) for i, c in enumerate("ACGT__AC")], graph.EDGES)
+    cut = lambda **o: sorted((r.first_level, r.last_level) for r in graph.collapsed(line, **o).collect())
+    assert cut() == [(0, 7)] and cut(before_gap=3) == [(0, 0), (1, 7)]
+    panel = spark.createDataFrame([("s", h, f"L{i}", i, c) for h, s in (("x", "AC_GT"), ("y", "ACTGT")) for i, c in enumerate(s)], "segment string, haplotype_id string, locus_id string, level int, allele string")
+    k = graph.kmer_graph_of_panel(panel, 3).collect()
+    assert sorted((r.level, r.symbol, r["count"]) for r in k) == [(0, "ACG", 1.0), (0, "ACT", 1.0), (1, "CGT", 1.0), (1, "CTG", 1.0), (2, "TGT", 1.0), (2, "_", 1.0), (3, "_", 2.0), (4, "_", 2.0)]
+    assert len({r.from_id for r in k if r.level == 3}) == 1 == len({r.to_id for r in k if r.level == 4})
+    t = graph.de_bruijn(spark.createDataFrame([("ACGTTGCATGGACC",)], "seq string"), 5).cache()
+    start = t.limit(1)
+    walk = graph.random_walks(t, start, 4).collect()
+    assert [r.step for r in sorted(walk, key=lambda r: r.step)] == list(range(len(walk))) and walk
+    assert graph.within_steps(t, start, 20).count() == t.count()
+
+
 # --- alignment
 
 
@@ -443,8 +472,11 @@ def test_phases_follow_the_kmers(spark):
     a, b = "ACGTTGCATGGACC", "ACCTTGCATGCACC"
     counts = spark.createDataFrame([(s[i : i + 10], 5) for s in (a, b) for i in range(5)], "kmer string, n int")
     seg = spark.createDataFrame([("1", 0, "AC", None), ("1", 1, "C", "G"), ("1", 2, "TTGCATG", None), ("1", 3, "G", "C"), ("1", 4, "ACC", None)], "chrom string, seg_ord int, a1 string, a2 string")
-    r = variants.phased(seg, counts, 10).first()
-    assert {r.h1, r.h2} == {a, b} and r.support == 1.0
+    for most in (2_000_000, 0):
+        r = variants.phased(seg, counts, 10, most_kmers=most).first()
+        assert {r.h1, r.h2} == {a, b} and r.support == 1.0
+    masks = {r.mask: r.n_keys for r in variants.method_constellations({"x": seg, "y": seg.withColumn("a2", F.lit(None).cast("string"))}, 10).collect()}
+    assert masks == {1: 5, 2: 0, 3: 5}
     e = variants.evaluated(seg, counts.select(sq.canonical(F.col("kmer")).alias("kmer"), "n"), 10, 5.0).first()
     assert e.total == 10 and e.invalid == 0 and 0 <= e.optimality <= 1
 

@@ -481,7 +481,8 @@ def presence(sequences: DataFrame, table: DataFrame, k: int, key: str = "seq_id"
 def within_steps(table: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, kmer, steps): k-mers of a de Bruijn table that so many steps or fewer lead to from each start (kmer), either way along; the fewest steps."""
     right = neighbours(table).select("kmer", F.col("neighbour").alias("other"))
-    steps = stash(right.unionByName(right.select(F.col("other").alias("kmer"), F.col("kmer").alias("other"))).distinct(), "steps")
+    left = table.select("kmer", F.explode(F.split("left", "")).alias("b")).where("b <> ''").select("kmer", sq.canonical(F.concat(F.col("b"), F.expr("substring(kmer, 1, length(kmer) - 1)"))).alias("other"))
+    steps = stash(right.unionByName(left.join(table.select(F.col("kmer").alias("other")), "other", "left_semi").select("kmer", "other")).distinct(), "steps")
     known = table.select("kmer").join(starts.select("kmer"), "kmer", "left_semi").select(F.col("kmer").alias("start"), "kmer", F.lit(0).alias("steps"))
     front = known
     for n in range(1, depth + 1):

@@ -420,7 +420,8 @@ def reversed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {sqs._BENCH}, raw AS (SELECT kmer AS w, substr(seq, CAST(i + 9 AS INT), 1) AS nx, CASE WHEN i > 1 THEN substr(seq, CAST(i - 1 AS INT), 1) ELSE '' END AS pv FROM (SELECT seq, i, substr(seq, CAST(i AS INT), 9) AS kmer FROM bench, unnest(range(1, greatest(length(seq) - 8, 0) + 1)) AS r(i)) x),
-k AS (SELECT least(w, {revcomp_sql("w")}) AS kmer, CASE WHEN w <= {revcomp_sql("w")} THEN nx ELSE translate(pv, 'ACGT', 'TGCA') END AS r FROM raw), st AS (SELECT DISTINCT kmer, least(substr(kmer, 2) || r, {revcomp_sql("substr(kmer, 2) || r")}) AS other FROM k WHERE r <> ''), both_ AS (SELECT kmer, other FROM st UNION SELECT other, kmer FROM st),
+k AS (SELECT least(w, {revcomp_sql("w")}) AS kmer, CASE WHEN w <= {revcomp_sql("w")} THEN nx ELSE translate(pv, 'ACGT', 'TGCA') END AS r, CASE WHEN w <= {revcomp_sql("w")} THEN pv ELSE translate(nx, 'ACGT', 'TGCA') END AS l FROM raw),
+both_ AS (SELECT DISTINCT kmer, least(substr(kmer, 2) || r, {revcomp_sql("substr(kmer, 2) || r")}) AS other FROM k WHERE r <> '' UNION SELECT DISTINCT kmer, least(l || substr(kmer, 1, 8), {revcomp_sql("l || substr(kmer, 1, 8)")}) FROM k WHERE l <> ''),
 s AS (SELECT DISTINCT kmer FROM k WHERE kmer < 'AAAC'), w(start, kmer, steps) AS (SELECT kmer, kmer, 0 FROM s UNION SELECT w.start, b.other, steps + 1 FROM w JOIN both_ b ON b.kmer = w.kmer WHERE steps < 3)
 SELECT start, kmer, CAST(min(steps) AS INT) AS steps FROM w GROUP BY 1, 2""")
 def within_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,19 +6,21 @@ whose sets are equal are one class. Bands of the signatures deal classes to
 buckets; each class is held against its bucket's leader by its signature, and
 what resembles one another closely enough forms loose groups, in linear work.
 Where a bucket then has classes of several groups, all of its classes are held
-against one another, so every pair that shares a band is compared or in one
-group. Inside a loose group every link is decided on the full sets. What is
-more than one block goes in pairs of blocks, so no task holds all of it.
+against one another; the classes of a crowded bucket meet by their rarest
+shingles instead, of which linked sets share one. So every linked pair that
+shares a band is compared or in one group. Inside a loose group every link is
+decided on the full sets, in blocks, so no task holds all of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -108,12 +110,24 @@ def _sets(width: int):
     return sets
 
 
-def links(sets: list[np.ndarray], num: int, den: int, old: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _tokens(width: int):
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.released(batches):
+            data, bounds = tx.utf8(batch.column(1))
+            for i, j in tx.runs(bounds):
+                s, of = tx.shingles(tx.words(data, bounds[i : j + 1]), width)
+                u, count = tx.distinct(s, of, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(i, j), count))), pa.array(np.repeat(count, count)), pa.array(u.view(np.int64))], ["rep", "n", "bucket"])
+
+    return tokens
+
+
+def links(sets: list[np.ndarray], num: int, den: int, *apart: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with ``den * both >= num * either``, by overlaps counted exactly.
 
     Shingles that only one set has decide nothing and are left out of the
-    count matrix; the others become its columns, in slices. ``old`` marks sets
-    that were compared with one another before; such pairs are skipped.
+    count matrix; the others become its columns, in slices. Only pairs that
+    differ in each of the labels ``apart`` count.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -132,8 +146,8 @@ def links(sets: list[np.ndarray], num: int, den: int, old: np.ndarray | None = N
         shared += part @ part.T
     both = np.rint(shared).astype(np.int64)
     linked = den * both >= num * (size[:, None] + size[None, :] - both)
-    if old is not None:
-        linked &= old[:, None] != old[None, :]
+    for label in apart:
+        linked &= label[:, None] != label[None, :]
     label, found = np.arange(n), []
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
         x, y = int(i), int(j)
@@ -152,11 +166,9 @@ def links(sets: list[np.ndarray], num: int, den: int, old: np.ndarray | None = N
 def _verify(num: int, den: int):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep", ignore_index=True)
-        sets = [np.frombuffer(x, tx.U) for x in group["shingles"]]
-        sides = group["block"].to_numpy()
-        old = sides if group["apart"].iloc[0] else None
+        apart = [group["part"].to_numpy()] + [group["block"].to_numpy()] * bool(group["lo"].iloc[0] != group["hi"].iloc[0])
         rep = group["rep"].to_numpy()
-        got = links(sets, num, den, old)
+        got = links([np.frombuffer(x, tx.U) for x in group["shingles"]], num, den, *apart)
         return pd.DataFrame({"a": rep[[i for i, _ in got]], "b": rep[[j for _, j in got]]}, dtype="int64")
 
     return verify
@@ -234,50 +246,71 @@ def _merge(least: int):
     return merge
 
 
-def _rest(held: DataFrame, sketches: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of loose groups, joined where a bucket has alike classes in both; a class alone is a group of its own.
+def _rest(held: DataFrame, sketches: DataFrame, found: DataFrame, least: int, most_blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of loose groups, joined where a bucket has alike classes in both, a class alone being a group of its own; and the classes of buckets left over.
 
-    All classes of a bucket with several groups meet, in pairs of blocks. Two
-    classes alone in a bucket have met as class and leader.
+    All classes of a bucket with several groups meet, in pairs of blocks; a
+    bucket of more than ``most_blocks`` is left over. Two classes alone in a
+    bucket have met as class and leader.
     """
     loose = components(found)
     grouped = held.where("n > 2").select("rep", "bucket").join(loose.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("group"))
     grouped = stash(grouped, "grouped")
     mixed = grouped.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("n") / SKETCHES).cast("int").alias("blocks"))
-    placed = grouped.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = stash(mixed, "mixed")
+    small = F.lit(True) if most_blocks is None else F.col("blocks") <= most_blocks
+    placed = grouped.join(mixed.where(small), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
     dealt = placed.join(sketches.select("rep", "sketch"), "rep").withColumn("pair", F.explode(other)).select("bucket", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "block", "group", "sketch")
     sorted_ = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return stash(sorted_.mapInArrow(_merge(least), "a long, b long").distinct(), "rest")
+    return stash(sorted_.mapInArrow(_merge(least), "a long, b long").distinct(), "rest"), grouped.join(mixed.where(~small), "bucket", "left_semi").select("rep").distinct()
+
 
+def _rarest(base: DataFrame, members: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """(rep, bucket): each set's rarest shingles among ``members``, as many as it takes for any two sets that are linked to share one."""
+    needed = base.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    tokens = stash(needed.mapInArrow(_tokens(width), "rep long, n long, bucket long").distinct(), "tokens")
+    counts = tokens.groupBy("bucket").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(W.partitionBy("rep").orderBy("_df", "bucket"))
+    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("long")
+    return tokens.join(counts, "bucket").withColumn("_k", rank).where(F.col("_k") <= F.col("n") - least + 1).select("rep", "bucket").distinct()
 
-def _loose(classes: DataFrame, least: int, rounds: int = 3) -> DataFrame:
-    """Pairs (a, b) that join into one group all classes that share a bucket and agree on ``least`` coordinates.
+
+def _loose(spread: DataFrame, sketches: DataFrame, least: int, deeper: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3) -> DataFrame:
+    """Pairs (a, b) that join into one group all classes that share a bucket (rep, bucket) and agree on ``least`` coordinates.
 
     A bucket's leader is the class that stands in the fullest buckets. Classes
     unlike their leader meet again without it, under another one; what the
-    leaders leave apart in a bucket is compared in pairs of blocks.
+    leaders leave apart in a bucket is compared in blocks. The classes of
+    crowded buckets, of more than one block, get other buckets from ``deeper``
+    instead, in which every linked pair still meets, and go through all this
+    once more.
     """
-    spread = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
     full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = stash(spread.join(full, "bucket"), "buckets")
     weight = held.groupBy("rep").agg(F.sum("n").alias("weight"))
-    sketches = stash(classes.join(weight, "rep").select("rep", "sketch", "weight"), "sketches")
-    left = held.select("rep", "bucket").join(sketches.select("rep", "weight"), "rep")
+    weighed = stash(sketches.join(weight, "rep").select("rep", "sketch", "weight"), "sketches")
+    left = held.select("rep", "bucket").join(weighed.select("rep", "weight"), "rep")
     found = None
     for _ in range(rounds):
         lead = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("rep")).alias("less"))).alias("top")).where("n > 1")
         lead = lead.select("bucket", (-F.col("top.less")).alias("leader"))
         met = left.join(lead, "bucket").where("rep != leader")
         pairs = met.select("rep", "leader").distinct()
-        a = sketches.select("rep", F.col("sketch").alias("x"))
-        b = sketches.select(F.col("rep").alias("leader"), F.col("sketch").alias("y"))
+        a = weighed.select("rep", F.col("sketch").alias("x"))
+        b = weighed.select(F.col("rep").alias("leader"), F.col("sketch").alias("y"))
         judged = stash(pairs.join(a, "rep").join(b, "leader").select("rep", "leader", (_agreement("x", "y") >= least).alias("alike")), "judged")
         alike = judged.where("alike").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
         found = alike if found is None else found.unionByName(alike)
         left = stash(met.join(judged.where("not alike"), ["rep", "leader"]).select("rep", "bucket", "weight"), "left")
     found = found.distinct()
-    return found.unionByName(_rest(held, sketches, found, least)).distinct()
+    more, crowd = _rest(held, weighed, found, least, None if deeper is None else 1)
+    found = found.unionByName(more)
+    if deeper is not None:
+        crowd = stash(crowd, "crowd")
+        if crowd.limit(1).count():
+            found = found.unionByName(_loose(deeper(crowd), sketches.join(crowd, "rep", "left_semi"), least, rounds=rounds))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,8 +333,9 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     some = rows.where("n_shingles > 0")
     reps = stash(some.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")
     classes = some.join(reps, ["high", "low"]).where("doc_id = rep").groupBy("rep").agg(F.min(F.struct("n_shingles", "sketch", "bands")).alias("one")).select("rep", "one.sketch", "one.bands")
-    pairs = _loose(classes, least=int(SIZE * 0.42))
-    loose = components(pairs)
+    classes = stash(classes, "classes")
+    spread = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
+    loose = components(_loose(spread, classes.select("rep", "sketch"), int(SIZE * 0.42), lambda members: _rarest(base, members, num, den, width)))
     linked = _linked(base, loose, num, den, width)
     final = components(linked)
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
@@ -310,19 +344,45 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _sets_of(base: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """``placed`` (rep, ...) with the shingles of each set."""
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    needed = base.join(F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids, "doc_id", "left_semi")
+    return needed.mapInArrow(_sets(width), "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles")).join(placed, "rep")
+
+
 def _linked(base: DataFrame, loose: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """Links (a, b) inside the loose groups, decided on the full sets; enough of them to connect all that is linked."""
+    """Links (a, b) inside the loose groups, decided on the full sets; enough of them to connect all that is linked.
+
+    A group of more than one block is first compared inside its blocks, to each
+    of which its first class comes along. What that leaves in several parts
+    goes on: the classes outside the largest part are held against all of the
+    group but their own part, in pairs of blocks. So the work on a group is its
+    size times a block, and its size times what lies outside its largest part.
+    """
     size = loose.groupBy("component").agg(F.count("*").alias("n"))
     placed = loose.join(size, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("node").alias("rep"), "component", "blocks", "block")
     placed = stash(placed, "placed")
-    ids = placed.select(F.col("rep").alias("doc_id"))
-    needed = base.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc_id", "left_semi")
-    sets = needed.mapInArrow(_sets(width), "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles")).join(placed, "rep")
-    # a pair of blocks is a task of its own: the lower block's number, then the higher one's
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
-    dealt = sets.withColumn("pair", F.explode(other)).select("rep", "shingles", "block", "component", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), (F.col("pair.lo") != F.col("pair.hi")).alias("apart"))
-    return stash(dealt.groupBy("component", "lo", "hi").applyInPandas(_verify(num, den), "a long, b long"), "links")
+    along = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k == F.col("block")) | (F.col("rep") == F.col("component")))
+    first = _sets_of(base, placed, width).select("rep", "shingles", "component", F.explode(along).alias("lo")).withColumns({"hi": F.col("lo"), "block": F.col("lo"), "part": F.col("rep")})
+    found = stash(first.groupBy("component", "lo", "hi").applyInPandas(_verify(num, den), "a long, b long"), "links")
+    large = placed.where("blocks > 1").select("rep", "component")
+    if not large.limit(1).count():
+        return found
+    parted = stash(large.join(components(found).select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").select("rep", "component", F.coalesce("part", "rep").alias("part")), "parts")
+    sizes = parted.groupBy("component", "part").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("component").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("part")).alias("less"))).alias("top")).where("parts > 1")
+    several = several.select("component", (-F.col("top.less")).alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("rest"))
+    open_ = parted.join(several, "component").withColumn("inner", F.col("part") == F.col("main"))
+    hashed = F.xxhash64("rep")
+    open_ = stash(open_.withColumn("block", F.when(F.col("inner"), F.col("few") + F.pmod(hashed, F.col("rest"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int")), "open")
+    if not open_.limit(1).count():
+        return found
+    against = F.sequence(F.lit(0), F.when(F.col("inner"), F.col("few") - 1).otherwise(F.col("few") + F.col("rest") - 1))
+    pair = F.transform(against, lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
+    dealt = _sets_of(base, open_, width).withColumn("pair", F.explode(pair)).select("rep", "shingles", "block", "part", "component", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"))
+    return found.unionByName(stash(dealt.groupBy("component", "lo", "hi").applyInPandas(_verify(num, den), "a long, b long"), "links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

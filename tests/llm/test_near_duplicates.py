@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.common import edited, empty, frame, odd_texts, prose, shingles
 
 from strandlake.llm import near_duplicates as nd
@@ -81,6 +82,38 @@ def test_all_alike_classes_of_a_bucket_join_whatever_its_leaders(spark, monkeypa
     chain[2, 60:], chain[2, :28] = 1, 2
     rows = [(k, s.tobytes(), [7]) for k, s in enumerate(unlike)] + [(50 + k, s.tobytes(), [8]) for k, s in enumerate(chain)] + [(53, bytes([9] * nd.SIZE), [8])]
     classes = spark.createDataFrame(rows, "rep long, sketch binary, bands array<long>")
-    for size in (2048, 8):
+    spread, sketches = classes.select("rep", F.explode("bands").alias("bucket")), classes.select("rep", "sketch")
+    # other buckets of the crowded one's classes, in which alike ones still meet
+    deeper = lambda members: members.withColumn("bucket", F.floor(F.col("rep") / 2))
+    for size, more in ((2048, None), (8, None), (8, deeper)):
         monkeypatch.setattr(nd, "SKETCHES", size)
-        assert {r.node: r.component for r in components(nd._loose(classes, 53)).collect()} == {38: 38, 39: 38, 50: 50, 51: 50, 52: 50}
+        assert {r.node: r.component for r in components(nd._loose(spread, sketches, 53, more)).collect()} == {38: 38, 39: 38, 50: 50, 51: 50, 52: 50}
+
+
+def test_linked_sets_share_one_of_their_rarest_shingles(spark):
+    base = prose(60, 5)
+    texts = [edited(base, k % 5, k) for k in range(30)] + [prose(40, 200 + k) for k in range(10)] + ["a b", "a b c d e f"]
+    docs = frame(spark, texts).select("doc_id", "text")
+    rows = nd._rarest(docs, docs.select(F.col("doc_id").alias("rep")), 75, 100, 5).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.rep, set()).add(r.bucket)
+    sets = [shingles(t) for t in texts]
+    for a in range(len(texts)):
+        assert len(held[a]) == len(sets[a]) - -(-75 * len(sets[a]) // 100) + 1
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                assert held[a] & held[b]
+
+
+def test_large_groups_in_several_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "SKETCHES", 4)
+    base = prose(120, 21)
+    # some far from the others, alike among themselves, and a chain from one text to another
+    texts = [edited(base, 2, k) for k in range(14)] + [edited(edited(base, 9, 77), 1, 100 + k) for k in range(7)] + [edited(base, 12, 300 + k) for k in range(6)]
+    for k in range(8):
+        texts.append(edited(texts[-1], 3, 500 + k))
+    ids = random.Random(8).sample(range(1000), len(texts))
+    got = nd.near_duplicates(frame(spark, texts, ids)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, ids)

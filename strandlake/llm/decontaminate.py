@@ -29,8 +29,8 @@ SIZE = 64
 UNIT = 16
 #: Items with fewer shingles would be less alike to the smallest blocks than that; they are looked up by their shingles.
 SHORT = 8
-#: Items searched for at once; more go in rounds over the documents.
-ITEMS = 20_000
+#: Items searched for at once, and characters of them; more go in rounds over the documents. An item takes about 1,300 bytes of a worker's memory, and a character of it one or two.
+ITEMS, CHARS = 50_000, 25_000_000
 
 
 @dataclass
@@ -79,7 +79,7 @@ def build_index(items: list[tuple[int, str | None]], width: int) -> Index:
         values = np.take_along_axis(sig, order, 1)
         low = np.zeros((SIZE, 1 << 16), bool)
         low[np.arange(SIZE)[:, None], values & np.uint32(0xFFFF)] = True
-        index.classes.append(Class(units, values, np.array(some)[order], low))
+        index.classes.append(Class(units, values, np.array(some, np.int32)[order], low))
     return index
 
 
@@ -119,9 +119,11 @@ def _candidates(index: Index, s: np.ndarray, of: np.ndarray) -> set[tuple[int, i
 
 
 def search(docs: DataFrame, index: Index, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item): items of ``index`` of which a document holds ``num / den`` of the shingles or more."""
+    """(doc_id, item_id, n_shared, n_item): items of ``index``, which each worker is sent once, of which a document holds ``num / den`` of the shingles or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in tx.released(batches):
             data, bounds = tx.utf8(batch.column(1))
             for i, j in tx.runs(bounds):
@@ -154,10 +156,11 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 75, den: int = 10
     nothing; repeated rows, of either table, each give their own; a null doc_id
     stays null, items with a null id are left out; other columns are not read;
     no items or no documents give no rows. Items are searched for in rounds of
-    about 20,000, whatever their number.
+    about 50,000 of them and 25 million characters, whatever their number.
     """
     test = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    rounds = max(1, -(-test.count() // ITEMS))
+    size = test.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    rounds = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // CHARS))
     out = None
     for r in range(rounds):
         some = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)

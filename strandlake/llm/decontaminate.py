@@ -119,7 +119,10 @@ def _candidates(index: Index, s: np.ndarray, of: np.ndarray) -> set[tuple[int, i
 
 
 def search(docs: DataFrame, index: Index, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item): items of ``index``, which each worker is sent once, of which a document holds ``num / den`` of the shingles or more."""
+    """(doc_id, item_id, n_shared, n_item): items of ``index``, which each worker is sent once, of which a document holds ``num / den`` of the shingles or more.
+
+    Nulls, repeats, other columns and empty tables as in ``contaminated``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,12 @@ def sample_windows(rows: DataFrame, text_col: str, label: F.Column, id_col: str,
 
 
 def train_languages(docs: DataFrame, hidden: int = 8, texts: int = 1500, steps: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> gru.Model:
-    """A network learned from at most ``texts`` texts with a language; those whose crc32(id) mod 4 is 2 are held out."""
+    """A network learned from at most ``texts`` texts with a language; those whose crc32(id) mod 4 is 2 are held out.
+
+    Rows with a null text, id or language teach nothing, nor do windows without
+    a sign; equal rows count once; other columns are not read. No such rows, or
+    one language alone, give a network that knows no more than that.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 4) != 2))
     got = sample_windows(rows, text_col, F.col(lang_col), id_col, texts, 8, WINDOW)
     names = sorted({r["label"] for r in got})

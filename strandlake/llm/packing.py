@@ -25,7 +25,12 @@ _IDS = "doc_id long, part long, start long, n long, ids binary"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part, start, n, ids): little-endian 32-bit ids of each text, and where they begin among those of its task."""
+    """(doc_id, part, start, n, ids): little-endian 32-bit ids of each text, and where they begin among those of its task.
+
+    A null or empty text has no ids but ``end``; every row gives one, repeated
+    ones too, a null doc_id stays null, whole texts are encoded however long,
+    other columns are not read, an empty table gives no rows.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0

@@ -269,7 +269,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     A block on n of m pages, spread evenly, has the entropy log n / log m and
     the importance one less it; a path's presentation has the entropy of its
-    variants, to the base m.
+    variants, to the base m. A null or empty page adds nothing, a null or odd
+    url counts as one host, repeated rows count as often as they come, other
+    columns are not read, and an empty table gives an empty tree.
     """
     facts = bounded(pages).select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_facts, _FACTS)
     counted = stash(facts.groupBy("host", "path", "role", "kind", "value", "branch").agg(F.count("*").alias("n")), "tree")

@@ -15,7 +15,11 @@ from strandlake.llm.store import bounded, running_totals
 
 
 def document_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of every whole text; null and empty texts have 0."""
+    """(doc_id, n_tokens) of every whole text; null and empty texts have 0.
+
+    Every row gives one, repeated ones too; a null doc_id stays null; other
+    columns are not read; an empty table gives no rows.
+    """
     path = tokenizer or default_tokenizer()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

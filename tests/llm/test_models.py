@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,50 @@ def test_labels_count_every_position_once():
     assert np.allclose(together, alone, atol=1e-5) and np.allclose(together.sum(1), 1, atol=1e-5)
 
 
+def _plain_labels(model, text, length):
+    """The mean distribution over a text's positions by scalar loops."""
+    soft = lambda x: x / (1 + abs(x))
+    codes = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    total = np.zeros(len(model.names))
+    for lo in range(0, len(codes), length):
+        part, states = codes[lo : lo + length], []
+        for way in (0, 1):
+            h, out = np.zeros(model.turn[way].shape[1]), []
+            for c in part if way == 0 else part[::-1]:
+                x, u, n = model.table[way][:, c].astype(float), model.turn[way].astype(float) @ h, len(h)
+                z, r = ([0.5 + 0.5 * soft(x[k] + u[k]) for k in range(a, a + n)] for a in (0, n))
+                cand = [soft(x[2 * n + k] + r[k] * u[2 * n + k]) for k in range(n)]
+                h = np.array([h[k] + z[k] * (cand[k] - h[k]) for k in range(n)])
+                out.append(h)
+            states.append(out if way == 0 else out[::-1])
+        for f, b in zip(*states):
+            e = np.exp(model.out[0] @ f + model.out[1] @ b + model.bias[:, 0])
+            total += e / e.sum()
+    return total / len(codes)
+
+
+def test_labels_equal_a_plain_network():
+    model = gru.new_model(["a", "b", "c"], 4, 5)
+    texts = ["Hello, wörld", "x", "ab" * 150 + "é"]
+    got = gru.label(model, *tx.utf8(pa.array(texts)), 100)
+    assert np.allclose(got, [_plain_labels(model, t, 100) for t in texts], atol=1e-4)
+
+
+def test_held_out_rows_teach_nothing(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(_languages(30, 4))]
+    fold = lambda i, k: zlib.crc32(str(i).encode()) % k
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema)
+    other = spark.createDataFrame([(i, t, "fr" if fold(i, 4) == 2 else lang) for i, t, lang in rows], schema)
+    a, b = (language.train_languages(d, steps=5) for d in (docs, other))
+    assert all(np.array_equal(x, y) for x, y in zip(a.weights, b.weights)) and a.names == b.names
+    assert [r.h for r in docs.orderBy("doc_id").select((language.fold("doc_id", 4) == 2).alias("h")).collect()] == [fold(i, 4) == 2 for i, _, _ in rows]
+    labels = [(i, i % 2, 0) for i, _, _ in rows] + [(None, 1, 0), (3, None, 0)]
+    turned = [(i, 1 - q if i is not None and q is not None and fold(i, 5) == 0 else q, x) for i, q, x in labels]
+    m, n = (quality.fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, turned))
+    assert all(np.array_equal(x, y) for x, y in zip(m.weights, n.weights))
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

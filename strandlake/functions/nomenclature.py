@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.expressions import let
+
 # Signs of a missing allele, and prefixes of the loci that have allele names.
 MISSING = ("?", "????", "0", "0000", "9999", "0+", "??:??", "NA", "")
 PREFIXES = ("HLA", "KIR")
@@ -37,11 +39,15 @@ def information(a: Column) -> Column:
     return F.when(is_missing(a), F.lit(0)).otherwise(2 * F.size(fields(a)))
 
 
+def fields_agree(x: Column, y: Column) -> Column:
+    """Whether two names' fields agree as far as both go; those of a missing name, which are null, agree with everything."""
+    n = F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
+    return x.isNull() | y.isNull() | (F.slice(x, F.lit(1), n) == F.slice(y, F.lit(1), n))
+
+
 def compatible(a: Column, b: Column) -> Column:
     """Whether two names agree in all fields that both have; a missing one agrees with everything."""
-    x, y = fields(a), fields(b)
-    n = F.least(F.size(x), F.size(y))
-    return is_missing(a) | is_missing(b) | (F.slice(x, F.lit(1), F.greatest(n, F.lit(1))) == F.slice(y, F.lit(1), F.greatest(n, F.lit(1))))
+    return let(F.struct(fields(a).alias("x"), fields(b).alias("y")), lambda v: fields_agree(v["x"], v["y"]))
 
 
 def two_digit(code: Column) -> Column:

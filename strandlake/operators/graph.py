@@ -315,6 +315,16 @@ def problems(edges: DataFrame) -> DataFrame:
     return out[0]
 
 
+def drawing(edges: DataFrame, first: int, last: int) -> DataFrame:
+    """(graph, at, line): the levels ``first`` to ``last`` of each graph in the language of a graph drawer, a line for each edge with its symbol and count."""
+    part = edges.where(F.col("level").between(first, last))
+    line = F.concat(F.lit("  n"), F.col("from_id").cast("string"), F.lit(" -> n"), F.col("to_id").cast("string"), F.lit(' [label="'), F.col("symbol"), F.lit(" "), F.col("count").cast("long").cast("string"), F.lit('"];'))
+    rows = part.select("graph", F.concat_ws(":", F.lpad(F.col("level").cast("string"), 12, "0"), F.lpad(F.col("edge_id").cast("string"), 20, "0")).alias("at"), line.alias("line"))
+    graphs = part.select("graph").distinct()
+    head, tail = graphs.select("graph", F.lit("").alias("at"), F.concat(F.lit('digraph "'), F.col("graph"), F.lit('" {')).alias("line")), graphs.select("graph", F.lit("~").alias("at"), F.lit("}").alias("line"))
+    return head.unionByName(rows).unionByName(tail)
+
+
 def node_sums(edges: DataFrame) -> DataFrame:
     """(graph, node, outgoing, incoming) sums of counts."""
     a = edges.groupBy("graph", F.col("from_id").alias("node")).agg(F.sum("count").alias("outgoing"))

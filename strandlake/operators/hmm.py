@@ -58,7 +58,9 @@ def emissions(edge_kmers: DataFrame, counts: DataFrame, states: DataFrame, cover
 def error_rate(counts: DataFrame, coverage: float, start: float = 0.01, least_change: float = 2.0, rounds: int = 50) -> float:
     """Error rate by expectation and maximisation on k-mers (n, group) of two-state levels, until the log-likelihood gains less than ``least_change``.
 
-    Each round is one aggregate over all k-mers; only its sums come to the driver.
+    Each round is one aggregate over all k-mers; only its sums come to the
+    driver. No k-mers give ``start``; a likelihood that still gains after
+    ``rounds`` raises RuntimeError.
     """
     rate, last = start, -math.inf
     per_count = counts.groupBy("n").agg(F.count("*").alias("w"))
@@ -68,9 +70,9 @@ def error_rate(counts: DataFrame, coverage: float, start: float = 0.01, least_ch
         ll = F.ln(F.greatest(0.5 * absent + 0.5 * present, F.lit(FLOOR)))
         s = per_count.agg(F.sum(F.col("w") * ll).alias("ll"), F.sum(F.col("w") * share * F.col("n")).alias("errors"), F.sum(F.col("w") * share).alias("weight")).first()
         if s is None or s["weight"] in (None, 0) or s["ll"] - last < least_change:
-            break
+            return rate
         rate, last = max(1e-6, s["errors"] / s["weight"] / coverage), s["ll"]
-    return rate
+    raise RuntimeError(f"the likelihood still gains after {rounds} rounds")
 
 
 def viterbi(ll: list[np.ndarray], start: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

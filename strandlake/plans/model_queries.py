@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +181,36 @@ def best_guess_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9 if c in ("avg_cov", "prop_kmers", "avg_col_error") else 6) for c in ("q1", "q2", "avg_cov", "prop_kmers", "avg_col_error")})
 
 
+ORACLE_SQL["result_table"] = "SELECT * EXCLUDE (g_group, perfect) REPLACE (CAST(cov_decile1 AS BIGINT) AS cov_decile1) FROM (" + ORACLE_SQL["best_guess_table"] + ") AS whole"
+
+
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table of typing written as the file that others read, and read again."""
+    from strandlake.lineage import shared_dir
+    from strandlake.sources import results
+
+    path = f"{shared_dir(spark)}/best-guess-{uuid.uuid4().hex}"
+    results.write_table(best_guess_table(spark, sf_dir), path, results.BEST_GUESS, ["locus", "chromosome"])
+    schema = "locus string, chromosome int, allele string, q1 double, q2 double, avg_cov double, cov_decile1 long, min_cov long, prop_kmers double, avg_col_error double, n_unaccounted long"
+    return results.read_table(spark, path, results.BEST_GUESS, schema)
+
+
+QUERIES["result_table"] = result_table
+
+
+@query(f"""WITH {_CHAIN}, o AS (SELECT ob.locus, exon_ord, exon_pos, read, genotype, chr(CAST(40 + read % 20 AS INT)) AS quality FROM ob JOIN (SELECT DISTINCT locus, pos, exon_ord, exon_pos FROM ce) c ON ob.locus = c.locus AND ob.pos = c.pos WHERE read % 50 = 0 AND genotype <> '_'),
+l AS (SELECT locus, exon_ord, exon_pos, count(*) AS n, string_agg(genotype || ' (' || ascii(quality) || ') [0.75 | ' || read || ']', ', ' ORDER BY read, genotype) AS genotypes FROM o GROUP BY 1, 2, 3)
+SELECT c.locus, c.exon_ord, c.exon_pos, coalesce(n, 0) AS n, coalesce(genotypes, '') AS genotypes FROM (SELECT DISTINCT locus, exon_ord, exon_pos FROM ce) c LEFT JOIN l ON c.locus = l.locus AND c.exon_ord = l.exon_ord AND c.exon_pos = l.exon_pos""")
+def pileup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes at each place of the exons with their qualities and reads, uncovered places too."""
+    from strandlake.sources import results
+
+    ob, placed, _, _ = _chain(spark, sf_dir)
+    places = placed.select("locus", "pos", "exon_ord", "exon_pos").distinct()
+    rows = ob.where("read % 50 = 0 AND genotype <> '_'").join(places, ["locus", "pos"]).withColumns({"quality": F.char(40 + F.col("read") % 20), "mapq_position": F.lit(0.75)})
+    return results.pileup_rows(rows, places.drop("pos"))
+
+
 @query("""WITH c AS (SELECT p_partkey, substr('ACGT_', CAST(p_partkey % 5 + 1 AS INT), 1) || CASE WHEN p_size % 4 = 0 THEN substr('ACGT_', CAST(p_size % 5 + 1 AS INT), 1) ELSE '' END AS a,
 CASE WHEN p_partkey % 7 = 0 THEN '_' ELSE substr('ACGT', CAST(p_size % 4 + 1 AS INT), 1) || repeat('A', CAST(p_partkey % 3 AS INT)) END AS g, p_size / 51.0 AS p FROM part),
 s AS (SELECT p_partkey, i, length(a) AS n, substr(a, CAST(i AS INT), 1) AS x, CASE WHEN i > length(g) THEN '_' WHEN i = length(a) THEN substr(g, CAST(i AS INT)) ELSE substr(g, CAST(i AS INT), 1) END AS g, CASE WHEN p <= 0 THEN 0.001 ELSE least(p, 0.999) END AS p FROM c, unnest(range(1, length(a) + 1)) AS r(i)),

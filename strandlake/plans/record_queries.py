@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
 from strandlake.operators import aggregates as ag
-from strandlake.operators import align, graph, simulate, validate, variants
+from strandlake.operators import align, graph, hmm, simulate, validate, variants
 from strandlake.operators import filters as fl
 from strandlake.operators import joins as jn
 from strandlake.operators import typing as ty
@@ -473,3 +473,99 @@ def compared_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["compared_methods"] = compared_methods
+
+
+@query(f"""WITH {_LADDER}, w AS (SELECT * FROM e WHERE level BETWEEN 10 AND 20) SELECT 'g' AS graph, lpad(CAST(level AS VARCHAR), 12, '0') || ':' || lpad(CAST(edge_id AS VARCHAR), 20, '0') AS at, '  n' || from_id || ' -> n' || to_id || ' [label="' || symbol || ' ' || CAST(cnt AS BIGINT) || '"];' AS line FROM w
+UNION ALL SELECT DISTINCT 'g', '', 'digraph "g" {{' FROM w UNION ALL SELECT DISTINCT 'g', '~', '}}' FROM w""".replace(" AS at,", ' AS "at",'))
+def graph_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.drawing(_ladder(spark, sf_dir), 10, 20)
+
+
+@query(f"""WITH g AS (SELECT {dna_sql("text")} AS s FROM benchmark WHERE length({dna_sql("text")}) >= 90 ORDER BY item_id LIMIT 1), r AS (SELECT conv_id * 1000 + turn AS id, substr({dna_sql("text")}, 1, CAST(conv_id % 6 + 1 AS INT)) AS seq FROM conversations)
+SELECT id, seq, seq IS NOT NULL AND instr(s, seq) > 0 OR seq = '' AS present FROM r, g""".replace("seq IS NOT NULL AND instr(s, seq) > 0 OR seq = ''", "coalesce(instr(s, seq) > 0 OR seq = '', false)"))
+def sequences_in_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of turns in the graph of one passage."""
+    g = table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("s")).where("length(s) >= 90").orderBy("item_id").limit(1)
+    edges = g.select(F.posexplode(F.split("s", "")).alias("i", "symbol")).select(F.col("i").cast("long").alias("from_id"), (F.col("i") + 1).cast("long").alias("to_id"), "symbol")
+    r = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substr(dna(F.col("text")), F.lit(1), (F.col("conv_id") % 6 + 1).cast("int")).alias("seq"))
+    return graph.sequences_present(r, edges)
+
+
+@query(f"""WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {dna_sql("text")} AS seq FROM benchmark) SELECT chrom, substr(seq, 1, 9) || 'TTT' || substr(seq, 12, 28) || substr(seq, 41) AS seq FROM s""")
+def amended_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with two calls each that fit, an insertion and a deletion, and one that does not."""
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), dna(F.col("text")).alias("seq"))
+    call = lambda pos, ref, alt: F.struct(F.lit(pos).alias("pos"), ref.alias("ref"), alt.alias("alt"))
+    calls = s.select("chrom", F.explode(F.array(call(10, F.substr("seq", F.lit(10), F.lit(2)), F.lit("TTT")), call(40, F.substr("seq", F.lit(40), F.lit(1)), F.lit("")), call(60, F.lit("NN"), F.lit("A")))).alias("c")).select("chrom", "c.*")
+    return variants.amended(s, calls)
+
+
+@query(f"""WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, substr({dna_sql("text")}, 1, 80) AS h FROM benchmark WHERE length({dna_sql("text")}) >= 80), c AS (SELECT chrom, i, substr(h, CAST(i AS INT), 1) AS b FROM s, unnest(range(1, 81)) AS r(i))
+SELECT chrom, string_agg(b, '' ORDER BY i) AS h1, string_agg(CASE WHEN i % 10 = 1 THEN translate(b, 'ACGT', 'CATG') ELSE b END, '' ORDER BY i) AS h2, 1.0::DOUBLE AS support FROM c GROUP BY 1""")
+def phased_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and copies of them that differ at every tenth base, the alleles in alternating order, put in phase by their own k-mers."""
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), F.substr(dna(F.col("text")), F.lit(1), F.lit(80)).alias("h")).where("length(h) = 80")
+    cut = s.select("chrom", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seg_ord"), "h")
+    at, one = (F.floor(F.col("seg_ord") / 2) * 10 + 1).cast("int"), F.col("seg_ord") % 2 == 0
+    base = F.substr("h", at, F.lit(1))
+    other, turned = F.translate(base, "ACGT", "CATG"), F.col("seg_ord") % 4 == 2
+    segments = cut.select("chrom", "seg_ord", F.when(one, F.when(turned, other).otherwise(base)).otherwise(F.substr("h", at + 1, F.lit(9))).alias("a1"), F.when(one, F.when(turned, base).otherwise(other)).alias("a2"))
+    whole = lambda second: F.array_join(F.transform(F.split("h", ""), lambda x, i: F.when(i % 10 == 0, F.translate(x, "ACGT", "CATG")).otherwise(x) if second else x), "")
+    counts = s.select(F.explode(F.array(whole(False), whole(True))).alias("t")).select(F.explode(sq.kmers(F.col("t"), 12)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return variants.phased(segments, counts, 12)
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as haplotypes of two segments, sizes as levels; both are fixed lists of the tables."""
+    p = table(spark, sf_dir, "part")
+    cells = p.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("k"))
+    grid = p.select("p_brand").distinct().crossJoin(F.broadcast(p.select("p_size").distinct())).join(cells, ["p_brand", "p_size"], "left")
+    level = F.floor(F.col("p_size") / 2).cast("int")
+    return grid.select((F.col("p_size") % 2).cast("string").alias("segment"), F.col("p_brand").alias("haplotype_id"), F.concat(F.lit("L"), level.cast("string")).alias("locus_id"), level.alias("level"), _sign("ACG", F.coalesce("k", F.lit(0)) % 2 + F.col("p_size") % 2).alias("allele"))
+
+
+@query()
+def panel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the brands that have all sizes; joining nodes is a sequence of decisions that SQL does not express."""
+    return graph.graph_of_panel(_panel(spark, sf_dir), 3)
+
+
+@query()
+def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ladder of nine edges a level less those whose k-mers the orders do not show."""
+    e = _ladder(spark, sf_dir, 9, F.floor(F.col("p_partkey") / 3) % 2)
+    name = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    seen = table(spark, sf_dir, "orders").select(name(F.col("o_custkey") % 40).alias("kmer")).where("kmer NOT IN ('k3', 'k4', 'k17')").distinct()
+    return graph.pruned(e, e.select("graph", "edge_id", name(F.col("edge_id") % 40).alias("kmer")), seen, 5)
+
+
+def _haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("hap_id"), F.repeat(dna(F.col("text")), F.lit(3)).alias("seq"))
+
+
+@query()
+def simulated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs from mutated passages, drawn from a seed and each haplotype's name."""
+    return simulate.simulated_reads(simulate.perturbed(_haplotypes(spark, sf_dir), 0.01), 10)
+
+
+@query()
+def random_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.random_paths(graph.trimmed(_ladder(spark, sf_dir, 9, F.floor(F.col("p_partkey") / 3) % 2)), 5)
+
+
+@query()
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error rate by expectation and maximisation on orders a customer as counts."""
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("n")).select("n")
+    rate = hmm.error_rate(n, 20.0)
+    return spark.range(1).select(F.lit(rate).alias("error_rate"))
+
+
+@query()
+def tied_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths through states that all score alike, and the others that are as good."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("sample"), F.explode(F.sequence(F.lit(0), F.col("n_nationkey") % 3)).alias("level"), F.lit(0.0).alias("ll"), F.lit(-1.0).alias("start"))
+    states = n.withColumn("state", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    steps = spark.range(3).select(F.col("id").cast("int").alias("level"), F.explode(F.array(*[F.struct(F.lit(x).alias("from_state"), F.lit(y).alias("to_state"), F.lit(0.5).alias("p")) for x in "ab" for y in "ab"])).alias("t")).select("level", "t.*")
+    return hmm.decode(states, steps, ties=10)

@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 
 from strandlake.functions import sequences as sq
 from strandlake.functions.expressions import draw
-from strandlake.lineage import stash
+from strandlake.operators.kmer_table import counter
 
-#: K-mers of a set that is broadcast at most, about 100 bytes each.
+#: K-mers of a set that goes to every worker at most, about 12 bytes and four a sign each.
 KMERS = 1_000_000
 
 
@@ -29,27 +29,45 @@ def kmer_set(df: DataFrame, text: str, k: int, canonical: bool = False) -> DataF
     return rows.select(sq.canonical(F.col("kmer")).alias("kmer")).distinct() if canonical else rows.distinct()
 
 
-def in_set(rows: DataFrame, known: DataFrame, out: str, most: int = KMERS) -> DataFrame:
-    """``rows`` with ``out``: 1 where their kmer is in the set.
+def in_set(rows: DataFrame, known: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: 1 where their kmer is in the set."""
+    return rows.join(known.select("kmer").distinct().withColumn(out, F.lit(1)), "kmer", "left")
 
-    A set of at most ``most`` k-mers goes to every task, so k-mers that are not
-    in it end there and no k-mer is shuffled; a larger one is joined by a shuffle.
-    """
-    held = stash(known.select("kmer").distinct(), "kmers")
-    marked = held.withColumn(out, F.lit(1))
-    return rows.join(F.broadcast(marked) if held.limit(most + 1).count() <= most else marked, "kmer", "left")
+
+def _n_kmers(text: Column, k: int) -> Column:
+    return F.coalesce(F.greatest(F.length(text) - (k - 1), F.lit(0)), F.lit(0)).cast("long")
 
 
 def kmer_fractions(reads: DataFrame, by: list[str], text: str, known: DataFrame, k: int, empty: float = 0.0, most: int = KMERS) -> DataFrame:
     """(by, n_kmers, n_hits, fraction): share of each read's k-mers that are in a set; ``empty`` where it has none.
 
     Null and short texts have no k-mers; rows that repeat ``by`` count
-    together; an empty table gives no rows. What is shuffled is one count for
-    each read and task, as far as ``in_set`` needs no shuffle.
+    together; an empty table gives no rows. A set of at most ``most`` k-mers is
+    looked up where the read is, and a read's counts alone are shuffled; the
+    k-mers of reads meet a larger set in a join.
     """
-    marked = in_set(reads.select(*by, F.explode_outer(sq.kmers(F.col(text), k)).alias("kmer")), known, "_hit", most)
-    n, hits = F.count("kmer"), F.count("_hit")
-    return marked.groupBy(*by).agg(n.alias("n_kmers"), hits.alias("n_hits"), F.when(n > 0, hits / n).otherwise(F.lit(empty)).alias("fraction"))
+    hits = counter(known, k, most)
+    if hits is not None:
+        rows = reads.select(*by, _n_kmers(F.col(text), k).alias("n"), hits(F.col(text)).alias("h"))
+        n, h = F.sum("n"), F.sum("h")
+    else:
+        rows = in_set(reads.select(*by, F.explode_outer(sq.kmers(F.col(text), k)).alias("kmer")), known, "_hit")
+        n, h = F.count("kmer"), F.count("_hit")
+    return rows.groupBy(*by).agg(n.alias("n_kmers"), h.alias("n_hits"), F.when(n > 0, h / n).otherwise(F.lit(empty)).alias("fraction"))
+
+
+def _sides(rows: DataFrame, sides: dict[str, Column], sets: dict[str, tuple[DataFrame, bool]], k: int, most: int) -> DataFrame:
+    """(read_id, n_x, s_x ...): k-mers of each side x of a read and how many of them each set s has, by reads' ids."""
+    found = {s: counter(known, k, most, both) for s, (known, both) in sets.items()}
+    if all(f is not None for f in found.values()):
+        parts = rows.select("read_id", *[_n_kmers(c, k).alias(f"n_{x}") for x, c in sides.items()], *[f(c).alias(f"{s}_{x}") for s, f in found.items() for x, c in sides.items()])
+        return parts.groupBy("read_id").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
+    each = F.array(*[F.struct(F.lit(x).alias("side"), c.alias("seq")) for x, c in sides.items()])
+    kmers = rows.select("read_id", F.explode(each).alias("s")).select("read_id", "s.side", F.explode_outer(sq.kmers(F.col("s.seq"), k)).alias("raw"))
+    for s, (known, both) in sets.items():
+        kmers = in_set(kmers.withColumn("kmer", sq.canonical(F.col("raw")) if both else F.col("raw")), known, f"_{s}").drop("kmer")
+    of = lambda x, c: F.count(F.when(F.col("side") == x, F.col(c)))
+    return kmers.groupBy("read_id").agg(*[of(x, "raw").alias(f"n_{x}") for x in sides], *[of(x, f"_{s}").alias(f"{s}_{x}") for s in sets for x in sides])
 
 
 def positive_filter(pairs: DataFrame, known: DataFrame, k: int = 25, threshold: float = 0.3, any_mate: bool = False, unique: DataFrame | None = None, least_unique: int = 10, most: int = KMERS) -> DataFrame:
@@ -59,40 +77,35 @@ def positive_filter(pairs: DataFrame, known: DataFrame, k: int = 25, threshold:
     mate and the second one's reverse complement, reverse the other way. A pair
     passes if both mates of one strand reach the threshold, or any mate where
     ``any_mate``; or if it has ``least_unique`` k-mers of ``unique`` on a strand.
-    An empty or null mate has a fraction of 0; rows that repeat a read_id count together.
+    An empty or null mate has a fraction of 0; rows that repeat a read_id count
+    together. Sets as for ``kmer_fractions``.
     """
-    side = lambda name, s: F.struct(F.lit(name).alias("side"), s.alias("seq"))
     a, b = F.col("seq1"), F.col("seq2")
-    sides = F.array(side("f1", a), side("f2", sq.revcomp(b)), side("r1", sq.revcomp(a)), side("r2", b))
-    rows = pairs.select("read_id", F.explode(sides).alias("s")).select("read_id", "s.side", F.explode_outer(sq.kmers(F.col("s.seq"), k)).alias("kmer"))
-    rows = in_set(rows, known, "_hit", most)
-    of = lambda name, c: F.count(F.when(F.col("side") == name, F.col(c)))
-    sums = [F.coalesce(F.try_divide(of(x, "_hit"), of(x, "kmer")), F.lit(0.0)).alias(x) for x in ("f1", "f2", "r1", "r2")]
+    sets = {"hit": (known, False)} | ({"own": (unique, False)} if unique is not None else {})
+    sums = _sides(pairs, {"f1": a, "f2": sq.revcomp(b), "r1": sq.revcomp(a), "r2": b}, sets, k, most)
+    out = sums.withColumns({x: F.coalesce(F.try_divide(f"hit_{x}", f"n_{x}"), F.lit(0.0)) for x in ("f1", "f2", "r1", "r2")})
     t = F.lit(threshold)
     passed = (F.greatest("f1", "f2", "r1", "r2") >= t) if any_mate else ((F.col("f1") >= t) & (F.col("f2") >= t)) | ((F.col("r1") >= t) & (F.col("r2") >= t))
     if unique is not None:
-        rows = in_set(rows, unique, "_unique", most)
-        sums += [(of(f"{x}1", "_unique") + of(f"{x}2", "_unique") >= least_unique).alias(f"_{x}") for x in "fr"]
-        passed = passed | F.col("_f") | F.col("_r")
-    return rows.groupBy("read_id").agg(*sums).select("read_id", "f1", "f2", "r1", "r2", passed.alias("passed"))
+        passed = passed | (F.col("own_f1") + F.col("own_f2") >= least_unique) | (F.col("own_r1") + F.col("own_r2") >= least_unique)
+    return out.select("read_id", "f1", "f2", "r1", "r2", passed.alias("passed"))
 
 
 def negative_filter(reads: DataFrame, background: DataFrame, k: int = 25, threshold: float = 0.45, rescue: DataFrame | None = None, most: int = KMERS) -> DataFrame:
     """(read_id, n1, n2, passed) for reads (read_id, mate, seq): at least one mate has no more than ``threshold`` of its canonical k-mers in the background.
 
     A mate that is missing or has no k-mers counts as wholly background.
-    ``rescue``: reads with one of these k-mers pass as well.
+    ``rescue``: reads with one of these k-mers pass as well. Sets as for ``kmer_fractions``.
     """
-    raw = F.explode_outer(sq.kmers(F.col("seq"), k)).alias("kmer")
-    rows = in_set(reads.select("read_id", "mate", raw).withColumn("kmer", sq.canonical(F.col("kmer"))), background, "_hit", most)
-    of = lambda mate, c: F.count(F.when(F.col("mate") == mate, F.col(c)))
-    sums = [F.coalesce(F.try_divide(of(m, "_hit"), of(m, "kmer")), F.lit(1.0)).alias(f"n{m}") for m in (1, 2)]
+    of = lambda m: F.when(F.col("mate") == m, F.col("seq"))
+    other = F.when(~F.col("mate").isin(1, 2), F.col("seq"))
+    sets = {"hit": (background, True)} | ({"own": (rescue, True)} if rescue is not None else {})
+    sums = _sides(reads, {"1": of(1), "2": of(2), "3": other}, sets, k, most)
+    out = sums.withColumns({f"n{m}": F.coalesce(F.try_divide(f"hit_{m}", f"n_{m}"), F.lit(1.0)) for m in (1, 2)})
     passed = (F.col("n1") <= threshold) | (F.col("n2") <= threshold)
     if rescue is not None:
-        rows = in_set(rows, rescue, "_rescue", most)
-        sums.append((F.count("_rescue") >= 1).alias("_kept"))
-        passed = passed | F.col("_kept")
-    return rows.groupBy("read_id").agg(*sums).select("read_id", "n1", "n2", passed.alias("passed"))
+        passed = passed | (F.col("own_1") + F.col("own_2") + F.col("own_3") >= 1)
+    return out.select("read_id", "n1", "n2", passed.alias("passed"))
 
 
 def without_minor_alleles(counts: DataFrame, position: list[str], n: str = "n", least: int = 100, share: float = 0.2) -> DataFrame:

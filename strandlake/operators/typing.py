@@ -17,6 +17,8 @@ from strandlake.operators import filters as fl
 # The exons that type a locus; the gates of a position and of an alignment; how far a pair's distance may be from its mean.
 BOTH_EXONS, SECOND_EXON = ("A", "B", "C", "E", "F", "G", "H", "J", "K", "L", "V"), ("DQA1", "DQB1", "DRB1", "DPA1", "DPB1", "DRA", "DRB3", "DRB4")
 LEAST_POSITION_QUALITY, LEAST_ALIGNMENT_QUALITY = 0.7, 0.01
+#: Places of all clusters that are broadcast at most.
+ALLELES = 200_000
 
 
 def exon_table(spark: SparkSession) -> DataFrame:
@@ -69,8 +71,12 @@ def read_likelihoods(observations: DataFrame, alleles: DataFrame, gap: str = "_"
     """(locus, cluster, read, ll, mismatches) of observations (locus, read, pos, genotype, p) against clusters (locus, cluster, pos, base).
 
     A genotype has one sign or, with an insertion, more. A gap in the read is
-    no mismatch; places that no cluster has are left out.
+    no mismatch; places that no cluster has are left out. Where the clusters
+    have few places, they go to every task and a read's rows are brought
+    together once, for the sums and for what is made of a read's clusters next.
     """
+    if alleles.limit(ALLELES + 1).count() <= ALLELES:
+        observations, alleles = observations.repartition("locus", "read"), F.broadcast(alleles)
     met = observations.join(alleles, ["locus", "pos"])
     ll = pr.typing_log_likelihood(F.col("base"), F.col("genotype"), F.col("p"), gap)
     wrong = F.when((F.col("genotype") != gap) & (F.col("base") != F.col("genotype")), 1).otherwise(0)

@@ -61,3 +61,25 @@ def test_draws_and_ties_are_the_same_on_every_run(spark):
     assert len({windows.random_best(df, ["g"], "v", "k", s).first().k for s in range(6)}) > 1
     median = aggregates.mean_and_median(df.withColumn("w", F.col("k").cast("double")), ["g"], "w").first()
     assert (median.n, median["mean"], median.median) == (50, 24.5, 25.0)
+
+
+def test_a_table_counts_kmers_as_sets_do():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandlake.operators.kmer_table import KmerTable
+
+    rng = random.Random(6)
+    texts = [None, "", "ab"] + ["".join(rng.choice("abé日😀") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    known = {t[i : i + 4] for t in texts[3:60] if t for i in range(len(t) - 3)}
+    table = KmerTable([*known, "abc"], 4)
+    want = [sum((t or "")[i : i + 4] in known for i in range(len(t or "") - 3)) for t in texts]
+    assert table.count(pa.array(texts)).tolist() == want == table.count(pa.array(texts), run=16).tolist()
+    # words that share a hash are told apart by their signs
+    table.hashes, table.most = np.zeros(len(table.hashes), np.uint64), len(table.hashes)
+    table.low[:] = True
+    table._hashes = lambda signs, n: np.zeros(n, np.uint64)
+    assert table.count(pa.array(texts)).tolist() == want
+    assert KmerTable([], 3).count(pa.array(["abc"])).tolist() == [0]

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from strandlake.lineage import stash
 
 
+#: Labels that are broadcast at most.
+MOVES = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
     Where the labels of an edge's ends differ, the larger one's node and the
     end itself take the smaller one, a map-side combined minimum; then a node
-    takes the label of its label. Hooking labels as well as ends makes the
-    rounds logarithmic, on long chains too.
+    takes the label of its label, those that differ being broadcast where few,
+    so that the nodes of a large component never meet in one task. Hooking
+    labels as well as ends makes the rounds logarithmic, on long chains too.
     The labels are written after each round, so lineage stays short. Raises
     RuntimeError where ``rounds`` do not suffice, rather than return labels
     that are not final. Edges with a null end count for nothing.
@@ -25,11 +30,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         ends = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("lb < la")
         heard = ends.select(F.explode(F.array("a", "la")).alias("node"), "lb").groupBy("node").agg(F.min("lb").alias("heard"))
-        lower = labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        after = stash(lower.join(jump, "label", "left").select("node", "was", F.least("label", "jumped").alias("label")), "labels")
-        moved = after.where("label < was").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
+        lower = stash(labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "labels")
+        # labels in use whose own node has a smaller one; most are none's, so hardly any are looked up
+        moves = lower.where("label < node").join(lower.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("jumped"))
+        n = moves.limit(MOVES + 1).count()
+        labels = lower.select("node", "label")
+        if n:
+            labels = stash(lower.join(F.broadcast(moves) if n <= MOVES else moves, "label", "left").select("node", F.least("label", "jumped").alias("label")), "labels")
+        elif not lower.where("label < was").limit(1).count():
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"labels still move after {rounds} rounds")

@@ -19,9 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_tree": site_tree.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    # parts of two of them, for which there is SQL
+    "length_histogram": token_counts.histogram_query,
+    "quality_statistics": rules.statistics_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": near_duplicates.ORACLE_SQL,
+    "length_histogram": token_counts.HISTOGRAM_SQL,
+    "quality_statistics": rules.STATISTICS_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_licenses": licenses.ORACLE_SQL,
 }

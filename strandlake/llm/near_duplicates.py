@@ -34,7 +34,7 @@ SIZE = BANDS * ROWS
 #: Classes in a block.
 BLOCK = 512
 #: Sketches in a block of a bucket.
-SKETCHES = 512
+SKETCHES = 2048
 #: Ids that are broadcast at most; more are joined by a shuffle.
 IDS = 1_000_000
 _FMIX = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))

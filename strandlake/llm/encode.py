@@ -50,7 +50,7 @@ class Encoder:
     same ids come from the faster library; added tokens only the other knows.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 300_000):
         self.path, self.entries = path, entries
         self.added = [t["content"].encode() for t in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or []]
         self._forget()

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Bytes of texts that go to a Python worker at once.
-BATCH = 4 << 20
+#: Bytes of texts that go to a Python worker at once, and rows that a scan holds as one batch.
+BATCH, ROWS = 2 << 20, 512
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands Python workers batches of about ``BATCH`` bytes, however long the texts are."""
+    """``df``, in a session that scans batches of ``ROWS`` texts and hands Python workers about ``BATCH`` bytes, however long the texts are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", ROWS)
     return df
 
 

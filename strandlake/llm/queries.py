@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, language, licenses, near_duplicates, packing, personal, quality, rules, site_tree, token_counts
+from strandlake.llm import decontaminate, language, licenses, merkle, near_duplicates, packing, personal, quality, rules, site_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_tree": site_tree.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "op13_merkle_manifest": merkle.query,
     # parts of two of them, for which there is SQL
     "length_histogram": token_counts.histogram_query,
     "quality_statistics": rules.statistics_query,
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "quality_statistics": rules.STATISTICS_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_licenses": licenses.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }

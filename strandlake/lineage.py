@@ -40,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def stash(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, with the writer's ``options``, and read it again.
 
     The result has no lineage behind it: a lost executor costs a re-read of a
     file, never a recomputation of what went before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).option("parquet.block.size", GROUP).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", GROUP).options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -84,15 +84,15 @@ class Words:
     end: np.ndarray
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes other than space and 0x09-0x0D, A-Z lower-cased unless told otherwise, of texts at ``bounds`` in ``data``."""
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, gap: np.ndarray = _WHITE) -> Words:
+    """Maximal runs of bytes other than ``gap`` (space and 0x09-0x0D), A-Z lower-cased unless told otherwise, of texts at ``bounds`` in ``data``."""
     n_texts, lo, hi = len(bounds) - 1, int(bounds[0]), int(bounds[-1])
     raw, starts = data[lo:hi], bounds[:-1] - lo
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, U), none, np.zeros(n_texts, np.int64), none, none)
-    black = ~_WHITE[raw]
+    black = ~gap[raw]
     cut = np.zeros(n + 1, bool)
     cut[starts] = True
     cut[n] = True

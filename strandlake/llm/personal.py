@@ -9,11 +9,11 @@ elsewhere too, in a style that no pattern takes.
 
 from __future__ import annotations
 
-import bisect
 import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
+from strandlake.llm.skip_chain import Field, beliefs, softmax
 from strandlake.llm.store import bounded, bounded_sample
 
 #: Kinds that patterns find, then the one that only the field does.
@@ -29,9 +30,10 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 _OTHER = 0
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# repeated groups give nothing back, as what follows them never needs it, and so keep no stack on long runs
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -85,16 +87,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-@dataclass
-class Field:
-    """Weights of the nodes (labels, features), the chain (left, right) and the skips (labels, labels; symmetric)."""
-
-    node: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
-
-
 FEATURES = 24
+#: Features of a word's neighbours: a plus or a bracket begins the one before, a bracket the one after, and something before the word announces a secret.
+_BEFORE_PLUS, _BEFORE_BRACKET, _AFTER_BRACKET, _CUED = 16, 17, 18, 21
+#: Nodes whose labels are settled together, where texts are shorter, and whose words are held at once.
+NODES, WORDS = 1 << 15, 1 << 13
+#: What announces a secret stands within so many characters before it.
+_AHEAD = 24
 
 
 @dataclass
@@ -110,34 +109,35 @@ class Nodes:
 def _nodes(text: str) -> Nodes:
     spans = [m.span() for m in _WORD.finditer(text)]
     near = [k > 0 and spans[k][0] - spans[k - 1][1] <= 1 for k in range(len(spans))]
-    return Nodes(spans, [text[a:b] for a, b in spans], near, [_CUE.search(text, max(0, a - 24), a) is not None for a, _ in spans])
+    return Nodes(spans, [text[a:b] for a, b in spans], near, [_CUE.search(text, max(0, a - _AHEAD), a) is not None for a, _ in spans])
 
 
-def _features(word: str, before: str, after: str, cued: bool) -> list[int]:
-    """Numbers of the features that hold for a word between its neighbours."""
+def _own(word: str) -> list[int]:
+    """Numbers of the features that hold for a word by itself."""
     core = word.strip(_TRIM + ".")
     digits = "".join(_DIGITS.findall(word))
     n, parts = len(digits), core.split(".")
-    f = [0, 1 + (n > 0) + (n > 3) + (n > 6) + (n > 9) + (n > 15) + (n > 19)]
-    tests = (
-        "@" in word,
-        "@" in word and "." in word.split("@")[-1].strip("."),
-        len(parts) == 4 and all(_DIGITS.fullmatch(p) and len(p) < 6 and int(p) < 256 for p in parts),
-        _DIGITS.fullmatch(core) is not None,
-        any(c.isalpha() for c in core),
-        word.startswith("+"),
-        word.startswith("("),
-        "-" in core and _DIGITS.fullmatch(core.replace("-", "")) is not None,
-        before.startswith("+"),
-        before.startswith("("),
-        after.startswith("("),
-        16 <= n <= 19 and luhn(digits),
-        "[at]" in word,
-        cued,
-        len(core) >= 20,
-        _HEX.fullmatch(core) is not None and len(core) >= 20,
-    )
-    return f + [8 + k for k, t in enumerate(tests) if t]
+    tests = {
+        8: "@" in word,
+        9: "@" in word and "." in word.split("@")[-1].strip("."),
+        10: len(parts) == 4 and all(_DIGITS.fullmatch(p) and len(p) < 6 and int(p) < 256 for p in parts),
+        11: _DIGITS.fullmatch(core) is not None,
+        12: any(c.isalpha() for c in core),
+        13: word.startswith("+"),
+        14: word.startswith("("),
+        15: "-" in core and _DIGITS.fullmatch(core.replace("-", "")) is not None,
+        19: 16 <= n <= 19 and luhn(digits),
+        20: "[at]" in word,
+        22: len(core) >= 20,
+        23: _HEX.fullmatch(core) is not None and len(core) >= 20,
+    }
+    return [0, 1 + (n > 0) + (n > 3) + (n > 6) + (n > 9) + (n > 15) + (n > 19)] + [k for k, t in tests.items() if t]
+
+
+def _features(word: str, before: str, after: str, cued: bool) -> list[int]:
+    """Numbers of the features that hold for a word between its neighbours."""
+    tests = {_BEFORE_PLUS: before.startswith("+"), _BEFORE_BRACKET: before.startswith("("), _AFTER_BRACKET: after.startswith("("), _CUED: cued}
+    return _own(word) + [k for k, t in tests.items() if t]
 
 
 def _keys(word: str, run: str) -> set[str]:
@@ -206,16 +206,17 @@ def _plain(rng: random.Random) -> str:
     return rng.choice([n(rng.randint(1, 9)), n(rng.randint(1, 20)), f"{n(1)}.{n(1)}", f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", f"{n(3)},{n(3)}", dotted, quads, f"{n(3)}-{n(4)}", f"({n(2)})", f"v{n(1)}.{n(2)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 32, 40, 64]))), f"@user{n(3)}", f"a{n(2)}[at]b"])
 
 
-def _covering(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
-    """The label of the first kind of span that covers some of each place, or none's."""
-    out = [_OTHER] * len(places)
-    starts = [a for a, _ in places]
-    for kind, a, b in reversed(spans):
-        k = max(0, bisect.bisect_right(starts, a) - 1)
-        while k < len(places) and starts[k] < b:
-            if a < places[k][1]:
-                out[k] = kind + 1
-            k += 1
+def _covering(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The label of the first kind of span that covers some of each place, or none's. Places are in order and apart, as are the spans of a kind."""
+    out = np.full(len(starts), _OTHER, np.int8)
+    if not spans or not len(starts):
+        return out
+    kinds, a, b = np.array(spans, np.int64).T
+    lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+    for kind in np.unique(kinds)[::-1].tolist():
+        some = kinds == kind
+        length = np.maximum(hi[some] - lo[some], 0)
+        out[np.repeat(lo[some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] = kind + 1
     return out
 
 
@@ -223,7 +224,8 @@ def _labelled(text: str, rng: random.Random) -> tuple[Nodes, list[int]]:
     """Nodes of a text with the label of the pattern that covers each; then, set apart, mentions of half of its personal data in other styles, and plain numbers, of which some come twice."""
     nodes = _nodes(text)
     spans = base_spans(text) + [(len(KINDS) - 1, *m.span(1)) for m in _SECRET.finditer(text)]
-    labels = _covering(nodes.spans, spans)
+    places = np.array(nodes.spans, np.int64).reshape(-1, 2)
+    labels = _covering(places[:, 0], places[:, 1], spans).tolist()
     mentions, begin = [], 0
     for k in range(1, len(labels) + 1):
         if k == len(labels) or not nodes.near[k] or labels[k] != labels[begin]:
@@ -241,20 +243,19 @@ def _labelled(text: str, rng: random.Random) -> tuple[Nodes, list[int]]:
     return nodes, labels
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
-def train_field(texts: list[str], steps: int = 600, rate: float = 1.0, decay: float = 1e-4, seed: int = 3) -> Field:
+def train_field(texts: list[str], steps: int = 600, rate: float = 1.0, decay: float = 1e-4, seed: int = 3, most: int = 500_000) -> Field:
     """Weights by pseudo-likelihood: each node is to name its label, given its neighbours' labels.
 
     The patterns label what they cover, but the field also sees mentions of the
     same data in styles that no pattern takes, and plain numbers in those very
     styles: what tells them apart is whether the text has the data elsewhere.
+    At most ``most`` words are learned from; texts that would go beyond teach nothing.
     """
-    rng = random.Random(seed)
-    made = [_labelled(t, rng) for t in texts]
+    rng, made, words = random.Random(seed), [], 0
+    for t in texts:
+        if words + sum(1 for _ in islice(_WORD.finditer(t), most + 1)) <= most:
+            made.append(_labelled(t, rng))
+            words += len(made[-1][1])
     labels = [y for _, ys in made for y in ys]
     x, chain, skip = _batch([_graph(nodes) for nodes, _ in made])
     n = len(KINDS) + 1
@@ -271,7 +272,7 @@ def train_field(texts: list[str], steps: int = 600, rate: float = 1.0, decay: fl
 
     left, right, near = heard(chain, 0), heard(chain, 1), heard(skip, 0) + heard(skip, 1)
     for _ in range(steps):
-        d = one - _softmax(x @ w.T + left @ c + right @ c.T + near @ s)
+        d = one - softmax(x @ w.T + left @ c + right @ c.T + near @ s)
         w += rate * (d.T @ x * 10 / len(y) - decay * w)
         c += rate * ((left.T @ d + d.T @ right) * 10 / len(y) - decay * c)
         g = near.T @ d * 10 / len(y)
@@ -280,59 +281,140 @@ def train_field(texts: list[str], steps: int = 600, rate: float = 1.0, decay: fl
 
 
 def marginals(field: Field, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, known: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
-    """Beliefs (nodes, labels) after ``rounds`` of damped sum-product messages along all edges both ways; ``known`` has the labels of nodes that are certain, and 0."""
+    """Beliefs (nodes, labels) of nodes with features ``x``; chain edges join neighbours, ``known`` has the labels of nodes that are certain, and 0."""
     unary = x @ field.node.T
+    _settle(unary, known)
+    linked = np.zeros(len(x), bool)
+    linked[chain[:, 1]] = True
+    return beliefs(field, unary, linked, skip, rounds, still=0.0)
+
+
+def _settle(unary: np.ndarray, known: np.ndarray | None) -> None:
     if known is not None:
         unary[known > 0] = np.where(np.arange(unary.shape[1]) == known[known > 0][:, None], 0.0, -50.0)
-    source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
-    target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
-    m, k = len(source), unary.shape[1]
-    if not m:
-        return _softmax(unary)
-    kinds = np.repeat(np.arange(3), [len(chain), len(chain), 2 * len(skip)])
-    potential = np.stack([field.chain, field.chain.T, field.skip])
-    half = len(chain)
-    opposite = np.concatenate([np.arange(half) + half, np.arange(half), 2 * half + np.r_[np.arange(len(skip)) + len(skip), np.arange(len(skip))]]).astype(np.int64)
-    message = np.zeros((m, k))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        out = (belief[source] - message[opposite])[:, :, None] + potential[kinds]
-        top = out.max(1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-        message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-    belief = unary.copy()
-    np.add.at(belief, target, message)
-    return _softmax(belief)
-
-
-def find(texts: list[str], field: Field, least: float = 0.9) -> list[list[tuple[int, int, int, bool]]]:
-    """(kind, start, end, base) in order of kind and start: the patterns' spans, and words the field is ``least`` sure of that none of them touches. What a pattern covers is certain."""
-    nodes, bases = [_nodes(t) for t in texts], [base_spans(t) for t in texts]
-    known = np.array([y for x, spans in zip(nodes, bases, strict=True) for y in _covering(x.spans, spans)], np.int64)
-    belief = marginals(field, *_batch([_graph(x) for x in nodes]), known) if len(known) else np.zeros((0, len(KINDS) + 1))
-    out, at = [], 0
-    for text, x, base in zip(texts, nodes, bases, strict=True):
-        p = belief[at : at + len(x.words)]
-        at += len(x.words)
-        more: list[tuple[int, int, int]] = []
-        touched = _covering(x.spans, base)
-        for k, ((s, e), q) in enumerate(zip(x.spans, p, strict=True)):
-            kind = int(q.argmax()) - 1
-            if kind < 0 or q[kind + 1] < least or touched[k]:
-                continue
-            s += len(text[s:e]) - len(text[s:e].lstrip(_TRIM))
-            e -= len(text[s:e]) - len(text[s:e].rstrip(_TRIM + "."))
-            if more and more[-1][0] == kind == 3 and s - more[-1][2] <= 2:
-                more[-1] = (kind, more[-1][1], e)
-            elif s < e:
-                more.append((kind, s, e))
-        out.append(sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: x[:3]))
-    return out
+
+
+@dataclass
+class Graph:
+    """The nodes of one text: where they are, whether each is next to the one before, their scores by features, and skip edges."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    linked: np.ndarray
+    unary: np.ndarray
+    skip: np.ndarray
+
+
+def _pairs(keys: list[np.ndarray], nodes: list[np.ndarray]) -> np.ndarray:
+    """Skip edges from the first node of each key to its others."""
+    key, node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, nodes))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
+    apart = first != node
+    return np.unique(np.stack([first[apart], node[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+
+
+def _read(text: str, field: Field, scores: dict[str, np.ndarray]) -> Graph:
+    """The graph of a text, whose words are looked at ``WORDS`` at a time; ``scores`` keeps those of words seen before."""
+    places = np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    starts, ends = np.ascontiguousarray(places[:, 0]), np.ascontiguousarray(places[:, 1])
+    n, k = len(starts), len(field.node)
+    linked = np.zeros(n, bool)
+    linked[1:] = starts[1:] - ends[:-1] <= 1
+    unary = np.empty((n, k), np.float32)
+    # runs of two to eight neighbours, whose digits are a key of each
+    begin = np.flatnonzero(~linked)
+    length = np.diff(np.r_[begin, n])
+    short = begin[(length > 1) & (length <= 8)].tolist()
+    size = dict(zip(short, length[(length > 1) & (length <= 8)].tolist(), strict=True))
+    weights, plain = field.node.T.astype(np.float32), np.zeros(k, np.float32)
+    keys, nodes, run, left, last = [], [], "", 0, ""
+    for lo in range(0, n, WORDS):
+        hi = min(lo + WORDS, n)
+        words = [text[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
+        some_keys, some_nodes = [], []
+        if len(scores) > 8 * WORDS:
+            scores.clear()
+        for i, w in enumerate(words):
+            own = scores.get(w)
+            if own is None:
+                own = scores[w] = weights[_own(w)].sum(0)
+            unary[lo + i] = own
+            if lo + i in size:
+                left = size[lo + i]
+                run = "".join(d for a, b in zip(starts[lo + i : lo + i + left].tolist(), ends[lo + i : lo + i + left].tolist(), strict=True) for d in _DIGITS.findall(text[a:b]))
+            elif not left:
+                run = ""
+            left = max(left - 1, 0)
+            if len(w) >= 7 or len(run) >= 7 or "@" in w or "[at]" in w:
+                for key in _keys(w, run):
+                    some_keys.append(hash(key))
+                    some_nodes.append(lo + i)
+        keys.append(np.array(some_keys, np.int64))
+        nodes.append(np.array(some_nodes, np.int64))
+        first = [w[0] for w in [last or " ", *words]]
+        after = text[starts[hi]] if hi < n else " "
+        last = words[-1]
+        near, next_near = linked[lo:hi], np.r_[linked[lo + 1 : hi + 1], np.zeros(max(0, hi + 1 - n), bool)]
+        marks = np.array([*first, after])
+        cued = np.array([_CUE.search(text, max(0, a - _AHEAD), a) is not None for a in starts[lo:hi].tolist()])
+        for feature, holds in ((_BEFORE_PLUS, near & (marks[:-2] == "+")), (_BEFORE_BRACKET, near & (marks[:-2] == "(")), (_AFTER_BRACKET, next_near & (marks[2:] == "(")), (_CUED, cued)):
+            unary[lo:hi] += np.where(holds[:, None], weights[feature], plain)
+    return Graph(starts, ends, linked, unary, _pairs(keys, nodes))
+
+
+def _more(text: str, graph: Graph, belief: np.ndarray, touched: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Words that the field is ``least`` sure of and no pattern touches."""
+    kinds = belief.argmax(1)
+    sure = np.flatnonzero((kinds != _OTHER) & (belief.max(1) >= least) & (touched == _OTHER))
+    more: list[tuple[int, int, int]] = []
+    for s, e, kind in zip(graph.starts[sure].tolist(), graph.ends[sure].tolist(), (kinds[sure] - 1).tolist(), strict=True):
+        word = text[s:e]
+        s += len(word) - len(word.lstrip(_TRIM))
+        e -= len(word) - len(word.rstrip(_TRIM + "."))
+        if more and more[-1][0] == kind == 3 and s - more[-1][2] <= 2:
+            more[-1] = (kind, more[-1][1], e)
+        elif s < e:
+            more.append((kind, s, e))
+    return more
+
+
+def find(texts: Iterator[str] | list[str], field: Field, least: float = 0.9) -> Iterator[np.ndarray]:
+    """For each text, rows (kind, start, end, base) in order of kind and start: the patterns' spans, and words the field is ``least`` sure of that none of them touches. What a pattern covers is certain.
+
+    Texts go together as far as ``NODES`` nodes; one with more goes alone.
+    """
+    scores: dict[str, np.ndarray] = {}
+    held: list[tuple[str, Graph, list, np.ndarray]] = []
+
+    def settled() -> Iterator[np.ndarray]:
+        sizes = [len(g.starts) for _, g, _, _ in held]
+        base = np.cumsum([0, *sizes])
+        unary = np.concatenate([g.unary for _, g, _, _ in held])
+        _settle(unary, np.concatenate([known for *_, known in held]))
+        skip = np.concatenate([g.skip + b for (_, g, _, _), b in zip(held, base[:-1], strict=True)])
+        belief = beliefs(field, unary, np.concatenate([g.linked for _, g, _, _ in held]), skip)
+        for k, (text, graph, spans, touched) in enumerate(held):
+            more = _more(text, graph, belief[base[k] : base[k + 1]], touched, least)
+            rows = np.array([(*x, 1) for x in spans] + [(*x, 0) for x in more], np.int64).reshape(-1, 4)
+            # in order of kind and place; of equal ones, the pattern's last
+            yield rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+    total = 0
+    for text in texts:
+        graph, spans = _read(text, field, scores), base_spans(text)
+        if held and total + len(graph.starts) > NODES:
+            yield from settled()
+            held, total = [], 0
+        held.append((text, graph, spans, _covering(graph.starts, graph.ends, spans)))
+        total += len(graph.starts)
+    if held:
+        yield from settled()
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
-_ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
 def fit(docs: DataFrame, texts: int = 3000, chars: int = 10_000_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
@@ -344,10 +426,10 @@ def fit(docs: DataFrame, texts: int = 3000, chars: int = 10_000_000, id_col: str
     return train_field([r["text"] for r in bounded_sample(some, texts, chars)])
 
 
-def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+def masked(text: str, spans: np.ndarray) -> str:
     """``text`` with each span, or run of overlapping ones, as its kind in angle brackets."""
     out, done = [], 0
-    for kind, a, b, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+    for kind, a, b, _ in spans[np.lexsort((-spans[:, 2], spans[:, 1]))].tolist():
         if a >= done:
             out += [text[done:a], f"<{KINDS[kind].upper()}>"]
         done = max(done, b)
@@ -362,22 +444,25 @@ def annotate(docs: DataFrame, field: Field, mask: bool = False, text_col: str =
     table stays empty.
     """
 
+    names = pa.array(KINDS, pa.string())
+
     @F.arrow_udf(T.StructType([T.StructField("spans", SPANS), T.StructField("masked", T.StringType())]))
     def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in tx.released(columns):
             data, bounds = tx.utf8(column)
             seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(_MARK[data[bounds[0] : bounds[-1]]])])
             marks = np.flatnonzero(np.diff(seen[bounds - bounds[0]]))
-            spans: list = [[] for _ in range(len(column))]
-            new: list = [None] * len(column)
-            for lo in range(0, len(marks), 256):
-                some = marks[lo : lo + 256].tolist()
-                texts = [bytes(data[bounds[i] : bounds[i + 1]]).decode() for i in some]
-                for i, text, got in zip(some, texts, find(texts, field), strict=True):
-                    spans[i] = [{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in got]
-                    if mask and got:
-                        new[i] = masked(text, got)
-            yield pa.StructArray.from_arrays([pa.array(spans, _ARROW_SPANS), pa.array(new, pa.string())], ["spans", "masked"])
+            texts = (bytes(data[bounds[i] : bounds[i + 1]]).decode() for i in marks.tolist())
+            count, found, new = np.zeros(len(column) + 1, np.int64), [np.zeros((0, 4), np.int64)], [None] * len(column)
+            for i, got in zip(marks.tolist(), find(texts, field), strict=True):
+                found.append(got)
+                count[i + 1] = len(got)
+                if mask and len(got):
+                    new[i] = masked(bytes(data[bounds[i] : bounds[i + 1]]).decode(), got)
+            kind, start, end, base = np.concatenate(found).T
+            rows = pa.StructArray.from_arrays([names.take(pa.array(kind)), pa.array(np.ascontiguousarray(start)), pa.array(np.ascontiguousarray(end)), pa.array(base > 0)], ["kind", "start", "end", "base"])
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), rows)
+            yield pa.StructArray.from_arrays([spans, pa.array(new, pa.string())], ["spans", "masked"])
 
     # evaluated once, whatever stands above it; only texts that change come back
     found = bounded(docs).withColumn("_found", scan.asNondeterministic()(F.col(text_col).cast("string")))

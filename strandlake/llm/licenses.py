@@ -162,22 +162,24 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int
 
     Base: places of the phrases' words, one after another. ``labels`` adds those
     of the templates that a line or a run of words holds; score is the highest containment, and 1
-    with a base place. A null or empty text has no words; rows that repeat a
-    doc_id each get the labels of all of them; a null doc_id is matched like
-    any other; other columns are not read; an empty table gives no rows.
+    with a base place. What templates add depends on a text alone and is joined
+    by the text's digest, so rows with a null or repeated doc_id get the labels
+    of their own texts. A null or empty text has no words; other columns are
+    not read; an empty table gives no rows.
     """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.sha2(F.col(text_col).cast("string"), 256).alias("_key"))
     pattern = "|".join(rf"{GAP}".join(p.split()) for p in PHRASES)
-    likely = F.coalesce(_lower(F.col(text_col)).rlike(pattern), F.lit(False))
+    likely = F.coalesce(_lower(F.col("text")).rlike(pattern), F.lit(False))
     none = F.array().cast("array<struct<word:bigint,label:string>>")
-    words = let(_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(likely, _places(w)).otherwise(none).alias("places")))
-    base = docs.select(F.col(id_col).alias("doc_id"), words.alias("_w")).select("doc_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_places"))
-    frequency = _frequency(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), templates)
-    either = [f(docs, templates, num, den, id_col, text_col, frequency).select("doc_id", "label", "containment") for f in (matching_blocks, matching_runs)]
-    found = either[0].unionByName(either[1]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
+    words = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(likely, _places(w)).otherwise(none).alias("places")))
+    base = docs.select("doc_id", "_key", words.alias("_w")).select("doc_id", "_key", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_places"))
+    frequency = _frequency(docs, templates)
+    either = [f(docs, templates, num, den, "_key", "text", frequency).select(F.col("doc_id").alias("_key"), "label", "containment") for f in (matching_blocks, matching_runs)]
+    found = either[0].unionByName(either[1]).groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
     starts = F.transform("_places", lambda p: p["word"])
     own = F.array_distinct(F.transform("_places", lambda p: p["label"]))
     join = lambda a: F.array_join(F.array_sort(a), ",")
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    return base.join(found, "_key", "left").select(
         "doc_id",
         "n_words",
         F.size("_places").cast("long").alias("n_base"),

@@ -79,6 +79,16 @@ def test_license_scan_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.labels) for r in twice) == [("4", "apache-2.0"), ("4", "apache-2.0"), ("None", "")]
 
 
+def test_license_labels_are_those_of_each_row(spark):
+    """Different texts under one id, or under none, keep their own labels."""
+    texts = ["plain words here only", "Released under the MIT License", "all rights reserved", "nothing", "x\nReleased under the MIT License", None, "", NOTICES[1], NOTICES[1]]
+    ids = [None, None, None, 1, 1, 1, None, 2, None]
+    docs = frame(spark, texts, ids).withColumns({c: licenses.F.lit("x") for c in ("_key", "labels", "n_words")})
+    for some in (docs, docs.repartition(4)):
+        got = sorted((str(r.doc_id), r.n_words, r.labels, r.score) for r in licenses.scan(some).collect())
+        assert got == sorted((str(i), *(license_scan(t)[k] for k in (0, 5, 6))) for i, t in zip(ids, texts))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><header>Site</header>
 <article><header><h1>Head &amp; line</h1></header><p><b>One  two<br>three<p>Four <a class="x" href="y">five</a>&nbsp;six</p>

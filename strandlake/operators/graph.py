@@ -150,33 +150,107 @@ def concatenated(edges: DataFrame, order: str = "graph") -> DataFrame:
 # --- k-mers --------------------------------------------------------------------
 
 
-def kmer_paths(edges: DataFrame, k: int, gaps: int = 50, slices: int = 8) -> DataFrame:
+def list_ranks(rows: DataFrame, keep_jumps: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Where chains end, by pointer doubling: ``rows`` (graph, edge_id, next) with (last, n), the last edge of the chain that begins with each and its edges.
+
+    Chains may join, so that a next belongs to several, but never split. Each
+    round doubles what every edge has covered and joins only edges whose chains
+    go on, so a chain of n edges takes log n rounds. With ``keep_jumps`` the
+    second result has (graph, edge_id, next) of each round: the edge 1, 2, 4, ...
+    further on. No rows give none.
+    """
+    state = stash(rows.select("graph", "edge_id", "next", F.col("edge_id").alias("last"), F.lit(1).cast("long").alias("n")), "ranks")
+    done, jumps = [], []
+    while True:
+        done.append(state.where("next IS NULL").select("graph", "edge_id", "last", "n"))
+        active = state.where("next IS NOT NULL")
+        if active.isEmpty():
+            break
+        if keep_jumps:
+            jumps.append(active.select("graph", "edge_id", "next"))
+        # an edge's next may have ended in any round before
+        other = state.select("graph", "edge_id", "next", "last", "n")
+        for d in done[:-1]:
+            other = other.unionByName(d.withColumn("next", F.lit(None).cast("long")))
+        ahead = other.select("graph", F.col("edge_id").alias("next"), F.col("next").alias("_next"), F.col("last").alias("_last"), F.col("n").alias("_n"))
+        grown = active.select("graph", "edge_id", "next", "n").join(ahead, ["graph", "next"])
+        state = stash(grown.select("graph", "edge_id", F.col("_next").alias("next"), F.col("_last").alias("last"), (F.col("n") + F.col("_n")).alias("n")), "ranks")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out, jumps
+
+
+def _chains(entries: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(graph, edge_id, path) of ``entries`` (graph, edge_id, n): the n edges from each on, in order; every jump halves what is left, and rows made are the edges of the paths."""
+    items = entries.select("graph", F.col("edge_id").alias("entry"), F.lit(0).cast("long").alias("pos"), "edge_id", "n")
+    for r in range(len(jumps) - 1, -1, -1):
+        far = jumps[r].select("graph", "edge_id", F.col("next").alias("_far"))
+        parted = items.join(far, ["graph", "edge_id"], "left").withColumn("_cut", (F.col("n") > 1 << r) & F.col("_far").isNotNull())
+        near = F.struct("pos", F.col("edge_id").alias("edge_id"), F.when(F.col("_cut"), F.lit(1 << r).cast("long")).otherwise(F.col("n")).alias("n"))
+        rest = F.struct((F.col("pos") + (1 << r)).alias("pos"), F.col("_far").alias("edge_id"), (F.col("n") - (1 << r)).alias("n"))
+        items = parted.select("graph", "entry", F.explode(F.when(F.col("_cut"), F.array(near, rest)).otherwise(F.array(near))).alias("x")).select("graph", "entry", "x.*")
+        if r % 4 == 0:
+            items = stash(items, "chains")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_id"))), lambda x: x["edge_id"])
+    return items.groupBy("graph", F.col("entry").alias("edge_id")).agg(ordered.alias("path"))
+
+
+def gap_steps(edges: DataFrame) -> DataFrame:
+    """(graph, from_id, to_id, path, p): runs of gap edges as one step each, from where a path can enter them to the first node that goes on otherwise or in several ways.
+
+    Within a run every node has one way on, so a step's share is that of its
+    first edge. Edges without gaps give no rows.
+    """
+    ways = edges.groupBy("graph", F.col("from_id").alias("to_id")).agg(F.count("*").alias("_n"), F.min("edge_id").alias("_only"), F.bool_and(F.col("symbol") == GAP).alias("_gap"))
+    gaps = edges.where(F.col("symbol") == GAP)
+    linked = gaps.join(ways, ["graph", "to_id"], "left").select("graph", "edge_id", F.when((F.col("_n") == 1) & F.col("_gap"), F.col("_only")).alias("next"))
+    ranks, jumps = list_ranks(linked, keep_jumps=True)
+    share = F.col("count") / F.sum("count").over(W.partitionBy("graph", "from_id"))
+    out = edges.select("graph", "from_id", "edge_id", "symbol", share.alias("p")).where(F.col("symbol") == GAP).drop("symbol")
+    # a path comes to a run over an edge that is no gap, or where the way before it parts
+    solid = edges.where(F.col("symbol") != GAP).select("graph", F.col("to_id").alias("from_id")).distinct()
+    parting = ways.where("_n > 1").select("graph", F.col("to_id").alias("from_id"))
+    entered = out.join(solid.unionByName(parting).distinct(), ["graph", "from_id"], "left_semi")
+    entries = stash(entered.join(ranks, ["graph", "edge_id"]), "entries")
+    ends = edges.select("graph", F.col("edge_id").alias("last"), "to_id")
+    single = entries.where("n = 1").select("graph", "edge_id", F.array("edge_id").alias("path"))
+    paths = single.unionByName(_chains(entries.where("n > 1"), jumps)) if jumps else single
+    return entries.join(ends, ["graph", "last"]).join(paths, ["graph", "edge_id"]).select("graph", "from_id", "to_id", "path", "p")
+
+
+def kmer_paths(edges: DataFrame, k: int, slices: int = 8) -> DataFrame:
     """(graph, level, first_edge, path, kmer, p) of every path of ``k`` symbols from every edge that is no gap.
 
-    Gap edges add no symbol. p is the product of the edges' shares after the
-    first one. The frontier grows by one join at a time and is written every
-    ``slices`` joins; paths that still lack symbols after ``gaps`` gaps end.
+    Gap edges add no symbol; a run of them is one step, however long. p is the
+    product of the edges' shares after the first one. The frontier grows by one
+    join at a time and is written every ``slices`` joins, until no path lacks
+    symbols any more. Paths that the graph's end cuts short give no row, nor
+    does an empty graph; rows with a null symbol, from_id or to_id are no edges.
     """
+    edges = edges.where(F.col("symbol").isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
     out = F.sum("count").over(W.partitionBy("graph", "from_id"))
-    steps = edges.select("graph", F.col("from_id").alias("_at"), F.col("to_id").alias("_to"), F.col("edge_id").alias("_edge"), F.col("symbol").alias("_s"), (F.col("count") / out).alias("_p"))
+    steps = edges.select("graph", "from_id", "to_id", F.array("edge_id").alias("path"), (F.col("count") / out).alias("p"), "symbol").where(F.col("symbol") != GAP)
+    if not edges.where(F.col("symbol") == GAP).isEmpty():
+        steps = stash(steps.unionByName(gap_steps(edges).withColumn("symbol", F.lit(""))), "steps")
+    steps = steps.select("graph", F.col("from_id").alias("_node"), F.col("to_id").alias("_to"), F.col("path").alias("_path"), F.col("p").alias("_p"), F.col("symbol").alias("_s"))
     front = edges.where(F.col("symbol") != GAP).select("graph", "level", F.col("edge_id").alias("first_edge"), F.array("edge_id").alias("path"), F.col("symbol").alias("kmer"), F.lit(1.0).alias("p"), F.col("to_id").alias("_node"))
-    done = None
-    for n in range(1, k + gaps):
+    done, n = None, 0
+    while True:
+        n += 1
         ended = front.where(F.length("kmer") == k)
         done = ended if done is None else done.unionByName(ended)
-        grown = front.where(F.length("kmer") < k).join(steps.withColumnRenamed("graph", "_g"), (F.col("graph") == F.col("_g")) & (F.col("_node") == F.col("_at")))
-        symbol = F.when(F.col("_s") == GAP, "").otherwise(F.col("_s"))
-        front = grown.select("graph", "level", "first_edge", F.array_append("path", F.col("_edge")).alias("path"), F.concat("kmer", symbol).alias("kmer"), (F.col("p") * F.col("_p")).alias("p"), F.col("_to").alias("_node"))
+        grown = front.where(F.length("kmer") < k).join(steps, ["graph", "_node"])
+        front = grown.select("graph", "level", "first_edge", F.concat("path", "_path").alias("path"), F.concat("kmer", "_s").alias("kmer"), (F.col("p") * F.col("_p")).alias("p"), F.col("_to").alias("_node"))
         if n % slices == 0 or n >= k - 1:
             front, done = stash(front, "front"), stash(done, "paths")
-            if not front.limit(1).count():
-                break
-    return done.unionByName(front.where(F.length("kmer") == k)).drop("_node")
+            if front.isEmpty():
+                return done.drop("_node")
 
 
-def kmer_graph(edges: DataFrame, k: int, **more: int) -> DataFrame:
+def kmer_graph(edges: DataFrame, k: int) -> DataFrame:
     """Edges that emit k-mers: one for each path, between the paths of its first and last k - 1 symbols."""
-    paths = kmer_paths(edges, k, **more)
+    paths = kmer_paths(edges, k)
     real = edges.where(F.col("symbol") != GAP).select("graph", "edge_id").alias("e")
     solid = paths.withColumn("_id", F.xxhash64("graph", "path"))
     steps = solid.select("graph", "_id", F.posexplode("path").alias("_i", "edge_id")).join(real, ["graph", "edge_id"])
@@ -191,29 +265,48 @@ def kmer_index(edges: DataFrame, k: int) -> DataFrame:
     return paths.join(levels, "kmer").select("kmer", "graph", "level", "path", "unique")
 
 
-def collapsed(edges: DataFrame, base: str | None = None, before_gap: int | None = None) -> DataFrame:
-    """(graph, run, first_level, last_level, from_id, to_id, symbols): unbranched runs of levels as one edge each.
+def run_ends(edges: DataFrame, before_gap: int | None = None) -> DataFrame:
+    """(graph, level) of the levels of nodes at which runs end: where some node has not exactly one edge in and one out; with ``before_gap``, also that many levels before each at which a gap begins.
 
-    A run goes on while a level has one edge, or with ``base`` for each of its
-    values; with ``before_gap`` a new one begins that many levels before each
-    level at which gaps begin. symbols are those of the run with their numbers.
+    A gap begins at a node with a gap edge out, but where that is its only way
+    and the only way in is a gap too.
     """
-    by = ["graph", *([base] if base else [])]
-    width = edges.groupBy(*by, "level").agg(F.count("*").alias("_n"))
-    rows = edges.join(width, [*by, "level"])
-    plain = F.col("_n") == 1
-    w = W.partitionBy(*by).orderBy("level", "edge_id")
-    goes_on = plain & F.lag(plain, 1, False).over(w)
+    ends = edges.select("graph", F.col("level").alias("level"), F.col("from_id").alias("node"), F.lit(0).alias("_in"), F.lit(1).alias("_out"), F.lit(False).alias("_gap_in"), (F.col("symbol") == GAP).alias("_gap_out"))
+    starts = edges.select("graph", (F.col("level") + 1).alias("level"), F.col("to_id").alias("node"), F.lit(1).alias("_in"), F.lit(0).alias("_out"), (F.col("symbol") == GAP).alias("_gap_in"), F.lit(False).alias("_gap_out"))
+    nodes = ends.unionByName(starts).groupBy("graph", "level", "node").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"), F.bool_or("_gap_in").alias("_gap_in"), F.bool_or("_gap_out").alias("_gap_out"))
+    single = (F.col("_in") == 1) & (F.col("_out") == 1)
+    cuts = nodes.where(~single).select("graph", "level")
     if before_gap is not None:
-        gaps = edges.groupBy("graph", "level").agg(F.bool_or(F.col("symbol") == GAP).alias("_g"))
-        begin = gaps.withColumn("_b", F.col("_g") & ~F.coalesce(F.lag("_g").over(W.partitionBy("graph").orderBy("level")), F.lit(False))).where("_b")
-        rows = rows.join(begin.select("graph", (F.col("level") - before_gap).alias("level"), F.lit(True).alias("_break")), ["graph", "level"], "left")
-        goes_on = goes_on & F.col("_break").isNull()
-    new = F.when(goes_on, 0).otherwise(1)
-    rows = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    symbols = rows.groupBy(*by, "run", "symbol").agg(F.count("*").alias("_k")).groupBy(*by, "run").agg(sq.map_string(F.map_from_entries(F.collect_list(F.struct("symbol", "_k")))).alias("symbols"))
-    ends = rows.groupBy(*by, "run").agg(F.min("level").alias("first_level"), F.max("level").alias("last_level"), F.min_by("from_id", "level").alias("from_id"), F.max_by("to_id", "level").alias("to_id"))
-    return ends.join(symbols, [*by, "run"])
+        # the first level has no way in, so no gap begins there
+        begins = nodes.where(F.col("_gap_out") & ~(single & F.col("_gap_in")))
+        first = edges.groupBy("graph").agg(F.min("level").alias("_first"))
+        cuts = cuts.unionByName(begins.join(first, "graph").where(F.col("level") - before_gap > F.col("_first")).select("graph", (F.col("level") - before_gap).alias("level")))
+    return cuts.distinct()
+
+
+def collapsed(edges: DataFrame, before_gap: int | None = None) -> DataFrame:
+    """(graph, first_edge, first_level, last_level, from_id, to_id, locus_id, count, symbols): unbranched runs of levels, each of their paths as one edge.
+
+    A run goes on while every node of a level has one edge in and one out, so
+    the arms of a bubble become an edge each; with ``before_gap`` one also ends
+    so many levels before a gap begins. count and locus_id are those of a
+    path's first edge, symbols those of all its edges with their numbers.
+    Edges are put in their paths by pointer doubling, so no task holds a run.
+    An empty graph gives no rows; edges need a symbol and both nodes.
+    """
+    ends = run_ends(edges, before_gap)
+    # inside a run the node before an edge has one edge in: the edge before
+    inside = edges.join(ends, ["graph", "level"], "left_anti").select("graph", "edge_id", F.col("from_id").alias("_node"))
+    before = inside.join(edges.select("graph", F.col("to_id").alias("_node"), F.col("edge_id").alias("next")), ["graph", "_node"]).select("graph", "edge_id", "next")
+    ranks, _ = list_ranks(edges.select("graph", "edge_id").join(before, ["graph", "edge_id"], "left"))
+    rows = edges.join(ranks.select("graph", "edge_id", F.col("last").alias("first_edge")), ["graph", "edge_id"])
+    ordered = rows.groupBy("graph", "first_edge", "symbol").agg(
+        F.count("*").alias("_k"), F.min("level").alias("_a"), F.max("level").alias("_b"),
+        F.min_by(F.struct("from_id", "locus_id", "count"), "level").alias("_first"), F.max_by("to_id", "level").alias("_to"),
+    )
+    symbols = sq.map_string(F.map_from_entries(F.collect_list(F.struct("symbol", "_k"))))
+    made = ordered.groupBy("graph", "first_edge").agg(F.min("_a").alias("first_level"), F.max("_b").alias("last_level"), F.min_by("_first", "_a").alias("_f"), F.max_by("_to", "_b").alias("to_id"), symbols.alias("symbols"))
+    return made.select("graph", "first_edge", "first_level", "last_level", F.col("_f.from_id").alias("from_id"), "to_id", F.col("_f.locus_id").alias("locus_id"), F.col("_f.count").alias("count"), "symbols")
 
 
 # --- upkeep --------------------------------------------------------------------

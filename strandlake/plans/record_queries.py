@@ -398,11 +398,48 @@ def trimmed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trimmed(_ladder(spark, sf_dir)).select("edge_id", "level")
 
 
-@query(f"""WITH {_LADDER}, w AS (SELECT level, count(*) AS n FROM e WHERE edge_id % 4 <> 0 OR level % 3 = 0 GROUP BY 1), r AS (SELECT e.*, n FROM e JOIN w ON e.level = w.level WHERE edge_id % 4 <> 0 OR e.level % 3 = 0),
-x AS (SELECT *, CASE WHEN n = 1 AND lag(n = 1) OVER (ORDER BY level, edge_id) THEN 0 ELSE 1 END AS new FROM r), y AS (SELECT *, sum(new) OVER (ORDER BY level, edge_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
-SELECT CAST(run AS BIGINT) AS run, min(level) AS first_level, max(level) AS last_level, min_by(from_id, level) AS from_id, max_by(to_id, level) AS to_id FROM y GROUP BY run""")
+#: Passages as graphs of one path, parted into bubbles of 3 to 123 levels; in every second bubble the other arm is all gaps.
+_BUBBLES = """t AS (SELECT CAST(item_id AS VARCHAR) AS graph, 3 + item_id % 7 * 20 AS r, length(text) AS n, text FROM benchmark),
+c AS (SELECT graph, r, n, i, unicode(substr(text, CAST(i + 1 AS INT), 1)) AS code, i // r AS region FROM t, unnest(range(0, n)) AS u(i)),
+e AS (SELECT graph, CAST(i AS INT) AS level, i * 2 + lane AS edge_id, i * 2 + CASE WHEN i % r > 0 THEN lane ELSE 0 END AS from_id, (i + 1) * 2 + CASE WHEN i % r < r - 1 AND i < n - 1 THEN lane ELSE 0 END AS to_id,
+  CASE WHEN lane = 1 AND region % 4 = 1 THEN '_' ELSE substr('ACGT', CAST((code + lane) % 4 + 1 AS INT), 1) END AS symbol, CASE WHEN lane = 0 THEN 1.0 + code % 3 ELSE 1.0 END AS cnt FROM c, unnest([0, 1]) AS v(lane) WHERE lane = 0 OR region % 2 = 1)"""
+
+
+def _bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("graph"), (F.lit(3) + F.col("item_id") % 7 * 20).alias("_r"), F.length("text").alias("_n"), F.posexplode(F.split("text", "")).alias("_i", "_c"))
+    i, r, n, code, lane = F.col("_i"), F.col("_r"), F.col("_n"), F.ascii("_c"), F.col("_lane")
+    region = F.floor(i / r)
+    lanes = rows.where(i < n).withColumn("_lane", F.explode(F.when(region % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return lanes.select(
+        "graph",
+        i.alias("level"),
+        (i * 2 + lane).cast("long").alias("edge_id"),
+        (i * 2 + F.when(i % r > 0, lane).otherwise(0)).cast("long").alias("from_id"),
+        ((i + 1) * 2 + F.when((i % r < r - 1) & (i < n - 1), lane).otherwise(0)).cast("long").alias("to_id"),
+        F.concat(F.lit("L"), i.cast("string")).alias("locus_id"),
+        F.when((lane == 1) & (region % 4 == 1), "_").otherwise(_sign("ACGT", code + lane)).alias("symbol"),
+        F.when(lane == 0, 1.0 + code % 3).otherwise(1.0).alias("count"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_BUBBLES}, s AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY graph, from_id) AS p FROM e), f AS (SELECT graph, level, edge_id AS first_edge, CAST(edge_id AS VARCHAR) AS path, symbol AS kmer, 1.0::DOUBLE AS p, to_id FROM s WHERE symbol <> '_'
+UNION ALL SELECT f.graph, f.level, first_edge, f.path || ',' || s.edge_id, kmer || CASE WHEN symbol = '_' THEN '' ELSE symbol END, f.p * s.p, s.to_id FROM f JOIN s ON s.graph = f.graph AND s.from_id = f.to_id WHERE length(kmer) < 6)
+SELECT graph, level, first_edge, path, kmer, round(p, 9) AS p FROM f WHERE length(kmer) = 6""")
+def kmer_paths_over_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths over runs of up to 123 gaps, in graphs of whole passages."""
+    out = graph.kmer_paths(_bubbles(spark, sf_dir), 6)
+    return out.select("graph", "level", "first_edge", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "kmer", F.round("p", 9).alias("p"))
+
+
+@query(f"""WITH RECURSIVE {_BUBBLES}, i AS (SELECT graph, level + 1 AS level, to_id AS node, count(*) AS n, bool_or(symbol = '_') AS gap FROM e GROUP BY ALL), o AS (SELECT graph, level, from_id AS node, count(*) AS n, bool_or(symbol = '_') AS gap FROM e GROUP BY ALL),
+d AS (SELECT graph, level, node, coalesce(i.n, 0) AS ins, coalesce(o.n, 0) AS outs, coalesce(o.gap, false) AS starts, coalesce(i.gap, false) AS gap_before FROM i FULL JOIN o USING (graph, level, node)),
+cuts AS (SELECT DISTINCT graph, level FROM d WHERE ins <> 1 OR outs <> 1 UNION SELECT graph, level - 4 FROM d WHERE level > 4 AND starts AND NOT (ins = 1 AND outs = 1 AND gap_before)),
+a AS (SELECT graph, edge_id AS first_edge, level AS first_level, from_id, cnt AS count, level, to_id, [symbol] AS s FROM e SEMI JOIN cuts USING (graph, level)
+UNION ALL SELECT a.graph, first_edge, first_level, a.from_id, a.count, e.level, e.to_id, list_append(s, symbol) FROM a JOIN e ON e.graph = a.graph AND e.from_id = a.to_id AND e.level = a.level + 1 ANTI JOIN cuts ON cuts.graph = a.graph AND cuts.level = a.level + 1)
+SELECT graph, first_edge, first_level, max(level) AS last_level, from_id, max_by(to_id, level) AS to_id, count, (SELECT string_agg(x || ':' || n, ',' ORDER BY x) FROM (SELECT x, count(*) AS n FROM unnest(max_by(s, level)) AS u(x) GROUP BY x) y) AS symbols FROM a GROUP BY graph, first_edge, first_level, from_id, count""")
 def collapsed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.collapsed(_ladder(spark, sf_dir).where("edge_id % 4 <> 0 OR level % 3 = 0")).select("run", "first_level", "last_level", "from_id", "to_id")
+    """Bubbles whose arms become one edge each, with runs that also end four levels before a gap."""
+    return graph.collapsed(_bubbles(spark, sf_dir), before_gap=4).drop("locus_id")
 
 
 @query(f"""WITH RECURSIVE {_LADDER.replace("k <= 3", "k <= 9").replace("p_partkey % 3 % 2", "p_partkey // 3 % 2")}, u AS (SELECT *, CASE WHEN edge_id % 4 = 0 THEN '*' ELSE symbol END AS s FROM e), k AS (SELECT * FROM u WHERE s <> '*' OR from_id NOT IN (SELECT from_id FROM u WHERE s <> '*')), m AS (SELECT min(level) AS a, max(level) AS b FROM k),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import filters as fl
 from strandlake.operators import hmm
 from strandlake.operators import typing as ty
+from strandlake.operators.long_decode import decode_long
 from strandlake.plans.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -307,6 +308,21 @@ def viterbi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(_dense(states), steps).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH RECURSIVE s AS (SELECT CAST(p_partkey AS INT) AS level, -(p_size % 8) / 4.0::DOUBLE AS c, (p_size % 8 - 7) / 8.0::DOUBLE AS r FROM part),
+p AS (SELECT level, c AS sc, r AS sr, 'c' AS pc, 'r' AS pr FROM s WHERE level = (SELECT min(level) FROM s)
+UNION ALL SELECT s.level, greatest(sc - 0.5, sr - 1) + c, greatest(sc - 2, sr - 0.25) + r, CASE WHEN sc - 0.5 >= sr - 1 THEN pc ELSE pr END || 'c', CASE WHEN sc - 2 >= sr - 0.25 THEN pc ELSE pr END || 'r' FROM p JOIN s ON s.level = p.level + 1),
+b AS (SELECT CASE WHEN sc >= sr THEN pc ELSE pr END AS path, greatest(sc, sr) AS score FROM p WHERE level = (SELECT max(level) FROM s))
+SELECT 'all' AS sample, CAST(0 AS INT) AS draw, s.level, CASE substr(path, CAST(row_number() OVER (ORDER BY s.level) AS INT), 1) WHEN 'c' THEN 'calm' ELSE 'rough' END AS state, round(score, 6) AS score FROM b, s""")
+def viterbi_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample whose levels are all parts, decoded by blocks of 256."""
+    size = F.col("p_size") % 8
+    seen = F.array(F.struct(F.lit("calm").alias("state"), (-size / 4).alias("ll")), F.struct(F.lit("rough").alias("state"), ((size - 7) / 8).alias("ll")))
+    states = table(spark, sf_dir, "part").select(F.lit("all").alias("sample"), F.col("p_partkey").cast("int").alias("level"), F.explode(seen).alias("s")).select("sample", "level", "s.*", F.lit(0.0).alias("start"))
+    ways = [("calm", "calm", -0.5), ("calm", "rough", -2.0), ("rough", "calm", -1.0), ("rough", "rough", -0.25)]
+    moves = states.select("level").distinct().select("level", F.explode(F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), F.exp(F.lit(p)).alias("p")) for a, b, p in ways])).alias("t")).select("level", "t.*")
+    return decode_long(states, moves, 256).withColumn("score", F.round("score", 6))
+
+
 def _dense(states: DataFrame) -> DataFrame:
     """Levels renumbered without holes within a sample."""
     from pyspark.sql import Window as W

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
+from strandlake.lineage import stash
+from strandlake.operators.graph import list_ranks
 
 # Scores of a match, a mismatch, an opened gap and each of its signs; a gap at an anchored end.
 MATCH, MISMATCH, OPEN, EXTEND, ANCHOR = 2.0, -5.0, -4.0, -2.0, -1000.0
@@ -223,6 +225,30 @@ def seed_chains(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return runs.groupBy("read_id", "graph", "diagonal", "_g").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("level").alias("first_level"), F.count("*").alias("n")).drop("_g")
 
 
+def chains_in_graph(reads: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """(read_id, graph, first_pos, last_pos, first_level, last_level, n) of chains of seeds in any graph: k-mers of a read, one sign apart, whose paths overlap in all but their ends.
+
+    ``kmers`` has the edges of ``graph.kmer_graph``, whose nodes are the k - 1
+    solid edges that two such paths share, so that one seed follows another is
+    an equality of nodes, over gaps and bubbles too, and no edge list leaves its
+    partition. A chain ends where a seed has several followers, or its follower
+    several before it; chains are put together by pointer doubling. k is 2 or
+    more. Reads that repeat a read_id are one read; reads without a text, or
+    shorter than k, have no seeds; no reads or no k-mers give no rows.
+    """
+    # ways over different gaps are one seed
+    index = kmers.select("graph", "level", "from_id", "to_id", F.col("symbol").alias("kmer")).distinct()
+    seeds = reads.select("read_id", F.posexplode(sq.kmers(F.col("seq"), k)).alias("pos", "kmer")).distinct().join(index, "kmer").drop("kmer")
+    seeds = stash(seeds.withColumn("seed", F.monotonically_increasing_id()), "seeds")
+    after = seeds.select("read_id", "graph", (F.col("pos") - 1).alias("pos"), F.col("from_id").alias("to_id"), F.col("seed").alias("next"))
+    links = stash(seeds.select("read_id", "graph", "pos", "to_id", "seed").join(after, ["read_id", "graph", "pos", "to_id"]).select("seed", "next"), "links")
+    single = lambda c: links.groupBy(c).agg(F.count("*").alias("_n")).where("_n = 1").select(c)
+    before = links.join(single("seed"), "seed").join(single("next"), "next").select(F.col("next").alias("edge_id"), F.col("seed").alias("next"))
+    rows = seeds.select(F.lit("").alias("graph"), F.col("seed").alias("edge_id")).join(before, "edge_id", "left")
+    heads = list_ranks(rows)[0].select(F.col("edge_id").alias("seed"), F.col("last").alias("_head"))
+    return seeds.join(heads, "seed").groupBy("read_id", "graph", "_head").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("level").alias("first_level"), F.max("level").alias("last_level"), F.count("*").alias("n")).drop("_head")
+
+
 def best_chains(chains: DataFrame, most: int = 15) -> DataFrame:
     """The longest chains of each read with their rank; ties by the earlier place."""
     order = W.partitionBy("read_id").orderBy(F.col("n").desc(), "first_level", "first_pos")

@@ -199,7 +199,7 @@ def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["result_table"] = result_table
 
 
-@query(f"""WITH {_CHAIN}, o AS (SELECT ob.locus, exon_ord, exon_pos, read, genotype, chr(CAST(40 + read % 20 AS INT)) AS quality FROM ob JOIN (SELECT DISTINCT locus, pos, exon_ord, exon_pos FROM ce) c ON ob.locus = c.locus AND ob.pos = c.pos WHERE read % 50 = 0 AND genotype <> '_'),
+@query(f"""WITH {_CHAIN}, o AS (SELECT ob.locus, exon_ord, exon_pos, read, genotype, chr(CAST(40 + read % 20 AS INT)) AS quality FROM ob JOIN (SELECT DISTINCT locus, pos, exon_ord, exon_pos FROM ce) c ON ob.locus = c.locus AND ob.pos = c.pos WHERE genotype <> '_'),
 l AS (SELECT locus, exon_ord, exon_pos, count(*) AS n, string_agg(genotype || ' (' || ascii(quality) || ') [0.75 | ' || read || ']', ', ' ORDER BY read, genotype) AS genotypes FROM o GROUP BY 1, 2, 3)
 SELECT c.locus, c.exon_ord, c.exon_pos, coalesce(n, 0) AS n, coalesce(genotypes, '') AS genotypes FROM (SELECT DISTINCT locus, exon_ord, exon_pos FROM ce) c LEFT JOIN l ON c.locus = l.locus AND c.exon_ord = l.exon_ord AND c.exon_pos = l.exon_pos""")
 def pileup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def pileup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ob, placed, _, _ = _chain(spark, sf_dir)
     places = placed.select("locus", "pos", "exon_ord", "exon_pos").distinct()
-    rows = ob.where("read % 50 = 0 AND genotype <> '_'").join(places, ["locus", "pos"]).withColumns({"quality": F.char(40 + F.col("read") % 20), "mapq_position": F.lit(0.75)})
+    rows = ob.where("genotype <> '_'").join(places, ["locus", "pos"]).withColumns({"quality": F.char(40 + F.col("read") % 20), "mapq_position": F.lit(0.75)})
     return results.pileup_rows(rows, places.drop("pos"))
 
 

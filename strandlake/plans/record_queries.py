@@ -431,6 +431,22 @@ def kmer_paths_over_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("graph", "level", "first_edge", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "kmer", F.round("p", 9).alias("p"))
 
 
+@query(f"""WITH RECURSIVE {_BUBBLES}, f AS (SELECT graph, level, edge_id::VARCHAR AS trail, symbol AS kmer, to_id FROM e WHERE symbol <> '_'
+UNION ALL SELECT f.graph, f.level, CASE WHEN symbol = '_' THEN trail ELSE trail || ',' || e.edge_id END, kmer || CASE WHEN symbol = '_' THEN '' ELSE symbol END, e.to_id FROM f JOIN e ON e.graph = f.graph AND e.from_id = f.to_id WHERE length(kmer) < 8),
+k AS (SELECT DISTINCT graph, level, kmer, regexp_extract(trail, '^(.*),[0-9]+$', 1) AS a, regexp_extract(trail, '^[0-9]+,(.*)$', 1) AS b FROM f WHERE length(kmer) = 8),
+q AS (SELECT graph AS read_id, string_agg(symbol, '' ORDER BY level) AS seq FROM e WHERE edge_id % 2 = 0 GROUP BY graph),
+s AS (SELECT row_number() OVER (ORDER BY read_id, graph, pos, a, b) AS seed, * FROM (SELECT read_id, pos, graph, level, a, b FROM (SELECT read_id, pos, substr(seq, CAST(pos + 1 AS INT), 8) AS kmer FROM q, unnest(range(0, length(seq) - 7)) AS u(pos)) x JOIN k USING (kmer)) y),
+l AS (SELECT x.seed, y.seed AS next, count(*) OVER (PARTITION BY x.seed) AS outs, count(*) OVER (PARTITION BY y.seed) AS ins FROM s AS x JOIN s AS y ON x.read_id = y.read_id AND x.graph = y.graph AND y.pos = x.pos + 1 AND x.b = y.a),
+u AS (SELECT seed, next FROM l WHERE outs = 1 AND ins = 1), w AS (SELECT seed AS head, seed FROM s ANTI JOIN u ON u.next = s.seed UNION ALL SELECT head, u.next FROM w JOIN u ON u.seed = w.seed)
+SELECT read_id, graph, min(pos) AS first_pos, max(pos) AS last_pos, min(level) AS first_level, max(level) AS last_level, count(*) AS n FROM w JOIN s USING (seed) GROUP BY read_id, graph, head""")
+def graph_seed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of all passages' first ways in the branching graphs of all passages."""
+    edges = _bubbles(spark, sf_dir)
+    first = F.transform(F.sort_array(F.collect_list(F.struct("level", "symbol"))), lambda x: x["symbol"])
+    reads = edges.where("edge_id % 2 = 0").groupBy(F.col("graph").alias("read_id")).agg(F.array_join(first, "").alias("seq"))
+    return align.chains_in_graph(reads, graph.kmer_graph(edges, 8), 8)
+
+
 @query(f"""WITH RECURSIVE {_BUBBLES}, i AS (SELECT graph, level + 1 AS level, to_id AS node, count(*) AS n, bool_or(symbol = '_') AS gap FROM e GROUP BY ALL), o AS (SELECT graph, level, from_id AS node, count(*) AS n, bool_or(symbol = '_') AS gap FROM e GROUP BY ALL),
 d AS (SELECT graph, level, node, coalesce(i.n, 0) AS ins, coalesce(o.n, 0) AS outs, coalesce(o.gap, false) AS starts, coalesce(i.gap, false) AS gap_before FROM i FULL JOIN o USING (graph, level, node)),
 cuts AS (SELECT DISTINCT graph, level FROM d WHERE ins <> 1 OR outs <> 1 UNION SELECT graph, level - 4 FROM d WHERE level > 4 AND starts AND NOT (ins = 1 AND outs = 1 AND gap_before)),

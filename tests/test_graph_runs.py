@@ -141,3 +141,41 @@ def test_long_runs_take_few_rounds(spark):
     rows = [edge(i, i, i, i + 1, "_" if i % 300 == 299 else "ACGT"[i % 4]) for i in range(4000)]
     assert made_runs(frame(spark, rows)) == plain_runs(rows) and len(plain_runs(rows)) == 1
     assert made_runs(frame(spark, []), before_gap=2) == []
+
+
+def plain_chains(reads, paths, k):
+    """Seeds of each read and the runs of them that follow one another in one way only; a path is its solid edges."""
+    found = []
+    for read, seq in reads:
+        seeds = [(g, i, level, trail) for i in range(len(seq) - k + 1) for g, level, kmer, trail in paths if kmer == seq[i : i + k]]
+        after = {s: [t for t in seeds if t[0] == s[0] and t[1] == s[1] + 1 and t[3][:-1] == s[3][1:]] for s in seeds}
+        before = {t: [s for s in seeds if t in after[s]] for t in seeds}
+        goes = {s: ts[0] for s, ts in after.items() if len(ts) == 1 and len(before[ts[0]]) == 1}
+        for s in set(seeds) - set(goes.values()):
+            run = [s]
+            while run[-1] in goes:
+                run.append(goes[run[-1]])
+            found.append((read, s[0], s[1], run[-1][1], min(x[2] for x in run), max(x[2] for x in run), len(run)))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_of_seeds_in_branching_graphs(spark, seed):
+    from strandlake.operators import align
+
+    rows, k, rng = random_graph(seed + 5, levels=14, gaps=0.25), 3, random.Random(seed)
+    solid = {(r[0], r[2]) for r in rows if r[6] != "_"}
+    paths = sorted({(g, level, kmer, tuple(e for e in path if (g, e) in solid)) for g, level, _, path, kmer, _ in plain_paths(rows, k)})
+    reads = [(i, "".join(rng.choice("ACGT") for _ in range(40))) for i in range(4)] + [(9, "AC"), (10, "")]
+    for g in ("g", "h"):
+        # reads that walk through the graph, as far as it goes
+        node, text = 0, ""
+        while out := [r for r in rows if r[0] == g and r[3] == node]:
+            r = rng.choice(out)
+            node, text = r[4], text + r[6].replace("_", "")
+        reads.append((len(reads) + 10, text * 2))
+    df = spark.createDataFrame([*reads, (99, None)], "read_id long, seq string")
+    kmers = graph.kmer_graph(frame(spark, rows), k)
+    got = sorted(tuple(r) for r in align.chains_in_graph(df.repartition(3), kmers, k).collect())
+    assert got == plain_chains(reads, paths, k) and max(r[-1] for r in got) >= 4
+    assert align.chains_in_graph(df.where("false"), kmers, k).count() == 0

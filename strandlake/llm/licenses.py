@@ -162,12 +162,12 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, num: int = 80, den: int
 
     Base: places of the phrases' words, one after another. ``labels`` adds those
     of the templates that a line or a run of words holds; score is the highest containment, and 1
-    with a base place. What templates add depends on a text alone and is joined
-    by the text's digest, so rows with a null or repeated doc_id get the labels
-    of their own texts. A null or empty text has no words; other columns are
+    with a base place. What templates add is joined by a digest of id and text, so
+    rows with a null or repeated doc_id get the labels of their own texts, and
+    copies of a text under many ids do not meet in one key. A null or empty text has no words; other columns are
     not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.sha2(F.col(text_col).cast("string"), 256).alias("_key"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), F.col(text_col).cast("string")), 256).alias("_key"))
     pattern = "|".join(rf"{GAP}".join(p.split()) for p in PHRASES)
     likely = F.coalesce(_lower(F.col("text")).rlike(pattern), F.lit(False))
     none = F.array().cast("array<struct<word:bigint,label:string>>")

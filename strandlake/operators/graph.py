@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -196,23 +195,28 @@ def _chains(entries: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     return items.groupBy("graph", F.col("entry").alias("edge_id")).agg(ordered.alias("path"))
 
 
-def gap_steps(edges: DataFrame) -> DataFrame:
-    """(graph, from_id, to_id, path, p): runs of gap edges as one step each, from where a path can enter them to the first node that goes on otherwise or in several ways.
-
-    Within a run every node has one way on, so a step's share is that of its
-    first edge. Edges without gaps give no rows.
-    """
+def _gap_runs(edges: DataFrame, keep_jumps: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """(graph, edge_id, from_id, p, last, n) of the gap edges by which a path can enter a run, with the run's last edge and how many it has, and the jumps of ``list_ranks``."""
     ways = edges.groupBy("graph", F.col("from_id").alias("to_id")).agg(F.count("*").alias("_n"), F.min("edge_id").alias("_only"), F.bool_and(F.col("symbol") == GAP).alias("_gap"))
     gaps = edges.where(F.col("symbol") == GAP)
     linked = gaps.join(ways, ["graph", "to_id"], "left").select("graph", "edge_id", F.when((F.col("_n") == 1) & F.col("_gap"), F.col("_only")).alias("next"))
-    ranks, jumps = list_ranks(linked, keep_jumps=True)
+    ranks, jumps = list_ranks(linked, keep_jumps)
     share = F.col("count") / F.sum("count").over(W.partitionBy("graph", "from_id"))
     out = edges.select("graph", "from_id", "edge_id", "symbol", share.alias("p")).where(F.col("symbol") == GAP).drop("symbol")
     # a path comes to a run over an edge that is no gap, or where the way before it parts
     solid = edges.where(F.col("symbol") != GAP).select("graph", F.col("to_id").alias("from_id")).distinct()
     parting = ways.where("_n > 1").select("graph", F.col("to_id").alias("from_id"))
     entered = out.join(solid.unionByName(parting).distinct(), ["graph", "from_id"], "left_semi")
-    entries = stash(entered.join(ranks, ["graph", "edge_id"]), "entries")
+    return stash(entered.join(ranks, ["graph", "edge_id"]), "entries"), jumps
+
+
+def gap_steps(edges: DataFrame) -> DataFrame:
+    """(graph, from_id, to_id, path, p): runs of gap edges as one step each, from where a path can enter them to the first node that goes on otherwise or in several ways.
+
+    Within a run every node has one way on, so a step's share is that of its
+    first edge. Edges without gaps give no rows.
+    """
+    entries, jumps = _gap_runs(edges, keep_jumps=True)
     ends = edges.select("graph", F.col("edge_id").alias("last"), "to_id")
     single = entries.where("n = 1").select("graph", "edge_id", F.array("edge_id").alias("path"))
     paths = single.unionByName(_chains(entries.where("n > 1"), jumps)) if jumps else single
@@ -312,39 +316,67 @@ def collapsed(edges: DataFrame, before_gap: int | None = None) -> DataFrame:
 # --- upkeep --------------------------------------------------------------------
 
 
-def _ahead_of_end(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one graph that lead to its last level, level by level from there."""
-    group = group.sort_values("level", kind="stable", ignore_index=True)
-    level, a, b = (group[c].to_numpy() for c in ("level", "from_id", "to_id"))
-    keep = level == level[-1]
-    edge = np.r_[0, np.flatnonzero(level[1:] != level[:-1]) + 1, len(level)]
-    goes = a[keep]
-    for i, j in zip(edge[-3::-1], edge[-2:0:-1], strict=False):
-        keep[i:j] = np.isin(b[i:j], goes)
-        goes = a[i:j][keep[i:j]]
-    return group[keep]
+def _span(edges: DataFrame) -> DataFrame:
+    """(graph, first, n): each graph's first level and how many levels lie between it and its last one."""
+    return edges.groupBy("graph").agg(F.min("level").alias("_first"), (F.max("level") - F.min("level") + 1).alias("_n"))
 
 
-def trimmed(edges: DataFrame, rounds: int = 10_000, most_edges: int = 2_000_000) -> DataFrame:
+def block_ways(edges: DataFrame) -> list[DataFrame]:
+    """(graph, n, block, from_id, to_id) for blocks of 1, 2, 4, ... levels: which nodes at a block's start lead to which at its end.
+
+    Two neighbouring blocks' relations joined on the nodes between them are that
+    of the block of both, so a graph of n levels takes log n joins. A graph's
+    last block may be a short one. A block has at most as many rows as the
+    product of the nodes at its ends.
+    """
+    span = _span(edges)
+    most = span.agg(F.max("_n")).first()[0] or 0
+    ways = [stash(edges.join(span, "graph").select("graph", "_n", (F.col("level") - F.col("_first")).cast("long").alias("block"), "from_id", "to_id").distinct(), "ways")]
+    while 1 << len(ways) < most:
+        size = 1 << (len(ways) - 1)
+        rows = ways[-1]
+        left, half = rows.where("block % 2 = 0"), (F.col("block") / 2).cast("long").alias("block")
+        right = rows.where("block % 2 = 1").select("graph", (F.col("block") - 1).alias("block"), F.col("from_id").alias("_mid"), F.col("to_id").alias("_to"))
+        both = left.withColumnRenamed("to_id", "_mid").join(right, ["graph", "block", "_mid"]).select("graph", "_n", half, "from_id", F.col("_to").alias("to_id")).distinct()
+        alone = left.where((F.col("block") + 1) * size >= F.col("_n")).select("graph", "_n", half, "from_id", "to_id")
+        ways.append(stash(both.unionByName(alone), "ways"))
+    return ways
+
+
+def _reached(edges: DataFrame, ways: list[DataFrame], back: bool) -> DataFrame:
+    """(graph, level, node) of nodes between levels from which the last level's end is reached (``back``), or that the first level's start reaches; from the largest blocks to the smallest."""
+    span = _span(edges)
+    size = 1 << len(ways)
+    side, at, other = ("to_id", F.col("_n"), "from_id") if back else ("from_id", F.lit(0), "to_id")
+    ends = edges.join(span, "graph").where(F.col("level") == F.col("_first") + (F.col("_n") - 1 if back else 0))
+    known = stash(ends.select("graph", at.cast("long").alias("at"), F.col(side).alias("node")).distinct(), "reached")
+    for k, rows in enumerate(reversed(ways)):
+        size //= 2
+        end = F.least((F.col("block") + 1) * size, F.col("_n")).cast("long")
+        # of two blocks the one whose far end is known tells the nodes between them
+        mine = rows.where("block % 2 = 1") if back else rows.where((F.col("block") % 2 == 0) & (end < F.col("_n")))
+        start = F.col("block") * size
+        step = mine.select("graph", (end if back else start).alias("at"), F.col(side).alias("node"), (start if back else end).alias("_at"), F.col(other).alias("_node"))
+        found = step.join(known, ["graph", "at", "node"], "left_semi").select("graph", F.col("_at").alias("at"), F.col("_node").alias("node")).distinct()
+        known = known.unionByName(found)
+        if k % 4 == 3:
+            known = stash(known, "reached")
+    return known.join(span, "graph").select("graph", (F.col("at") + F.col("_first")).cast("int").alias("level"), "node")
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
     """Edges on a path to the last level.
 
-    Where no graph has more than ``most_edges``, a graph is a group of its own,
-    folded from its last level on; larger ones lose the edges that end before it
-    round by round.
+    Blocks of levels are composed (``block_ways``) and then taken apart from the
+    last level on, so a graph of n levels takes log n joins each way, whatever
+    its size. An empty graph has no edges; a graph with a level without edges
+    keeps those after it.
     """
-    largest = edges.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
-    if largest <= most_edges:
-        return edges.groupBy("graph").applyInPandas(_ahead_of_end, edges.schema)
-    left = edges
-    last = stash(edges.groupBy("graph").agg(F.max("level").alias("_last")), "last")
-    for _ in range(rounds):
-        starts = left.select("graph", F.col("from_id").alias("to_id")).distinct()
-        dead = left.join(last, "graph").where("level < _last").join(starts, ["graph", "to_id"], "left_anti").select("graph", "edge_id")
-        dead = stash(dead, "dead")
-        if not dead.limit(1).count():
-            return left
-        left = stash(left.join(dead, ["graph", "edge_id"], "left_anti"), "left")
-    raise RuntimeError(f"edges still end early after {rounds} rounds")
+    if edges.isEmpty():
+        return edges
+    alive = _reached(edges, block_ways(edges), back=True)
+    after = alive.select("graph", (F.col("level") - 1).alias("level"), F.col("node").alias("to_id"))
+    return edges.join(after, ["graph", "level", "to_id"], "left_semi").select(*edges.columns)
 
 
 def reversed_graph(edges: DataFrame) -> DataFrame:
@@ -356,9 +388,12 @@ def reversed_graph(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """Edges on a path from the first level to the last; a graph without such a path has none."""
-    span = lambda df: df.groupBy("graph").agg(F.min("level").alias("_a"), F.max("level").alias("_b"))
-    left = stash(reversed_graph(trimmed(reversed_graph(trimmed(edges)))), "connected")
-    return left.join(span(edges).join(span(left), ["graph", "_a", "_b"]).select("graph"), "graph", "left_semi")
+    if edges.isEmpty():
+        return edges
+    ways = block_ways(edges)
+    after = _reached(edges, ways, back=True).select("graph", (F.col("level") - 1).alias("level"), F.col("node").alias("to_id"))
+    before = _reached(edges, ways, back=False).select("graph", "level", F.col("node").alias("from_id"))
+    return edges.join(after, ["graph", "level", "to_id"], "left_semi").join(before, ["graph", "level", "from_id"], "left_semi").select(*edges.columns)
 
 
 def without_unknown(edges: DataFrame) -> DataFrame:
@@ -459,55 +494,61 @@ def segments_to_edges(segments: DataFrame) -> DataFrame:
     return steps.select("graph", level.alias("level"), (level * 4 + F.col("_h")).cast("long").alias("edge_id"), node(level, F.col("_i") == 0).alias("from_id"), node(level + 1, F.col("_i") == F.col("_n") - 1).alias("to_id"), F.concat(F.lit("L"), level.cast("string")).alias("locus_id"), "symbol", F.lit(1.0).alias("count"))
 
 
-class Spelling:
-    """Edges (from, to, symbol) by what they spell; gaps spell nothing."""
-
-    def __init__(self, edges: list[tuple]):
-        self.out: dict[tuple, list] = defaultdict(list)
-        self.first: dict[str, set] = defaultdict(set)
-        for a, b, s in edges:
-            self.out[a, s].append(b)
-            if s != GAP:
-                self.first[s].add(b)
-
-    def _closed(self, nodes: set) -> set:
-        queue = list(nodes)
-        while queue:
-            for b in self.out.get((queue.pop(), GAP), ()):
-                if b not in nodes:
-                    nodes.add(b)
-                    queue.append(b)
-        return nodes
-
-    def contains(self, text: str) -> bool:
-        """Whether a path spells a text."""
-        live = self.first.get(text[0], set()) if text else {None}
-        for c in text[1:]:
-            live = {b for a in self._closed(set(live)) for b in self.out.get((a, c), ())}
-            if not live:
-                break
-        return bool(live)
-
-
-_SPELLINGS: dict[int, Spelling] = {}
+def gap_reach(edges: DataFrame) -> DataFrame:
+    """(graph, from_id, to_id): where gaps alone lead from the ends of edges that are none; a run of gaps is one step."""
+    ends = edges.select("graph", F.col("edge_id").alias("last"), F.col("to_id").alias("_to"))
+    steps = stash(_gap_runs(edges)[0].join(ends, ["graph", "last"]).select("graph", F.col("from_id").alias("_mid"), "_to").distinct(), "gaps")
+    solid = edges.where(F.col("symbol") != GAP)
+    front = stash(solid.select("graph", F.col("to_id").alias("from_id"), F.col("to_id").alias("_mid")).distinct().join(steps, ["graph", "_mid"]).select("graph", "from_id", F.col("_to").alias("to_id")).distinct(), "reach")
+    known = front
+    while not front.isEmpty():
+        grown = front.withColumnRenamed("to_id", "_mid").join(steps, ["graph", "_mid"]).select("graph", "from_id", F.col("_to").alias("to_id")).distinct()
+        front = stash(grown.join(known, ["graph", "from_id", "to_id"], "left_anti"), "reach")
+        known = known.unionByName(front)
+    return known
 
 
 def sequences_present(sequences: DataFrame, edges: DataFrame, text: str = "seq") -> DataFrame:
-    """``sequences`` with present: whether the graph spells them. The graph, a region's whose size is checked, goes to every executor once, and each worker arranges it once."""
-    rows = [(r[0], r[1], r[2]) for r in edges.select("from_id", "to_id", "symbol").limit(2_000_001).collect()]
-    if len(rows) > 2_000_000:
-        raise ValueError("graph too large to hold; search its k-mers by kmer_index instead")
-    shared = sequences.sparkSession.sparkContext.broadcast(rows)
-    number = shared._jbroadcast.id()
-
-    @F.pandas_udf("boolean")
-    def present(s: pd.Series) -> pd.Series:
-        if number not in _SPELLINGS:
-            _SPELLINGS.clear()
-            _SPELLINGS[number] = Spelling(shared.value)
-        return s.map(lambda x: x is not None and _SPELLINGS[number].contains(x))
-
-    return sequences.withColumn("present", present(F.col(text)))
+    """``sequences`` with present: whether some path of some graph spells them; gaps spell nothing.
+
+    Texts go as pieces of 1, 2, 4, ... signs. A piece's ways (graph, from, to)
+    are those of its halves, joined on the node between them, so a text of n
+    signs takes log n joins; a piece that many texts share is searched once, a
+    text of which a piece has no way is not followed further, and neither the
+    graph nor the texts are sent or collected. An empty text is present, null is
+    not; repeated rows and other columns stay. Without edges no text of a sign
+    is present.
+    """
+    texts = stash(sequences.select(F.col(text).alias("_text")).where("_text <> ''").distinct().withColumn("_id", F.monotonically_increasing_id()), "texts")
+    solid = edges.where((F.col("symbol") != GAP) & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    signs = texts.select("_id", F.posexplode(F.split("_text", "")).alias("at", "sign")).where("sign <> ''")
+    names = stash(signs.select("sign").distinct().withColumn("piece", F.monotonically_increasing_id()), "pieces")  # a row for each sign
+    pieces = stash(signs.join(names, "sign").select("_id", F.col("at").cast("long").alias("at"), "piece"), "texts")
+    ways = solid.join(names, solid["symbol"] == names["sign"]).select("piece", "graph", "from_id", "to_id").distinct()
+    if not edges.where(F.col("symbol") == GAP).isEmpty():
+        # a way ends where its last sign does, or where gaps lead from there
+        over = ways.join(gap_reach(edges).select("graph", F.col("from_id").alias("to_id"), F.col("to_id").alias("_to")), ["graph", "to_id"]).select("piece", "graph", "from_id", F.col("_to").alias("to_id"))
+        ways = ways.unionByName(over).distinct()
+    ways = stash(ways, "ways")
+    longest = texts.agg(F.max(F.length("_text"))).first()[0] or 0
+    alive = lambda: ways.select("piece").distinct()
+    for _ in range(max(longest - 1, 0).bit_length()):
+        lost = pieces.join(alive(), "piece", "left_anti").select("_id").distinct()
+        odd = F.col("at") % 2
+        halves = pieces.join(lost, "_id", "left_anti").groupBy("_id", F.floor(F.col("at") / 2).alias("at"))
+        pairs = stash(halves.agg(F.max(F.when(odd == 0, F.col("piece"))).alias("_left"), F.max(F.when(odd == 1, F.col("piece"))).alias("_right")), "pairs")
+        whole = stash(pairs.select("_left", "_right").distinct().withColumn("piece", F.monotonically_increasing_id()), "pieces")
+        pieces = pairs.join(whole, (pairs["_left"] == whole["_left"]) & pairs["_right"].eqNullSafe(whole["_right"])).select("_id", "at", "piece")
+        # halves meet at a node first, then only those that a text has next to one another stay
+        left = ways.select(F.col("piece").alias("_left"), "graph", "from_id", F.col("to_id").alias("_mid")).join(whole.select("_left").distinct(), "_left", "left_semi")
+        right = ways.select(F.col("piece").alias("_right"), "graph", F.col("from_id").alias("_mid"), "to_id").join(whole.select("_right").distinct(), "_right", "left_semi")
+        met = left.join(right, ["graph", "_mid"]).join(whole.where("_right IS NOT NULL"), ["_left", "_right"]).select("piece", "graph", "from_id", "to_id").distinct()
+        last = ways.withColumnRenamed("piece", "_left").join(whole.where("_right IS NULL"), "_left").select("piece", "graph", "from_id", "to_id")
+        ways = stash(met.unionByName(last), "ways")
+    found = pieces.join(alive(), "piece", "left_semi").select("_id")
+    hits = found.join(texts, "_id").select(F.col("_text").alias(text), F.lit(True).alias("present"))
+    kept = [c for c in sequences.columns if c != "present"]
+    return sequences.select(*kept).join(hits, text, "left").select(*kept, F.coalesce("present", F.col(text) == "", F.lit(False)).alias("present"))
 
 
 # --- de Bruijn graphs -------------------------------------------------------------

@@ -534,14 +534,18 @@ def graph_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.drawing(_ladder(spark, sf_dir), 10, 20)
 
 
-@query(f"""WITH g AS (SELECT {dna_sql("text")} AS s FROM benchmark WHERE length({dna_sql("text")}) >= 90 ORDER BY item_id LIMIT 1), r AS (SELECT conv_id * 1000 + turn AS id, substr({dna_sql("text")}, 1, CAST(conv_id % 6 + 1 AS INT)) AS seq FROM conversations)
-SELECT id, seq, seq IS NOT NULL AND instr(s, seq) > 0 OR seq = '' AS present FROM r, g""".replace("seq IS NOT NULL AND instr(s, seq) > 0 OR seq = ''", "coalesce(instr(s, seq) > 0 OR seq = '', false)"))
+@query(f"""WITH RECURSIVE {_BUBBLES}, w AS (SELECT graph, replace(string_agg(symbol, '' ORDER BY level), '_', '') AS s FROM e WHERE edge_id % 2 = 1 OR (graph, level) NOT IN (SELECT (graph, level) FROM e WHERE edge_id % 2 = 1) GROUP BY graph),
+q AS (SELECT conv_id * 1000 + turn AS id, {dna_sql("text")} AS seq FROM conversations UNION ALL SELECT -2 * CAST(graph AS BIGINT) - 1, s FROM w UNION ALL SELECT -2 * CAST(graph AS BIGINT) - 2, reverse(s) FROM w),
+f AS (SELECT id, seq, graph, to_id AS node, 1 AS n FROM q JOIN e ON symbol = substr(seq, 1, 1) UNION SELECT id, seq, f.graph, e.to_id, n + CAST(symbol <> '_' AS INT) FROM f JOIN e ON e.graph = f.graph AND e.from_id = node AND symbol IN ('_', substr(seq, n + 1, 1))),
+h AS (SELECT DISTINCT id FROM f WHERE n = length(seq)) SELECT id, seq, seq IS NOT NULL AND (seq = '' OR id IN (SELECT id FROM h)) AS present FROM q""")
 def sequences_in_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of turns in the graph of one passage."""
-    g = table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("s")).where("length(s) >= 90").orderBy("item_id").limit(1)
-    edges = g.select(F.posexplode(F.split("s", "")).alias("i", "symbol")).select(F.col("i").cast("long").alias("from_id"), (F.col("i") + 1).cast("long").alias("to_id"), "symbol")
-    r = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substr(dna(F.col("text")), F.lit(1), (F.col("conv_id") % 6 + 1).cast("int")).alias("seq"))
-    return graph.sequences_present(r, edges)
+    """Whole turns, and each passage's other way over bubbles and gaps, there and back, in the graphs of all passages."""
+    edges = _bubbles(spark, sf_dir)
+    way = edges.groupBy("graph", "level").agg(F.max_by("symbol", "edge_id").alias("symbol")).groupBy("graph").agg(F.translate(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "symbol"))), lambda x: x["symbol"]), ""), "_", "").alias("s"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), dna(F.col("text")).alias("seq"))
+    number = -2 * F.col("graph").cast("long")
+    both = way.select(F.explode(F.array(F.struct((number - 1).alias("id"), F.col("s").alias("seq")), F.struct((number - 2).alias("id"), F.reverse("s").alias("seq")))).alias("x")).select("x.*")
+    return graph.sequences_present(turns.unionByName(both), edges)
 
 
 @query(f"""WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {dna_sql("text")} AS seq FROM benchmark) SELECT chrom, substr(seq, 1, 9) || 'TTT' || substr(seq, 12, 28) || substr(seq, 41) AS seq FROM s""")
@@ -583,9 +587,11 @@ def panel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_of_panel(_panel(spark, sf_dir), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LADDER.replace("k <= 3", "k <= 9").replace("p_partkey % 3 % 2", "p_partkey // 3 % 2")}, k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM e) x WHERE n < 5 OR edge_id % 40 IN (SELECT o_custkey % 40 FROM orders WHERE o_custkey % 40 NOT IN (3, 4, 17))),
+a AS (SELECT edge_id, from_id FROM k WHERE level = (SELECT max(level) FROM k) UNION SELECT k.edge_id, k.from_id FROM a JOIN k ON k.to_id = a.from_id)
+SELECT 'g' AS graph, level, edge_id, from_id, to_id, 'L' || level AS locus_id, symbol, cnt AS count FROM k WHERE edge_id IN (SELECT edge_id FROM a)""")
 def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ladder of nine edges a level less those whose k-mers the orders do not show."""
+    """A ladder of nine edges a level less those whose k-mers the orders do not show; no level loses all its edges here, so none is put back."""
     e = _ladder(spark, sf_dir, 9, F.floor(F.col("p_partkey") / 3) % 2)
     name = lambda c: F.concat(F.lit("k"), c.cast("string"))
     seen = table(spark, sf_dir, "orders").select(name(F.col("o_custkey") % 40).alias("kmer")).where("kmer NOT IN ('k3', 'k4', 'k17')").distinct()

@@ -73,43 +73,90 @@ def spatial_summary(levels: DataFrame, by: list[str]) -> DataFrame:
     return levels.groupBy(*by).agg(F.count("*").alias("induced"), n(~F.col("valid")).alias("invalid"), n(F.col("present")).alias("ok"), n(F.col("in_reference")).alias("in_reference"))
 
 
+def phase_parts(segments: DataFrame, k: int, by: str = "chrom") -> DataFrame:
+    """(by, part, context, seg_ord, a1, a2): segments in parts that can be put into phase apart.
+
+    A part ends with a run of agreed segments of 2 ``k`` signs or more (gaps do
+    not count), so that neither a k-mer nor the signs that a choice is judged by
+    reach from one part's open segments to those of the next. The last agreed
+    segments before a part, enough for those signs, come with it once more as
+    its context. Only numbers are put in order; the texts are joined to them by
+    their segment, whose seg_ord is unique within ``by``.
+    """
+    segments = segments.where(F.col(by).isNotNull() & F.col("a1").isNotNull())
+    order = W.partitionBy(by).orderBy("seg_ord")
+    open_ = F.col("a2").isNotNull() & (F.col("a2") != F.col("a1"))
+    sizes = segments.select(by, "seg_ord", open_.alias("_open"), F.when(open_, 0).otherwise(F.length(F.translate("a1", GAP, ""))).alias("_n"))
+    # agreed signs up to and with each segment, and up to the open one before it
+    rows = sizes.withColumn("_c", F.sum("_n").over(order)).withColumn("_was", F.last(F.when(F.col("_open"), F.col("_c")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("part", F.sum(F.when(F.col("_open") & (F.col("_c") - F.col("_was") >= 2 * k), 1).otherwise(0)).over(order))
+    own = rows.select(by, "part", F.lit(False).alias("context"), "seg_ord")
+    ends = rows.groupBy(by, "part").agg(F.max("_c").alias("_end"), F.max(F.when(F.col("_open"), F.col("seg_ord"))).alias("_open_at"))
+    tail = rows.where("NOT _open").join(ends, [by, "part"]).where((F.col("seg_ord") > F.col("_open_at")) & (F.col("_end") - F.col("_c") < 2 * k))
+    following = ends.select(by, (F.col("part") - 1).alias("part"))
+    context = tail.join(following, [by, "part"], "left_semi").select(by, (F.col("part") + 1).alias("part"), F.lit(True).alias("context"), "seg_ord")
+    return own.unionByName(context).join(segments.select(by, "seg_ord", "a1", "a2"), [by, "seg_ord"]).select(by, "part", "context", "seg_ord", "a1", "a2")
+
+
 def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, most: int = 1000, by: str = "chrom", most_kmers: int = 2_000_000) -> DataFrame:
     """(by, h1, h2, support): segments put into phase so that most of the k-mers they make are in the counts.
 
     Open pairs of haplotypes grow by one segment in both orders and keep those
     above ``share`` of the best, at most ``most`` + 1; where none has support,
-    the first stays. The order of segments matters, so a chromosome is a
-    grouped function.
+    the first stays. The order of segments matters within a part
+    (``phase_parts``), which is a grouped function; a chromosome is as many
+    tasks as it has parts. The result is that of the whole chromosome, with the
+    bound ``most`` for each part. Segments without a chromosome or a1 are left
+    out; a chromosome without open segments is one part, and no segments give no
+    rows.
     """
+    columns = ["_part", "h1", "h2", "found", "total"]
+    schema = "_part string, h1 string, h2 string, found long, total long"
 
-    schema = f"{by} string, h1 string, h2 string, support double"
+    def solve(name: str, mine: pd.DataFrame, have: frozenset) -> pd.DataFrame:
+        mine = mine.sort_values(["context", "seg_ord"], ascending=[False, True], kind="stable")
+        before = "".join(mine["a1"][mine["context"]])
+        # no more than 2 k signs that are no gaps
+        solid = [i for i, c in enumerate(before) if c != GAP]
+        before = before[solid[-2 * k] :] if len(solid) > 2 * k else before
+        own = mine[~mine["context"]]
 
-    def solve(mine: pd.DataFrame, have: frozenset) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame(columns=[by, "h1", "h2", "support"])
+        def tally(a: str, b: str, skip: int = 0) -> tuple[int, int]:
+            found = [s[i : i + k] for s in (a.replace(GAP, ""), b.replace(GAP, "")) for i in range(max(0, skip - k + 1), len(s) - k + 1)]
+            return sum(f in have for f in found), len(found)
 
         def score(a: str, b: str) -> float:
-            found = [s[i : i + k] for s in (a.replace(GAP, ""), b.replace(GAP, "")) for i in range(len(s) - k + 1)]
-            return sum(f in have for f in found) / len(found) if found else 1.0
+            found, n = tally(a, b)
+            return found / n if n else 1.0
 
-        live: list[tuple[float, str, str]] = [(1.0, "", "")]
-        for _, a1, a2 in sorted(zip(mine["seg_ord"], mine["a1"], mine["a2"], strict=True), key=lambda x: x[0]):
+        live: list[tuple[float, str, str]] = [(1.0, before, before)]
+        for a1, a2 in zip(own["a1"], own["a2"], strict=True):
             het = isinstance(a2, str) and a2 != a1
             grown = [(x + p, y + q) for _, x, y in live for p, q in (((a1, a2), (a2, a1)) if het else ((a1, a1),))]
             scored = sorted(((score(x[-(2 * k + len(a1)) :], y[-(2 * k + len(a1)) :]), x, y) for x, y in grown), key=lambda t: -t[0])
             best = scored[0][0]
             live = [s for s in scored if s[0] > share * best][: most + 1] if best > 0 else scored[:1]
         _, h1, h2 = live[0]
-        return pd.DataFrame([(mine[by].iloc[0], h1, h2, score(h1, h2))], columns=[by, "h1", "h2", "support"])
+        # the k-mers that lie in the context alone are the part's before
+        return pd.DataFrame([(name, h1[len(before) :], h2[len(before) :], *tally(h1, h2, len(before.replace(GAP, ""))))], columns=columns)
 
+    # a name for a grouped function: the part's number before the first bar, then the chromosome
+    name = F.concat(F.col("part").cast("string"), F.lit("|"), F.col(by).cast("string"))
+    parts = stash(phase_parts(segments, k, by).withColumn("_part", name), "parts")
     both = counts.where("n > 0").select("kmer").unionByName(counts.where("n > 0").select(sq.revcomp(F.col("kmer")).alias("kmer"))).distinct()
     both = stash(both, "kmers")
     if both.limit(most_kmers + 1).count() <= most_kmers:
         shared = segments.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in both.collect()))
-        return segments.groupBy(by).applyInPandas(lambda mine: solve(mine, shared.value), schema)
-    # of more, each chromosome takes those that its segments can make
-    made = graph.kmer_paths(graph.segments_to_edges(segments.withColumnRenamed(by, "graph")), k).select(F.col("graph").alias("_by"), "kmer").distinct()
-    return segments.groupBy(by).cogroup(made.join(both, "kmer", "left_semi").groupBy("_by")).applyInPandas(lambda mine, own: solve(mine, frozenset(own["kmer"])), schema)
+        solved = parts.groupBy("_part").applyInPandas(lambda key, mine: solve(key[0], mine, shared.value), schema)
+    else:
+        # of more, each part takes those that its segments can make
+        rows = parts.select(F.col("_part").alias("graph"), "seg_ord", "a1", "a2")
+        made = graph.kmer_paths(graph.segments_to_edges(rows), k).select("graph", "kmer").distinct()
+        own = made.join(both, "kmer", "left_semi").select(F.col("graph").alias("_part"), "kmer")
+        solved = parts.groupBy("_part").cogroup(own.groupBy("_part")).applyInPandas(lambda key, mine, kmers: solve(key[0], mine, frozenset(kmers["kmer"])), schema)
+    rows = solved.select(F.expr("substring(_part, instr(_part, '|') + 1)").alias(by), F.expr("cast(substring(_part, 1, instr(_part, '|') - 1) as long)").alias("_n"), "h1", "h2", "found", "total")
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", c))), lambda x: x[c]), "")
+    return rows.groupBy(by).agg(text("h1").alias("h1"), text("h2").alias("h2"), F.coalesce(F.try_divide(F.sum("found"), F.sum("total")), F.lit(1.0)).alias("support"))
 
 
 def haplotypes_to_records(columns: DataFrame) -> DataFrame:

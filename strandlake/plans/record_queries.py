@@ -557,18 +557,20 @@ def amended_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.amended(s, calls)
 
 
-@query(f"""WITH s AS (SELECT CAST(item_id AS VARCHAR) AS chrom, substr({dna_sql("text")}, 1, 80) AS h FROM benchmark WHERE length({dna_sql("text")}) >= 80), c AS (SELECT chrom, i, substr(h, CAST(i AS INT), 1) AS b FROM s, unnest(range(1, 81)) AS r(i))
-SELECT chrom, string_agg(b, '' ORDER BY i) AS h1, string_agg(CASE WHEN i % 10 = 1 THEN translate(b, 'ACGT', 'CATG') ELSE b END, '' ORDER BY i) AS h2, 1.0::DOUBLE AS support FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT chrom, CAST(i AS INT) AS i, substr(h, CAST(i AS INT), 1) AS b, i % 10 = 1 AND i // 50 % 2 = 0 AS open FROM (SELECT CAST(item_id AS VARCHAR) AS chrom, {dna_sql("text")} AS h FROM benchmark) s, unnest(range(1, length(h) + 1)) AS r(i)),
+o AS (SELECT *, CASE WHEN open THEN translate(b, 'ACGT', 'CATG') ELSE b END AS other, i // 50 // 2 % 2 = 1 AS turned FROM c)
+SELECT chrom, string_agg(CASE WHEN turned THEN other ELSE b END, '' ORDER BY i) AS h1, string_agg(CASE WHEN turned THEN b ELSE other END, '' ORDER BY i) AS h2, 1.0::DOUBLE AS support FROM o GROUP BY 1""")
 def phased_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages and copies of them that differ at every tenth base, the alleles in alternating order, put in phase by their own k-mers."""
-    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), F.substr(dna(F.col("text")), F.lit(1), F.lit(80)).alias("h")).where("length(h) = 80")
-    cut = s.select("chrom", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seg_ord"), "h")
-    at, one = (F.floor(F.col("seg_ord") / 2) * 10 + 1).cast("int"), F.col("seg_ord") % 2 == 0
-    base = F.substr("h", at, F.lit(1))
-    other, turned = F.translate(base, "ACGT", "CATG"), F.col("seg_ord") % 4 == 2
-    segments = cut.select("chrom", "seg_ord", F.when(one, F.when(turned, other).otherwise(base)).otherwise(F.substr("h", at + 1, F.lit(9))).alias("a1"), F.when(one, F.when(turned, base).otherwise(other)).alias("a2"))
-    whole = lambda second: F.array_join(F.transform(F.split("h", ""), lambda x, i: F.when(i % 10 == 0, F.translate(x, "ACGT", "CATG")).otherwise(x) if second else x), "")
-    counts = s.select(F.explode(F.array(whole(False), whole(True))).alias("t")).select(F.explode(sq.kmers(F.col("t"), 12)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    """Whole passages and copies of them that differ at every tenth base of every other fifty, the alleles in alternating order, put in phase by their own k-mers; each fifty is a part, and what is first there decides which haplotype is."""
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), dna(F.col("text")).alias("h"))
+    at = F.col("at") + 1
+    open_ = lambda i: (i % 10 == 1) & (F.floor(i / 50) % 2 == 0)
+    turned = (F.floor(at / 50 / 2) % 2 == 1) != (F.floor(at % 50 / 10) % 2 == 1)
+    bases = s.select("chrom", F.posexplode(F.split("h", "")).alias("at", "b")).where("b <> ''")
+    other = F.translate("b", "ACGT", "CATG")
+    segments = bases.select("chrom", F.col("at").alias("seg_ord"), F.when(open_(at) & turned, other).otherwise(F.col("b")).alias("a1"), F.when(open_(at), F.when(turned, F.col("b")).otherwise(other)).alias("a2"))
+    copy = F.array_join(F.transform(F.split("h", ""), lambda x, i: F.when(open_(i + 1), F.translate(x, "ACGT", "CATG")).otherwise(x)), "")
+    counts = s.select(F.explode(F.array(F.col("h"), copy)).alias("t")).select(F.explode(sq.kmers(F.col("t"), 12)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
     return variants.phased(segments, counts, 12)
 
 

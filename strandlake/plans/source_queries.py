@@ -131,7 +131,7 @@ def cortex_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.functions import sequences as sq
 
     n = table(spark, sf_dir, "nation").select("n_nationkey", sq.canonical(F.rpad(dna(F.col("n_name")), 9, "ACGTTGCAA")).alias("kmer"))
-    path = _path(spark, "ctx").removeprefix("file:")
+    path = _path(spark, "ctx")
     cortex.write(path, 9, [(r.kmer, r.n_nationkey * 1000 + 7, r.n_nationkey * 10) for r in n.collect()])
     spark.dataSource.register(cortex.CortexSource)
     return spark.read.format("cortex").option("records", 10).load(path).select("kmer", F.get("coverage", 0).alias("coverage"), F.get("edges", 0).alias("edges"))
@@ -155,17 +155,36 @@ def fastq_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- alignments
 
 
-@query("""WITH r AS (SELECT n_nationkey AS n, i, n_nationkey * 40000 + i * 997 + 1 AS pos FROM nation, unnest(range(0, 40)) AS x(i))
-SELECT n || '.' || i AS read_id, CAST(i % 2 * 16 AS INT) AS flag, CASE WHEN n % 2 = 0 THEN '6' ELSE '7' END AS chrom, CAST(pos AS INT) AS pos, CAST(i AS INT) AS mapq, '4M2D3M' AS cigar FROM r WHERE n % 2 = 0 AND pos <= 500000 AND pos + 8 >= 200000
-UNION ALL SELECT 'u' || n_nationkey, 4, '*', 0, 0, '*' FROM nation""")
-def bam_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region of a binary file of a thousand records, with those that have no place."""
-    n = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # a fixed list
-    rows = [(f"{k}.{i}", i % 2 * 16, "chr6" if k % 2 == 0 else "chr7", k * 40000 + i * 997 + 1, i, "4M2D3M", "*", 0, 0, "ACGTACG", "IIIIIII") for k in n for i in range(40)]
-    path = _path(spark, "bam").removeprefix("file:") + ".bam"
-    bam.write(path, [("chr6", 2_000_000), ("chr7", 2_000_000)], rows + [(f"u{k}", 4, "*", 0, 0, "*", "*", 0, 0, "ACG", "III") for k in n], block=5000)
+_BAM = """r AS (SELECT CAST(o_orderkey AS VARCHAR) AS read_id, CAST(o_orderkey % 2 * 16 AS INT) AS flag, CASE WHEN o_orderkey % 10 = 0 THEN '*' WHEN o_custkey % 2 = 0 THEN '6' ELSE '7' END AS chrom, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE CAST(o_custkey * 997 % 900000 + 1 AS INT) END AS pos, CASE WHEN o_orderkey % 10 = 0 THEN '*' ELSE '4M2D3M' END AS cigar FROM orders)"""
+
+
+def _bam(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of binary files of all orders as reads; every tenth key has no place."""
+    key, lost = F.col("o_orderkey"), F.col("o_orderkey") % 10 == 0
+    star = lambda c: F.when(lost, "*").otherwise(c)
+    rows = table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("read_id"),
+        (key % 2 * 16).cast("int").alias("flag"),
+        star(F.when(F.col("o_custkey") % 2 == 0, "chr6").otherwise("chr7")).alias("chrom"),
+        F.when(lost, 0).otherwise(F.col("o_custkey") * 997 % 900_000 + 1).cast("int").alias("pos"),
+        (key % 61).cast("int").alias("mapq"),
+        star(F.lit("4M2D3M")).alias("cigar"),
+        F.lit("*").alias("mate_chrom"),
+        F.lit(0).alias("mate_pos"),
+        F.lit(0).alias("insert_size"),
+        F.lit("ACGTACG").alias("seq"),
+        F.lit("IIIIIII").alias("qual"),
+    )
+    path = _path(spark, "bam")
+    bam.write_files(rows, path, [("chr6", 1_000_000), ("chr7", 1_000_000)], records=4000)
     spark.dataSource.register(bam.BamSource)
-    return spark.read.format("bam").options(regions="6:200000-500000", unmapped="true", width=100_000).load(path).select("read_id", "flag", "chrom", "pos", "mapq", "cigar")
+    return path
+
+
+@query(f"""WITH {_BAM} SELECT read_id, flag, chrom, pos, cigar FROM r WHERE chrom = '*' OR chrom = '6' AND pos <= 500000 AND pos + 8 >= 200000""")
+def bam_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of a folder of binary files written by tasks, with the records that have no place."""
+    return spark.read.format("bam").options(regions="6:200000-500000", unmapped="true", width=100_000).load(_bam(spark, sf_dir)).select("read_id", "flag", "chrom", "pos", "cigar")
 
 
 _PAIRS = """o AS (SELECT o_custkey AS pair, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS aln, o_orderkey, o_totalprice FROM orders),

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandlake.sources import files
+
 # Fixed values of the format.
 MAGIC, BASES = b"CORTEX", "ACGT"
 
@@ -48,7 +50,7 @@ def pack(kmer: str, words: int) -> tuple[int, ...]:
 def write(path: str, k: int, rows: list[tuple[str, int, int]], mean_read_len: int = 100, total_seq: int = 0) -> None:
     """A file of one colour from (kmer, coverage, edges)."""
     words = -(-k // 32)
-    with open(path, "wb") as f:
+    with files.created(path) as f:
         f.write(MAGIC + struct.pack("<4I", 4, k, words, 1) + struct.pack("<I", mean_read_len) + struct.pack("<Q", total_seq) + MAGIC)
         for kmer, coverage, edges in rows:
             f.write(struct.pack(f"<{words}QIB", *pack(kmer, words), coverage, edges))
@@ -64,7 +66,7 @@ class _Reader(DataSourceReader):
         self.path, self.size = path, size
 
     def _shape(self) -> tuple[dict, struct.Struct, int]:
-        with open(self.path, "rb") as f:
+        with files.opened(self.path) as f:
             head = header(f.read(1 << 16))
             f.seek(0, 2)
             one = struct.Struct(f"<{head['words']}Q{head['colours']}I{head['colours']}B")
@@ -77,14 +79,14 @@ class _Reader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[tuple]:
         head, one, _ = self._shape()
         words, colours = head["words"], head["colours"]
-        with open(self.path, "rb") as f:
+        with files.opened(self.path) as f:
             f.seek(head["start"] + part.first * one.size)
             for values in one.iter_unpack(f.read((part.last - part.first) * one.size)):
                 yield unpack(values[:words], head["k"]), list(values[words : words + colours]), list(values[words + colours :])
 
 
 class CortexSource(DataSource):
-    """Options: path, on a file system that every executor mounts, and records, the number in a partition."""
+    """Options: path, on any file system that Arrow knows, and records, the number in a partition."""
 
     @classmethod
     def name(cls) -> str:

@@ -107,8 +107,38 @@ def test_bam_equals_its_rows_by_region(spark, tmp_path):
 
     os.remove(path + ".bai")
     assert read() == sorted(rows)
+    # without an index a file is parted at its blocks, whatever the parts' size
+    size = os.path.getsize(path)
+    for split in (700, size // 6):
+        parts = spark.read.format("bam").option("split", split).load(f"file://{path}")
+        assert sorted(map(tuple, parts.collect())) == sorted(rows) and parts.rdd.getNumPartitions() == -(-size // split)
     with pytest.raises(Exception, match="index"):
         read(regions="6:1-5")
+    # records that go on from block to block
+    import struct
+    import zlib
+
+    blocks = bam.Blocks(path)
+    whole, out = blocks.read(1 << 30), []
+    for i in range(0, len(whole), 777):
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(whole[i : i + 777]) + deflate.flush()
+        out.append(b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x06\0BC\2\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(whole[i : i + 777]), len(whole[i : i + 777])))
+    with open(f"{tmp_path}/cut.bam", "wb") as f:
+        f.write(b"".join(out) + bam.LAST_BLOCK)
+    parts = spark.read.format("bam").option("split", 20_000).load(f"{tmp_path}/cut.bam")
+    assert sorted(map(tuple, parts.collect())) == sorted(rows) and parts.rdd.getNumPartitions() > 5
+
+
+def test_bam_folders(spark, tmp_path):
+    rows = [(f"r{k}", 0, "6" if k % 3 else "*", k * 7 % 500 + 1 if k % 3 else 0, 9, "3M" if k % 3 else "*", "*", 0, 0, "ACG", "III") for k in range(900)]
+    df = spark.createDataFrame(rows, bam.FIELDS).withColumn("_ref", F.lit(1))
+    spark.dataSource.register(bam.BamSource)
+    for n, some in (("many", df), ("none", df.limit(0))):
+        bam.write_files(some, f"file:{tmp_path}/{n}", [("6", 1000)], records=100)
+    load = lambda n, **o: sorted(map(tuple, spark.read.format("bam").options(**o).load(f"{tmp_path}/{n}").collect()))
+    assert load("many") == sorted(rows) and load("none") == []
+    assert load("many", regions="6:1-3") == sorted(r for r in rows if r[2] == "6" and r[3] <= 3)
 
 
 def test_aligned_reads_and_names(spark, tmp_path):

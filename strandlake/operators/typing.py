@@ -231,6 +231,40 @@ def mapping_confidence(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("mapq_position", F.sum("mapq").over(w))
 
 
+def chain_candidates(chains: DataFrame, lengths: DataFrame, k: int, error: float = 0.01, margin: float = 12.0) -> DataFrame:
+    """(pair, mate, aln, graph, strand, first_pos, ll, pos, end): both mates' candidates from chains of seeds (pair, mate, strand, graph, first_pos, last_pos, first_level, last_level, n).
+
+    A chain of ``n`` seeds covers n + ``k`` - 1 signs; ll is that of as many
+    agreeing signs, and of the others of the mate's length (pair, mate, length)
+    as errors. Candidates whose ll lies more than ``margin`` below their mate's
+    best are cut: by their share of at most exp(-``margin``), never by their
+    number. aln numbers what is left from 0, best first, ties by strand, graph
+    and place. Mates without chains have no rows; repeated chains are one.
+    """
+    import math
+
+    covered = F.least(F.col("n") + (k - 1), F.col("length"))
+    rows = chains.distinct().join(lengths.distinct(), ["pair", "mate"]).withColumn("ll", covered * math.log1p(-error) + (F.col("length") - covered) * math.log(error / 3))
+    best = rows.groupBy("pair", "mate").agg(F.max("ll").alias("_best"))  # the cut comes before any order
+    kept = rows.join(best, ["pair", "mate"]).where(F.col("ll") >= F.col("_best") - margin)
+    order = W.partitionBy("pair", "mate").orderBy(F.col("ll").desc(), "strand", "graph", "first_level", "first_pos")
+    return kept.select("pair", "mate", (F.row_number().over(order) - 1).alias("aln"), "graph", "strand", "first_pos", "ll", F.col("first_level").alias("pos"), F.col("last_level").alias("end"))
+
+
+def resolve_in_graphs(candidates: DataFrame, mean: float, sd: float) -> DataFrame:
+    """(pair, graph, a1, a2, score, mapq) of mates' candidates (pair, mate, aln, graph, strand, ll, pos) that lie in one graph, on opposite strands.
+
+    mapq is shared among all such places of the pair, in whichever graph. Pairs
+    without one have no rows.
+    """
+    side = lambda m: candidates.where(F.col("mate") == m).select("pair", "graph", "strand", F.col("aln").alias(f"a{m}"), F.col("ll").alias(f"l{m}"), F.col("pos").alias(f"p{m}"))
+    other = side(2).withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+"))
+    met = side(1).join(other, ["pair", "graph", "strand"])
+    score = F.col("l1") + F.col("l2") + F.ln(pr.normal_density(F.abs(F.col("p2") - F.col("p1")).cast("double"), F.lit(mean), F.lit(sd)))
+    out = pr.softmax(met.withColumn("score", score), ["pair"], "score", "mapq")
+    return out.select("pair", "graph", "a1", "a2", "score", "mapq")
+
+
 def resolve_pairs(candidates: DataFrame, mean: float, sd: float, outside: DataFrame | None = None) -> DataFrame:
     """(pair, a1, a2, score, mapq, mapq_genomic) for all combinations of the mates' candidates (pair, mate, aln, ll, pos): likelihoods and the distance's density, mapq their share.
 

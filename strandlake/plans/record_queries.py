@@ -574,6 +574,28 @@ def phased_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.phased(segments, counts, 12)
 
 
+@query(f"""WITH s AS (SELECT item_id, {dna_sql("text")} AS seq FROM benchmark), g AS (SELECT CAST(item_id AS VARCHAR) || c AS graph, seq FROM s, unnest(['a', 'b']) AS u(c) WHERE c = 'a' OR item_id % 2 = 0),
+m AS (SELECT item_id AS pair, 1 AS mate, substr(seq, 1, 40) AS q FROM s UNION ALL SELECT item_id, 2, {revcomp_sql("substr(seq, length(seq) - 39)")} FROM s), b AS (SELECT pair, mate, '+' AS strand, q FROM m UNION ALL SELECT pair, mate, '-', {revcomp_sql("q")} FROM m),
+k AS (SELECT pair, mate, strand, i - 1 AS pos, substr(q, CAST(i AS INT), 15) AS kmer FROM b, unnest(range(1, greatest(length(q) - 14, 0) + 1)) AS r(i)), x AS (SELECT graph, i - 1 AS level, substr(seq, CAST(i AS INT), 15) AS kmer FROM g, unnest(range(1, greatest(length(seq) - 14, 0) + 1)) AS r(i)),
+h AS (SELECT *, pos - row_number() OVER (PARTITION BY pair, mate, strand, graph, level - pos ORDER BY pos) AS run FROM k JOIN x USING (kmer)), c AS (SELECT pair, mate, strand, graph, level - pos AS d, run, min(pos) AS first_pos, min(level) AS pos, count(*) AS n FROM h GROUP BY ALL),
+l AS (SELECT c.*, least(n + 14, 40) * ln(0.99) + (40 - least(n + 14, 40)) * ln(0.01 / 3) AS ll FROM c), t AS (SELECT * FROM (SELECT *, max(ll) OVER (PARTITION BY pair, mate) AS best FROM l) y WHERE ll >= best - 12),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair, mate ORDER BY ll DESC, strand, graph, pos, first_pos) - 1 AS aln FROM t),
+p AS (SELECT x.pair, x.graph, CAST(x.aln AS INT) AS a1, CAST(y.aln AS INT) AS a2, x.ll + y.ll + ln(exp(-pow(least(abs(abs(y.pos - x.pos) - 200.0) / 60.0, 8.0), 2) / 2) / (60.0 * sqrt(2 * pi()))) AS score FROM a AS x JOIN a AS y ON x.pair = y.pair AND x.graph = y.graph AND x.mate = 1 AND y.mate = 2 AND x.strand <> y.strand),
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY pair)) AS e FROM p) SELECT pair, graph, a1, a2, round(score, 6) AS score, round(e / sum(e) OVER (PARTITION BY pair), 8) AS mapq FROM e""")
+def paired_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of all passages as mates, against graphs of all passages, every other one twice: its places share the pair's confidence."""
+    s = sqs._bench(spark, sf_dir)
+    g = s.select(F.explode(F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("c"), "item_id", "seq")
+    index = g.select(F.concat(F.col("item_id").cast("string"), "c").alias("graph"), F.posexplode(sq.kmers(F.col("seq"), 15)).alias("level", "kmer"))
+    n = F.length("seq")
+    mates = s.select(F.col("item_id").alias("pair"), F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.substr("seq", F.lit(1), F.lit(40)).alias("q")), F.struct(F.lit(2).alias("mate"), sq.revcomp(F.substr("seq", n - 39, F.lit(40))).alias("q")))).alias("m")).select("pair", "m.*")
+    strands = mates.select("pair", "mate", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("q").alias("seq")), F.struct(F.lit("-").alias("strand"), sq.revcomp(F.col("q")).alias("seq")))).alias("x")).select(F.struct("pair", "mate", "x.strand").alias("read_id"), "x.seq")
+    chains = align.seed_chains(strands, index, 15)
+    rows = chains.select("read_id.*", "graph", "first_pos", (F.col("first_pos") + F.col("n") - 1).alias("last_pos"), "first_level", (F.col("first_level") + F.col("n") - 1).alias("last_level"), "n")
+    found = ty.chain_candidates(rows, mates.select("pair", "mate", F.length("q").alias("length")), 15)
+    return ty.resolve_in_graphs(found, 200.0, 60.0).withColumns({"score": F.round("score", 6), "mapq": F.round("mapq", 8)})
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as haplotypes of two segments, sizes as levels; both are fixed lists of the tables."""
     p = table(spark, sf_dir, "part")

@@ -108,7 +108,8 @@ def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, m
     tasks as it has parts. The result is that of the whole chromosome, with the
     bound ``most`` for each part. Segments without a chromosome or a1 are left
     out; a chromosome without open segments is one part, and no segments give no
-    rows.
+    rows. Counts with a column ``by`` are each chromosome's own: k-mers of
+    another one do not support its phase.
     """
     columns = ["_part", "h1", "h2", "found", "total"]
     schema = "_part string, h1 string, h2 string, found long, total long"
@@ -143,18 +144,25 @@ def phased(segments: DataFrame, counts: DataFrame, k: int, share: float = 0.9, m
     # a name for a grouped function: the part's number before the first bar, then the chromosome
     name = F.concat(F.col("part").cast("string"), F.lit("|"), F.col(by).cast("string"))
     parts = stash(phase_parts(segments, k, by).withColumn("_part", name), "parts")
-    both = counts.where("n > 0").select("kmer").unionByName(counts.where("n > 0").select(sq.revcomp(F.col("kmer")).alias("kmer"))).distinct()
-    both = stash(both, "kmers")
+    chrom = lambda c: F.expr(f"substring({c}, instr({c}, '|') + 1)")
+    # an empty name where all chromosomes share the counts
+    owner = F.col(by).cast("string") if by in counts.columns else F.lit("")
+    seen = counts.where("n > 0").select(owner.alias("_owner"), "kmer").where("_owner IS NOT NULL")
+    both = stash(seen.unionByName(seen.withColumn("kmer", sq.revcomp(F.col("kmer")))).distinct(), "kmers")
     if both.limit(most_kmers + 1).count() <= most_kmers:
-        shared = segments.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in both.collect()))
-        solved = parts.groupBy("_part").applyInPandas(lambda key, mine: solve(key[0], mine, shared.value), schema)
+        sets: dict[str, set] = {}
+        for name_of, kmer in both.select("_owner", "kmer").collect():
+            sets.setdefault(name_of, set()).add(kmer)
+        shared, owned = segments.sparkSession.sparkContext.broadcast({o: frozenset(x) for o, x in sets.items()}), by in counts.columns
+        solved = parts.groupBy("_part").applyInPandas(lambda key, mine: solve(key[0], mine, shared.value.get(key[0].partition("|")[2] if owned else "", frozenset())), schema)
     else:
         # of more, each part takes those that its segments can make
         rows = parts.select(F.col("_part").alias("graph"), "seg_ord", "a1", "a2")
         made = graph.kmer_paths(graph.segments_to_edges(rows), k).select("graph", "kmer").distinct()
-        own = made.join(both, "kmer", "left_semi").select(F.col("graph").alias("_part"), "kmer")
+        made = made.withColumn("_owner", chrom("graph") if by in counts.columns else F.lit(""))
+        own = made.join(both, ["_owner", "kmer"], "left_semi").select(F.col("graph").alias("_part"), "kmer")
         solved = parts.groupBy("_part").cogroup(own.groupBy("_part")).applyInPandas(lambda key, mine, kmers: solve(key[0], mine, frozenset(kmers["kmer"])), schema)
-    rows = solved.select(F.expr("substring(_part, instr(_part, '|') + 1)").alias(by), F.expr("cast(substring(_part, 1, instr(_part, '|') - 1) as long)").alias("_n"), "h1", "h2", "found", "total")
+    rows = solved.select(chrom("_part").alias(by), F.expr("cast(substring(_part, 1, instr(_part, '|') - 1) as long)").alias("_n"), "h1", "h2", "found", "total")
     text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", c))), lambda x: x[c]), "")
     return rows.groupBy(by).agg(text("h1").alias("h1"), text("h2").alias("h2"), F.coalesce(F.try_divide(F.sum("found"), F.sum("total")), F.lit(1.0)).alias("support"))
 

@@ -570,7 +570,7 @@ def phased_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.translate("b", "ACGT", "CATG")
     segments = bases.select("chrom", F.col("at").alias("seg_ord"), F.when(open_(at) & turned, other).otherwise(F.col("b")).alias("a1"), F.when(open_(at), F.when(turned, F.col("b")).otherwise(other)).alias("a2"))
     copy = F.array_join(F.transform(F.split("h", ""), lambda x, i: F.when(open_(i + 1), F.translate(x, "ACGT", "CATG")).otherwise(x)), "")
-    counts = s.select(F.explode(F.array(F.col("h"), copy)).alias("t")).select(F.explode(sq.kmers(F.col("t"), 12)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = s.select("chrom", F.explode(F.array(F.col("h"), copy)).alias("t")).select("chrom", F.explode(sq.kmers(F.col("t"), 12)).alias("kmer")).groupBy("chrom", "kmer").agg(F.count("*").alias("n"))
     return variants.phased(segments, counts, 12)
 
 

@@ -49,3 +49,13 @@ def test_parts_equal_the_whole(spark):
     assert got == {c: plain(rs, have) for c, rs in chroms.items()}
     parts = variants.phase_parts(segments, K).groupBy("chrom").agg({"part": "max"}).collect()
     assert sum(r[1] for r in parts) >= 10
+
+
+def test_kmers_of_other_chromosomes_support_nothing(spark):
+    rows = [(c, i, *a) for c, last in (("x", ("T", "G")), ("y", ("G", "T"))) for i, a in enumerate([("A", "C"), ("GT", None), last])]
+    segments = spark.createDataFrame(rows, "chrom string, seg_ord int, a1 string, a2 string")
+    # x goes A-G and C-T, y the other way
+    counts = spark.createDataFrame([("x", "AGTG", 1), ("x", "CGTT", 1), ("y", "AGTT", 1), ("y", "CGTG", 1), (None, "AGTT", 1)], "chrom string, kmer string, n int")
+    for most in (1000, 0):  # sent, and joined
+        got = {r.chrom: (r.h1, r.h2, r.support) for r in variants.phased(segments, counts, K, most_kmers=most).collect()}
+        assert got == {"x": ("AGTG", "CGTT", 1.0), "y": ("AGTT", "CGTG", 1.0)}

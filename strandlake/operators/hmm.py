@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import probability as pr
 
 FLOOR = 1e-200
+#: Edges in a block.
+BLOCK = 512
 
 
 def edge_fractions(edges: DataFrame) -> DataFrame:
@@ -21,12 +23,30 @@ def edge_fractions(edges: DataFrame) -> DataFrame:
     return edges.join(sums, ["level", "from_id"]).withColumn("fraction", F.col("count") / F.col("_out")).drop("_out")
 
 
+def _blocks(rows: DataFrame, by: list[str], items: list[str], name: str) -> DataFrame:
+    """(by, name): the ``items`` of a group's rows in arrays of about ``BLOCK``."""
+    size = rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    placed = rows.join(size, by).withColumn("_block", F.pmod(F.xxhash64(*items), F.col("_blocks")))
+    return placed.groupBy(*by, "_block").agg(F.collect_list(F.struct(*items)).alias(name)).drop("_block")
+
+
+def _expanded(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` of blocks as pairs of their items, structs ``a`` and ``b``.
+
+    Pairs of blocks are dealt evenly to many tasks before they grow, so neither
+    few groups nor small inputs leave the growth to a few tasks.
+    """
+    tasks = 8 * pairs.sparkSession.sparkContext.defaultParallelism
+    rest = [c for c in pairs.columns if c not in (a, b)]
+    dealt = pairs.repartition(tasks)
+    return dealt.select(*rest, b, F.explode(a).alias(a)).select(*rest, a, F.explode(b).alias(b))
+
+
 def diploid_states(edges: DataFrame) -> DataFrame:
     """(level, e1, e2, p): ordered pairs of a level's edges; p, the product of the fractions, starts a path at the first level."""
     f = edge_fractions(edges)
-    a = f.select("level", F.col("edge_id").alias("e1"), F.col("fraction").alias("f1"))
-    b = f.select("level", F.col("edge_id").alias("e2"), F.col("fraction").alias("f2"))
-    return a.join(b, "level").select("level", "e1", "e2", (F.col("f1") * F.col("f2")).alias("p"))
+    a, b = (_blocks(f, ["level"], ["edge_id", "fraction"], x) for x in ("a", "b"))
+    return _expanded(a.join(b, "level"), "a", "b").select("level", F.col("a.edge_id").alias("e1"), F.col("b.edge_id").alias("e2"), (F.col("a.fraction") * F.col("b.fraction")).alias("p"))
 
 
 def transitions(edges: DataFrame) -> DataFrame:

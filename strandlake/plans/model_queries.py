@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import filters as fl
@@ -271,9 +271,14 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select((F.col("p_size") + 50 * (key % 8)).alias("level"), key.alias("edge_id"), (key % 4).alias("from_id"), ((key + F.col("p_size")) % 4).alias("to_id"), F.col("p_retailprice").alias("count"))
 
 
+def _share(p: Column) -> Column:
+    """A number from 0 to 1 rounded to 12 digits, in doubles; ``round`` goes through decimals, which costs most of a pair."""
+    return F.floor(p * 1e12 + 0.5) / 1e12
+
+
 @query(f"WITH {_EDGES}, f AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY level, from_id) AS fraction FROM e) SELECT a.level, a.edge_id AS e1, b.edge_id AS e2, round(a.fraction * b.fraction, 12) AS p FROM f a JOIN f b ON a.level = b.level")
 def diploid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.diploid_states(_edges(spark, sf_dir)).withColumn("p", F.round("p", 12))
+    return hmm.diploid_states(_edges(spark, sf_dir)).withColumn("p", _share(F.col("p")))
 
 
 @query(f"WITH {_EDGES}, f AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY level, from_id) AS fraction FROM e) SELECT a.level, a.edge_id AS edge, b.edge_id AS next_edge, round(b.fraction, 12) AS p FROM f a JOIN f b ON b.level = a.level + 1 AND b.from_id = a.to_id")

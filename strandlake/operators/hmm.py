@@ -52,9 +52,9 @@ def diploid_states(edges: DataFrame) -> DataFrame:
 def transitions(edges: DataFrame) -> DataFrame:
     """(level, edge, next_edge, p): an edge goes on with those that leave its end, by their fractions."""
     f = edge_fractions(edges)
-    a = f.select("level", F.col("edge_id").alias("edge"), F.col("to_id").alias("node"))
-    b = f.select((F.col("level") - 1).alias("level"), F.col("edge_id").alias("next_edge"), F.col("from_id").alias("node"), F.col("fraction").alias("p"))
-    return a.join(b, ["level", "node"]).select("level", "edge", "next_edge", "p")
+    a = _blocks(f.select("level", "edge_id", F.col("to_id").alias("node")), ["level", "node"], ["edge_id"], "a")
+    b = _blocks(f.select((F.col("level") - 1).alias("level"), "edge_id", F.col("from_id").alias("node"), "fraction"), ["level", "node"], ["edge_id", "fraction"], "b")
+    return _expanded(a.join(b, ["level", "node"]), "a", "b").select("level", F.col("a.edge_id").alias("edge"), F.col("b.edge_id").alias("next_edge"), F.col("b.fraction").alias("p"))
 
 
 def emissions(edge_kmers: DataFrame, counts: DataFrame, states: DataFrame, coverage: float, error_rate: float) -> DataFrame:

@@ -283,7 +283,7 @@ def diploid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES}, f AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY level, from_id) AS fraction FROM e) SELECT a.level, a.edge_id AS edge, b.edge_id AS next_edge, round(b.fraction, 12) AS p FROM f a JOIN f b ON b.level = a.level + 1 AND b.from_id = a.to_id")
 def edge_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.transitions(_edges(spark, sf_dir)).withColumn("p", F.round("p", 12))
+    return hmm.transitions(_edges(spark, sf_dir)).withColumn("p", _share(F.col("p")))
 
 
 @query(f"""WITH {_EDGES}, k AS (SELECT level, edge_id, 'k' || (edge_id % 9) AS kmer, CAST(edge_id % 2 + 1 AS INT) AS copies FROM e), cn AS (SELECT 'k' || (o_orderkey % 7) AS kmer, CAST(count(*) % 23 AS INT) AS n FROM orders GROUP BY 1),

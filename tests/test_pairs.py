@@ -22,3 +22,13 @@ def test_pairs_of_a_small_input_are_made_by_many_tasks(spark, monkeypatch):
     rows = got.collect()
     assert len(rows) == len(want) and all(math.isclose(r.p, want[r.level, r.e1, r.e2]) for r in rows)
     assert many(got)
+
+
+def test_transitions_of_a_small_input_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 4, raising=False)
+    got = hmm.transitions(edges(spark))
+    total = sum(1.0 + k for k in range(1, 30, 2))
+    want = {(0, k, m): (1.0 + m) / total for k in range(0, 30, 2) if k % 3 == 0 for m in range(1, 30, 2)}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(math.isclose(r.p, want[r.level, r.edge, r.next_edge]) for r in rows)
+    assert many(got)

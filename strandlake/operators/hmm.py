@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import probability as pr
+from strandlake.lineage import stash
 
 FLOOR = 1e-200
 #: Edges in a block.
@@ -57,13 +58,15 @@ def transitions(edges: DataFrame) -> DataFrame:
     return _expanded(a.join(b, ["level", "node"]), "a", "b").select("level", F.col("a.edge_id").alias("edge"), F.col("b.edge_id").alias("next_edge"), F.col("b.fraction").alias("p"))
 
 
-def emissions(edge_kmers: DataFrame, counts: DataFrame, states: DataFrame, coverage: float, error_rate: float) -> DataFrame:
+def emissions(edge_kmers: DataFrame, counts: DataFrame, states: DataFrame, coverage: float, error_rate: float, level_kmers: DataFrame | None = None) -> DataFrame:
     """(level, e1, e2, ll): log-likelihood of a level's k-mer counts under each pair of edges.
 
     A pair's log-likelihood is that of all the level's k-mers being absent, plus
     a change for each that one of its edges has, so a state meets its own k-mers only.
+    ``level_kmers`` (level, kmer) are the levels' k-mers, those of the edges where they are not given.
     """
-    kmers = edge_kmers.select("level", "kmer").distinct().join(counts, "kmer", "left").select("level", "kmer", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
+    every = edge_kmers.select("level", "kmer").distinct() if level_kmers is None else level_kmers
+    kmers = every.join(counts, "kmer", "left").select("level", "kmer", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
     absent = pr.log_poisson(F.col("n"), F.lit(error_rate * coverage))
     kmers = kmers.withColumn("_absent", F.greatest(absent, F.lit(math.log(FLOOR))))
     base = kmers.groupBy("level").agg(F.sum("_absent").alias("_base"))
@@ -75,6 +78,29 @@ def emissions(edge_kmers: DataFrame, counts: DataFrame, states: DataFrame, cover
     return out.select("level", "e1", "e2", (F.coalesce("_base", F.lit(0.0)) + F.coalesce("_d", F.lit(0.0))).alias("ll"))
 
 
+def pair_emissions(edges: DataFrame, edge_kmers: DataFrame, counts: DataFrame, coverage: float, error_rate: float, digits: int | None = None) -> DataFrame:
+    """(level, e1, e2, ll): ``emissions`` of all ordered pairs of a level's ``edges``, rounded to ``digits``.
+
+    Edges of a level with the same k-mers as often are one class; a
+    log-likelihood is worked out once for each pair of classes, and only then
+    given to the pairs of their edges.
+    """
+    kmers = edge_kmers.groupBy("level", "edge_id", "kmer").agg(F.sum("copies").alias("copies"))
+    profile = kmers.groupBy("level", "edge_id").agg(F.sort_array(F.collect_list(F.struct("kmer", "copies"))).alias("_kmers"))
+    # an edge without k-mers has null, which groups as any other
+    profiled = stash(edges.select("level", "edge_id").join(profile, ["level", "edge_id"], "left"), "profiles")
+    classes = stash(profiled.groupBy("level", F.to_json("_kmers").alias("_same")).agg(F.min("edge_id").alias("_class"), F.first("_kmers").alias("_kmers")), "classes")
+    members = profiled.withColumn("_same", F.to_json("_kmers")).select("level", "edge_id", "_same")
+    named = members.join(classes.select("level", "_same", "_class"), (members["level"] == classes["level"]) & members["_same"].eqNullSafe(classes["_same"])).select(members["level"], "edge_id", "_class")
+    own = classes.select("level", F.col("_class").alias("edge_id"), F.explode("_kmers").alias("k")).select("level", "edge_id", "k.*")
+    a, b = (classes.select("level", F.col("_class").alias(x)) for x in ("e1", "e2"))
+    ll = emissions(own, counts, a.join(b, "level"), coverage, error_rate, kmers.select("level", "kmer").distinct())
+    ll = ll if digits is None else ll.withColumn("ll", F.round("ll", digits))
+    a, b = (_blocks(named.withColumnRenamed("_class", x), ["level", x], ["edge_id"], f"_{x}") for x in ("e1", "e2"))
+    pairs = ll.join(a, ["level", "e1"]).join(b, ["level", "e2"]).select("level", "ll", "_e1", "_e2")
+    return _expanded(pairs, "_e1", "_e2").select("level", F.col("_e1.edge_id").alias("e1"), F.col("_e2.edge_id").alias("e2"), "ll")
+
+
 def error_rate(counts: DataFrame, coverage: float, start: float = 0.01, least_change: float = 2.0, rounds: int = 50) -> float:
     """Error rate by expectation and maximisation on k-mers (n, group) of two-state levels, until the log-likelihood gains less than ``least_change``.
 

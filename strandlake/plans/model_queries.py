@@ -296,7 +296,7 @@ def emission_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir)
     k = e.select("level", "edge_id", F.concat(F.lit("k"), (F.col("edge_id") % 9).cast("string")).alias("kmer"), (F.col("edge_id") % 2 + 1).cast("int").alias("copies"))
     counts = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("k"), (F.col("o_orderkey") % 7).cast("string")).alias("kmer")).agg((F.count("*") % 23).cast("int").alias("n"))
-    return hmm.emissions(k, counts, hmm.diploid_states(e), 10.0, 0.01).withColumn("ll", F.round("ll", 6))
+    return hmm.pair_emissions(e, k, counts, 10.0, 0.01, digits=6)
 
 
 @query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS sample, day(ts) AS d, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS x FROM events GROUP BY 1, 2),

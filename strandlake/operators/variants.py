@@ -16,6 +16,8 @@ from strandlake.operators import aggregates as ag
 from strandlake.operators import graph
 
 GAP = "_"
+#: Signs in a piece of a reference.
+PIECE = 1024
 
 
 def records_to_segments(records: DataFrame, reference: DataFrame) -> DataFrame:
@@ -27,21 +29,38 @@ def records_to_segments(records: DataFrame, reference: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("chrom").orderBy("pos")
     end = F.col("pos") + F.length("ref")
-    rows = records.withColumn("_from", F.coalesce(F.lag(end).over(w), F.lit(1))).withColumn("_next", F.lead("pos").over(w)).join(reference, "chrom")
+    sizes = reference.select("chrom", F.length("seq").alias("_length"))
+    rows = records.withColumn("_from", F.coalesce(F.lag(end).over(w), F.lit(1))).withColumn("_next", F.lead("pos").over(w)).join(sizes, "chrom")
     size = F.greatest(F.length("a1"), F.length("a2"))
     pad = lambda c: F.rpad(F.col(c), size, GAP)
-    cut = lambda a, b: F.substr("seq", a, F.greatest(b - a, F.lit(0)))
-    piece = lambda order, pos, x, y: F.struct(order.alias("seg_ord"), pos.cast("long").alias("pos"), x.alias("a1"), y.alias("a2"))
     none, k = F.lit(None).cast("string"), F.col("pos") * 3
-    parts = [piece(k - 1, F.col("_from"), cut(F.col("_from"), F.col("pos")), none), piece(k, F.col("pos"), pad("a1"), F.when(F.col("a1") != F.col("a2"), pad("a2")))]
-    tail = piece(k + 1, end, F.substr("seq", end, F.length("seq")), none)
-    parts.append(F.when(F.col("_next").isNull(), tail))
-    called = rows.select("chrom", F.explode(F.array(*parts)).alias("s")).select("chrom", "s.*")
+    called = rows.select("chrom", k.alias("seg_ord"), F.col("pos").cast("long").alias("pos"), pad("a1").alias("a1"), F.when(F.col("a1") != F.col("a2"), pad("a2")).alias("a2"))
+    # what lies between, from the first place to the one after the last
+    place = lambda order, a, b: F.struct(order.alias("seg_ord"), a.cast("long").alias("pos"), F.least(b, F.col("_length") + 1).cast("long").alias("_to"))
+    tail = F.when(F.col("_next").isNull(), place(k + 1, end, F.col("_length") + 1))
+    between = rows.select("chrom", F.explode(F.array(place(k - 1, F.col("_from"), F.col("pos")), tail)).alias("s")).select("chrom", "s.*").where("pos < _to")
     whole = reference.join(records.select("chrom").distinct(), "chrom", "left_anti").select("chrom", F.lit(0).alias("seg_ord"), F.lit(1).cast("long").alias("pos"), F.col("seq").alias("a1"), none.alias("a2"))
-    out = called.where(F.col("a1").isNotNull() & (F.col("a1") != "")).unionByName(whole)
+    out = called.where(F.col("a1").isNotNull() & (F.col("a1") != "")).unionByName(_cut_out(between, reference).withColumn("a2", none)).unionByName(whole)
     return out.withColumn("seg_ord", F.row_number().over(W.partitionBy("chrom").orderBy("seg_ord")) - 1)
 
 
+def _cut_out(places: DataFrame, reference: DataFrame) -> DataFrame:
+    """(chrom, seg_ord, pos, a1) of what a reference has from pos to before _to.
+
+    The reference is cut into pieces of ``PIECE`` signs once; a place meets the
+    pieces it touches, never the whole sequence.
+    """
+    pieces = reference.select("chrom", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_piece", "_text"))
+    piece = lambda c: F.floor(F.col(c) / PIECE).cast("int")
+    met = places.withColumns({"_a": F.col("pos") - 1, "_b": F.col("_to") - 1}).withColumn("_last", F.col("_b") - 1)
+    met = met.withColumn("_piece", F.explode(F.sequence(piece("_a"), piece("_last")))).join(pieces, ["chrom", "_piece"])
+    begin = F.col("_piece").cast("long") * PIECE
+    a, b = F.greatest(F.col("_a") - begin, F.lit(0)), F.least(F.col("_b") - begin, F.lit(PIECE))
+    parts = met.select("chrom", "seg_ord", "pos", "_piece", F.substr("_text", (a + 1).cast("int"), (b - a).cast("int")).alias("_text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"]), "")
+    return parts.groupBy("chrom", "seg_ord", "pos").agg(joined.alias("a1"))
+
+
 def evaluated(segments: DataFrame, counts: DataFrame, k: int, coverage: float, by: str = "chrom") -> DataFrame:
     """(by, total, different, invalid, present, optimality, weighted) of the k-mers of both haplotypes of a genome string.
 

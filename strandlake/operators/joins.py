@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
+from strandlake.lineage import stash
 
 
 def mate_pairs(reads: DataFrame, key: list[str], mate: str, columns: list[str]) -> DataFrame:
@@ -29,6 +30,73 @@ def interval_join(a: DataFrame, b: DataFrame, region: str, a_range: tuple[str, s
     return pairs.where((F.col(s2) <= F.col(s1)) & (F.col(e1) <= F.col(e2))) if inside else pairs
 
 
+def _shift(x: Column, n: Column) -> Column:
+    return F.call_function("shiftright", x, n)
+
+
+def _levels(top: int, above: Column | None = None, own: bool = True) -> Column:
+    """Levels from 0 to ``top``; those ``above`` a level, with or without its ``own``."""
+    every = F.sequence(F.lit(0), F.lit(top))
+    return every if above is None else F.filter(every, lambda n: n >= above if own else n > above)
+
+
+def _top(rows: DataFrame, first: str, last: str) -> int:
+    """Level of the largest block of 2 ** level places that an interval can hold."""
+    longest = rows.agg(F.max(F.col(last) - F.col(first) + 1)).first()[0]
+    return max(int(longest or 1), 1).bit_length() - 1
+
+
+def _blocks(rows: DataFrame, first: str, last: str, top: int) -> DataFrame:
+    """``rows`` with (_level, _node) for each of the blocks that their closed intervals consist of: two at most for each level, block n of a level being places n to n + 1 times 2 ** level."""
+    begin, end = F.col(first).cast("long"), F.col(last).cast("long") + 1
+    left, right = (lambda n: -_shift(-begin, n)), (lambda n: _shift(end, n))
+    taken = lambda n, at, x: F.when((left(n) < right(n)) & (F.pmod(x, F.lit(2)) == 1), F.struct(n.alias("_level"), at.alias("_node")))
+    each = F.flatten(F.transform(_levels(top), lambda n: F.array(taken(n, left(n), left(n)), taken(n, right(n) - 1, right(n)))))
+    return rows.withColumn("_block", F.explode(F.filter(each, lambda x: x.isNotNull()))).select(*rows.columns, "_block.*")
+
+
+def _upwards(rows: DataFrame, at: str, top: int) -> DataFrame:
+    """``rows`` with (_level, _node) of all blocks around a place."""
+    return rows.withColumn("_level", F.explode(_levels(top))).withColumn("_node", _shift(F.col(at).cast("long"), F.col("_level")))
+
+
+def interval_totals(a: DataFrame, b: DataFrame, region: str, a_range: tuple[str, str], b_range: tuple[str, str], key: str) -> DataFrame:
+    """(region, b_range, n, first_key, overlap): for each different closed interval of b that any of a overlaps, how many do, their smallest ``key``, and how many places they share in all.
+
+    No pair is made, so the work does not grow with the number of pairs. What
+    overlaps begins inside, or covers the first place. Intervals are cut into
+    blocks of powers of two, a number of them that grows with the logarithm of
+    the length, and sums by block are joined to the blocks of b. An interval
+    that ends before it begins holds nothing; one without a region is left out.
+    """
+    (s1, e1), (s2, e2) = a_range, b_range
+    node = [region, "_level", "_node"]
+    held = a.where((F.col(s1) <= F.col(e1)) & F.col(region).isNotNull()).groupBy(region, s1, e1).agg(F.count("*").alias("_n"), F.min(key).alias("_k"))
+    held = stash(held, "held")
+    asked = stash(b.where((F.col(s2) <= F.col(e2)) & F.col(region).isNotNull()).select(region, s2, e2).distinct(), "asked")
+    top_a, top_b = _top(held, s1, e1), _top(asked, s2, e2)
+    cover = stash(_blocks(held, s1, e1, top_a).groupBy(*node).agg(F.sum("_n").alias("_n"), F.min("_k").alias("_k")), "cover")
+    wanted = stash(_blocks(asked, s2, e2, top_b), "wanted")
+    starts = stash(held.groupBy(region, F.col(s1).alias(s2)).agg(F.sum("_n").alias("_n"), F.min("_k").alias("_k")), "starts")
+    begun = _upwards(starts, s2, top_b).groupBy(*node).agg(F.sum("_n").alias("_begun"), F.min("_k").alias("_k"))
+    # places shared with a block: those of the blocks inside it, and all of its own for each block around it
+    up = cover.where(F.col("_level") <= top_b).select(region, F.col("_level").alias("_l"), F.col("_node").alias("_m"), (F.col("_n") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))).alias("_w"))
+    up = up.withColumn("_level", F.explode(_levels(top_b, F.col("_l")))).withColumn("_node", _shift(F.col("_m"), F.col("_level") - F.col("_l")))
+    inside = up.groupBy(*node).agg(F.sum("_w").alias("_inside"))
+    mine = wanted.select(*node).distinct()
+    around = mine.select(region, F.col("_level").alias("_l"), F.col("_node").alias("_m"), F.explode(_levels(top_a, F.col("_level"), own=False)).alias("_level")).withColumn("_node", _shift(F.col("_m"), F.col("_level") - F.col("_l")))
+    around = around.join(cover, node).groupBy(region, F.col("_l").alias("_level"), F.col("_m").alias("_node")).agg(F.sum("_n").alias("_around"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = mine.join(begun, node, "left").join(inside, node, "left").join(around, node, "left")
+    sums = sums.select(*node, zero("_begun").alias("_begun"), "_k", (zero("_inside") + zero("_around") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))).alias("_w"))
+    whole = wanted.join(stash(sums, "sums"), node).groupBy(region, s2, e2).agg(F.sum("_begun").alias("_begun"), F.min("_k").alias("_k"), F.sum("_w").alias("overlap"))
+    at = _upwards(asked.select(region, s2).distinct(), s2, top_a).join(cover, node).groupBy(region, s2).agg(F.sum("_n").alias("_n"), F.min("_k").alias("_least"))
+    # those that cover the first place, but for those that begin there and are counted already
+    at = at.join(starts.select(region, s2, F.col("_n").alias("_here")), [region, s2], "left").select(region, s2, (F.col("_n") - zero("_here")).alias("_before"), "_least")
+    out = whole.join(at, [region, s2], "left").select(region, s2, e2, (F.col("_begun") + zero("_before")).alias("n"), F.least("_k", "_least").alias("first_key"), "overlap")
+    return out.where("n > 0")
+
+
 def sample_counts(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """Wanted k-mers with their canonical form's count; 0 where there is none."""
     known = counts.select(F.col("kmer").alias("_key"), "n")

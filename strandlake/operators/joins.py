@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
@@ -97,6 +98,26 @@ def interval_totals(a: DataFrame, b: DataFrame, region: str, a_range: tuple[str,
     return out.where("n > 0")
 
 
+def interval_inside(a: DataFrame, b: DataFrame, region: str, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
+    """(region, b_range, n): for each different closed interval of b that any of a lies inside of, how many do, without making the pairs.
+
+    Those that begin in a block of b's places are counted up to b's end, by a
+    running sum over the different ends in the block.
+    """
+    (s1, e1), (s2, e2) = a_range, b_range
+    node = [region, "_level", "_node"]
+    asked = stash(b.where((F.col(s2) <= F.col(e2)) & F.col(region).isNotNull()).select(region, s2, e2).distinct(), "asked")
+    top = _top(asked, s2, e2)
+    held = a.where((F.col(s1) <= F.col(e1)) & F.col(region).isNotNull()).groupBy(region, s1, F.col(e1).alias("_end")).agg(F.count("*").alias("_n"))
+    begun = _upwards(held, s1, top).groupBy(*node, "_end").agg(F.sum("_n").alias("_n"))
+    wanted = stash(_blocks(asked, s2, e2, top), "wanted")
+    marks = wanted.select(*node, F.col(e2).alias("_end"), F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked")).distinct()
+    both = begun.select(*node, "_end", "_n", F.lit(False).alias("_asked")).unionByName(marks)
+    up_to = F.sum("_n").over(W.partitionBy(*node).orderBy("_end"))
+    counted = both.withColumn("_n", up_to).where("_asked").select(*node, F.col("_end").alias(e2), "_n")
+    return wanted.join(counted, [*node, e2]).groupBy(region, s2, e2).agg(F.sum("_n").alias("n")).where("n > 0")
+
+
 def sample_counts(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """Wanted k-mers with their canonical form's count; 0 where there is none."""
     known = counts.select(F.col("kmer").alias("_key"), "n")

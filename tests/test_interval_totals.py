@@ -47,3 +47,17 @@ def test_overlap_query_makes_no_pairs(spark, monkeypatch):
 def test_overlap_filter_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(jn, "interval_join", no_pairs)
     assert rq.overlap_filter(spark, SF).count() > 0
+
+
+def test_counts_inside_equal_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jn, "interval_join", no_pairs)
+    for longest in ((10, 600), (300, 300)):
+        a, b, left, right = frames(spark, longest)
+        want = {}
+        for _, region, s2, e2 in b:
+            n = sum(1 for _, r, s1, e1 in a if region and r == region and s2 <= s1 <= e1 <= e2)
+            if n:
+                want[region, s2, e2] = n
+        got = jn.interval_inside(left, right, "region", ("s1", "e1"), ("s2", "e2")).collect()
+        assert len(got) == len(want) and {(r.region, r.s2, r.e2): r.n for r in got} == want
+    assert rq.interval_contained(spark, SF).count() > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,23 +74,20 @@ def read_segments(spark: SparkSession, folder: str, listing: str = "segments.txt
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, level, terminal) and edges (edge_id, locus_id, count, symbol_code, from_id, to_id) of a graph file in sections.
+    """Nodes (node_id, level, terminal) and edges (edge_id, locus_id, count, symbol_code, from_id, to_id) of graph files in sections.
 
-    The format is read in order, so a file goes to one task.
+    A file is read in splits, as any text. A line's section is that of the last
+    header before it, by the place of its split and its own place inside; what
+    is sent is a file's headers.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for content in p["content"]:
-                section, rows = "", []
-                for line in bytes(content).decode().split("\n"):
-                    if line.strip() in SECTIONS:
-                        section = line.strip()
-                    elif line.strip():
-                        rows.append((section, line.rstrip("\r").split(SEPARATOR)))
-                yield pd.DataFrame(rows, columns=["section", "fields"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "section string, fields array<string>")
+    bare = F.regexp_replace("value", r"^\s+|\s+$", "")
+    # ids rise inside a split, and a split lies in one task
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), at.alias("_at"), "value", bare.alias("_bare"))
+    heads = rows.where(F.col("_bare").isin(*SECTIONS)).groupBy("_file").agg(F.collect_list(F.struct("_at", "_bare")).alias("_heads"))
+    lines_ = rows.where((F.col("_bare") != "") & ~F.col("_bare").isin(*SECTIONS)).join(F.broadcast(heads), "_file")  # a row for each file
+    section = F.array_max(F.filter("_heads", lambda h: h["_at"] < F.col("_at")))["_bare"]
+    rows = lines_.select(section.alias("section"), F.split(F.regexp_replace("value", r"\r+$", ""), re.escape(SEPARATOR)).alias("fields"))
     f = lambda i: F.get("fields", i)
     nodes = rows.where(F.col("section") == "NODES:").select(f(0).cast("long").alias("node_id"), f(1).cast("int").alias("level"), (f(2) == "1").alias("terminal"))
     edges = rows.where(F.col("section") == "EDGES:").select(f(0).cast("long").alias("edge_id"), f(1).alias("locus_id"), f(2).cast("double").alias("count"), f(3).alias("symbol_code"), f(4).cast("long").alias("from_id"), f(5).cast("long").alias("to_id"))

@@ -191,3 +191,20 @@ def test_result_tables_and_small_files(spark, tmp_path):
     for content in (">x one\nac-\nGT\n>y\nACG.T\n", "CLUSTAL\n\nx  AC- 3\ny  ACG 3\n   ** \n\nx  GT 5\ny  .T 5\n"):
         got = results.read_alignment_blocks(spark, put(tmp_path, "b", content)).collect()
         assert {h: "".join(r.allele for r in sorted(got, key=lambda r: r.level) if r.haplotype_id == h) for h in "xy"} == {"x": "AC_GT", "y": "ACG_T"}
+
+
+def test_a_graph_file_is_read_in_splits(spark, tmp_path):
+    edge = lambda i: text.SEPARATOR.join([str(i), f"L{i}", "1.5", "A", str(i), str(i + 1)])
+    node = lambda i: text.SEPARATOR.join([str(i), str(2 * i), str(i % 2)])
+    for name, n in (("a", 400), ("b", 3)):  # either section may come first, and again
+        parts = ["EDGES:", *map(edge, range(n)), "", "NODES:\r", *[node(i) + "\r" for i in range(n)], " EDGES: ", edge(n)]
+        (tmp_path / name).write_text("\n".join(parts), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        nodes, edges = text.read_graph(spark, str(tmp_path))
+        assert nodes.rdd.getNumPartitions() > 2
+        assert sorted(map(tuple, nodes.collect())) == sorted((i, 2 * i, i % 2 == 1) for n in (400, 3) for i in range(n))
+        assert sorted(map(tuple, edges.collect())) == sorted((i, f"L{i}", 1.5, "A", i, i + 1) for n in (400, 3) for i in range(n + 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -22,14 +22,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     labels as well as ends makes the rounds logarithmic, on long chains too.
     The labels are written after each round, so lineage stays short. Raises
     RuntimeError where ``rounds`` do not suffice, rather than return labels
-    that are not final. Edges with a null end count for nothing.
+    that are not final. Edges with a null end count for nothing; one that comes
+    twice or both ways is met once a round.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = stash(pairs.where("a != b").unionByName(pairs.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    pairs = stash(pairs.distinct(), "edges")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("label")), F.struct(F.col("b").alias("node"), F.col("a").alias("label")))).alias("end"))
+    labels = stash(ends.groupBy("end.node").agg(F.min("end.label").alias("label")), "labels")
     for _ in range(rounds):
-        ends = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("lb < la")
-        heard = ends.select(F.explode(F.array("a", "la")).alias("node"), "lb").groupBy("node").agg(F.min("lb").alias("heard"))
+        met = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
+        met = met.select(F.when(F.col("la") > F.col("lb"), F.col("a")).otherwise(F.col("b")).alias("end"), F.greatest("la", "lb").alias("was"), F.least("la", "lb").alias("low"))
+        heard = met.select(F.explode(F.array("end", "was")).alias("node"), "low").groupBy("node").agg(F.min("low").alias("heard"))
         lower = stash(labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "labels")
         # labels in use whose own node has a smaller one; most are none's, so hardly any are looked up
         moves = lower.where("label < node").join(lower.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("jumped"))

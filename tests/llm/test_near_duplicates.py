@@ -117,3 +117,14 @@ def test_large_groups_in_several_parts_equal_brute_force(spark, monkeypatch):
     ids = random.Random(8).sample(range(1000), len(texts))
     got = nd.near_duplicates(frame(spark, texts, ids)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, ids)
+
+
+def test_links_are_met_once_a_round(spark, monkeypatch):
+    from strandlake.llm import components as cp
+
+    kept, plain = [], cp.stash
+    monkeypatch.setattr(cp, "stash", lambda df, name, *rest: kept.append((name, plain(df, name, *rest))) or kept[-1][1])
+    rows = [(a, a + 1) for a in range(20)] + [(a + 1, a) for a in range(20)] + [(3, 3), (None, 1), (7, 9), (7, 9), (50, 40)]
+    got = {r.node: r.component for r in cp.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(21), 0) | {40: 40, 50: 40}
+    assert [df.count() for name, df in kept if name == "edges"] == [22]
